@@ -10,12 +10,23 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+WORD_EDGE = r"(?:(?<!\w)(?=\w)|(?<=\w)(?!\w))"
+
+
+def ascii_edges(pattern: str) -> str:
+    r"""Spell \b out over ASCII word characters; what the JVM takes for a letter depends on its version."""
+    return pattern.replace(r"\b", WORD_EDGE)
+
+
 @dataclass(frozen=True)
 class Rule:
     """One pattern; ``groups`` are the capture numbers kept as g1, g2, g3."""
     pattern: str
     groups: tuple = (1,)
 
+    def __post_init__(self):
+        object.__setattr__(self, "pattern", ascii_edges(self.pattern))
+
 
 def _newlines(s):
     return F.length(s) - F.length(F.replace(s, F.lit("\n"), F.lit("")))

@@ -5,6 +5,7 @@ from pyspark.sql import Column, functions as F
 from .fixed import (BINARY_EXTENSIONS, EXCLUDED_EXTENSIONS, EXCLUDED_PATH_PATTERNS,
                     EXTRA_KNOWN_FILE_NAMES, GREP_EXCLUDE_PATTERNS, KNOWN_FILE_NAMES,
                     LANGUAGE_BY_EXTENSION, CODE_LANGUAGES)
+from .matching import ascii_edges
 
 
 def lit_map(mapping):
@@ -108,7 +109,7 @@ def is_binary(path):
 def any_rlike(value, patterns):
     cond = F.lit(False)
     for p in patterns:
-        cond = cond | value.rlike(p)
+        cond = cond | value.rlike(ascii_edges(p))
     return cond
 
 

@@ -7,6 +7,7 @@ on which one is used: index terms (stemmed), vector terms and learner terms.
 from pyspark.sql import Column, functions as F
 
 from . import fixed
+from .matching import ascii_edges
 
 # White space as a query string sees it (ASCII plus the Unicode spaces).
 SPACE = r"[\s ﻿  -     　]"
@@ -93,8 +94,10 @@ def learner_tokens(text):
 
 def keywords_upper(content):
     """Upper-cased identifier-like words, common programming words dropped."""
+    word = r"[\p{L}\p{N}_]"
+    edge = rf"(?:(?<!{word})(?={word})|(?<={word})(?!{word}))"  # letters of any script bound a word here
     found = F.regexp_extract_all(
-        content, F.lit(r"\b[A-Z][A-Z0-9_-]{2,}\b|\b[a-z][a-zA-Z0-9_]{3,}\b"), F.lit(0))
+        content, F.lit(f"{edge}[A-Z][A-Z0-9_-]{{2,}}{edge}|{edge}[a-z][a-zA-Z0-9_]{{3,}}{edge}"), F.lit(0))
     return F.filter(F.transform(found, F.upper), lambda w: ~w.isin(*fixed.COMMON_KEYWORDS))
 
 
@@ -237,7 +240,7 @@ def without_stop_words(terms):
 
 def action_stems(q):
     """Base forms of the action verbs a question mentions, in pattern order."""
-    found = F.array(*[F.regexp_extract(F.lower(q), p, 1) for p in fixed.ACTION_PATTERNS])
+    found = F.array(*[F.regexp_extract(F.lower(q), ascii_edges(p), 1) for p in fixed.ACTION_PATTERNS])
 
     def base(v):
         short = F.regexp_replace(v, "(ed|ing|ion|e)$", "")

@@ -8,7 +8,7 @@ together, so a file with many functions costs a sort, not a rescan per function.
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, grammar, text
-from ..functions.matching import Rule, match_rows_by
+from ..functions.matching import Rule, ascii_edges, match_rows_by
 from . import ordering
 
 SYMBOL_FIELDS = ("name", "type", "line", "signature", "params", "return_type", "data_type", "scope", "level", "summary")
@@ -217,7 +217,7 @@ def extract_calls(code: Column, language: Column) -> Column:
             clean = F.regexp_replace(clean, p, " ")
         for p in strings:
             clean = F.regexp_replace(clean, p, '""')
-        found = F.concat(*[F.regexp_extract_all(clean, F.lit(p), F.lit(1)) for p in patterns])
+        found = F.concat(*[F.regexp_extract_all(clean, F.lit(ascii_edges(p)), F.lit(1)) for p in patterns])
         skip = [w.lower() for w in words.split()]
         return F.filter(F.array_distinct(found), lambda w: (w != "") & ~F.lower(w).isin(*skip))
 

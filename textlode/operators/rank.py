@@ -75,7 +75,8 @@ def cosine(a: Column, b: Column) -> Column:
 def nearest_vectors(vectors: DataFrame, query_vector, k=10, threshold=fixed.SIMILARITY_THRESHOLD,
                     column="embedding", tie="ord") -> DataFrame:
     """Brute-force cosine top-k.  The query is a literal or a scalar subquery, never a join side."""
-    scored = vectors.withColumn("similarity", cosine(F.col(column), query_vector)) \
+    scored = vectors.withColumn("__q", query_vector) \
+        .withColumn("similarity", cosine(F.col(column), F.col("__q"))).drop("__q") \
         .filter(F.col("similarity") >= threshold)
     return ordering.top(scored, (F.desc("similarity"), tie), k)
 
@@ -246,7 +247,9 @@ def keyword_files(files: DataFrame, symbols: DataFrame, terms, max_results=40) -
                         (F.desc("score"), "ord"), max_results)
 
 
-def workspace_file_score(path: Column, terms, is_pattern=F.lit(False), in_filter=F.lit(False)) -> Column:
+def workspace_file_score(path: Column, terms, is_pattern=None, in_filter=None) -> Column:
+    is_pattern = F.lit(False) if is_pattern is None else is_pattern
+    in_filter = F.lit(False) if in_filter is None else in_filter
     low, name = F.lower(path), F.lower(paths.file_name(path))
     ext = F.lower(paths.extension(path))
     score = F.lit(10)
