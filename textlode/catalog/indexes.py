@@ -1 +1,306 @@
+"""Index construction and vocabulary learning over documents."""
 
+from pyspark.sql import functions as F
+
+from ..functions import fixed, paths, text
+from ..operators import grep, index, rank, vocabulary
+from ..sources import persist
+from . import registry as R
+from .registry import corpus, joined, query, symbols, table
+
+c = F.col
+
+
+@query("idx_08_term_frequencies", f"SELECT path, term, tf FROM ({R.TF})")
+def _(spark, sf):
+    return index.term_frequencies(corpus(spark, sf), ("path",))
+
+
+@query("idx_10_boosted_postings", f"SELECT kind, term, sum(f) AS freq, count(*) AS docs FROM (SELECT kind, term, tf * CASE kind WHEN 'summary' THEN 3.0 WHEN 'symbol' THEN 2.5 WHEN 'comment' THEN 2.0 ELSE 1.0 END AS f FROM "
+       f"(SELECT path, ['file', 'summary', 'symbol', 'comment'][ord % 4 + 1] AS kind, term, tf FROM ({R.TF}))) GROUP BY 1, 2".replace("sum(f) AS freq", "round(sum(f), 3)::DOUBLE AS freq"))
+def _(spark, sf):
+    kind = F.get(F.array(*[F.lit(k) for k in ("file", "summary", "symbol", "comment")]), (c("ord") % 4).cast("int"))
+    docs = corpus(spark, sf).select(c("path").alias("doc_id"), kind.alias("doc_type"), "content")
+    return index.postings(docs).groupBy(c("doc_type").alias("kind"), "term").agg(F.round(F.sum("freq"), 3).alias("freq"), F.count("*").alias("docs"))
+
+
+@query("idx_05_document_stats", f"SELECT path AS doc_id, count(*) AS term_count FROM ({R.TF}) GROUP BY 1")
+def _(spark, sf):
+    return index.document_stats(index.plain_feed(corpus(spark, sf))).filter("term_count > 0").select("doc_id", "term_count")
+
+
+@query("snk_03_posting_table", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM ({R.TF}) GROUP BY term")
+def _(spark, sf):
+    p = index.postings(index.plain_feed(corpus(spark, sf)))
+    return p.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("cf"))
+
+
+@query("idx_04_symbol_trigrams", f"SELECT tri, count(*) AS keys FROM (SELECT key, unnest(list_distinct({R.grams('s')})) AS tri FROM (SELECT key, replace(name, '_', '') AS s FROM ({R.SYMBOLS}))) GROUP BY tri")
+def _(spark, sf):
+    return index.symbol_trigrams(symbols(spark, sf)).groupBy("tri").agg(F.count("*").alias("keys"))
+
+
+@query("idx_04_file_trigrams", f"SELECT tri, count(*) AS files FROM (SELECT path, unnest(list_distinct({R.grams('s')})) AS tri FROM (SELECT path, regexp_replace(regexp_extract(path, '[^/]*$'), '[^a-z0-9]', '', 'g') AS s FROM ({R.DOCS}))) GROUP BY tri")
+def _(spark, sf):
+    return index.file_name_trigrams(corpus(spark, sf)).groupBy("tri").agg(F.count("*").alias("files"))
+
+
+@query("idx_04_line_trigrams", f"SELECT tri, count(*) AS lines FROM (SELECT path, line, unnest(list_distinct({R.grams('s')})) AS tri FROM (SELECT path, line, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM ({R.LINES}) WHERE length(text) BETWEEN 3 AND 500)) GROUP BY tri")
+def _(spark, sf):
+    return index.line_trigrams(grep.corpus_lines(corpus(spark, sf))).groupBy("tri").agg(F.count("*").alias("lines"))
+
+
+@query("idx_15_positioned_trigrams", "SELECT path, sum(least(n, 1000))::BIGINT AS kept, count(*) AS tris, least(max(n), 1000) AS most FROM (SELECT path, tri, count(*) AS n FROM (SELECT path, unnest(" + R.grams("s")
+       + f") AS tri FROM (SELECT path, lower(content) AS s FROM ({R.DOCS}))) WHERE NOT regexp_full_match(tri, '\\s+') GROUP BY 1, 2) GROUP BY path")
+def _(spark, sf):
+    p = index.positioned_trigrams(corpus(spark, sf)).withColumn("n", F.size("positions").cast("bigint"))
+    return p.groupBy("path").agg(F.sum("n").alias("kept"), F.count("*").alias("tris"), F.max("n").alias("most"))
+
+
+@query("idx_16_lightweight_trigrams", f"SELECT count(*) AS tris FROM (SELECT DISTINCT unnest({R.grams('s')}) AS tri FROM (SELECT lower(content) AS s FROM (SELECT * FROM ({R.DOCS}) ORDER BY ord LIMIT 500) WHERE length(content) BETWEEN 1 AND 50000)) WHERE NOT regexp_full_match(tri, '\\s+')")
+def _(spark, sf):
+    p = index.positioned_trigrams(index.lightweight_files(corpus(spark, sf)))
+    return p.select("tri").distinct().agg(F.count("*").alias("tris"))
+
+
+@query("idx_06_symbol_names", f"SELECT lower(name) AS name_lower, count(*) AS keys, min(key) AS first_key FROM ({R.SYMBOLS}) GROUP BY 1")
+def _(spark, sf):
+    return index.symbol_names(symbols(spark, sf)).groupBy("name_lower").agg(F.count("*").alias("keys"), F.min("key").alias("first_key"))
+
+
+@query("idx_07_directories", f"SELECT dir, count(*) AS files FROM (SELECT unnest([source, source || '/' || lang]) AS dir FROM documents) GROUP BY dir")
+def _(spark, sf):
+    return index.directories(corpus(spark, sf)).groupBy("dir").agg(F.count("*").alias("files"))
+
+
+_VT = R.vector_tokens("content")
+_DF = f"SELECT w AS term, count(DISTINCT path) AS df FROM (SELECT path, unnest({_VT}) AS w FROM ({R.DOCS})) GROUP BY 1"
+
+
+@query("agg_11_document_frequency", _DF)
+def _(spark, sf):
+    return index.document_frequencies(corpus(spark, sf), "path", "content")
+
+
+_FIRST = (f"SELECT w AS term, count(DISTINCT ord) AS df, min((ord, pos)) AS first FROM (SELECT ord, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (SELECT ord, {_VT} AS t FROM ({R.DOCS}))) GROUP BY 1")
+_VOCAB = f"SELECT term, (row_number() OVER (ORDER BY first) - 1) AS idx, df, ln((SELECT count(*) FROM documents) / df) AS idf FROM ({_FIRST}) WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5"
+
+
+@query("idx_12_vocabulary", f"SELECT term, idx, df, round(idf, 6) AS idf FROM ({_VOCAB})")
+def _(spark, sf):
+    v = index.vocabulary(corpus(spark, sf), "path", "content")
+    return v.select("term", "idx", "df", F.round("idf", 6).alias("idf"))
+
+
+_SPARSE = (f"WITH v AS ({_VOCAB}), t AS (SELECT path, len(tk) AS n, unnest(tk) AS term FROM (SELECT path, {_VT} AS tk FROM ({R.DOCS}))), w AS (SELECT path, idx % 384 AS bucket, sum(tf / n * idf) AS w FROM (SELECT path, n, term, count(*) AS tf FROM t GROUP BY 1, 2, 3) JOIN v USING (term) GROUP BY 1, 2) "
+           "SELECT path, bucket, w / sqrt(sum(w * w) OVER (PARTITION BY path)) AS weight FROM w")
+
+
+def _sparse(spark, sf):
+    docs = corpus(spark, sf)
+    return index.tfidf_sparse(docs, index.vocabulary(docs, "path", "content"), "path", "content")
+
+
+@query("idx_13_tfidf_embedding", f"SELECT path, bucket, round(weight, 5) AS weight FROM ({_SPARSE})")
+def _(spark, sf):
+    return _sparse(spark, sf).select("path", c("bucket").cast("bigint").alias("bucket"), F.round("weight", 5).alias("weight"))
+
+
+@query("rnk_04_tfidf_vector_search", f"WITH s AS MATERIALIZED ({_SPARSE}), q AS (SELECT bucket, weight AS qw FROM s WHERE path = (SELECT min(path) FROM s)) SELECT path, round(sum(weight * qw), 4) AS similarity FROM s JOIN q USING (bucket) GROUP BY path HAVING sum(weight * qw) >= 0.3 ORDER BY sum(weight * qw) DESC, path LIMIT 10")
+def _(spark, sf):
+    s = _sparse(spark, sf)
+    first = s.agg(F.min("path")).scalar()
+    q = s.filter(c("path") == first).select("bucket", "weight")
+    return rank.nearest_sparse(s, q, "path").select("path", F.round("similarity", 4).alias("similarity"))
+
+
+@query("idx_14_hash_embedding")
+def _(spark, sf):
+    b = table(spark, sf, "benchmark").select(c("item_id").alias("id"), "text")
+    return index.hash_sparse(b).select("id", "bucket", F.round("weight", 5).alias("weight"))
+
+
+@query("idx_14_hash_features", "WITH w AS (SELECT item_id, list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) > 1) AS ws FROM benchmark), f AS (SELECT item_id, unnest(ws) AS feature, 1.0 AS wt FROM w UNION ALL SELECT item_id, unnest(" + R.grams("x") + "), 0.5 FROM (SELECT item_id, unnest(ws) AS x FROM w) UNION ALL "
+       "SELECT item_id, unnest(list_transform(range(1, len(ws)), lambda i: ws[i] || '_' || ws[i + 1])), 0.7 FROM w) SELECT item_id, feature, round(sum(wt), 3)::DOUBLE AS w FROM f GROUP BY 1, 2")
+def _(spark, sf):
+    f = index.hash_features(table(spark, sf, "benchmark"), "item_id", "text")
+    return f.select("item_id", "feature", F.round("w", 3).alias("w"))
+
+
+@query("idx_17_chunks", f"SELECT path || ':file' AS id, len(string_split(content, chr(10))) AS end_line, md5(left(content, 2000)) AS text FROM ({R.DOCS})")
+def _(spark, sf):
+    ch = index.text_chunks(corpus(spark, sf))
+    return ch.select("id", c("end_line").cast("bigint").alias("end_line"), F.md5("text").alias("text"))
+
+
+@query("agg_08_vector_stats", f"SELECT count(*) AS chunks, count(DISTINCT path) AS files, count(*) AS file_chunks, 0::BIGINT AS function_chunks, round(count(*) * 4 * 384 / 1048576, 2)::DOUBLE AS size_mb FROM ({R.DOCS})")
+def _(spark, sf):
+    return index.vector_stats(index.text_chunks(corpus(spark, sf)))
+
+
+@query("idx_20_first_definitions", f"SELECT name, arg_min(key, ord) AS key FROM ({R.SYMBOLS}) GROUP BY name")
+def _(spark, sf):
+    from ..operators import parse
+    return parse.first_definitions(symbols(spark, sf)).select("name", "key")
+
+
+@query("idx_19_replace_files", f"SELECT path, md5(CASE WHEN path IN (SELECT path FROM ({R.DOCS}) d JOIN labels l ON d.ord = l.doc_id WHERE toxic = 1) THEN 'x' || content ELSE content END) AS h FROM ({R.DOCS})")
+def _(spark, sf):
+    files = corpus(spark, sf)
+    bad = files.join(table(spark, sf, "labels").filter("toxic = 1").select(c("doc_id").alias("ord")), "ord", "left_semi")
+    return persist.add_files(files.select("path", "content"), bad.select("path", F.concat(F.lit("x"), "content").alias("content"))).select("path", F.md5("content").alias("h"))
+
+
+@query("idx_21_remove_files", f"SELECT path FROM ({R.DOCS}) WHERE ord NOT IN (SELECT doc_id FROM labels)")
+def _(spark, sf):
+    files = corpus(spark, sf)
+    gone = files.join(table(spark, sf, "labels").select(c("doc_id").alias("ord")), "ord", "left_semi").select("path")
+    return persist.remove_files(files, gone).select("path")
+
+
+# --- learned vocabulary -------------------------------------------------------------------
+
+_STR = "list_filter(list_transform(list_concat(list_concat(regexp_extract_all(content, '\"(?:[^\"\\\\]|\\\\.)*\"'), regexp_extract_all(content, '''(?:[^''\\\\]|\\\\.)*''')), regexp_extract_all(content, '`(?:[^`\\\\]|\\\\.)*`')), lambda s: substring(s, 2, length(s) - 2)), lambda s: length(s) BETWEEN 3 AND 200)"
+_COM = "list_concat(regexp_extract_all(content, '//([^\\n\\r]+)', 1), regexp_extract_all(content, '(/\\*(?s:.)*?\\*/)', 1))"
+_STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '//[^\\n\\r]+', ' ', 'g'), '/\\*(?s:.)*?\\*/', ' ', 'g'), '\"(?:[^\"\\\\]|\\\\.)*\"', '\"\"', 'g'), '''(?:[^''\\\\]|\\\\.)*''', '''''', 'g'), '`(?:[^`\\\\]|\\\\.)*`', '``', 'g')"
+_OCC = (f"WITH src AS (SELECT path, 2.0 AS w, regexp_extract(path, '[^/]*$') AS t FROM ({R.DOCS}) UNION ALL SELECT path, 1.5, unnest(string_split(path, '/')[1:2]) FROM ({R.DOCS}) UNION ALL SELECT path, 2.5, unnest({_COM}) FROM ({R.DOCS}) "
+        f"UNION ALL SELECT path, 2.0, unnest({_STR}) FROM ({R.DOCS}) UNION ALL SELECT path, 1.0, {_STRIP} FROM ({R.DOCS})) SELECT path, term, sum(w)::DOUBLE AS weight FROM (SELECT path, w, unnest({R.learner_tokens('t')}) AS term FROM src) GROUP BY 1, 2")
+
+
+def _learned(spark, sf):
+    return vocabulary.weighted_terms(corpus(spark, sf))
+
+
+@query("kwl_02_document_terms", f"SELECT path, term, round(weight, 3) AS weight FROM ({_OCC})")
+def _(spark, sf):
+    return vocabulary.document_terms(_learned(spark, sf)).select("path", "term", F.round("weight", 3).alias("weight"))
+
+
+@query("kwl_03_symbol_terms", f"SELECT term, count(*) AS freq, round(sum(CASE type WHEN 'function' THEN 3.0 WHEN 'method' THEN 3.0 WHEN 'struct' THEN 3.5 WHEN 'class' THEN 3.5 ELSE 1.5 END), 3)::DOUBLE AS weight FROM (SELECT type, unnest(string_split(name, '_')) AS term FROM ({R.SYMBOLS})) GROUP BY term")
+def _(spark, sf):
+    s = vocabulary.symbol_terms(symbols(spark, sf).withColumn("signature", F.lit(None).cast("string")))
+    return s.select("term", "freq", F.round("weight", 3).alias("weight"))
+
+
+@query("kwl_04_learned_stop_words", f"SELECT term, count(*) AS df FROM ({_OCC}) GROUP BY term HAVING count(*) > (SELECT count(*) FROM documents) * 0.5")
+def _(spark, sf):
+    return vocabulary.learned_stop_words(vocabulary.document_terms(_learned(spark, sf)))
+
+
+_SYN = (f"WITH dt AS MATERIALIZED (SELECT path, term FROM ({_OCC})), df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), small AS (SELECT path FROM dt GROUP BY 1 HAVING count(*) <= 500), "
+        "ok AS (SELECT path, term FROM dt WHERE path IN (SELECT path FROM small) AND term IN (SELECT term FROM df WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5)), "
+        "p AS (SELECT a.term AS t1, b.term AS t2, count(*) AS joint FROM ok a JOIN ok b ON a.path = b.path AND a.term < b.term GROUP BY 1, 2 HAVING count(*) >= 2) "
+        "SELECT t1, t2, joint, round(joint / (x.df + y.df - joint), 6) AS jaccard FROM p JOIN df x ON x.term = t1 JOIN df y ON y.term = t2 WHERE joint / (x.df + y.df - joint) >= 0.3")
+
+
+@query("kwl_05_synonyms", _SYN)
+def _(spark, sf):
+    s = vocabulary.synonyms(vocabulary.document_terms(_learned(spark, sf)))
+    return s.select("t1", "t2", "joint", F.round("jaccard", 6).alias("jaccard"))
+
+
+@query("joi_15_cooccurrence", f"SELECT count(*) AS pairs, sum(joint)::BIGINT AS together FROM ({_SYN})")
+def _(spark, sf):
+    s = vocabulary.synonyms(vocabulary.document_terms(_learned(spark, sf)))
+    return s.agg(F.count("*").alias("pairs"), F.sum("joint").alias("together"))
+
+
+_TT = f"SELECT term, count(*) AS df, sum(weight) AS total FROM ({_OCC}) GROUP BY term"
+_AFF = f"SELECT kind, affix, term FROM (SELECT 'prefix' AS kind, left(term, k) AS affix, term FROM (SELECT term, unnest(range(3, least(5, length(term) - 2) + 1)) AS k FROM ({_TT})) UNION ALL SELECT 'suffix', right(term, k), term FROM (SELECT term, unnest(range(3, least(5, length(term) - 2) + 1)) AS k FROM ({_TT})))"
+
+
+@query("kwl_06_domain_concepts", f"SELECT CASE kind WHEN 'prefix' THEN affix || '*' ELSE '*' || affix END AS name, count(*) AS frequency, array_to_string(list_sort(list(term))[1:5], '|') AS examples FROM ({_AFF}) GROUP BY kind, affix HAVING count(*) >= 3")
+def _(spark, sf):
+    k = vocabulary.domain_concepts(vocabulary.term_table(_learned(spark, sf)))
+    return k.select("name", "frequency", joined("examples").alias("examples"))
+
+
+@query("kwl_11_concept_listing", f"SELECT CASE kind WHEN 'prefix' THEN affix || '*' ELSE '*' || affix END AS name, count(*) AS frequency FROM ({_AFF}) GROUP BY kind, affix HAVING count(*) >= 3 ORDER BY frequency DESC, name LIMIT 100")
+def _(spark, sf):
+    from ..operators import ordering
+    return ordering.top(vocabulary.domain_concepts(vocabulary.term_table(_learned(spark, sf))).select("name", "frequency"), (F.desc("frequency"), "name"), 100)
+
+
+_FIN = f"SELECT term, df, total, total * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS weight FROM ({_TT}) WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5"
+
+
+def _vocab(spark, sf, cap=fixed.MAX_VOCABULARY):
+    n = table(spark, sf, "documents").agg(F.count("*")).scalar()
+    return vocabulary.finalize(vocabulary.term_table(_learned(spark, sf)), n, cap=cap)
+
+
+@query("kwl_07_final_vocabulary", f"SELECT term, df, round(weight, 4) AS weight FROM ({_FIN})")
+def _(spark, sf):
+    return _vocab(spark, sf, None).select("term", "df", F.round("weight", 4).alias("weight"))
+
+
+@query("kwl_09_completion", f"SELECT term, round(weight, 4) AS weight, df FROM ({_FIN}) WHERE starts_with(term, 'an') ORDER BY weight DESC, term LIMIT 10")
+def _(spark, sf):
+    return vocabulary.complete(_vocab(spark, sf), "AN").select("term", F.round("weight", 4).alias("weight"), "df")
+
+
+@query("kwl_10_top_terms", f"SELECT term, df, round(weight, 4) AS weight FROM ({_FIN}) ORDER BY weight DESC, term LIMIT 100")
+def _(spark, sf):
+    return vocabulary.top_terms(_vocab(spark, sf)).select("term", "df", F.round("weight", 4).alias("weight"))
+
+
+@query("kwl_12_suggestions", f"WITH l AS (SELECT term, weight AS score, 'learned' AS source FROM ({_FIN}) WHERE starts_with(term, 'an') ORDER BY weight DESC, term LIMIT 10), i AS (SELECT term, count(*)::DOUBLE AS score, 'index' AS source FROM ({R.TF}) WHERE starts_with(term, 'an') AND term NOT IN (SELECT term FROM l) GROUP BY term) "
+       "SELECT term, round(score, 4) AS score, source FROM (SELECT * FROM l UNION ALL SELECT * FROM i) ORDER BY score DESC, term LIMIT 10")
+def _(spark, sf):
+    terms = index.postings(index.plain_feed(corpus(spark, sf))).groupBy("term").agg(F.count("*").alias("df"))
+    return vocabulary.suggest(_vocab(spark, sf), terms, "an").select("term", F.round("score", 4).alias("score"), "source")
+
+
+@query("kwl_08_expand_query", f"WITH s AS MATERIALIZED ({_SYN}) SELECT DISTINCT term FROM (SELECT unnest(['onth', 'ering', 'haeser']) AS term UNION ALL SELECT t2 FROM s WHERE t1 IN ('onth', 'ering', 'haeser') UNION ALL SELECT t1 FROM s WHERE t2 IN ('onth', 'ering', 'haeser'))")
+def _(spark, sf):
+    s = vocabulary.synonyms(vocabulary.document_terms(_learned(spark, sf)))
+    return vocabulary.expand_query(spark, "onth ering haeser", s)
+
+
+@query("kwl_08_expand_by_concepts")
+def _(spark, sf):
+    return vocabulary.expand_query(spark, "ering onthe", None, _vocab(spark, sf))
+
+
+@query("kwl_01_learn_all", f"SELECT 'stop_words' AS part, count(*) AS n FROM (SELECT term FROM ({_OCC}) GROUP BY term HAVING count(*) > (SELECT count(*) FROM documents) * 0.5) UNION ALL SELECT 'vocabulary', count(*) FROM (SELECT * FROM ({_FIN}) ORDER BY weight DESC LIMIT 50000)")
+def _(spark, sf):
+    got = vocabulary.learn(corpus(spark, sf))
+    return got["stop_words"].agg(F.lit("stop_words").alias("part"), F.count("*").alias("n")).unionByName(got["vocabulary"].agg(F.lit("vocabulary").alias("part"), F.count("*").alias("n")))
+
+
+_KW = ("SELECT path, upper(w) AS keyword, pos FROM (SELECT path, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (SELECT path, regexp_extract_all(regexp_replace(content, '[^\\x00-\\x7f]', 'zq9', 'g'), '\\b[A-Z][A-Z0-9_-]{2,}\\b|\\b[a-z][a-zA-Z0-9_]{3,}\\b') AS t FROM (" + R.DOCS + "))) WHERE NOT contains(lower(w), 'zq9')")
+
+
+@query("kwl_13_file_keywords", f"SELECT path, keyword, n FROM (SELECT path, keyword, count(*) AS n, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, min(pos)) AS rn FROM ({_KW}) WHERE keyword NOT IN {R.sql_in(fixed.COMMON_KEYWORDS)} GROUP BY 1, 2) WHERE rn <= 50")
+def _(spark, sf):
+    return vocabulary.file_keywords(corpus(spark, sf)).select("path", "keyword", "n")
+
+
+# --- stored forms ----------------------------------------------------------------------------
+
+@query("snk_11_fingerprint", f"SELECT left(string_agg(path, '|' ORDER BY path), 500) AS fingerprint FROM ({R.DOCS})")
+def _(spark, sf):
+    return persist.fingerprint(corpus(spark, sf))
+
+
+@query("snk_12_staleness", "SELECT c_custkey, NOT (c_mktsegment = 'BUILDING' AND c_custkey % 48 <= 24) AS stale FROM customer")
+def _(spark, sf):
+    now = F.lit("2024-01-03 00:00:00").cast("timestamp")
+    t = table(spark, sf, "customer").select("c_custkey", c("c_mktsegment").alias("workspace"), F.timestampadd("HOUR", -(c("c_custkey") % 48).cast("int"), now).alias("last_built"))
+    age = (F.unix_timestamp(now) - F.unix_timestamp("last_built")) / 3600
+    return t.select("c_custkey", (~((c("workspace") == "BUILDING") & (age <= 24))).alias("stale"))
+
+
+@query("snk_07_capped_symbols", f"SELECT key FROM ({R.SYMBOLS}) ORDER BY ord LIMIT 50000")
+def _(spark, sf):
+    return persist.first_rows(symbols(spark, sf), "code_symbols").select("key")
+
+
+@query("snk_09_capped_symbol_index", f"SELECT key FROM ({R.SYMBOLS}) ORDER BY ord LIMIT 5000")
+def _(spark, sf):
+    return persist.first_rows(symbols(spark, sf), "symbol_index").select("key")
+
+
+@query("snk_10_capped_summaries", f"SELECT path FROM ({R.DOCS}) ORDER BY ord LIMIT 500")
+def _(spark, sf):
+    return persist.first_rows(corpus(spark, sf), "file_summaries").select("path")

@@ -189,8 +189,8 @@ def tfidf_sparse(docs: DataFrame, vocab: DataFrame, key="id", content="text",
     Token counts are per document; the vocabulary joins on term, and the per-document
     norm comes from a second aggregate, so no document row is ever wider than its text.
     """
-    tokens = text.vector_tokens(F.col(content))
-    counts = docs.select(key, F.size(tokens).alias("n_tokens"), F.explode(tokens).alias("term")) \
+    tokens = docs.select(key, text.vector_tokens(F.col(content)).alias("tokens"))  # tokenized once, below the explode
+    counts = tokens.select(key, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")) \
         .groupBy(key, "n_tokens", "term").agg(F.count("*").alias("tf"))
     sums = counts.join(vocab.select("term", "idx", "idf"), "term") \
         .groupBy(key, (F.col("idx") % dimensions).cast("int").alias("bucket")) \

@@ -150,7 +150,7 @@ def body_ends(symbols: DataFrame, files: DataFrame) -> DataFrame:
     close run 200 lines.
     """
     style = F.coalesce(F.try_element_at(_style_map(), F.col("language")), F.lit("brace"))
-    src = files.select("path", style.alias("style"), F.posexplode(F.split("content", "\n", -1)).alias("i", "t")) \
+    src = files.select("path", style.alias("style"), "content").select("path", "style", F.posexplode(F.split("content", "\n", -1)).alias("i", "t")) \
         .select("path", "style", (F.col("i") + 1).alias("line"), "t")
     sizes = files.select("path", text.line_count(F.col("content")).alias("n_lines"))
     calls = symbols.filter(F.col("type").isin(*fixed.CALLABLE_TYPES)) \
@@ -255,7 +255,7 @@ def call_edges(lists: DataFrame, mode="union") -> DataFrame:
 def line_functions(files: DataFrame) -> DataFrame:
     """Functions found by one-line patterns, by file extension: (path, name, line)."""
     ext = F.lower(F.concat(F.lit("."), F.substring_index("path", ".", -1)))
-    lines = files.select("path", "ord", ext.alias("ext"), F.posexplode(F.split("content", "\n", -1)).alias("i", "t"))
+    lines = files.select("path", "ord", ext.alias("ext"), "content").select("path", "ord", "ext", F.posexplode(F.split("content", "\n", -1)).alias("i", "t"))
     name = F.lit(None).cast("string")
     for exts, patterns in grammar.LINE_DEFINITIONS:
         found = F.coalesce(*[F.nullif(F.regexp_extract("t", p, g), F.lit("")) for p, g in patterns])
