@@ -1 +1,266 @@
+"""Parsing and call graphs over source files derived from the part table.
 
+Twenty parts make one file; the file's number picks its language.  Every part becomes a
+four-line definition with a comment above it and one call inside, so the expected symbols
+and edges can be written down in SQL from the part rows alone.
+"""
+
+from pyspark.sql import functions as F
+
+from ..functions import fixed, grammar
+from ..operators import aggregates, cobol, context, graph, grep, index, parse, topk
+from ..plans import search
+from ..sources import prebuilt
+from . import registry as R
+from .registry import joined, query, table
+
+c = F.col
+LANGS = ("c", "java", "csharp", "javascript", "python", "sql", "cobol", "tal", "go", "rust")
+EXTS = ("c", "java", "cs", "js", "py", "sql", "cbl", "tal", "go", "rs")
+# comment line, definition line, call line, closing line; {n} name, {k} callee, {d} description
+SNIPPETS = {
+    "c": ("// Reads the {d} value", "int {n}(int a) {", "  return {k}(a);", "}"),
+    "java": ("// Reads the {d} value", "public int {n}(int a) {", "  return {k}(a);", "}"),
+    "csharp": ("// Reads the {d} value", "public int {n}(int a) {", "  return {k}(a);", "}"),
+    "javascript": ("// Reads the {d} value", "function {n}(a) {", "  return {k}(a);", "}"),
+    "python": ("# Reads the {d} value", "def {n}(a, b):", "    return {k}(a)", ""),
+    "sql": ("-- Reads the {d} value", "CREATE FUNCTION {n}(a INT) AS", "BEGIN {k}(a)", "END;"),
+    "cobol": ("      * Reads the {d} value", "       {n}.", "           PERFORM {k}.", "      *"),
+    "tal": ("-- Reads the {d} value", "PROC {n};", "BEGIN CALL {k};", "END;"),
+    "go": ("// Reads the {d} value", "func {n}(a int) int {", "  return {k}(a)", "}"),
+    "rust": ("// Reads the {d} value", "fn {n}(a: i32) -> i32 {", "  {k}(a)", "}"),
+}
+
+
+def _fill(template, n, k, d):
+    out, rest = [], template
+    while rest:
+        cuts = [(rest.find(m), m) for m in ("{n}", "{k}", "{d}") if m in rest]
+        if not cuts:
+            out.append(F.lit(rest))
+            break
+        at, m = min(cuts)
+        if at:
+            out.append(F.lit(rest[:at]))
+        out.append({"{n}": n, "{k}": k, "{d}": d}[m])
+        rest = rest[at + 3:]
+    return F.concat(*out) if out else F.lit("")
+
+
+def code_corpus(spark, sf, pad=False):
+    p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.floor(c("p_partkey") / 20).alias("file_no"))
+    slot = (c("file_no") % len(LANGS)).cast("int")
+    lang = F.get(F.array(*[F.lit(x) for x in LANGS]), slot)
+    low = F.concat_ws("_", F.replace("p_name", F.lit(" "), F.lit("_")), (c("p_partkey") % 20).cast("string"))
+    name = F.when(lang == "cobol", F.upper(F.replace(low, F.lit("_"), F.lit("-")))).otherwise(low)
+    callee = F.when(lang == "cobol", F.concat(F.lit("CALL-"), c("p_size").cast("string"))).otherwise(F.concat(F.lit("call_"), c("p_size").cast("string")))
+    body = None
+    for code, lines in SNIPPETS.items():
+        piece = F.concat_ws("\n", *[_fill(t, name, callee, c("p_name")) for t in lines])
+        body = F.when(lang == code, piece) if body is None else body.when(lang == code, piece)
+    rows = p.select("file_no", slot.alias("slot"), lang.alias("language"), "p_partkey", body.alias("piece"))
+    files = rows.groupBy("file_no", "slot", "language").agg(  # twenty rows per file
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p_partkey", "piece"))), lambda x: x["piece"]), "\n").alias("content"))
+    ext = F.get(F.array(*[F.lit(x) for x in EXTS]), c("slot"))
+    return files.select(F.concat(F.lit("src/m"), (c("file_no") % 7).cast("string"), F.lit("/f"), c("file_no").cast("string"), F.lit("."), ext).alias("path"),
+                        "content", "language", c("file_no").alias("ord"))
+
+
+CODE = f"""SELECT p_partkey, p_name, fno, k % 10 AS slot, {list(LANGS)}[k % 10 + 1] AS language, 'src/m' || fno % 7 || '/f' || fno || '.' || {list(EXTS)}[k % 10 + 1] AS path, (p_partkey % 20) * 4 AS base,
+ CASE WHEN k % 10 = 6 THEN upper(replace(replace(p_name, ' ', '-') || '-' || p_partkey % 20, '_', '-')) ELSE replace(p_name, ' ', '_') || '_' || p_partkey % 20 END AS n,
+ CASE WHEN k % 10 = 6 THEN 'CALL-' || p_size ELSE 'call_' || p_size END AS callee FROM (SELECT *, p_partkey // 20 AS fno, p_partkey // 20 AS k FROM part)"""
+TYPES = {"c": "function", "java": "method", "csharp": "method", "javascript": "function", "python": "function", "sql": "function", "cobol": "paragraph", "tal": "procedure",
+         "go": "function", "rust": "function"}
+TYPE_SQL = "CASE language " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in TYPES.items()) + " END"
+# typed-method patterns also read "return callee(a)" as a method that starts on the definition's line
+SYMS = f"SELECT path, language, n AS name, {TYPE_SQL} AS type, base + 2 AS line, p_partkey FROM ({CODE}) UNION ALL SELECT path, language, callee, 'method', base + 2, p_partkey FROM ({CODE}) WHERE language IN ('java', 'csharp')"
+
+
+@query("prs_12_parse_symbols", f"SELECT path AS file, name, type, line FROM ({SYMS})")
+def _(spark, sf):
+    s = parse.parse_symbols(code_corpus(spark, sf), with_summary=False)
+    return s.select("file", "name", "type", c("line").cast("bigint").alias("line"))
+
+
+for _no, _lang in zip(("01", "02", "03", "04", "05", "06", "07", "08", "09", "10"), ("c", "java", "csharp", "javascript", "python", "sql", "cobol", "tal", "go", "rust")):
+    def _one(spark, sf, lang=_lang):
+        s = parse.parse_symbols(code_corpus(spark, sf).filter(c("language") == lang), with_summary=False)
+        return s.groupBy("file").agg(F.count("*").alias("symbols"), F.min("line").cast("bigint").alias("first"), F.max("line").cast("bigint").alias("last"), F.min("name").alias("name"))
+    query(f"prs_{_no}_parse_{_lang}", f"SELECT path AS file, count(*) AS symbols, min(line) AS first, max(line) AS last, min(name) AS name FROM ({SYMS}) WHERE language = '{_lang}' GROUP BY path")(_one)
+
+
+@query("prs_11_parse_generic", f"SELECT path AS file, name, line FROM (SELECT path, n AS name, base + 2 AS line, language FROM ({CODE})) WHERE language IN ('javascript', 'python', 'sql', 'tal')")
+def _(spark, sf):
+    files = code_corpus(spark, sf).withColumn("language", F.lit("unknown"))
+    return parse.parse_symbols(files, with_summary=False).select("file", "name", c("line").cast("bigint").alias("line"))
+
+
+@query("prs_13_comment_summaries", f"SELECT path AS file, n AS name, 'Reads the ' || p_name || ' value' AS summary FROM ({CODE}) WHERE language NOT IN ('java', 'csharp')")
+def _(spark, sf):
+    files = code_corpus(spark, sf).filter(~c("language").isin("java", "csharp"))
+    return parse.parse_symbols(files).select("file", "name", "summary")
+
+
+def _table(spark, sf):
+    return parse.symbol_table(parse.parse_symbols(code_corpus(spark, sf), with_summary=False))
+
+
+KEYED = f"SELECT name || '@' || path AS key, max(line) AS line, arg_max(type, p_partkey) AS type, count(*) AS n, max(p_partkey) AS last FROM ({SYMS}) GROUP BY 1"
+
+
+@query("idx_02_symbol_table", f"SELECT key, line, type FROM ({KEYED})")
+def _(spark, sf):
+    return _table(spark, sf).select("key", c("line").cast("bigint").alias("line"), "type")
+
+
+ENDS = f"""SELECT path, n AS name, least(80, CASE WHEN language = 'python' THEN base + 5 WHEN language = 'cobol' THEN CASE WHEN base = 76 THEN 80 ELSE base + 6 END ELSE base + 5 END) AS end_line FROM ({CODE}) WHERE language NOT IN ('java', 'csharp')"""
+
+
+@query("prs_18_body_ends", ENDS)
+def _(spark, sf):
+    files = code_corpus(spark, sf).filter(~c("language").isin("java", "csharp"))
+    s = parse.symbol_table(parse.parse_symbols(files, with_summary=False))
+    return parse.body_ends(s, files).select("path", "name", c("end_line").cast("bigint").alias("end_line"))
+
+
+@query("prs_17_calls_in_text", f"SELECT path, array_to_string(list_sort(list_distinct(list(x))), '|') AS calls FROM (SELECT path, callee AS x FROM ({CODE}) UNION ALL SELECT path, n FROM ({CODE}) WHERE language NOT IN ('cobol', 'tal')) GROUP BY path")
+def _(spark, sf):
+    return code_corpus(spark, sf).select("path", joined(F.array_sort(parse.extract_calls(c("content"), c("language")))).alias("calls"))
+
+
+CEDGES = f"SELECT DISTINCT caller, callee FROM (SELECT n AS caller, callee FROM ({CODE}) UNION ALL SELECT callee, arg_max(n, p_partkey) FROM ({CODE}) WHERE language IN ('java', 'csharp') GROUP BY path, callee)"
+
+
+@query("idx_03_call_graph", CEDGES)
+def _(spark, sf):
+    files = code_corpus(spark, sf)
+    return parse.call_edges(parse.call_lists(_table(spark, sf), files)).select("caller", "callee")
+
+
+@query("grf_01_reference_mode", f"SELECT caller, callee FROM (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY o DESC) AS rn FROM (SELECT n AS caller, callee, p_partkey AS o FROM ({CODE}) UNION ALL SELECT callee, arg_max(n, p_partkey), max(p_partkey) FROM ({CODE}) WHERE language IN ('java', 'csharp') GROUP BY path, callee)) WHERE rn = 1")
+def _(spark, sf):
+    files = code_corpus(spark, sf)
+    return parse.call_edges(parse.call_lists(_table(spark, sf), files), "reference").select("caller", "callee")
+
+
+@query("prs_19_line_functions", f"SELECT path, CASE language WHEN 'java' THEN n ELSE n END AS name, base + 2 AS line FROM ({CODE}) WHERE language IN ('tal', 'cobol', 'java', 'python', 'javascript') UNION ALL SELECT path, callee, base + 3 FROM ({CODE}) WHERE language = 'java'")
+def _(spark, sf):
+    return parse.line_functions(code_corpus(spark, sf)).select("path", "name", c("line").cast("bigint").alias("line"))
+
+
+@query("src_18_prebuilt_index", f"SELECT path, 80::BIGINT AS lines, count(*) AS functions FROM (SELECT path FROM ({CODE}) WHERE language IN ('tal', 'cobol', 'java', 'python', 'javascript') UNION ALL SELECT path FROM ({CODE}) WHERE language = 'java') GROUP BY path")
+def _(spark, sf):
+    b = prebuilt.build(code_corpus(spark, sf).filter(c("language").isin("tal", "cobol", "java", "python", "javascript")))
+    return b.select("path", c("lines").cast("bigint").alias("lines"), F.size("functions").cast("bigint").alias("functions"))
+
+
+@query("agg_06_symbol_stats", f"WITH k AS ({KEYED}) SELECT count(*) AS symbols, count_if(type IN ('function', 'procedure', 'method'))::BIGINT AS functions, 0::BIGINT AS classes, 0::BIGINT AS variables FROM k")
+def _(spark, sf):
+    return aggregates.symbol_stats(_table(spark, sf)).select("symbols", "functions", "classes", "variables")
+
+
+@query("agg_07_type_counts", f"SELECT type, count(*) AS n FROM ({KEYED}) GROUP BY type")
+def _(spark, sf):
+    return aggregates.type_counts(_table(spark, sf))
+
+
+def _cobol_corpus(spark, sf):
+    """Parts as COBOL data and SQL: one program per twenty parts."""
+    p = table(spark, sf, "part").select("p_partkey", F.upper(F.replace("p_name", F.lit(" "), F.lit("-"))).alias("n"), "p_size", F.floor(c("p_partkey") / 20).alias("f"))
+    size = c("p_size").cast("string")
+    piece = F.concat(F.lit("       05 "), c("n"), F.lit(" OCCURS "), size, F.lit(" TIMES INDEXED BY IX"), size, F.lit(".\n           EXEC SQL SELECT A FROM T"), size,
+                     F.lit(" END-EXEC.\n           EXEC SQL UPDATE T"), size, F.lit(" SET A = 1 END-EXEC.\n       FD  F-"), size, F.lit("."))
+    files = p.select("f", "p_partkey", piece.alias("piece")).groupBy("f").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "piece"))).alias("x"))
+    return files.select(F.concat(F.lit("cob/prog"), c("f").cast("string"), F.lit(".cbl")).alias("path"),
+                        F.concat(F.lit("       PROGRAM-ID. MOD-"), c("f").cast("string"), F.lit(".\n"), F.array_join(F.transform("x", lambda x: x["piece"]), "\n")).alias("content"),
+                        F.lit("cobol").alias("language"), c("f").alias("ord"))
+
+
+COB = "SELECT p_partkey // 20 AS f, 'cob/prog' || p_partkey // 20 || '.cbl' AS path, upper(replace(p_name, ' ', '-')) AS n, p_size, 2 + (p_partkey % 20) * 4 AS line FROM part"
+
+
+@query("prs_20_cobol_data_items", f"SELECT path, n AS name, line FROM ({COB})")
+def _(spark, sf):
+    found = cobol.inventory(_cobol_corpus(spark, sf)).filter("kind = 'data_item'")
+    return found.select("path", "name", c("line").cast("bigint").alias("line"))
+
+
+@query("prs_20_occurs_tables", f"SELECT path, n AS name, p_size::BIGINT AS max_occurs, 'IX' || p_size AS indexes, line FROM ({COB})")
+def _(spark, sf):
+    t = cobol.occurs_tables(cobol.inventory(_cobol_corpus(spark, sf)))
+    return t.select("path", "name", c("max_occurs").cast("bigint").alias("max_occurs"), joined("indexes").alias("indexes"), c("line").cast("bigint").alias("line"))
+
+
+@query("agg_13_sql_tables", f"SELECT path, 'T' || p_size AS name, 'SELECT|UPDATE' AS operations, min(line) + 1 AS line FROM ({COB}) WHERE p_size >= 1 GROUP BY 1, 2")
+def _(spark, sf):
+    t = cobol.sql_tables(cobol.inventory(_cobol_corpus(spark, sf)))
+    return t.select("path", "name", joined("operations").alias("operations"), c("line").cast("bigint").alias("line"))
+
+
+_ALL = f"SELECT path, 'cobol' AS source, n AS name, line FROM ({COB}) UNION ALL SELECT path, 'sql', 'T' || p_size, min(line) + 1 FROM ({COB}) GROUP BY path, p_size UNION ALL SELECT path, 'file', 'F-' || p_size, line + 3 FROM ({COB})"
+
+
+def _all_tables(spark, sf):
+    return cobol.all_tables(cobol.inventory(_cobol_corpus(spark, sf)))
+
+
+@query("grf_13_cobol_table_counts", f"SELECT source, count(*) AS n FROM ({_ALL}) GROUP BY source")
+def _(spark, sf):
+    return cobol.table_counts(_all_tables(spark, sf))
+
+
+@query("prj_14_search_cobol_tables", f"SELECT path, source, name FROM ({_ALL}) WHERE regexp_matches(name, '(?i)^red|T1')")
+def _(spark, sf):
+    return cobol.search_tables(_all_tables(spark, sf), "^red|T1").select("path", "source", "name")
+
+
+@query("prj_15_cobol_tables_in_file", f"SELECT source, name FROM ({_ALL}) WHERE path = (SELECT max(path) FROM ({_ALL}))")
+def _(spark, sf):
+    t = _all_tables(spark, sf)
+    return t.filter(c("path") == t.agg(F.max("path")).scalar()).select("source", "name")
+
+
+@query("joi_13_tables_in_module", f"SELECT source, name, line FROM ({_ALL}) WHERE path = 'cob/prog7.cbl'")
+def _(spark, sf):
+    f = _cobol_corpus(spark, sf)
+    found = cobol.inventory(f)
+    return cobol.tables_in_module(cobol.modules(f, found), cobol.all_tables(found), "mod-7").select("source", "name", c("line").cast("bigint").alias("line"))
+
+
+@query("prs_20_inventory_counts", f"SELECT count(DISTINCT f) AS programs, count(DISTINCT n) AS data_items, count(*) AS cobol_tables, (SELECT count(*) FROM (SELECT DISTINCT path, p_size FROM ({COB}))) AS sql_tables FROM ({COB})")
+def _(spark, sf):
+    return cobol.counts(cobol.inventory(_cobol_corpus(spark, sf))).select("programs", "data_items", "cobol_tables", "sql_tables")
+
+
+# --- whole plans (rows only) ---------------------------------------------------------------
+
+def _index(spark, sf):
+    return search.build_index(code_corpus(spark, sf))
+
+
+@query("rnk_06_unified_search")
+def _(spark, sf):
+    symbols, _ = search.unified_search(_index(spark, sf), "small ring")
+    return symbols.select("key", F.round("match_score", 4).alias("match_score"), "match_source")
+
+
+@query("rnk_15_code_search")
+def _(spark, sf):
+    return search.code_search(_index(spark, sf), "small ring", ["small"]).select("key", "file", "name")
+
+
+@query("rnk_13_execute_search")
+def _(spark, sf):
+    return search.execute_search(_index(spark, sf), "who calls call_7")["callers"]
+
+
+@query("rnk_30_functionality_search")
+def _(spark, sf):
+    return search.functionality_search(_index(spark, sf), "ring", extra_terms=("bolt",)).select("key", "file", "name")
+
+
+@query("top_02_merge_blocks")
+def _(spark, sf):
+    s = R.symbols(spark, sf)
+    blocks = s.select("file", "line", "name", "ord", F.array_join(F.array_repeat(F.lit("x"), (c("ord") % 12 + 1).cast("int")), "\n").alias("code"))
+    return topk.merge_blocks(blocks).select("file", "line", "name")

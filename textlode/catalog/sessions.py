@@ -1 +1,145 @@
+"""Session operators over conversations and events."""
 
+from pyspark.sql import functions as F
+
+from ..operators import ordering, session as S
+from . import registry as R
+from .registry import query, table, turns
+
+c = F.col
+BIG = lambda *names: [c(n).cast("bigint").alias(n) for n in names]
+NUM = f"SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq) AS number FROM ({R.TURNS})"
+KEPT = f"SELECT session, seq, user, assistant, row_number() OVER (PARTITION BY session ORDER BY seq) AS number FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY seq DESC) AS rn FROM ({R.TURNS})) WHERE rn <= 2"
+BLOCKS = "len(regexp_extract_all({0}, '```(\\w*)\\n((?s:.)*?)```'))"
+SUMMARY = ("CASE WHEN contains(assistant, '```') THEN '💻' WHEN contains(assistant, '##') OR contains(assistant, '**') THEN '📝' WHEN length(assistant) < 200 THEN '💬' ELSE '📄' END || ' ' || left(split_part(user, chr(10), 1), 50) || '...' || "
+           "CASE WHEN {b} > 1 THEN ' [' || {b} || ' code blocks]' WHEN {b} = 1 THEN ' [1 code block]' ELSE '' END").format(b=BLOCKS.format("assistant"))
+
+
+def _facts(spark, sf):
+    return S.add_facts(turns(spark, sf))
+
+
+def _kept(spark, sf, n=2):
+    return S.retain(_facts(spark, sf), n)
+
+
+@query("ses_01_append_turns", f"SELECT session, seq, length(user) AS user_length, length(assistant) AS assistant_length, false AS truncated FROM ({R.TURNS})")
+def _(spark, sf):
+    return _facts(spark, sf).select("session", "seq", *BIG("user_length", "assistant_length"), "truncated")
+
+
+@query("ses_01_truncation", f"SELECT session, seq, length(assistant) > 300 AS truncated, md5(CASE WHEN length(assistant) > 300 THEN left(assistant, 300) || chr(10) || chr(10) || '[... truncated ...]' ELSE assistant END) AS h FROM ({R.TURNS})")
+def _(spark, sf):
+    return S.add_facts(turns(spark, sf), 300).select("session", "seq", "truncated", F.md5("assistant").alias("h"))
+
+
+@query("str_42_turn_summary", f"SELECT session, seq, {SUMMARY} AS summary FROM ({R.TURNS})")
+def _(spark, sf):
+    return _facts(spark, sf).select("session", "seq", "summary")
+
+
+@query("ses_02_retain_and_renumber", f"SELECT session, seq, number FROM ({KEPT})")
+def _(spark, sf):
+    return _kept(spark, sf).select("session", "seq", *BIG("number"))
+
+
+_TAGS = f"SELECT session, seq, CASE WHEN seq % 3 = 0 THEN 'todo' ELSE 'done' END AS tag FROM ({R.TURNS})"
+
+
+def _tags(spark, sf):
+    return turns(spark, sf).select("session", "seq", F.when(c("seq") % 3 == 0, "todo").otherwise("done").alias("tag"))
+
+
+@query("ses_04_turns_by_tag", f"SELECT session, number FROM ({_TAGS}) JOIN ({KEPT}) USING (session, seq) WHERE tag = 'todo'")
+def _(spark, sf):
+    return S.turns_by_tag(S.renumber_marks(_tags(spark, sf), _kept(spark, sf)), "todo").select("session", *BIG("number"))
+
+
+@query("ses_05_bookmarks", f"SELECT session, array_to_string(list(number ORDER BY number), '|') AS marks FROM ({_TAGS}) JOIN ({KEPT}) USING (session, seq) WHERE tag = 'done' GROUP BY session")
+def _(spark, sf):
+    m = S.renumber_marks(_tags(spark, sf).filter("tag = 'done'"), _kept(spark, sf))
+    return m.groupBy("session").agg(F.array_join(F.array_sort(F.collect_list("number")).cast("array<string>"), "|").alias("marks"))
+
+
+@query("ses_03_search_turns", f"SELECT session, seq, array_to_string(list_filter([CASE WHEN contains(lower(user), 'ering') THEN 'user message' END, CASE WHEN contains(lower(assistant), 'ering') THEN 'response' END], lambda x: x IS NOT NULL), '|') AS matches FROM ({R.TURNS}) WHERE contains(lower(user), 'ering') OR contains(lower(assistant), 'ering')")
+def _(spark, sf):
+    return S.search_turns(turns(spark, sf), "ERing").select("session", "seq", R.joined("matches").alias("matches"))
+
+
+@query("ses_06_turn_list", f"SELECT session, number, CASE WHEN seq % 3 <> 0 THEN '⭐ ' ELSE '' END || '@' || number || ': ' || {SUMMARY} AS line FROM ({KEPT})")
+def _(spark, sf):
+    kept = _kept(spark, sf)
+    marks = S.renumber_marks(_tags(spark, sf).filter("tag = 'done'"), kept)
+    return S.turn_list(kept, 10, marks).select("session", *BIG("number"), "line")
+
+
+_FENCED = f"SELECT session, seq, 'see ' || chr(96) || chr(96) || chr(96) || 'sql' || chr(10) || user || chr(10) || chr(96) || chr(96) || chr(96) || ' and ' || chr(96) || chr(96) || chr(96) || chr(10) || assistant || chr(96) || chr(96) || chr(96) AS t, user, assistant, number FROM ({NUM})"
+
+
+def _fenced(spark, sf):
+    t = S.retain(_facts(spark, sf))
+    return t.withColumn("assistant", F.concat(F.lit("see ```sql\n"), "user", F.lit("\n``` and ```\n"), "assistant", F.lit("```")))
+
+
+@query("ses_07_code_block", f"SELECT session, 'text' AS language, trim(assistant, ' ' || chr(10)) AS code FROM ({_FENCED}) WHERE number = 1")
+def _(spark, sf):
+    return S.code_block(_fenced(spark, sf), 1, 1).select("session", "language", "code")
+
+
+@query("prs_21_fenced_blocks", f"SELECT session, number, 4 + CASE i WHEN 0 THEN 0 ELSE length(user) + 16 END AS start, CASE i WHEN 0 THEN 'sql' ELSE 'text' END AS language FROM ({_FENCED}), (SELECT unnest([0, 1]) AS i)".replace("length(user) + 16", "length(user) + 16"))
+def _(spark, sf):
+    from ..functions import text
+    b = _fenced(spark, sf).select("session", "number", F.explode(text.fenced_blocks(c("assistant"))).alias("b"))
+    return b.select("session", *BIG("number"), c("b.start").cast("bigint").alias("start"), "b.language")
+
+
+@query("agg_09_session_stats", f"SELECT session, count(*) AS total_turns, sum(length(user) + length(assistant))::BIGINT AS total_chars, 0::BIGINT AS total_blocks FROM ({R.TURNS}) GROUP BY session")
+def _(spark, sf):
+    return S.session_stats(turns(spark, sf)).select("session", "total_turns", *BIG("total_chars", "total_blocks"))
+
+
+@query("top_12_recent_turns", f"SELECT session, seq FROM ({NUM}) QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 2")
+def _(spark, sf):
+    return S.last_turns(turns(spark, sf), 2).select("session", "seq")
+
+
+@query("src_33_history", f"SELECT session, md5(string_agg(assistant || chr(10) || chr(10) || '---' || chr(10) || chr(10), '' ORDER BY seq)) AS content FROM (SELECT * FROM ({R.TURNS}) WHERE length(assistant) > 50 QUALIFY row_number() OVER (PARTITION BY session ORDER BY seq DESC) <= 2) GROUP BY session")
+def _(spark, sf):
+    return S.history(turns(spark, sf), 2).select("session", F.md5("content").alias("content"))
+
+
+@query("str_44_expand_references", f"SELECT m.session, m.number, 'compare ' || coalesce(t.user, '@' || (m.number - 1) || '.user') || ' with ' || l.assistant || ' end' AS expanded FROM ({NUM}) m LEFT JOIN ({NUM}) t ON t.session = m.session AND t.number = m.number - 1 "
+       f"JOIN (SELECT session, arg_max(assistant, number) AS assistant FROM ({NUM}) GROUP BY session) l ON l.session = m.session")
+def _(spark, sf):
+    t = S.retain(_facts(spark, sf))
+    msgs = t.select("session", "number", F.concat_ws("-", c("session").cast("string"), c("number").cast("string")).alias("message_id"),
+                    F.concat(F.lit("compare @"), (c("number") - 1).cast("string"), F.lit(".user with @last end")).alias("text"))
+    return S.expand_references(msgs, t).select("session", *BIG("number"), "expanded")
+
+
+_RING = "SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS id, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS rn FROM events"
+
+
+def _ring(spark, sf):
+    return S.history_ring(table(spark, sf, "events"), 20, "user_id", "event_id")
+
+
+@query("ses_08_history_ring", f"SELECT user_id, event_id, id FROM ({_RING}) WHERE rn <= 20")
+def _(spark, sf):
+    return _ring(spark, sf).select("user_id", "event_id", *BIG("id"))
+
+
+@query("ses_09_history_item", f"SELECT user_id, event_id, event_type FROM ({_RING}) WHERE rn <= 20 AND id = 60")
+def _(spark, sf):
+    return S.history_results(_ring(spark, sf), 60).select("user_id", "event_id", "event_type")
+
+
+@query("ses_10_reuse_item", f"SELECT a.user_id, e.event_id FROM ({_RING}) a JOIN events e ON e.user_id = a.user_id AND e.event_type = a.event_type WHERE a.rn <= 20 AND a.id = 60")
+def _(spark, sf):
+    item = S.history_results(_ring(spark, sf), 60).select("user_id", "event_type")
+    return table(spark, sf, "events").join(item, ["user_id", "event_type"]).select("user_id", "event_id")
+
+
+@query("ses_12_bounded_chat", f"SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
+def _(spark, sf):
+    return ordering.top_per_key(table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn")

@@ -55,7 +55,7 @@ def symbol_stats(symbols: DataFrame, lists: DataFrame = None) -> DataFrame:
         F.count_if(kind.isin("function", "procedure", "method", "subproc")).alias("functions"),
         F.count_if(kind.isin("class", "struct", "interface")).alias("classes"),
         F.count_if(kind.isin(*fixed.VARIABLE_TYPES)).alias("variables"),
-        F.count("summary").alias("summaries"))
+        F.count("summary" if "summary" in symbols.columns else F.lit(None)).alias("summaries"))
     if lists is None:
         return out
     return out.select("*", lists.agg(F.coalesce(F.sum(F.size("calls")), F.lit(0))).scalar().alias("edges"))
