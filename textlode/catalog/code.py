@@ -7,8 +7,7 @@ and edges can be written down in SQL from the part rows alone.
 
 from pyspark.sql import functions as F
 
-from ..functions import fixed, grammar
-from ..operators import aggregates, cobol, context, graph, grep, index, parse, topk
+from ..operators import aggregates, cobol, ordering, parse, topk
 from ..plans import search
 from ..sources import prebuilt
 from . import registry as R
@@ -47,7 +46,7 @@ def _fill(template, n, k, d):
     return F.concat(*out) if out else F.lit("")
 
 
-def code_corpus(spark, sf, pad=False):
+def code_corpus(spark, sf):
     p = table(spark, sf, "part").select("p_partkey", "p_name", "p_size", F.floor(c("p_partkey") / 20).alias("file_no"))
     slot = (c("file_no") % len(LANGS)).cast("int")
     lang = F.get(F.array(*[F.lit(x) for x in LANGS]), slot)
@@ -134,13 +133,13 @@ CEDGES = f"SELECT DISTINCT caller, callee FROM (SELECT n AS caller, callee FROM
 @query("idx_03_call_graph", CEDGES)
 def _(spark, sf):
     files = code_corpus(spark, sf)
-    return parse.call_edges(parse.call_lists(_table(spark, sf), files)).select("caller", "callee")
+    return parse.call_edges(parse.call_lists(ordering.cut_lineage(_table(spark, sf)), files)).select("caller", "callee")
 
 
 @query("grf_01_reference_mode", f"SELECT caller, callee FROM (SELECT caller, callee, row_number() OVER (PARTITION BY caller ORDER BY o DESC) AS rn FROM (SELECT n AS caller, callee, p_partkey AS o FROM ({CODE}) UNION ALL SELECT callee, arg_max(n, p_partkey), max(p_partkey) FROM ({CODE}) WHERE language IN ('java', 'csharp') GROUP BY path, callee)) WHERE rn = 1")
 def _(spark, sf):
     files = code_corpus(spark, sf)
-    return parse.call_edges(parse.call_lists(_table(spark, sf), files), "reference").select("caller", "callee")
+    return parse.call_edges(parse.call_lists(ordering.cut_lineage(_table(spark, sf)), files), "reference").select("caller", "callee")
 
 
 @query("prs_19_line_functions", f"SELECT path, CASE language WHEN 'java' THEN n ELSE n END AS name, base + 2 AS line FROM ({CODE}) WHERE language IN ('tal', 'cobol', 'java', 'python', 'javascript') UNION ALL SELECT path, callee, base + 3 FROM ({CODE}) WHERE language = 'java'")

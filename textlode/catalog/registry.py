@@ -13,19 +13,28 @@ def query(name, sql=None):
     return add
 
 
+TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
+
+
 def table(spark, sf_dir, name):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def text_table(spark, sf_dir, name):
+    """A table whose rows are expensive to read: spread over the cores when it is small."""
+    from ..sources.files import spread
+    return spread(table(spark, sf_dir, name), TEXT_TABLES[name])
+
+
 def corpus(spark, sf_dir):
     """documents as files: path = source/lang/id.txt."""
     from ..sources.files import document_corpus
-    return document_corpus(table(spark, sf_dir, "documents"))
+    return document_corpus(text_table(spark, sf_dir, "documents"))
 
 
 def page_corpus(spark, sf_dir):
     """pages as files: path = host path of the url, made unique by the page id."""
-    p = table(spark, sf_dir, "pages")
+    p = text_table(spark, sf_dir, "pages")
     return p.select(F.concat(F.regexp_extract("url", "^https?://([^/]+)/", 1), F.lit("/"), F.col("page_id").cast("string"),
                              F.lit(".js")).alias("path"),
                     F.col("html").alias("content"), F.lit("javascript").alias("language"), F.col("page_id").alias("ord"))

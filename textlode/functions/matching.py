@@ -41,28 +41,32 @@ def _braces(s):
     return F.length(F.regexp_replace(s, "[^{]", "")) - F.length(F.regexp_replace(s, "[^}]", ""))
 
 
-def _entries(content: Column, number: int, rule: Rule, braces: bool) -> Column:
+def _entries(content: Column, rule: Rule) -> Column:
+    """Matches of one rule as an array of (gap, m, g1, g2, g3); the tail gap has no match."""
     whole = F.regexp_extract_all(content, F.lit(f"({rule.pattern})"), F.lit(1))
     groups = [F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(g)) for g in rule.groups]
-    gaps = F.slice(F.split(content, rule.pattern, -1), F.lit(1), F.size(whole))
-    zipped = F.arrays_zip(gaps.alias("gap"), whole.alias("m"),
-                          *[g.alias(f"g{k + 1}") for k, g in enumerate(groups)])
-
-    def entry(z, i):
-        none = F.lit(None).cast("string")
-        return F.struct(
-            F.lit(number).alias("rule"), i.alias("i"), z["m"].alias("match_text"),
-            *[(z[f"g{k}"] if k <= len(groups) else none).alias(f"g{k}") for k in (1, 2, 3)],
-            F.length(z["gap"]).alias("gap_len"), _newlines(z["gap"]).alias("gap_nl"),
-            _tail(z["gap"]).alias("gap_tail"), _newlines(z["m"]).alias("m_nl"), _tail(z["m"]).alias("m_tail"),
-            (_braces(z["gap"]) if braces else F.lit(0)).alias("gap_br"),
-            (_braces(z["m"]) if braces else F.lit(0)).alias("m_br"))
-
-    return F.transform(zipped, entry)
-
-
-def _locate(entries: DataFrame, keys) -> DataFrame:
-    """Turn per-match lengths into pos (0-based), line and column (1-based), and brace depth."""
+    groups += [F.array().cast("array<string>")] * (3 - len(groups))  # zipped as nulls
+    return F.arrays_zip(F.split(content, rule.pattern, -1).alias("gap"), whole.alias("m"),
+                        *[g.alias(f"g{k + 1}") for k, g in enumerate(groups)])
+
+
+def _locate(by_rule: Column, df: DataFrame, keys, base, brace_rules=()) -> DataFrame:
+    """Turn matches into pos (0-based), line and column (1-based), and brace depth.
+
+    Gaps become lengths right behind the explode, in compiled code; the one shuffle by
+    file moves those numbers and the captured text only.
+    """
+    def braces(s):
+        return F.when(F.col("rule").isin(*brace_rules), _braces(s)).otherwise(0) if brace_rules else F.lit(0)
+
+    flat = df.withColumn("__base", base).select(*keys, "__base", F.posexplode(by_rule).alias("r", "found")) \
+        .select(*keys, (F.col("__base") + F.col("r")).alias("rule"), F.posexplode("found").alias("i", "e")) \
+        .filter("e.m is not null") \
+        .select(*keys, "i", "rule", F.col("e.m").alias("match_text"), "e.g1", "e.g2", "e.g3", F.col("e.gap").alias("gap"))
+    gap, m = F.col("gap"), F.col("match_text")
+    flat = flat.select(*keys, "i", "rule", "match_text", "g1", "g2", "g3", F.length(gap).alias("gap_len"),
+                       _newlines(gap).alias("gap_nl"), _tail(gap).alias("gap_tail"), _newlines(m).alias("m_nl"),
+                       _tail(m).alias("m_tail"), braces(gap).alias("gap_br"), braces(m).alias("m_br"))
     w = Window.partitionBy(*keys, "rule").orderBy("i")
     upto, before = w.rowsBetween(Window.unboundedPreceding, 0), w.rowsBetween(Window.unboundedPreceding, -1)
     m_len = F.length("match_text")
@@ -70,7 +74,8 @@ def _locate(entries: DataFrame, keys) -> DataFrame:
     def running(here, earlier):
         return F.sum(here).over(upto) + F.coalesce(F.sum(earlier).over(before), F.lit(0))
 
-    df = entries.withColumns({
+    df = flat.withColumns({
+        "match_no": F.row_number().over(w) - 1,
         "pos": running("gap_len", m_len), "line": (running("gap_nl", "m_nl") + 1).cast("int"),
         "depth": running("gap_br", "m_br")})
     # offset just behind the last newline seen so far
@@ -79,27 +84,29 @@ def _locate(entries: DataFrame, keys) -> DataFrame:
     df = df.withColumn("line_start", F.greatest(
         F.max(start_in_gap).over(upto), F.max(start_in_match).over(before), F.lit(0)))
     return df.withColumn("column", (F.col("pos") - F.col("line_start") + 1).cast("int")) \
-        .select(*keys, "rule", F.col("i").alias("match_no"), "pos", "line", "column", "depth",
+        .select(*keys, "rule", "match_no", "pos", "line", "column", "depth",
                 "match_text", "g1", "g2", "g3")
 
 
-def match_rows(df: DataFrame, keys, content: str, rules, braces=False) -> DataFrame:
+def match_rows(df: DataFrame, keys, content: str, rules) -> DataFrame:
     """Every match of every rule, one row each, ordered inside a file by (rule, match_no)."""
     text = F.col(content)
-    entries = F.concat(*[_entries(text, n, r, braces) for n, r in enumerate(rules)])
-    return _locate(df.select(*keys, F.inline(entries)), keys)
+    return _locate(F.array(*[_entries(text, r) for r in rules]), df, keys, F.lit(0))
 
 
-def match_rows_by(df: DataFrame, keys, content: str, selector: str, rules_by_value, default=None) -> DataFrame:
-    """Like match_rows, the rule set chosen per row by a column: one scan for all rule sets."""
-    text = F.col(content)
+def match_rows_by(df: DataFrame, keys, content: str, selector: str, rule_sets, brace_rules=()) -> DataFrame:
+    """Like match_rows, the rule set chosen per row by a column: one scan for all rule sets.
 
-    expr = None
-    for value, rules in rules_by_value.items():
-        cond = F.col(selector) == value
-        e = F.concat(*[_entries(text, n, r, value in ("c", "cpp", "h")) for n, r in rules])
-        expr = F.when(cond, e) if expr is None else expr.when(cond, e)
-    if default is not None:
-        e = F.concat(*[_entries(text, n, r, False) for n, r in default])
-        expr = expr.otherwise(e)
-    return _locate(df.select(*keys, F.inline(expr)), keys)
+    ``rule_sets``: (first rule number, selector values, rules); the set without values is the default.
+    """
+    text = F.col(content)
+    found = base = None
+    for first, values, rules in sorted(rule_sets, key=lambda x: not x[1]):
+        e, n = F.array(*[_entries(text, r) for r in rules]), F.lit(first)
+        if values:
+            cond = F.col(selector).isin(*values)
+            found = F.when(cond, e) if found is None else found.when(cond, e)
+            base = F.when(cond, n) if base is None else base.when(cond, n)
+        else:
+            found, base = found.otherwise(e), base.otherwise(n)
+    return _locate(found, df, keys, base, brace_rules)

@@ -173,11 +173,11 @@ def vocabulary(docs: DataFrame, key="id", content="text", ord_col="ord") -> Data
     """Terms in 2 documents or more and at most half of them; idx follows first appearance."""
     n = docs.agg(F.count("*")).scalar()
     seen = docs.select(ord_col, F.posexplode(F.array_distinct(text.vector_tokens(F.col(content)))).alias("pos", "term")) \
-        .groupBy("term").agg(F.count("*").alias("df"),
-                             F.min(F.struct(F.col(ord_col).alias("ord"), "pos")).alias("first"))
+        .groupBy("term").agg(F.count("*").alias("df"), F.min(ord_col).alias("first_ord"),
+                             F.min_by("pos", ord_col).alias("first_pos"))
     kept = seen.withColumn("n", n).filter((F.col("df") >= 2) & (F.col("df") <= F.col("n") * 0.5)) \
-        .select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"),
-                F.col("first.ord").alias("first_ord"), F.col("first.pos").alias("first_pos"))
+        .select("term", "df", F.log(F.col("n") / F.col("df")).alias("idf"), "first_ord", "first_pos")
+    kept = ordering.cut_lineage(kept)  # the numbering reads it three times
     return ordering.number_rows(kept, "first_ord", ["first_ord", "first_pos"], "idx") \
         .select("term", "idx", "df", "idf")
 

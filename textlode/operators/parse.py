@@ -15,23 +15,22 @@ SYMBOL_FIELDS = ("name", "type", "line", "signature", "params", "return_type", "
 
 
 def _rules():
-    """All patterns numbered once; a language's rules keep their own order."""
-    numbered, kinds, by_set = {}, [], {}
-    for lang, rules in list(grammar.SYMBOL_RULES.items()) + [(None, grammar.GENERIC)]:
-        if id(rules) not in by_set:
-            by_set[id(rules)] = []
-            for kind, pattern, groups in rules:
-                by_set[id(rules)].append((len(kinds), Rule(pattern, groups)))
-                kinds.append(kind)
-        numbered[lang] = by_set[id(rules)]
-    return numbered, kinds
+    """Rule sets with all patterns numbered once; a language's rules keep their own order."""
+    sets, kinds = [], []
+    tables = {}
+    for lang, rules in grammar.SYMBOL_RULES.items():
+        tables.setdefault(id(rules), ([], rules))[0].append(lang)
+    for langs, rules in list(tables.values()) + [([], grammar.GENERIC)]:
+        sets.append((len(kinds), langs, [Rule(p, g) for _, p, g in rules]))
+        kinds += [k for k, _, _ in rules]
+    return sets, kinds
 
 
 def raw_matches(files: DataFrame) -> DataFrame:
     """Every pattern match of every file's own language, with position; one scan of the corpus."""
-    numbered, kinds = _rules()
-    generic = numbered.pop(None)
-    rows = match_rows_by(files, ["path", "language", "ord"], "content", "language", numbered, generic)
+    sets, kinds = _rules()
+    needs_depth = [n for n, k in enumerate(kinds) if k == "global"]
+    rows = match_rows_by(files, ["path", "language", "ord"], "content", "language", sets, needs_depth)
     labels = F.array(*[F.lit(k) for k in kinds])
     return rows.withColumn("kind", F.get(labels, F.col("rule")))
 

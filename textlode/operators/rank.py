@@ -40,7 +40,9 @@ def search_documents(docs: DataFrame, query: str, max_results=50, min_score=0.1,
     hits = index.postings(docs, only=wanted, learned=learned) if posts is None \
         else posts.filter(F.col("term").isin(*wanted))
     n_docs = docs.agg(F.count("*")).scalar()
-    dfs = hits.groupBy("term").agg(F.count("*").alias("df"))  # one row per query term
+    # one row per query term; reading tf here keeps this branch equal to the scoring branch
+    # below its shuffle, so the corpus is tokenized once and the exchange is reused
+    dfs = hits.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
     scored = hits.join(F.broadcast(dfs), "term")
     weight = F.lit(1.0)
     if learned is not None:

@@ -70,6 +70,16 @@ def document_corpus(docs: DataFrame, key="doc_id", body="text", lang="lang", sou
         F.col(body).alias("content"), F.col(lang).alias("language"), F.col(key).alias("ord"))
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """Deal a small table out to all cores.
+
+    A file of one row group is one task however many cores there are.  Input that already
+    has a partition per core, which any large table has, is left as it is read.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # --- walking searches ---------------------------------------------------------
 
 def search_files(files: DataFrame, terms, limit: int, max_depth=8, include=(), exclude=()) -> DataFrame:
