@@ -34,15 +34,17 @@ class CorpusIndex:
 
 
 def build_index(files: DataFrame, only_code=True) -> CorpusIndex:
-    """Parse a corpus once: symbol and call tables are materialised, everything else derives from them.
+    """Parse a corpus once: symbol, call and posting tables are materialised, the rest derives from them.
 
-    Both go through a reliable checkpoint, so searches plan against plain tables and a lost
+    They go through a reliable checkpoint, so searches plan against plain tables and a lost
     executor re-reads files instead of re-parsing the corpus.
     """
     kept = files.filter(paths.should_index(F.col("path"))) if only_code else files
     symbols = ordering.cut_lineage(parse.symbol_table(parse.parse_symbols(kept)))
     calls = ordering.cut_lineage(parse.call_lists(symbols, kept))
-    return CorpusIndex(kept, symbols, index.document_feed(kept, symbols), calls)
+    docs = index.document_feed(kept, symbols)
+    posts = ordering.cut_lineage(index.postings(docs))
+    return CorpusIndex(kept, symbols, docs, calls, posts)
 
 
 def _query(spark, query):
