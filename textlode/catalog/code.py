@@ -94,10 +94,9 @@ def _(spark, sf):
     return parse.parse_symbols(files, with_summary=False).select("file", "name", c("line").cast("bigint").alias("line"))
 
 
-@query("prs_13_comment_summaries", f"SELECT path AS file, n AS name, 'Reads the ' || p_name || ' value' AS summary FROM ({CODE}) WHERE language NOT IN ('java', 'csharp')")
+@query("prs_13_comment_summaries", f"SELECT s.path AS file, name, 'Reads the ' || p_name || ' value' AS summary FROM ({SYMS}) s JOIN part USING (p_partkey)")
 def _(spark, sf):
-    files = code_corpus(spark, sf).filter(~c("language").isin("java", "csharp"))
-    return parse.parse_symbols(files).select("file", "name", "summary")
+    return parse.parse_symbols(code_corpus(spark, sf)).select("file", "name", "summary")
 
 
 def _table(spark, sf):
@@ -112,14 +111,13 @@ def _(spark, sf):
     return _table(spark, sf).select("key", c("line").cast("bigint").alias("line"), "type")
 
 
-ENDS = f"""SELECT path, n AS name, least(80, CASE WHEN language = 'python' THEN base + 5 WHEN language = 'cobol' THEN CASE WHEN base = 76 THEN 80 ELSE base + 6 END ELSE base + 5 END) AS end_line FROM ({CODE}) WHERE language NOT IN ('java', 'csharp')"""
+ENDS = f"""SELECT path, n AS name, least(80, CASE WHEN language = 'cobol' AND base < 76 THEN base + 6 WHEN language = 'cobol' THEN 80 ELSE base + 5 END) AS end_line FROM ({CODE})
+ UNION ALL SELECT path, callee, least(80, max(base) + 5) FROM ({CODE}) WHERE language IN ('java', 'csharp') GROUP BY path, callee"""
 
 
 @query("prs_18_body_ends", ENDS)
 def _(spark, sf):
-    files = code_corpus(spark, sf).filter(~c("language").isin("java", "csharp"))
-    s = parse.symbol_table(parse.parse_symbols(files, with_summary=False))
-    return parse.body_ends(s, files).select("path", "name", c("end_line").cast("bigint").alias("end_line"))
+    return parse.body_ends(ordering.cut_lineage(_table(spark, sf)), code_corpus(spark, sf)).select("path", "name", c("end_line").cast("bigint").alias("end_line"))
 
 
 @query("prs_17_calls_in_text", f"SELECT path, array_to_string(list_sort(list_distinct(list(x))), '|') AS calls FROM (SELECT path, callee AS x FROM ({CODE}) UNION ALL SELECT path, n FROM ({CODE}) WHERE language NOT IN ('cobol', 'tal')) GROUP BY path")

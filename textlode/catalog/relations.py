@@ -13,11 +13,11 @@ BIG = lambda *names: [c(n).cast("bigint").alias(n) for n in names]
 
 # hits: lineitem rows as (file, line) positions among the symbols
 _HIT_FILE = "'src/' || ['economy', 'small', 'medium', 'promo', 'large', 'standard'][l_partkey % 6 + 1] || '/brand_' || (l_suppkey % 25 + 1) || '.c'"
-_HITS = f"SELECT DISTINCT {_HIT_FILE} AS path, l_quantity::BIGINT * 10 AS line FROM lineitem WHERE l_linenumber = 1"
+_HITS = f"SELECT DISTINCT {_HIT_FILE} AS path, l_quantity::BIGINT * 10 AS line FROM lineitem"
 
 
 def _hits(spark, sf):
-    t = table(spark, sf, "lineitem").filter("l_linenumber = 1")
+    t = table(spark, sf, "lineitem")
     kind = F.get(F.array(*[F.lit(x) for x in ("economy", "small", "medium", "promo", "large", "standard")]), (c("l_partkey") % 6).cast("int"))
     return t.select(F.concat(F.lit("src/"), kind, F.lit("/brand_"), (c("l_suppkey") % 25 + 1).cast("string"), F.lit(".c")).alias("path"),
                     (c("l_quantity").cast("int") * 10).alias("line")).distinct()
@@ -249,19 +249,10 @@ def _(spark, sf):
     return graph.trace(edges(spark, sf), "fn_7", _defs(spark, sf)).select("role", "name", "file")
 
 
-# a sparse, layered graph for walks: rare node pairs only
-_RARE = f"SELECT caller, callee, ord FROM ({R.EDGES}) WHERE substring(caller, 4)::BIGINT % 7 = substring(callee, 4)::BIGINT % 5"
-
-
-def _rare(spark, sf):
-    num = lambda n: F.substr(n, F.lit(4)).cast("bigint")
-    return edges(spark, sf).filter(num("caller") % 7 == num("callee") % 5)
-
-
-@query("grf_05_neighbourhood", f"WITH RECURSIVE e AS MATERIALIZED (SELECT caller, callee FROM ({_RARE})), d AS (SELECT 'fn_7' AS n, 0 AS k UNION SELECT callee, k + 1 FROM d JOIN e ON caller = n WHERE k < 2), u AS (SELECT 'fn_7' AS n, 0 AS k UNION SELECT caller, k + 1 FROM u JOIN e ON callee = n WHERE k < 2) "
+@query("grf_05_neighbourhood", f"WITH RECURSIVE e AS MATERIALIZED (SELECT caller, callee FROM ({R.EDGES})), d AS (SELECT 'fn_7' AS n, 0 AS k UNION SELECT callee, k + 1 FROM d JOIN e ON caller = n WHERE k < 2), u AS (SELECT 'fn_7' AS n, 0 AS k UNION SELECT caller, k + 1 FROM u JOIN e ON callee = n WHERE k < 2) "
        "SELECT DISTINCT caller, callee FROM e WHERE caller IN (SELECT n FROM d) OR callee IN (SELECT n FROM u)")
 def _(spark, sf):
-    return graph.neighbourhood(_rare(spark, sf), "fn_7", 2).select("caller", "callee")
+    return graph.neighbourhood(edges(spark, sf), "fn_7", 2).select("caller", "callee")
 
 
 @query("grf_06_entry_points", f"SELECT caller AS name, count(*) AS call_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_DEFS}) ON name = caller WHERE caller NOT IN (SELECT callee FROM ({R.EDGES})) GROUP BY caller")
@@ -269,18 +260,16 @@ def _(spark, sf):
     return graph.entry_points(edges(spark, sf), _defs(spark, sf)).select("name", "call_count", "file")
 
 
-@query("grf_07_leaf_functions", f"SELECT callee AS name, count(*) AS caller_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_DEFS}) ON name = callee WHERE callee NOT IN (SELECT caller FROM ({R.EDGES}) WHERE substring(caller, 4)::BIGINT % 3 <> 0) GROUP BY callee")
+@query("grf_07_leaf_functions", f"SELECT caller AS name, count(*) AS caller_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_DEFS}) ON name = caller WHERE caller NOT IN (SELECT callee FROM ({R.EDGES})) GROUP BY caller")
 def _(spark, sf):
-    e = edges(spark, sf)
-    cut = e.filter(F.substr("caller", F.lit(4)).cast("bigint") % 3 != 0).select("caller")
-    keep = e.withColumn("caller", F.when(F.substr("caller", F.lit(4)).cast("bigint") % 3 == 0, F.concat(F.lit("x_"), c("caller"))).otherwise(c("caller")))
-    return graph.leaf_functions(keep, _defs(spark, sf)).select("name", "caller_count", "file")
+    turned = edges(spark, sf).select(c("callee").alias("caller"), c("caller").alias("callee"), "ord")
+    return graph.leaf_functions(turned, _defs(spark, sf)).select("name", "caller_count", "file")
 
 
-@query("grf_08_call_paths", f"WITH RECURSIVE e AS MATERIALIZED (SELECT caller, callee FROM ({_RARE})), p AS (SELECT ['fn_7'] AS path UNION ALL SELECT list_append(path, callee) FROM p JOIN e ON caller = path[-1] WHERE len(path) <= 3 AND path[-1] <> 'fn_12' AND NOT list_contains(path, callee)) "
+@query("grf_08_call_paths", f"WITH RECURSIVE e AS MATERIALIZED (SELECT caller, callee FROM ({R.EDGES})), p AS (SELECT ['fn_7'] AS path UNION ALL SELECT list_append(path, callee) FROM p JOIN e ON caller = path[-1] WHERE len(path) <= 3 AND path[-1] <> 'fn_12' AND NOT list_contains(path, callee)) "
        "SELECT array_to_string(path, '>') AS path, len(path) AS length FROM p WHERE path[-1] = 'fn_12'")
 def _(spark, sf):
-    p = graph.call_paths(_rare(spark, sf), "fn_7", "fn_12", 3)
+    p = graph.call_paths(edges(spark, sf), "fn_7", "fn_12", 3)
     return p.select(joined("path", ">").alias("path"), *BIG("length"))
 
 
@@ -297,12 +286,12 @@ def _(spark, sf):
 
 @query("grf_11_mermaid")
 def _(spark, sf):
-    return graph.mermaid(_rare(spark, sf))
+    return graph.mermaid(edges(spark, sf))
 
 
-@query("grf_14_node_model", f"SELECT name, coalesce(regexp_extract(file, '[^/]*$'), 'unknown') AS file, callees, callers, greatest(5, least(20, 5 + callees + callers)) AS size FROM (SELECT name, sum(o)::BIGINT AS callees, sum(i)::BIGINT AS callers FROM (SELECT caller AS name, 1 AS o, 0 AS i FROM ({_RARE}) UNION ALL SELECT callee, 0, 1 FROM ({_RARE})) GROUP BY name) LEFT JOIN ({_DEFS}) USING (name)")
+@query("grf_14_node_model", f"SELECT name, coalesce(regexp_extract(file, '[^/]*$'), 'unknown') AS file, callees, callers, greatest(5, least(20, 5 + callees + callers)) AS size FROM (SELECT name, sum(o)::BIGINT AS callees, sum(i)::BIGINT AS callers FROM (SELECT caller AS name, 1 AS o, 0 AS i FROM ({R.EDGES}) UNION ALL SELECT callee, 0, 1 FROM ({R.EDGES})) GROUP BY name) LEFT JOIN ({_DEFS}) USING (name)")
 def _(spark, sf):
-    return graph.node_model(_rare(spark, sf), _defs(spark, sf)).select("name", "file", *BIG("callees", "callers", "size"))
+    return graph.node_model(edges(spark, sf), _defs(spark, sf)).select("name", "file", *BIG("callees", "callers", "size"))
 
 
 @query("grf_14_file_colours")

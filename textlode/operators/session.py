@@ -7,8 +7,16 @@ from ..functions.classify import REFERENCE
 from . import ordering
 
 
-def pair_turns(messages: DataFrame, session="session", order="seq", role="role", body="text") -> DataFrame:
-    """User messages with the assistant message right behind them: one turn each."""
+def pair_turns(messages: DataFrame, session="session", order="seq", role="role", body="text", dense=True) -> DataFrame:
+    """User messages with the assistant message right behind them: one turn each.
+
+    With dense numbers the next message is an equi-join on (session, number), which spreads
+    a session of any length over all tasks; gaps in the numbers need the sorted form.
+    """
+    if dense:
+        asked = messages.filter(F.col(role) == "user").select(session, F.col(order).alias("seq"), F.col(body).alias("user"))
+        said = messages.filter(F.col(role) == "assistant").select(session, (F.col(order) - 1).alias("seq"), F.col(body).alias("assistant"))
+        return asked.join(said, [session, "seq"])
     w = Window.partitionBy(session).orderBy(order)
     df = messages.withColumn("__role", F.lead(role).over(w)).withColumn("assistant", F.lead(body).over(w))
     return df.filter((F.col(role) == "user") & (F.col("__role") == "assistant")) \
