@@ -145,10 +145,10 @@ def _(spark, sf):
     return parse.line_functions(code_corpus(spark, sf)).select("path", "name", c("line").cast("bigint").alias("line"))
 
 
-@query("src_18_prebuilt_index", f"SELECT path, 80::BIGINT AS lines, count(*) AS functions FROM (SELECT path FROM ({CODE}) WHERE language IN ('tal', 'cobol', 'java', 'python', 'javascript') UNION ALL SELECT path FROM ({CODE}) WHERE language = 'java') GROUP BY path")
+@query("src_18_prebuilt_index", f"SELECT path, 80::BIGINT AS lines, sum(CASE WHEN language = 'java' THEN 2 WHEN language IN ('tal', 'cobol', 'python', 'javascript') THEN 1 ELSE 0 END)::BIGINT AS functions FROM ({CODE}) GROUP BY path")
 def _(spark, sf):
-    b = prebuilt.build(code_corpus(spark, sf).filter(c("language").isin("tal", "cobol", "java", "python", "javascript")))
-    return b.select("path", c("lines").cast("bigint").alias("lines"), F.size("functions").cast("bigint").alias("functions"))
+    b = prebuilt.build(code_corpus(spark, sf))
+    return b.select("path", c("lines").cast("bigint").alias("lines"), F.coalesce(F.size("functions"), F.lit(0)).cast("bigint").alias("functions"))
 
 
 @query("agg_06_symbol_stats", f"WITH k AS ({KEYED}) SELECT count(*) AS symbols, count_if(type IN ('function', 'procedure', 'method'))::BIGINT AS functions, 0::BIGINT AS classes, 0::BIGINT AS variables FROM k")
