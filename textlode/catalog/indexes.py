@@ -286,9 +286,8 @@ def _(spark, sf):
 @query("snk_12_staleness", "SELECT c_custkey, NOT (c_mktsegment = 'BUILDING' AND c_custkey % 48 <= 24) AS stale FROM customer")
 def _(spark, sf):
     now = F.lit("2024-01-03 00:00:00").cast("timestamp")
-    t = table(spark, sf, "customer").select("c_custkey", c("c_mktsegment").alias("workspace"), F.timestampadd("HOUR", -(c("c_custkey") % 48).cast("int"), now).alias("last_built"))
-    age = (F.unix_timestamp(now) - F.unix_timestamp("last_built")) / 3600
-    return t.select("c_custkey", (~((c("workspace") == "BUILDING") & (age <= 24))).alias("stale"))
+    built = F.timestamp_seconds(F.unix_timestamp(now) - c("c_custkey") % 48 * 3600)
+    return table(spark, sf, "customer").select("c_custkey", (~persist.fresh(c("c_mktsegment"), built, "BUILDING", now)).alias("stale"))
 
 
 @query("snk_07_capped_symbols", f"SELECT key FROM ({R.SYMBOLS}) ORDER BY ord LIMIT 50000")

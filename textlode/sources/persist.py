@@ -48,12 +48,17 @@ def metadata(files: DataFrame, symbols: DataFrame, workspace: str) -> DataFrame:
         files.agg(F.count("*")).scalar().alias("file_count"), symbols.agg(F.count("*")).scalar().alias("symbol_count"))
 
 
+def fresh(workspace, last_built, current: str, now, hours=24):
+    """Built for this workspace and not older than a day."""
+    age = (F.unix_timestamp(now) - F.unix_timestamp(last_built)) / 3600
+    return (workspace == current) & (age <= hours)
+
+
 def is_stale(meta: DataFrame, workspace: str, now=None, hours=24) -> DataFrame:
     """One flag: nothing stored, another workspace, or older than a day."""
     at = F.current_timestamp() if now is None else now
-    age = (F.unix_timestamp(at) - F.unix_timestamp("last_built")) / 3600
-    fresh = F.max(((F.col("workspace") == workspace) & (age <= hours)).cast("int"))
-    return meta.agg((F.coalesce(fresh, F.lit(0)) == 0).alias("stale"))
+    ok = F.max(fresh(F.col("workspace"), F.col("last_built"), workspace, at, hours).cast("int"))
+    return meta.agg((F.coalesce(ok, F.lit(0)) == 0).alias("stale"))
 
 
 def restore_if_same(spark, root: str, files: DataFrame, names):
