@@ -1,165 +1,138 @@
-"""Byte-level BPE encoding and decoding with Spark's higher-order functions.
+"""Byte-level BPE encoding and decoding by ranked merges.
 
-Method.  A word's bytes become a string with one symbol (code point) per token id, so that a merge is one ``replace`` that takes every occurrence
-from the left.  A fold (``aggregate``) looks up the rank of each neighbouring pair in a literal map and applies the lowest, leftmost one until none
-is left; all splits of every vocabulary entry are pairs, so the result is that of merging by the rank of the joined bytes.  Every word that the
-corpus repeats most is folded once: the distinct words with the highest counts (at most ``dictionary_words``, each of at most
-``dictionary_bytes``, hence a proven size) form a dictionary that is looked up; any other word is folded where it stands.  Both ways give the same
-ids and no text is shuffled.  Decoding looks up the bytes of each id and joins the pieces.
+Method.  The split pattern cuts a text into words; the bytes of each distinct word are folded by ranked merges: of all neighbouring pieces whose joined
+bytes are in the rank map, those of lowest rank, leftmost first, become one, until none is left.  A task folds a word once and keeps its ids (at most
+``kept`` words at a time).  Decoding looks up the bytes of each id and joins the pieces.
 
-Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike; an empty table gives an empty table; extra
-columns pass through, and a column that has an output's name is replaced.  Ids are those of the rank file; special tokens do not exist.
-"""
-
-import base64
-import json
-import zlib
-
-from pyspark.sql import Column, DataFrame, functions as F
-
-from . import shared
-
-#: The letter, number and space classes of the split pattern; the space class is spelled out because Java's is ASCII only.  Fixed values.
-_SPACE = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
-#: Buckets of the literal rank map; a bucket holds a few pairs.
-BUCKETS = 1 << 16
-
-
-def java_pattern(pattern: str) -> str:
-    """The split pattern with its white-space classes written for Java."""
-    return pattern.replace("[^\\s", f"[^{_SPACE}").replace("(?!\\S)", f"(?![^{_SPACE}])").replace("\\s+", f"[{_SPACE}]+")
-
-
-def _symbol(i: int) -> str:
-    """One code point per id: the id itself, but for 0, which ``translate`` takes for a deletion and which becomes the last one below the surrogates."""
-    if i >= 0xD7FF:
-        raise ValueError("a vocabulary of at most 55,295 ids is expected")
-    return chr(i or 0xD7FF)
-
-
-class Vocabulary:
-    """Ranks of a rank file (base64 bytes and rank by line) as literals for Spark."""
-
-    def __init__(self, path: str):
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        self.single = [self.ranks[bytes([b])] for b in range(256)]
-        self._pairs = self._pieces = None
-
-    def pairs(self) -> Column:
-        """array<map<string,string>>: two symbols to the symbol of their merge, by hash bucket; symbols compare as ranks do."""
-        if self._pairs is None:
-            buckets = [{} for _ in range(BUCKETS)]
-            for token, rank in self.ranks.items():
-                for cut in range(1, len(token)):
-                    left, right = self.ranks.get(token[:cut]), self.ranks.get(token[cut:])
-                    if left is not None and right is not None:
-                        pair = _symbol(left) + _symbol(right)
-                        buckets[zlib.crc32(pair.encode()) % BUCKETS][pair] = _symbol(rank)
-            self._pairs = json.dumps(buckets, ensure_ascii=False, separators=(",", ":"))
-        return F.from_json(F.lit(self._pairs), "array<map<string,string>>")
-
-    def pieces(self) -> Column:
-        """array<string>: symbol to its bytes as Latin-1 characters, by code point."""
-        if self._pieces is None:
-            by_point = {ord(_symbol(i)): t.decode("latin-1") for t, i in self.ranks.items()}
-            self._pieces = json.dumps([by_point.get(i) for i in range(max(by_point) + 1)])
-        return F.from_json(F.lit(self._pieces), "array<string>")
-
-    def bytes_as_symbols(self, word: Column) -> Column:
-        latin = "".join(map(chr, range(256)))
-        text = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
-        return F.translate(text, latin, "".join(_symbol(i) for i in self.single))
+The merges run in Arrow batches: the same fold as Spark higher-order functions over a literal rank map gave the same ids, but not within the limits (the
+README has the figures).  Texts are never shuffled; the rank map is the only thing sent to the executors, and has the fixed size of the rank file.
 
+A short word is folded by scanning; a long one (a run without white space) by a heap over a linked list, n log n steps, so long texts stay cheap.
 
-def _let(value: Column, body) -> Column:
-    """``body`` of a value that is computed once."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
-def _lookup(buckets: Column, n: int, key: Column) -> Column:
-    return F.try_element_at(F.get(buckets, (F.crc32(key.cast("binary")) % n).cast("int")), key)
-
-
-def _fold(start: Column, pairs: Column) -> Column:
-    """All merges of one word, lowest rank first, leftmost first among equals."""
+Defined cases: a null or empty text has no ids and decodes to no bytes; repeated rows are encoded alike; an empty table gives an empty table; other
+columns pass through, and one that has an output's name is replaced.  Ids are those of the rank file; special tokens do not exist.  Decoding an id that
+the rank file lacks fails.
+"""
 
-    def merged(s, parts, ranked):
-        def apply(lowest):
-            at = F.array_position(ranked, lowest).cast("int")
-            return F.when(lowest.isNull(), F.struct(s.alias("s"), F.lit(False).alias("live"))).otherwise(F.struct(
-                F.replace(s, F.concat(F.get(parts, at - 1), F.get(parts, at)), lowest).alias("s"), F.lit(True).alias("live")))
-        return _let(F.array_min(ranked), apply)
+import base64
+import heapq
 
-    def step(acc, _):
-        s = acc["s"]
-        tried = _let(F.split(s, ""), lambda parts: _let(
-            F.transform(F.sequence(F.lit(1), F.size(parts) - 1), lambda i: _let(
-                F.concat(F.get(parts, i - 1), F.get(parts, i)), lambda pair: _lookup(pairs, BUCKETS, pair))),
-            lambda ranked: merged(s, parts, ranked)))
-        return F.when(acc["live"] & (F.length(s) > 1), tried).otherwise(acc)
+import numpy as np
+import pyarrow as pa
+import regex
+from pyspark.sql import DataFrame
 
-    rounds = F.when(F.length(start) > 1, F.sequence(F.lit(1), F.length(start) - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(rounds, F.struct(start.alias("s"), F.lit(True).alias("live")), step)["s"]
+from . import words as W
 
+SHORT = 64
 
-def split_words(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(java_pattern(pattern)), F.lit(0))
 
+def read_ranks(path: str) -> dict[bytes, int]:
+    """A rank file: base64 bytes and rank on each line."""
+    with open(path, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
-def common_words(df: DataFrame, pattern: str, text_col="text", most=1 << 18, longest=64) -> DataFrame:
-    """(word, n): the distinct words of at most ``longest`` bytes with the highest counts, at most ``most`` of them.
 
-    Counts cover every row and are combined before the shuffle.  The cut is a count class (quarter powers of two), found from a histogram of a
-    few hundred rows, so no sort and no single task sees all words.
-    """
-    words = (df.select(F.explode(split_words(F.col(text_col), pattern)).alias("word"))
-             .filter(F.octet_length("word") <= longest).groupBy("word").agg(F.count("*").alias("n"))
-             .withColumn("class", F.floor(F.log2("n") * 4).cast("int")))
-    words = shared.cut(words.filter("n > 1"))
-    classes = sorted(((r["class"], r["k"]) for r in words.groupBy("class").agg(F.count("*").alias("k")).collect()), reverse=True)
-    total, lowest = 0, None
-    for c, k in classes:
-        total += k
-        if total > most:
+def fold(word: bytes, ranks: dict[bytes, int]) -> list[int]:
+    """Ids of one word: lowest rank first, leftmost among equals."""
+    whole = ranks.get(word)
+    if whole is not None:
+        return [whole]
+    if len(word) > SHORT:
+        return _fold_long(word, ranks)
+    parts = [word[i:i + 1] for i in range(len(word))]
+    near = [ranks.get(parts[i] + parts[i + 1], len(ranks)) for i in range(len(parts) - 1)]
+    while near:
+        lowest = min(near)
+        if lowest == len(ranks):
             break
-        lowest = c
-    return words.filter(F.col("class") >= lowest) if lowest is not None else words.limit(0)
-
-
-def encode(df: DataFrame, vocabulary: Vocabulary, pattern: str, text_col="text", ids_col="ids", dictionary_words=1 << 18,
-           dictionary_bytes=64) -> DataFrame:
-    """``df`` with ``ids_col`` (array<int>): the token ids of each whole text."""
-    packed = encode_symbols(df, vocabulary, pattern, text_col, "__symbols", dictionary_words, dictionary_bytes)
-    ids = F.transform(F.split("__symbols", ""), lambda c: F.ascii(c) % 0xD7FF)
-    empty = F.array().cast("array<int>")
-    return packed.withColumn(ids_col, F.when(F.length("__symbols") > 0, ids).otherwise(empty)).drop("__symbols")
-
-
-def encode_symbols(df, vocabulary, pattern, text_col="text", out="symbols", most=1 << 18, longest=64) -> DataFrame:
-    """``df`` with ``out`` (string): the ids of each whole text, one symbol per id."""
-    fold = lambda w: _fold(vocabulary.bytes_as_symbols(w), vocabulary.pairs())
-    known = common_words(df, pattern, text_col, most, longest).select("word", fold(F.col("word")).alias("symbols")).collect()
-    book = [{} for _ in range(max(1, len(known)))]  # at most ``most`` words of at most ``longest`` bytes
-    for word, symbols in known:
-        book[zlib.crc32(word.encode()) % len(book)][word] = symbols
-    literal = F.from_json(F.lit(json.dumps(book, ensure_ascii=False, separators=(",", ":"))), "array<map<string,string>>")
-    one = lambda word: _let(_lookup(literal, len(book), word), lambda s: F.when(s.isNotNull(), s).otherwise(fold(word)))
-    return df.withColumn(out, F.array_join(F.transform(split_words(F.col(text_col), pattern), one), ""))
-
-
-def symbols_to_le32(symbols: Column) -> Column:
-    """The ids as little-endian unsigned 32-bit integers: each symbol is a UTF-16 unit, a zero unit follows."""
-    return F.encode(F.regexp_replace(F.replace(symbols, F.lit(chr(0xD7FF)), F.lit("\0")), "(?s)(.)", "$1\0"), "UTF-16LE")
-
-
-def symbols_to_bytes(symbols: Column, vocabulary: Vocabulary) -> Column:
-    pieces = F.transform(F.split(symbols, ""), lambda c: F.get(vocabulary.pieces(), F.ascii(c)))
-    return F.encode(F.array_join(pieces, ""), "ISO-8859-1")
-
-
-def decode(df: DataFrame, vocabulary: Vocabulary, ids_col="ids", out_col="decoded") -> DataFrame:
-    """``df`` with ``out_col`` (binary): the joined bytes of the ids; no ids or null give no bytes, an id outside the vocabulary fails."""
-    pieces = F.transform(F.coalesce(F.col(ids_col), F.array().cast("array<int>")), lambda i: F.element_at(
-        vocabulary.pieces(), F.when(i == 0, 0xD7FF).otherwise(i) + 1))
-    return df.withColumn(out_col, F.encode(F.array_join(pieces, ""), "ISO-8859-1"))
+        i = near.index(lowest)
+        parts[i:i + 2] = [parts[i] + parts[i + 1]]
+        del near[i]
+        if i < len(near):
+            near[i] = ranks.get(parts[i] + parts[i + 1], len(ranks))
+        if i:
+            near[i - 1] = ranks.get(parts[i - 1] + parts[i], len(ranks))
+    return [ranks[p] for p in parts]
+
+
+def _fold_long(word: bytes, ranks) -> list[int]:
+    n = len(word)
+    end = list(range(1, n + 1))  # of the piece that starts here; 0 where none does any more
+    before = list(range(-1, n))
+    heap = [(r, i, i + 2) for i in range(n - 1) if (r := ranks.get(word[i:i + 2])) is not None]
+    heapq.heapify(heap)
+    while heap:
+        _, i, stop = heapq.heappop(heap)
+        mid = end[i]
+        if not mid or mid >= n or end[mid] != stop:
+            continue  # one of the two pieces has changed
+        end[i], end[mid] = stop, 0
+        if stop < n:
+            before[stop] = i
+            r = ranks.get(word[i:end[stop]])
+            if r is not None:
+                heapq.heappush(heap, (r, i, end[stop]))
+        if i:
+            r = ranks.get(word[before[i]:stop])
+            if r is not None:
+                heapq.heappush(heap, (r, before[i], stop))
+    out, i = [], 0
+    while i < n:
+        out.append(ranks[word[i:end[i]]])
+        i = end[i]
+    return out
+
+
+def _with(df: DataFrame, out: str, kind: str):
+    """(columns kept, schema text of them and ``out``)."""
+    rest = [c for c in df.columns if c != out]
+    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != out]
+    return rest, ", ".join([*fields, f"`{out}` {kind}"])
+
+
+def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text", ids_col="ids", packed=False, kept=1 << 18) -> DataFrame:
+    """``df`` with ``ids_col``: the token ids of each whole text, as array<int> or, if ``packed``, as little-endian unsigned 32-bit integers."""
+    rest, schema = _with(df, ids_col, "binary" if packed else "array<int>")
+    sent, at = df.sparkSession.sparkContext.broadcast(ranks), rest.index(text_col)
+
+    def run(batches):
+        ranks, cut = sent.value, regex.compile(pattern).findall
+
+        class Known(dict):
+            def __missing__(self, word):
+                if len(self) >= kept:
+                    self.clear()
+                own = self[word] = np.array(fold(word.encode(), ranks), dtype="<u4").tobytes()
+                return own
+
+        known = Known()
+        for b in batches:
+            texts = b.column(at).to_pylist()
+            for lo, hi in W.chunked([len(t or "") for t in texts], 4 << 20):
+                ids = [b"".join(map(known.__getitem__, cut(t))) if t else b"" for t in texts[lo:hi]]
+                if packed:
+                    out = pa.array(ids, pa.binary())
+                else:
+                    offsets = np.concatenate([[0], np.cumsum([len(x) // 4 for x in ids])]).astype(np.int32)
+                    out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
+                yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, out], names=[*rest, ids_col])
+
+    return df.select(*rest).mapInArrow(run, schema)
+
+
+def decode(df: DataFrame, ranks: dict[bytes, int], ids_col="ids", out_col="decoded") -> DataFrame:
+    """``df`` with ``out_col`` (binary): the joined bytes of the ids in ``ids_col`` (array<int> or packed)."""
+    rest, schema = _with(df, out_col, "binary")
+    sent, at = df.sparkSession.sparkContext.broadcast(ranks), rest.index(ids_col)
+
+    def run(batches):
+        piece = {i: p for p, i in sent.value.items()}.__getitem__
+        for b in batches:
+            is_packed = not pa.types.is_list(b.column(at).type) and not pa.types.is_large_list(b.column(at).type)
+            for i in range(0, b.num_rows, 512):
+                part = b.slice(i, 512)
+                ids = [np.frombuffer(x or b"", dtype="<u4").tolist() if is_packed else x or [] for x in part.column(at).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b"".join(map(piece, x)) for x in ids], pa.binary())], names=[*rest, out_col])
+
+    return df.select(*rest).mapInArrow(run, schema)

@@ -1 +1,273 @@
-"""placeholder"""
+"""Exact Jaccard self-join of word n-gram sets, by groups of equal prefixes.
+
+Method.  A text's set is its distinct word 5-grams, as hashes; equal sets form one class.  Document frequencies of all n-grams are counted; n-grams are
+ordered by rising frequency, and a set of n needs only its first n - ceil(t n) + 1 in that order (its prefix) to share one with any set it links to.
+N-grams of frequency one are first in that order and link to nothing, so only the others of a prefix are posted.  Classes with the same posted prefix
+and size are one group.  Group pairs that share a posted n-gram are filtered by size and by the largest overlap that their shared n-grams allow, then
+expanded to members and verified by the exact overlap.
+
+Hot groups.  Near copies may be a third of all rows, so pairs are not listed: (1) every group is verified against one pivot, the set with the
+fewest unique n-grams among its lists, and members against their group's first; (2) components of these links are formed; (3) each list is asked only
+for the pairs across components: the members outside the pivot's component against all.  Every link between different components is so found,
+whatever the group's size; links inside a component change nothing.
+
+Frequencies are counted on packed arrays: a task sorts the hashes of up to ``BLOCK`` n-grams and sends one row for each range of hashes.  A hash that more
+than ``HEAVY`` classes of a block have is sent as a count, and its classes beside, so no range gathers a hot n-gram's classes; those are joined back by hash.
+
+Defined cases: null and empty texts have the empty set and are their own component; fewer than five words are one n-gram of all; ids that repeat are
+rows of their own, linked if their sets are equal or similar, and a component is named by its smallest id; an empty table gives an empty table; extra
+columns are ignored.  Sets are compared by 64-bit digests, their elements by 48 bits within a pair.
+"""
+
+import math
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, functions as F
+
+from . import shared, words as W
+from .components import components
+
+BLOCK = 1 << 21
+HEAVY = 256
+_LOW = np.uint64((1 << 48) - 1)
+
+
+def shingle_set(hashes: np.ndarray, k=5) -> np.ndarray:
+    """Sorted distinct k-gram hashes; fewer words are one gram, none give the empty set."""
+    return np.unique(W.grams(hashes, min(k, len(hashes)))) if len(hashes) else np.empty(0, dtype=np.uint64)
+
+
+def _digest(own: np.ndarray) -> np.uint64:
+    with np.errstate(over="ignore"):
+        return W.mix(np.array([W.mix(own + np.uint64(len(own))).sum(dtype=np.uint64)]))[0]
+
+
+def _sets(column, k):
+    for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(column), W.NONSPACE):
+        for i in range(len(cuts) - 1):
+            yield shingle_set(hashes[cuts[i]:cuts[i + 1]], k)
+
+
+def summaries(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
+    """(id, n, c): size and digest of each row's set."""
+    kind = docs.schema[id_col].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            n, c = [], []
+            for own in _sets(b.column(1), k):
+                n.append(len(own))
+                c.append(int(_digest(own).view(np.int64)))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["id", "n", "c"])
+
+    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n long, c long")
+
+
+_PACKED = "bucket int, heavy long, df long, classes binary, sizes binary, owners binary, hashes binary"
+
+
+def _planes(values: np.ndarray) -> bytes:
+    """48-bit values by byte planes: the high bytes of sorted values compress well."""
+    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+
+
+def _unplanes(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
+    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).T
+    return out.reshape(-1).view("<u8")
+
+
+def packed(docs: DataFrame, text_col: str, k: int, bits: int) -> DataFrame:
+    """Sorted hashes with their classes, one row for each block and range of hashes, and the heavy hashes' classes."""
+
+    def flush(held):
+        classes = np.fromiter(held, dtype=np.uint64, count=len(held))
+        sizes = np.array([len(s) for s in held.values()], dtype=np.uint32)
+        hashes = np.concatenate(list(held.values())) & _LOW
+        owners = np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)
+        order = np.argsort(hashes, kind="stable")
+        hashes, owners = hashes[order], owners[order]
+        first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
+        counts = np.diff(np.append(first, len(hashes)))
+        rows = []
+        for i in np.flatnonzero(counts > HEAVY):
+            own = owners[first[i]:first[i] + counts[i]]
+            h = int(hashes[first[i]])
+            rows.append((-1, h, int(counts[i]), classes[own].tobytes(), sizes[own].tobytes(), b"", b""))
+            rows.append((h >> (48 - bits), h, int(counts[i]), b"", b"", b"", b""))
+        light = np.repeat(counts <= HEAVY, counts)
+        hashes, owners = hashes[light], owners[light]
+        cuts = np.searchsorted(hashes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
+        for b in range(1 << bits):
+            part = slice(cuts[b], cuts[b + 1])
+            if cuts[b] < cuts[b + 1]:
+                used, own = np.unique(owners[part], return_inverse=True)
+                rows.append((b, None, None, classes[used].tobytes(), sizes[used].tobytes(), own.astype(np.uint32).tobytes(), _planes(hashes[part])))
+        return W.batches_of(rows, _PACKED)
+
+    def run(batches):
+        held, size = {}, 0
+        for batch in batches:
+            for own in _sets(batch.column(0), k):
+                c = int(_digest(own))
+                if len(own) and c not in held:
+                    held[c] = own
+                    size += len(own)
+                    if size >= BLOCK:
+                        yield from flush(held)
+                        held, size = {}, 0
+        if held:
+            yield from flush(held)
+
+    return docs.select(text_col).mapInArrow(run, _PACKED)
+
+
+_SHARED = "part int, heavy long, df long, classes binary, sizes binary, keys binary"
+
+
+def _dealt(classes, sizes, keys, bits):
+    """Rows of (class, size, key) by a hash of the class."""
+    part = (W.mix(classes) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(classes), np.int64)
+    order = np.lexsort((keys, classes, part))
+    part, classes, sizes, keys = part[order], classes[order], sizes[order], keys[order]
+    cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
+    return [(p, None, None, classes[a:b].tobytes(), sizes[a:b].tobytes(), keys[a:b].tobytes())
+            for p, a, b in zip(range(1 << bits), cuts[:-1], cuts[1:], strict=True) if a < b]
+
+
+def shared_keys(rows: DataFrame, bits: int) -> DataFrame:
+    """Order keys (frequency, then hash) of the n-grams that two classes or more have, dealt by class."""
+
+    def count(table: pa.Table) -> pa.Table:
+        weights, hashes, classes, sizes = [], [], [], []
+        for heavy, df, c, s, o, h in zip(*(table.column(n).to_pylist() for n in ("heavy", "df", "classes", "sizes", "owners", "hashes")), strict=True):
+            if heavy is not None:
+                weights.append((heavy, df))
+            else:
+                own = np.frombuffer(o, np.uint32)
+                hashes.append(_unplanes(h))
+                classes.append(np.frombuffer(c, np.uint64)[own])
+                sizes.append(np.frombuffer(s, np.uint32)[own])
+        empty = np.empty(0, np.uint64)
+        h, c, s = (np.concatenate(x) if x else empty for x in (hashes, classes, sizes))
+        order = np.lexsort((c, h))
+        h, c, s = h[order], c[order], s[order].astype(np.uint32)
+        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, bool)
+        h, c, s = h[fresh], c[fresh], s[fresh]  # copies in several blocks count once
+        distinct, at, df = np.unique(h, return_inverse=True, return_counts=True)
+        extra = {}
+        for heavy, n in weights:
+            extra[heavy] = extra.get(heavy, 0) + n
+        for heavy, n in extra.items():
+            i = int(np.searchsorted(distinct, np.uint64(heavy)))
+            if i < len(distinct) and int(distinct[i]) == heavy:
+                df[i] += n
+                extra[heavy] = int(df[i])
+        kept = df[at] > 1 if len(h) else np.empty(0, bool)
+        keys = (np.minimum(df, 32767).astype(np.uint64) << np.uint64(48) | distinct)[at][kept] if len(h) else empty
+        out = _dealt(c[kept], s[kept], keys, bits) + [(-1, heavy, n, b"", b"", b"") for heavy, n in extra.items()]
+        return pa.Table.from_batches(W.batches_of(out, _SHARED), schema=W.schema_of(_SHARED))
+
+    return rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(count, _SHARED)
+
+
+def heavy_keys(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
+    """The same rows for the classes of heavy hashes: their frequency is joined to the blocks' lists by hash."""
+
+    def deal(batches):
+        for b in batches:
+            out = []
+            for h, df, c, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
+                c = np.frombuffer(c, np.uint64)
+                out += _dealt(c, np.frombuffer(s, np.uint32), np.full(len(c), min(df, 32767) << 48 | h, np.uint64), bits)
+            yield from W.batches_of(out, _SHARED)
+
+    lists = rows.filter("bucket = -1").select("heavy", "classes", "sizes")
+    return lists.join(counted.filter("part = -1").select("heavy", "df"), "heavy").select("heavy", "df", "classes", "sizes").mapInArrow(deal, _SHARED)
+
+
+_CANDIDATE = "c long, n int, k int, p int, keys array<long>"
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """(c, n, k, p, keys): classes with a posted prefix; its ``p`` first of the ``k`` shared n-grams, in order of frequency."""
+
+    def choose(table: pa.Table) -> pa.Table:
+        column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
+        c, s, keys = column("classes", np.uint64), column("sizes", np.uint32).astype(np.int64), column("keys", np.uint64)
+        order = np.lexsort((keys, c))
+        c, s, keys = c[order], s[order], keys[order]
+        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (keys[1:] != keys[:-1])])
+        c, s, keys = c[fresh], s[fresh], keys[fresh]
+        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
+        k = np.diff(np.append(first, len(c)))
+        n = s[first]
+        p = (n - -(-percent * n // 100) + 1) - (n - k)
+        use = (p > 0) & (100 * k >= percent * n)  # and enough shared n-grams for the smallest possible partner
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k[use])]).astype(np.int32)), pa.array(keys[np.repeat(use, k)].view(np.int64)))
+        return pa.table([pa.array(c[first][use].view(np.int64)), *(pa.array(x[use].astype(np.int32)) for x in (n, k, p)), lists], schema=W.schema_of(_CANDIDATE))
+
+    return rows.groupBy("part").applyInArrow(choose, _CANDIDATE)
+
+
+def _possible(a, b, percent):
+    """Whether sizes and shared n-grams of two sets allow a link."""
+    need = percent * (F.col(f"{a}n") + F.col(f"{b}n"))
+    return (F.least(f"{a}k", f"{b}k") * (100 + percent) >= need) & (F.greatest(f"{a}n", f"{b}n") * percent <= 100 * F.least(f"{a}n", f"{b}n"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) pairs whose overlap makes a link."""
+    side = lambda x: sets.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("keys").alias(f"{x}_keys"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("a_keys", "b_keys")))
+    return both.filter(100 * F.col("o") >= percent * (F.col("a_n") + F.col("b_n") - F.col("o"))).select("a", "b")
+
+
+def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75) -> DataFrame:
+    """Per row: id, n_shingles, component_id (the smallest id that links of Jaccard >= percent / 100 reach)."""
+    spark = docs.sparkSession
+    rows = shared.cut(summaries(docs, id_col, text_col, k))
+    total = rows.agg(F.sum("n")).first()[0] or 0
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    bits = min(20, max(1, math.ceil(math.log2(max(2 * tasks, total / (1 << 20), 2)))))
+    blocks = packed(docs, text_col, k, bits)
+    counted = shared.cut(shared_keys(blocks, bits))
+    keys = counted.filter("part >= 0").unionByName(heavy_keys(blocks, counted, bits))
+    sets = shared.cut(candidates(keys, percent))
+
+    groups = (sets.withColumn("prefix", F.slice("keys", 1, F.col("p"))).withColumn("g", F.xxhash64("prefix", "n"))
+              .groupBy("g", "n", "k").agg(F.min("c").alias("a"), F.min_by("prefix", "c").alias("prefix")))
+    members = sets.select("c", "n", "k", F.xxhash64(F.slice("keys", 1, F.col("p")), "n").alias("g"))
+    groups = shared.cut(groups)
+    first = groups.select("g", "n", "k", "a")
+    inside = members.join(first, ["g", "n", "k"]).filter("a <> c").select("a", F.col("c").alias("b"))
+    posted = groups.select("a", "n", "k", F.explode("prefix").alias("key"))
+    best = F.struct((F.col("k") / F.col("n")).alias("share"), F.col("a"), F.col("n"), F.col("k"))
+    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.max(best).alias("top"), F.min("n").alias("least")).filter("size > 1")
+    lists = shared.cut(lists.select("key", F.col("top.a").alias("pivot"), F.col("top.n").alias("t_n"), F.col("top.k").alias("t_k"), F.col("top.share").alias("share"), "least"))
+    star = (posted.withColumnsRenamed({"n": "a_n", "k": "a_k"}).join(lists, "key").filter("a <> pivot").filter(_possible("a_", "t_", percent))
+            .groupBy("a").agg(F.max(F.struct("share", "pivot")).alias("m")).select("a", F.col("m.pivot").alias("b")))
+    links = shared.cut(_verified(inside.unionByName(star), sets, percent))
+    label = components(links)  # (v, label) of linked classes
+
+    of = members.join(label.withColumnRenamed("v", "c"), "c", "left").select("c", "g", "n", "k", F.coalesce("label", "c").alias("label"))
+    wide = (posted.select("key", "a", "n", "k").join(first.select("a", "g"), "a").join(of.select("c", "g", "n", "k", "label"), ["g", "n", "k"])
+            .join(lists.select("key", "pivot", "least"), "key")
+            .filter(F.col("k") * (100 + percent) >= percent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))))
+    home = wide.filter("c = pivot").select("key", F.col("label").alias("home"))
+    wide = shared.cut(wide.join(home, "key", "left").select("key", "c", "n", "k", "label", "home"))
+    out = wide.filter(~F.col("label").eqNullSafe(F.col("home"))).select("key", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "k", "label")])
+    all_ = wide.select("key", *[F.col(x).alias(f"b_{x}") for x in ("c", "n", "k", "label")])
+    across = (out.join(all_, "key").filter((F.col("a_label") != F.col("b_label")) & _possible("a_", "b_", percent))
+              .select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct())
+    more = shared.cut(_verified(across, sets, percent))
+    final = components(links.unionByName(more))
+
+    classes = rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
+    named = classes.join(final.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
+    name = named.groupBy("label").agg(F.min("least").alias("component_id"))
+    by_class = named.join(name, "label").select("c", "component_id")
+    return (rows.join(by_class, "c", "left")
+            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
+                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))

@@ -3,17 +3,26 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate
+from . import bpe, ctw, decontaminate, digest, jaccard, license, pii, quality, shared, warc
 from .shared import table
 
 
 def op1_byte_level_bpe(spark, sf_dir, vocabulary_path=None):
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary = bpe.Vocabulary(vocabulary_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    ids = bpe.encode_symbols(docs, vocabulary, public_tokenizers.PATTERN)
-    return ids.select("doc_id", F.length("symbols").cast("long").alias("n_tokens"),
-                      F.sha2(bpe.symbols_to_le32(F.col("symbols")), 256).alias("ids_sha256"),
-                      F.sha2(bpe.symbols_to_bytes(F.col("symbols"), vocabulary), 256).alias("decoded_sha256"))
+    ranks = bpe.read_ranks(vocabulary_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(docs, ranks, public_tokenizers.PATTERN, packed=True).drop("text")
+    whole = bpe.decode(ids, ranks)
+    return whole.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
+                        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op2_license_scan(spark, sf_dir):
+    found = license.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
+
+
+def op3_ngram_jaccard_join(spark, sf_dir):
+    return jaccard.similar_components(table(spark, sf_dir, "documents"))
 
 
 def op4_benchmark_decontamination(spark, sf_dir):
@@ -21,6 +30,48 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_level_bpe, op4_benchmark_decontamination)}
+def held_out(of, folds, fold):
+    return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")) % folds == fold
+
+
+def op6_quality_classifier(spark, sf_dir):
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = quality.train(docs, labels.filter(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label")))
+    scored = quality.score(docs, model)
+    return scored.select("doc_id", held_out("doc_id", 5, 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+def op7_document_fingerprints(spark, sf_dir):
+    return digest.edited_and_next(table(spark, sf_dir, "documents"))
+
+
+def op8_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    folder = shared.new_folder(spark, "warc")
+    warc.write(pages, folder)
+    records = warc.read(spark, folder).filter("record_id is not null")
+    kind = pages.schema["page_id"].dataType
+    return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").cast(kind).alias("refers_to"))
+
+
+def op9_pii(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    found = pii.find(docs, pii.train(docs))
+    base = F.filter("spans", lambda s: s["base"])
+    text = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    count = lambda k: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == k))).cast("long").alias(f"n_{k}")
+    counts = [count(k) for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text(base).cast("binary"), 256).alias("base_sha256"), text(F.col("spans")).alias("spans"))
+
+
+def op10_lm_scoring(spark, sf_dir):
+    scored = ctw.score(table(spark, sf_dir, "documents"), ~held_out("doc_id", 7, 2))
+    return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+QUERIES = {f.__name__: f for f in (
+    op1_byte_level_bpe, op2_license_scan, op3_ngram_jaccard_join, op4_benchmark_decontamination, op6_quality_classifier, op7_document_fingerprints,
+    op8_warc, op9_pii, op10_lm_scoring)}
 
 SQL = {}

@@ -1,8 +1,9 @@
 """Small helpers of the training-data operators."""
 
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
@@ -10,14 +11,41 @@ def cut(df: DataFrame) -> DataFrame:
 
     A folder of this machine is taken only where the setting is missing and the master is local, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def shared_folder(spark) -> str:
+    """The checkpoint folder of the session, set from ``spark.checkpoint.dir`` if it is not set yet."""
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if not named and not sc.master.startswith("local"):
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()
+
+
+def new_folder(spark, name) -> str:
+    """A path under the shared folder that does not exist yet."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4()}"
 
 
 def table(spark, sf_dir, name) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """The rows (.., n) of highest count, at most ``most`` of them.
+
+    The cut is a count class (quarter powers of two) taken from a histogram of a few hundred rows: no sort, and no task that sees all rows.
+    """
+    classed = counts.withColumn("class", F.floor(F.log2("n") * 4).cast("int"))
+    classes = sorted(((r["class"], r["k"]) for r in classed.groupBy("class").agg(F.count("*").alias("k")).collect()), reverse=True)
+    total, lowest = 0, None
+    for c, k in classes:
+        total += k
+        if total > most:
+            break
+        lowest = c
+    return (classed.limit(0) if lowest is None else classed.filter(F.col("class") >= lowest)).drop("class")

@@ -124,5 +124,22 @@ def grams(hashes: np.ndarray, k: int) -> np.ndarray:
     return mix(acc)
 
 
+_TYPES = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(),
+          "array<long>": pa.list_(pa.int64())}
+
+
+def schema_of(ddl: str) -> pa.Schema:
+    """The Arrow form of a flat schema."""
+    return pa.schema([(name, _TYPES[kind]) for name, kind in (c.split() for c in ddl.split(", "))])
+
+
+def batches_of(rows: list[tuple], ddl: str, size=256):
+    """Record batches of row tuples."""
+    target = schema_of(ddl)
+    for at in range(0, len(rows), size):
+        columns = zip(*rows[at:at + size], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, target, strict=True)], schema=target)
+
+
 def sha256(data: bytes) -> str:
     return hashlib.sha256(data).hexdigest()
