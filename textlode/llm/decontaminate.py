@@ -123,22 +123,44 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     ``items_sha256`` is the digest of the comma-joined, sorted ids of the items that have an occurring window.  ``block_words`` bounds what is sent
     to the executors at a time.  With more than one block, the blocks' hit ranges are united per document; ids must then be unique.
     """
+    kind = docs.schema[id_col].dataType.simpleString()
+    sent = list(_indexes(benchmark, item_id, item_text, window, k, block_words))
+    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    parts = [_against(source, s, kind, len(sent) > 1) for s in sent]
+    if len(parts) == 1:
+        return parts[0].select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words")
+    return _united(parts, id_col)
+
+
+def _indexes(benchmark, item_id, item_text, window, k, block_words):
+    """The blocks of items as broadcast indexes."""
     if not 0 < k <= window:
         raise ValueError("k must be between 1 and window")
-    spark = docs.sparkSession
     items = item_words(benchmark, item_id, item_text, window)
     total = items.agg(F.sum("n")).first()[0] or 0
     blocks = max(1, -(-2 * total // block_words))
     items = items.withColumn("block", F.pmod(F.xxhash64("words"), F.lit(blocks)))
-    kind = docs.schema[id_col].dataType.simpleString()
-    parts = []
     for block in range(blocks):
         own = [(r["item"], np.array(r["words"], dtype=np.int64).view(np.uint64)) for r in items.filter(F.col("block") == block).toLocalIterator()]
-        sent = spark.sparkContext.broadcast(Index(own, window, k))
-        parts.append(_against(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), sent, kind, blocks > 1))
-    if blocks == 1:
-        return parts[0].select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words")
-    return _united(parts, id_col)
+        yield benchmark.sparkSession.sparkContext.broadcast(Index(own, window, k))
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", item_id="item_id", item_text="text", window=10, k=5, block_words=1 << 22) -> DataFrame:
+    """The rows of ``docs`` without any window of an item, with all their columns; one pass over them for all blocks."""
+    at = docs.columns.index(text_col)
+    for sent in _indexes(benchmark, item_id, item_text, window, k, block_words):
+        docs = docs.mapInArrow(_without(sent, at), docs.schema)
+    return docs
+
+
+def _without(sent, at):
+    def run(batches):
+        for b in batches:
+            kept = []
+            for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(b.column(at)), W.ALNUM):
+                kept += [not len(hits(hashes[cuts[i]:cuts[i + 1]], sent.value)[1]) for i in range(len(cuts) - 1)]
+            yield b.filter(pa.array(kept, pa.bool_()))
+    return run
 
 
 def _against(docs, sent, kind, with_items):

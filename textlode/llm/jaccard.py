@@ -78,7 +78,7 @@ def _unplanes(data: bytes) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def packed(docs: DataFrame, text_col: str, k: int, bits: int) -> DataFrame:
+def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> DataFrame:
     """Sorted hashes with their classes, one row for each block and range of hashes, and the heavy hashes' classes."""
 
     def flush(held):
@@ -91,12 +91,12 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int) -> DataFrame:
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         counts = np.diff(np.append(first, len(hashes)))
         rows = []
-        for i in np.flatnonzero(counts > HEAVY):
+        for i in np.flatnonzero(counts > heavy):
             own = owners[first[i]:first[i] + counts[i]]
             h = int(hashes[first[i]])
             rows.append((-1, h, int(counts[i]), classes[own].tobytes(), sizes[own].tobytes(), b"", b""))
             rows.append((h >> (48 - bits), h, int(counts[i]), b"", b"", b"", b""))
-        light = np.repeat(counts <= HEAVY, counts)
+        light = np.repeat(counts <= heavy, counts)
         hashes, owners = hashes[light], owners[light]
         cuts = np.searchsorted(hashes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
         for b in range(1 << bits):
@@ -224,14 +224,14 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return both.filter(100 * F.col("o") >= percent * (F.col("a_n") + F.col("b_n") - F.col("o"))).select("a", "b")
 
 
-def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75) -> DataFrame:
+def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75, heavy=HEAVY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links of Jaccard >= percent / 100 reach)."""
     spark = docs.sparkSession
     rows = shared.cut(summaries(docs, id_col, text_col, k))
     total = rows.agg(F.sum("n")).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(20, max(1, math.ceil(math.log2(max(2 * tasks, total / (1 << 20), 2)))))
-    blocks = packed(docs, text_col, k, bits)
+    blocks = packed(docs, text_col, k, bits, heavy)
     counted = shared.cut(shared_keys(blocks, bits))
     keys = counted.filter("part >= 0").unionByName(heavy_keys(blocks, counted, bits))
     sets = shared.cut(candidates(keys, percent))

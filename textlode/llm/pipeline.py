@@ -1,11 +1,73 @@
-"""Stages of the training-data pipeline."""
+"""Stages of the training-data pipeline: quality, near duplicates, decontamination, personal data, tokens.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs`` with the columns of ``documents``; the last returns the token ids.  Stages
+filter and rewrite rows where they stand; only the near-duplicate stage shuffles, and not the texts unless very many ids are dropped.
+
+Defined cases: a null or empty text passes every stage that has no reason against it, and has no tokens; rows without an id are never dropped as
+duplicates; of rows that share an id and belong to the kept document, one stays; an empty table gives an empty table; extra columns pass through until
+the last stage.
+"""
+
+import public_tokenizers
+from pyspark.sql import functions as F
+
+from . import bpe, decontaminate, jaccard, pii, quality, shared
+from .queries import held_out
+
+#: Most dropped ids that are sent to all executors; more are joined by shuffle.
+BROADCAST = 500_000
+
+
+def quality_stage(spark, docs, sf_dir):
+    """Documents that the classifier does not reject (score at least 0.3)."""
+    labels = shared.table(spark, sf_dir, "labels").filter(~held_out("doc_id", 5, 0)).select("doc_id", F.col("quality").alias("label"))
+    return quality.keep(docs, quality.train(docs, labels), least=0.3)
+
+
+def near_duplicate_stage(spark, docs, sf_dir):
+    """Of each group that links of similarity reach, the document of smallest id."""
+    found = shared.cut(jaccard.similar_components(docs).filter("doc_id is not null"))
+    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped
+    kept = docs.join(dropped, "doc_id", "left_anti")
+    again = shared.cut(found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+
+
+def decontamination_stage(spark, docs, sf_dir):
+    """Documents without any window of a benchmark item."""
+    return decontaminate.clean(docs, shared.table(spark, sf_dir, "benchmark"))
+
+
+def pii_stage(spark, docs, sf_dir):
+    """All documents, personal data replaced by its kind in brackets; ``n_chars`` follows the text."""
+    out = pii.redacted(docs, pii.train(docs))
+    return out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars"))) if "n_chars" in out.columns else out
+
+
+def bpe_stage(spark, docs, sf_dir):
+    """(doc_id, n_tokens, ids, decoded_sha256) of every document."""
+    ranks = bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    ids = bpe.encode(docs.select("doc_id", "text"), ranks, public_tokenizers.PATTERN).drop("text")
+    whole = bpe.decode(ids, ranks)
+    return whole.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+STAGES = [("quality", quality_stage), ("near_duplicates", near_duplicate_stage), ("decontamination", decontamination_stage), ("pii", pii_stage),
+          ("bpe", bpe_stage)]
+
+#: The classifier is trained, so SQL cannot say the rows; tests hold each stage against brute force.
 ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    """All stages over ``documents``; what a stage returns is written to the shared folder and read back as the next one's documents."""
+    docs = shared.table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        folder = shared.new_folder(spark, name)
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -80,7 +80,7 @@ class Model:
     def score(self, x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         if self.w is None:
             return np.full(len(cuts) - 1, self.constant)
-        return _forward(self.w, (x - self.mean) / self.scale, cuts)[0]
+        return _forward(self.w, np.clip((x - self.mean) / self.scale, -8, 8), cuts)[0]
 
 
 def _sigmoid(z):
@@ -152,18 +152,32 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     return fit(np.concatenate(x).astype(float), np.concatenate([[0], np.cumsum([len(p) for p in x])]), np.array([r[1] for r in found]))
 
 
+def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
+    out = [np.empty(0)]
+    for lo, hi in W.chunked([len(t) for t in texts], 2 << 20):
+        bags = [passages(t) for t in texts[lo:hi]]
+        out.append(model.score(np.concatenate(bags), np.concatenate([[0], np.cumsum([len(x) for x in bags])])))
+    return np.concatenate(out)
+
+
+def keep(docs: DataFrame, model: Model, least: float, text_col="text") -> DataFrame:
+    """The rows of ``docs`` whose score is at least ``least``, with all their columns."""
+    sent, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            yield b.filter(pa.array(_scores(sent.value, W.texts_of(b.column(at))) >= least))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
     """Per row: id and ``score`` (0 to 1) of the whole text."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches):
-        model = sent.value
         for b in batches:
-            texts, out = W.texts_of(b.column(1)), []
-            for lo, hi in W.chunked([len(t) for t in texts], 2 << 20):
-                bags = [passages(t) for t in texts[lo:hi]]
-                out.append(model.score(np.clip(np.concatenate(bags), -1e6, 1e6), np.concatenate([[0], np.cumsum([len(x) for x in bags])])))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.concatenate(out) if out else np.empty(0))], names=["id", "score"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(sent.value, W.texts_of(b.column(1))))], names=["id", "score"])
 
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)

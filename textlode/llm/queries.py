@@ -51,8 +51,8 @@ def op8_warc(spark, sf_dir):
     warc.write(pages, folder)
     records = warc.read(spark, folder).filter("record_id is not null")
     kind = pages.schema["page_id"].dataType
-    return records.select(F.col("record_id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
-                          F.col("refers_to").cast(kind).alias("refers_to"))
+    return records.select(F.col("record_id").try_cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type",
+                          F.col("refers_to").try_cast(kind).alias("refers_to"))
 
 
 def op9_pii(spark, sf_dir):
