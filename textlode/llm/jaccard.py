@@ -12,7 +12,8 @@ for the pairs across components: the members outside the pivot's component again
 whatever the group's size; links inside a component change nothing.
 
 Frequencies are counted on packed arrays: a task sorts the hashes of up to ``BLOCK`` n-grams and sends one row for each range of hashes.  A hash that more
-than ``HEAVY`` classes of a block have is sent as a count, and its classes beside, so no range gathers a hot n-gram's classes; those are joined back by hash.
+than ``heavy`` classes of a block have counts as most frequent everywhere: its range is told so, and its classes go straight to where their n-grams are
+gathered, so no range gathers a hot n-gram's classes.
 
 Defined cases: null and empty texts have the empty set and are their own component; fewer than five words are one n-gram of all; ids that repeat are
 rows of their own, linked if their sets are equal or similar, and a component is named by its smallest id; an empty table gives an empty table; extra
@@ -28,6 +29,7 @@ from pyspark.sql import DataFrame, functions as F
 from . import shared, words as W
 from .components import components
 
+#: N-grams of a block; fewer than 2 ** 24, which bounds the number of its classes.
 BLOCK = 1 << 21
 HEAVY = 256
 _LOW = np.uint64((1 << 48) - 1)
@@ -64,18 +66,25 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n long, c long")
 
 
-_PACKED = "bucket int, heavy long, df long, classes binary, sizes binary, owners binary, hashes binary"
+_PACKED = "bucket int, heavy long, classes binary, sizes binary, owners binary, hashes binary"
+#: The frequency, as it orders n-grams, of the most frequent ones.
+MOST = 32767
 
 
 def _planes(values: np.ndarray) -> bytes:
-    """48-bit values by byte planes: the high bytes of sorted values compress well."""
-    return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].T).tobytes()
+    """Sorted 48-bit values: the steps between them by byte planes, as few as they need (they compress well)."""
+    steps = np.diff(values, prepend=np.uint64(0)).astype("<u8")
+    width = max(1, (int(steps[1:].max(initial=0)).bit_length() + 7) // 8)
+    planes = np.ascontiguousarray(steps[1:].view(np.uint8).reshape(-1, 8)[:, :width].T) if len(steps) > 1 else np.empty(0, np.uint8)
+    return bytes([width]) + steps[:1].tobytes() + planes.tobytes()
 
 
 def _unplanes(data: bytes) -> np.ndarray:
-    out = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    out[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(6, -1).T
-    return out.reshape(-1).view("<u8")
+    width, first = data[0], np.frombuffer(data[1:9], "<u8")
+    planes = np.frombuffer(data, np.uint8, offset=9).reshape(width, -1)
+    steps = np.zeros((planes.shape[1], 8), dtype=np.uint8)
+    steps[:, :width] = planes.T
+    return np.cumsum(np.concatenate([first, steps.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
 def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> DataFrame:
@@ -90,12 +99,12 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> Da
         hashes, owners = hashes[order], owners[order]
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         counts = np.diff(np.append(first, len(hashes)))
-        rows = []
-        for i in np.flatnonzero(counts > heavy):
-            own = owners[first[i]:first[i] + counts[i]]
-            h = int(hashes[first[i]])
-            rows.append((-1, h, int(counts[i]), classes[own].tobytes(), sizes[own].tobytes(), b"", b""))
-            rows.append((h >> (48 - bits), h, int(counts[i]), b"", b"", b"", b""))
+        hot = counts > heavy
+        rows = [(int(h) >> (48 - bits), int(h), b"", b"", b"", b"") for h in hashes[first[hot]]]
+        if hot.any():
+            own = np.repeat(hot, counts)
+            keys = np.uint64(MOST << 48) | hashes[own]
+            rows += [(-1 - part, None, c, n, b"", k) for part, c, n, k in _dealt(classes[owners[own]], sizes[owners[own]], keys, bits)]
         light = np.repeat(counts <= heavy, counts)
         hashes, owners = hashes[light], owners[light]
         cuts = np.searchsorted(hashes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
@@ -103,8 +112,9 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> Da
             part = slice(cuts[b], cuts[b + 1])
             if cuts[b] < cuts[b + 1]:
                 used, own = np.unique(owners[part], return_inverse=True)
-                rows.append((b, None, None, classes[used].tobytes(), sizes[used].tobytes(), own.astype(np.uint32).tobytes(), _planes(hashes[part])))
-        return W.batches_of(rows, _PACKED)
+                low, high = (own & 255).astype(np.uint8), (own >> 8).astype(np.uint16)
+                rows.append((b, None, classes[used].tobytes(), sizes[used].tobytes(), low.tobytes() + high.tobytes(), _planes(hashes[part])))
+        return W.batches_of(rows, _PACKED, 64)
 
     def run(batches):
         held, size = {}, 0
@@ -123,68 +133,49 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> Da
     return docs.select(text_col).mapInArrow(run, _PACKED)
 
 
-_SHARED = "part int, heavy long, df long, classes binary, sizes binary, keys binary"
+_SHARED = "part int, classes binary, sizes binary, keys binary"
 
 
 def _dealt(classes, sizes, keys, bits):
     """Rows of (class, size, key) by a hash of the class."""
-    part = (W.mix(classes) >> np.uint64(64 - bits)).astype(np.int64) if bits else np.zeros(len(classes), np.int64)
+    part = (W.mix(classes) >> np.uint64(64 - bits)).astype(np.int64)
     order = np.lexsort((keys, classes, part))
     part, classes, sizes, keys = part[order], classes[order], sizes[order], keys[order]
     cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-    return [(p, None, None, classes[a:b].tobytes(), sizes[a:b].tobytes(), keys[a:b].tobytes())
-            for p, a, b in zip(range(1 << bits), cuts[:-1], cuts[1:], strict=True) if a < b]
+    return [(p, classes[a:b].tobytes(), sizes[a:b].tobytes(), keys[a:b].tobytes()) for p, a, b in zip(range(1 << bits), cuts[:-1], cuts[1:], strict=True) if a < b]
 
 
 def shared_keys(rows: DataFrame, bits: int) -> DataFrame:
     """Order keys (frequency, then hash) of the n-grams that two classes or more have, dealt by class."""
 
     def count(table: pa.Table) -> pa.Table:
-        weights, hashes, classes, sizes = [], [], [], []
-        for heavy, df, c, s, o, h in zip(*(table.column(n).to_pylist() for n in ("heavy", "df", "classes", "sizes", "owners", "hashes")), strict=True):
+        if table.column("bucket")[0].as_py() < 0:  # keys that are known already
+            part = pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int32())
+            return pa.table([part, table.column("classes"), table.column("sizes"), table.column("hashes")], schema=W.schema_of(_SHARED))
+        most, hashes, classes, sizes = [], [], [], []
+        for heavy, c, n, o, h in zip(*(table.column(name).to_pylist() for name in ("heavy", "classes", "sizes", "owners", "hashes")), strict=True):
             if heavy is not None:
-                weights.append((heavy, df))
+                most.append(heavy)
             else:
-                own = np.frombuffer(o, np.uint32)
+                k = len(o) // 3
+                own = np.frombuffer(o, np.uint8, k) | (np.frombuffer(o[k:], np.uint16).astype(np.uint32) << 8)
                 hashes.append(_unplanes(h))
                 classes.append(np.frombuffer(c, np.uint64)[own])
-                sizes.append(np.frombuffer(s, np.uint32)[own])
+                sizes.append(np.frombuffer(n, np.uint32)[own])
         empty = np.empty(0, np.uint64)
-        h, c, s = (np.concatenate(x) if x else empty for x in (hashes, classes, sizes))
+        h, c, n = (np.concatenate(x) if x else empty for x in (hashes, classes, sizes))
         order = np.lexsort((c, h))
-        h, c, s = h[order], c[order], s[order].astype(np.uint32)
-        fresh = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])]) if len(h) else np.empty(0, bool)
-        h, c, s = h[fresh], c[fresh], s[fresh]  # copies in several blocks count once
+        h, c, n = h[order], c[order], n[order].astype(np.uint32)
+        fresh = np.ones(len(h), bool)
+        fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])  # copies in several blocks count once
+        h, c, n = h[fresh], c[fresh], n[fresh]
         distinct, at, df = np.unique(h, return_inverse=True, return_counts=True)
-        extra = {}
-        for heavy, n in weights:
-            extra[heavy] = extra.get(heavy, 0) + n
-        for heavy, n in extra.items():
-            i = int(np.searchsorted(distinct, np.uint64(heavy)))
-            if i < len(distinct) and int(distinct[i]) == heavy:
-                df[i] += n
-                extra[heavy] = int(df[i])
-        kept = df[at] > 1 if len(h) else np.empty(0, bool)
-        keys = (np.minimum(df, 32767).astype(np.uint64) << np.uint64(48) | distinct)[at][kept] if len(h) else empty
-        out = _dealt(c[kept], s[kept], keys, bits) + [(-1, heavy, n, b"", b"", b"") for heavy, n in extra.items()]
-        return pa.Table.from_batches(W.batches_of(out, _SHARED), schema=W.schema_of(_SHARED))
-
-    return rows.filter("bucket >= 0").groupBy("bucket").applyInArrow(count, _SHARED)
-
-
-def heavy_keys(rows: DataFrame, counted: DataFrame, bits: int) -> DataFrame:
-    """The same rows for the classes of heavy hashes: their frequency is joined to the blocks' lists by hash."""
-
-    def deal(batches):
-        for b in batches:
-            out = []
-            for h, df, c, s in zip(*(x.to_pylist() for x in b.columns), strict=True):
-                c = np.frombuffer(c, np.uint64)
-                out += _dealt(c, np.frombuffer(s, np.uint32), np.full(len(c), min(df, 32767) << 48 | h, np.uint64), bits)
-            yield from W.batches_of(out, _SHARED)
+        df = np.where(np.isin(distinct, np.array(most, np.uint64)), MOST, np.minimum(df, MOST - 1)).astype(np.uint64)
+        kept = df[at] > 1
+        keys = (df << np.uint64(48) | distinct)[at][kept]
+        return pa.Table.from_batches(W.batches_of(_dealt(c[kept], n[kept], keys, bits), _SHARED), schema=W.schema_of(_SHARED))
 
-    lists = rows.filter("bucket = -1").select("heavy", "classes", "sizes")
-    return lists.join(counted.filter("part = -1").select("heavy", "df"), "heavy").select("heavy", "df", "classes", "sizes").mapInArrow(deal, _SHARED)
+    return rows.groupBy("bucket").applyInArrow(count, _SHARED)
 
 
 _CANDIDATE = "c long, n int, k int, p int, keys array<long>"
@@ -232,9 +223,7 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     bits = min(20, max(1, math.ceil(math.log2(max(2 * tasks, total / (1 << 20), 2)))))
     blocks = packed(docs, text_col, k, bits, heavy)
-    counted = shared.cut(shared_keys(blocks, bits))
-    keys = counted.filter("part >= 0").unionByName(heavy_keys(blocks, counted, bits))
-    sets = shared.cut(candidates(keys, percent))
+    sets = shared.cut(candidates(shared_keys(blocks, bits), percent))
 
     groups = (sets.withColumn("prefix", F.slice("keys", 1, F.col("p"))).withColumn("g", F.xxhash64("prefix", "n"))
               .groupBy("g", "n", "k").agg(F.min("c").alias("a"), F.min_by("prefix", "c").alias("prefix")))
