@@ -22,6 +22,7 @@ def main():
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
     only = sys.argv[1:]
     registry = catalog.load()
+    catalog.registry.text_parts = int(os.environ.get("BENCH_CPUS", "8"))  # the benchmark's text tables are one row group each
     spark = local_session()
     spark.sparkContext.setLogLevel("OFF")
     spark.range(1000).selectExpr("sum(id)").collect()  # start the executors

@@ -41,7 +41,8 @@ def test_regex_spans_lines_and_errors(spark):
     df = files(spark, "foo(\n  a)\nbar(a)")
     got = grep.search_regex(df, r"(\w+)\(\s*a\)", groups=1).orderBy("line").collect()
     assert [(r["line"], r["column"], r["groups"]) for r in got] == [(1, 1, ["foo"]), (3, 1, ["bar"])]
-    assert "Invalid regex" in grep.search_regex(df, "(").first()["error"]
+    bad = grep.search_regex(df, "(")
+    assert "Invalid regex" in bad.first()["match_text"] and bad.columns == grep.search_regex(df, "a").columns and bad.count() == 1
 
 
 def test_call_sites_stored_twice_for_members(spark):
@@ -65,3 +66,44 @@ def test_usages_prefer_calls(spark):
 def test_enclosing_function(spark, code):
     got = {(r["line"], r["enclosing_name"]) for r in grep.search_with_function(code, "helper").collect()}
     assert got == {(6, "heap_insert"), (10, "helper"), (13, "helper")}
+
+
+def test_nothing_is_cut_by_default(spark):
+    """A file of over 500 000 characters, a line of over 500, more than 200 hits."""
+    from textlode.operators import index, rank
+    big = "word " * 120_000 + "\nneedle " + "x" * 600 + " needle\n" + "hit\n" * 300
+    df = spark.createDataFrame([("big.c", big, "c", 1)], "path string, content string, language string, ord int")
+    assert grep.search_literal(df, "needle").count() == 2 and grep.search_literal(df, "hit").count() == 300
+    assert grep.search_regex(df, "needle").count() == 2
+    assert rank.find_text_in_code(grep.corpus_lines(df), "needle").count() == 1
+    assert rank.trigram_file_search(df, "hit").first()["match_count"] == 300
+    assert index.line_trigrams(grep.corpus_lines(df)).filter("tri = 'xxx'").count() == 1
+    assert index.positioned_trigrams(df).filter("tri = 'wor'").first()["positions"][-1] == 5 * 119_999
+
+
+def test_cooccurrence_reads_long_documents(spark):
+    from itertools import combinations
+    from textlode.operators import vocabulary
+    docs = {f"d{d}": {f"t{(d * 131 + i * 7 + i * i % 5) % 997}" for i in range(20 + 60 * d)} for d in range(12)}
+    assert max(map(len, docs.values())) > 500
+    table = spark.createDataFrame([(p, t) for p, ts in docs.items() for t in ts], "path string, term string")
+    at = {}
+    for p, ts in docs.items():
+        for t in ts:
+            at.setdefault(t, set()).add(p)
+    usable = {t: ps for t, ps in at.items() if 2 <= len(ps) <= 6}
+    want = {}
+    for x, y in combinations(sorted(usable), 2):
+        both, either = len(usable[x] & usable[y]), len(usable[x] | usable[y])
+        if both >= 2 and both / either >= 0.3:
+            want[x, y] = both
+    got = {(r.t1, r.t2): r.joint for r in vocabulary.synonyms(table).collect()}
+    assert got == want and want
+
+
+def test_regex_groups_and_widths(spark):
+    df = spark.createDataFrame([("a.c", "aabb\nxx yy\nabc(1,2,3,4)", 1)], "path string, content string, ord int")
+    assert [(r["line"], r["column"]) for r in grep.search_regex(df, r"(\w)\1").orderBy("line", "column").collect()] == [(1, 1), (1, 3), (2, 1), (2, 4)]
+    assert [r["line"] for r in grep.search_regex(df, "^").orderBy("line").collect()] == [1, 2, 3]
+    assert grep.search_regex(df, r"(\w)\((\d),(\d),(\d),(\d)\)", groups=5).first()["groups"] == ["c", "1", "2", "3", "4"]
+    assert grep.search_regex(df, "(?<n>aa)").count() == 1

@@ -45,19 +45,19 @@ def _(spark, sf):
     return index.file_name_trigrams(corpus(spark, sf)).groupBy("tri").agg(F.count("*").alias("files"))
 
 
-@query("idx_04_line_trigrams", f"SELECT tri, count(*) AS lines FROM (SELECT path, line, unnest(list_distinct({R.grams('s')})) AS tri FROM (SELECT path, line, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM ({R.LINES}) WHERE length(text) BETWEEN 3 AND 500)) GROUP BY tri")
+@query("idx_04_line_trigrams", f"SELECT tri, count(*) AS lines FROM (SELECT path, line, unnest(list_distinct({R.grams('s')})) AS tri FROM (SELECT path, line, regexp_replace(lower(text), '[^a-z0-9]', '', 'g') AS s FROM ({R.LINES}) WHERE length(text) >= 3)) GROUP BY tri")
 def _(spark, sf):
     return index.line_trigrams(grep.corpus_lines(corpus(spark, sf))).groupBy("tri").agg(F.count("*").alias("lines"))
 
 
-@query("idx_15_positioned_trigrams", "SELECT path, sum(least(n, 1000))::BIGINT AS kept, count(*) AS tris, least(max(n), 1000) AS most FROM (SELECT path, tri, count(*) AS n FROM (SELECT path, unnest(" + R.grams("s")
+@query("idx_15_positioned_trigrams", "SELECT path, sum(n)::BIGINT AS kept, count(*) AS tris, max(n) AS most FROM (SELECT path, tri, count(*) AS n FROM (SELECT path, unnest(" + R.grams("s")
        + f") AS tri FROM (SELECT path, lower(content) AS s FROM ({R.DOCS}))) WHERE NOT regexp_full_match(tri, '\\s+') GROUP BY 1, 2) GROUP BY path")
 def _(spark, sf):
     p = index.positioned_trigrams(corpus(spark, sf)).withColumn("n", F.size("positions").cast("bigint"))
     return p.groupBy("path").agg(F.sum("n").alias("kept"), F.count("*").alias("tris"), F.max("n").alias("most"))
 
 
-@query("idx_16_lightweight_trigrams", f"SELECT count(*) AS tris FROM (SELECT DISTINCT unnest({R.grams('s')}) AS tri FROM (SELECT lower(content) AS s FROM (SELECT * FROM ({R.DOCS}) ORDER BY ord LIMIT 500) WHERE length(content) BETWEEN 1 AND 50000)) WHERE NOT regexp_full_match(tri, '\\s+')")
+@query("idx_16_lightweight_trigrams", f"SELECT count(*) AS tris FROM (SELECT DISTINCT unnest({R.grams('s')}) AS tri FROM (SELECT lower(content) AS s FROM ({R.DOCS}))) WHERE NOT regexp_full_match(tri, '\\s+')")
 def _(spark, sf):
     p = index.positioned_trigrams(index.lightweight_files(corpus(spark, sf)))
     return p.select("tri").distinct().agg(F.count("*").alias("tris"))
@@ -187,8 +187,8 @@ def _(spark, sf):
     return vocabulary.learned_stop_words(vocabulary.document_terms(_learned(spark, sf)))
 
 
-_SYN = (f"WITH dt AS MATERIALIZED (SELECT path, term FROM ({_OCC})), df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), small AS (SELECT path FROM dt GROUP BY 1 HAVING count(*) <= 500), "
-        "ok AS (SELECT path, term FROM dt WHERE path IN (SELECT path FROM small) AND term IN (SELECT term FROM df WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5)), "
+_SYN = (f"WITH dt AS MATERIALIZED (SELECT path, term FROM ({_OCC})), df AS (SELECT term, count(*) AS df FROM dt GROUP BY 1), "
+        "ok AS (SELECT path, term FROM dt WHERE term IN (SELECT term FROM df WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5)), "
         "p AS (SELECT a.term AS t1, b.term AS t2, count(*) AS joint FROM ok a JOIN ok b ON a.path = b.path AND a.term < b.term GROUP BY 1, 2 HAVING count(*) >= 2) "
         "SELECT t1, t2, joint, round(joint / (x.df + y.df - joint), 6) AS jaccard FROM p JOIN df x ON x.term = t1 JOIN df y ON y.term = t2 WHERE joint / (x.df + y.df - joint) >= 0.3")
 
@@ -224,7 +224,7 @@ def _(spark, sf):
 _FIN = f"SELECT term, df, total, total * ln(((SELECT count(*) FROM documents) + 1) / (df + 1)) AS weight FROM ({_TT}) WHERE df >= 2 AND df <= (SELECT count(*) FROM documents) * 0.5"
 
 
-def _vocab(spark, sf, cap=fixed.MAX_VOCABULARY):
+def _vocab(spark, sf, cap=None):
     n = table(spark, sf, "documents").agg(F.count("*")).scalar()
     return vocabulary.finalize(vocabulary.term_table(_learned(spark, sf)), n, cap=cap)
 

@@ -14,6 +14,8 @@ def query(name, sql=None):
 
 
 TEXT_TABLES = {"documents": "doc_id", "pages": "page_id", "part": "p_partkey"}
+#: A caller whose text tables are single row groups, which are one task however many cores there are, may name a number of parts.
+text_parts = None
 
 
 def table(spark, sf_dir, name):
@@ -21,9 +23,9 @@ def table(spark, sf_dir, name):
 
 
 def text_table(spark, sf_dir, name):
-    """A table whose rows are expensive to read: spread over the cores when it is small."""
-    from ..sources.files import spread
-    return spread(table(spark, sf_dir, name), TEXT_TABLES[name])
+    """A table whose rows are expensive to process, as its files are split, or in ``text_parts`` parts."""
+    df = table(spark, sf_dir, name)
+    return df if text_parts is None else df.repartition(text_parts, TEXT_TABLES[name])
 
 
 def corpus(spark, sf_dir):

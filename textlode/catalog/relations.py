@@ -199,6 +199,17 @@ def _defs(spark, sf):
                     c("c_nationkey").alias("line"), F.when(c("c_acctbal") < 0, "method").otherwise("function").alias("type"))
 
 
+def _many_defs(spark, sf):
+    """Definitions with repeated names: customers 150 apart share one, the smallest key is the first."""
+    k = table(spark, sf, "customer")
+    return k.select(F.concat(F.lit("fn_"), (c("c_custkey") % 150).cast("string")).alias("name"), F.concat(F.lit("src/"), F.lower("c_mktsegment"), F.lit(".c")).alias("file"),
+                    c("c_nationkey").alias("line"), F.when(c("c_acctbal") < 0, "method").otherwise("function").alias("type"), c("c_custkey").alias("ord"))
+
+
+_FIRST_DEFS = ("SELECT 'fn_' || (c_custkey % 150) AS name, arg_min('src/' || lower(c_mktsegment) || '.c', c_custkey) AS file, "
+               "arg_min(CASE WHEN c_acctbal < 0 THEN 'method' ELSE 'function' END, c_custkey) AS type FROM customer GROUP BY 1")
+
+
 @query("grf_01_edges", R.EDGES)
 def _(spark, sf):
     return edges(spark, sf)
@@ -221,14 +232,14 @@ def _(spark, sf):
     return graph.callees(edges(spark, sf), "fn_7")
 
 
-@query("joi_16_callers_with_symbols", f"SELECT 'fn_7' AS matched_variant, caller AS name, file, type FROM ({R.EDGES}) LEFT JOIN ({_DEFS}) ON name = caller WHERE callee = 'fn_7'")
+@query("joi_16_callers_with_symbols", f"SELECT 'fn_7' AS matched_variant, caller AS name, file, type FROM ({R.EDGES}) LEFT JOIN ({_FIRST_DEFS}) ON name = caller WHERE callee = 'fn_7'")
 def _(spark, sf):
-    return graph.find_callers(edges(spark, sf), ["nope", "fn_7", "fn_8"], _defs(spark, sf)).select("matched_variant", "name", "file", "type")
+    return graph.find_callers(edges(spark, sf), ["nope", "fn_7", "fn_8"], _many_defs(spark, sf)).select("matched_variant", "name", "file", "type")
 
 
-@query("joi_17_callees_with_symbols", f"SELECT 'fn_8' AS matched_variant, callee AS name, file, type FROM ({R.EDGES}) LEFT JOIN ({_DEFS}) ON name = callee WHERE caller = 'fn_8'")
+@query("joi_17_callees_with_symbols", f"SELECT 'fn_8' AS matched_variant, callee AS name, file, type FROM ({R.EDGES}) LEFT JOIN ({_FIRST_DEFS}) ON name = callee WHERE caller = 'fn_8'")
 def _(spark, sf):
-    return graph.find_callees(edges(spark, sf), ["nope", "fn_8", "fn_7"], _defs(spark, sf)).select("matched_variant", "name", "file", "type")
+    return graph.find_callees(edges(spark, sf), ["nope", "fn_8", "fn_7"], _many_defs(spark, sf)).select("matched_variant", "name", "file", "type")
 
 
 @query("joi_18_first_variant_sites", "SELECT path FROM (" + R.PAGES + ") WHERE contains(content, 'track(') ORDER BY ord LIMIT 30")
@@ -255,15 +266,15 @@ def _(spark, sf):
     return graph.neighbourhood(edges(spark, sf), "fn_7", 2).select("caller", "callee")
 
 
-@query("grf_06_entry_points", f"SELECT caller AS name, count(*) AS call_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_DEFS}) ON name = caller WHERE caller NOT IN (SELECT callee FROM ({R.EDGES})) GROUP BY caller")
+@query("grf_06_entry_points", f"SELECT caller AS name, count(*) AS call_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_FIRST_DEFS}) ON name = caller WHERE caller NOT IN (SELECT callee FROM ({R.EDGES})) GROUP BY caller")
 def _(spark, sf):
-    return graph.entry_points(edges(spark, sf), _defs(spark, sf)).select("name", "call_count", "file")
+    return graph.entry_points(edges(spark, sf), _many_defs(spark, sf)).select("name", "call_count", "file")
 
 
-@query("grf_07_leaf_functions", f"SELECT caller AS name, count(*) AS caller_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_DEFS}) ON name = caller WHERE caller NOT IN (SELECT callee FROM ({R.EDGES})) GROUP BY caller")
+@query("grf_07_leaf_functions", f"SELECT caller AS name, count(*) AS caller_count, any_value(file) AS file FROM ({R.EDGES}) JOIN ({_FIRST_DEFS}) ON name = caller WHERE caller NOT IN (SELECT callee FROM ({R.EDGES})) GROUP BY caller")
 def _(spark, sf):
     turned = edges(spark, sf).select(c("callee").alias("caller"), c("caller").alias("callee"), "ord")
-    return graph.leaf_functions(turned, _defs(spark, sf)).select("name", "caller_count", "file")
+    return graph.leaf_functions(turned, _many_defs(spark, sf)).select("name", "caller_count", "file")
 
 
 @query("grf_08_call_paths", f"WITH RECURSIVE e AS MATERIALIZED (SELECT caller, callee FROM ({R.EDGES})), p AS (SELECT ['fn_7'] AS path UNION ALL SELECT list_append(path, callee) FROM p JOIN e ON caller = path[-1] WHERE len(path) <= 3 AND path[-1] <> 'fn_12' AND NOT list_contains(path, callee)) "

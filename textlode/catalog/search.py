@@ -38,7 +38,7 @@ def _(spark, sf):
 @query("grp_01_top_200_with_context", "SELECT h.path, line, col AS \"column\", array_to_string(ls[greatest(line - 2, 1):line - 1], '~') AS before, array_to_string(ls[line + 1:line + 2], '~') AS after "
        f"FROM ({_literal_sql('tion', limit=200)}) h JOIN (SELECT path, string_split(content, chr(10)) AS ls FROM ({R.DOCS})) d ON h.path = d.path")
 def _(spark, sf):
-    h = grep.search_literal(corpus(spark, sf), "TION")
+    h = grep.search_literal(corpus(spark, sf), "TION", max_results=200)
     return h.select("path", *BIG("line", "column"), joined("before", "~").alias("before"), joined("after", "~").alias("after"))
 
 
@@ -59,6 +59,24 @@ def _(spark, sf):
     return h.select("path", *BIG("line"), "match_text", F.get("groups", F.lit(0)).alias("g1"))
 
 
+@query("grp_02_backreference", f"SELECT path, len(regexp_extract_all(content, '{'|'.join(x + x for x in 'abcdefghijklmnopqrstuvwxyz')}')) AS n FROM ({R.DOCS}) WHERE n > 0")
+def _(spark, sf):
+    return grep.search_regex(corpus(spark, sf), r"([a-z])\1", groups=1, flags="").groupBy("path").agg(F.count("*").alias("n"))
+
+
+@query("grp_02_zero_width", f"SELECT path, line FROM ({R.LINES})")
+def _(spark, sf):
+    return grep.search_regex(corpus(spark, sf), "^", flags="md").select("path", *BIG("line"))
+
+
+_SIX = r"\+(1) \((\d)(\d)(\d)\) (\d{3})-(\d{4})"
+
+
+@query("grp_02_many_groups", "SELECT path, line, array_to_string([" + ", ".join(f"regexp_extract(m, '{_SIX}', {i})" for i in range(1, 7)) + f"], '|') AS groups FROM (SELECT path, line, unnest(regexp_extract_all(text, '{_SIX}')) AS m FROM ({R.LINES}))")
+def _(spark, sf):
+    return grep.search_regex(corpus(spark, sf), _SIX, groups=6).select("path", *BIG("line"), R.joined("groups").alias("groups"))
+
+
 _PLINES = f"SELECT ord, path, unnest(string_split(content, chr(10))) AS text, generate_subscripts(string_split(content, chr(10)), 1) AS line FROM ({R.PAGES})"
 _CALLS = ("SELECT fn, path, ord, line, rule FROM (SELECT path, ord, line, unnest(regexp_extract_all(text, '(?:^|[^A-Za-z0-9_])([a-zA-Z_]\\w*)\\s*\\(', 1)) AS fn, 0 AS rule FROM ({lines}) UNION ALL "
           "SELECT path, ord, line, unnest(regexp_extract_all(text, '\\.([a-zA-Z_]\\w*)\\s*\\(', 1)), 1 FROM ({lines}) UNION ALL SELECT path, ord, line, unnest(regexp_extract_all(text, '->([a-zA-Z_]\\w*)\\s*\\(', 1)), 2 FROM ({lines}) "
@@ -79,7 +97,7 @@ def _(spark, sf):
 
 @query("grp_05_symbol_usages", "SELECT path, line, CASE WHEN regexp_matches(text, 'track\\(') THEN 'call' ELSE 'reference' END AS usage_type FROM (" + _PLINES + ") WHERE regexp_matches(text, '(^|\\W)track(\\W|$)') ORDER BY usage_type, ord, line LIMIT 200")
 def _(spark, sf):
-    return grep.symbol_usages(page_corpus(spark, sf), "track").select("path", *BIG("line"), "usage_type")
+    return grep.symbol_usages(page_corpus(spark, sf), "track", max_results=200).select("path", *BIG("line"), "usage_type")
 
 
 @query("grp_06_with_function_context", "SELECT h.path, h.line, arg_max(d.name, d.line) AS enclosing FROM (" + _literal_sql("555-", src=R.LINES) + ") h LEFT JOIN "
@@ -126,12 +144,12 @@ def _(spark, sf):
     return ordering.top_per_key(found, ["path"], ["leg", "ord", "line"], 3).select("path", *BIG("line", "rn"))
 
 
-@query("grp_14_trigram_file_search", f"SELECT path, least(count(*), 20) AS match_count FROM ({R.LINES}) WHERE contains(lower(text), 'ations') GROUP BY path, ord ORDER BY match_count DESC, ord LIMIT 100")
+@query("grp_14_trigram_file_search", f"SELECT path, count(*) AS match_count FROM ({R.LINES}) WHERE contains(lower(text), 'ations') GROUP BY path, ord ORDER BY match_count DESC, ord LIMIT 100")
 def _(spark, sf):
     return rank.trigram_file_search(corpus(spark, sf), "ations").select("path", *BIG("match_count"))
 
 
-@query("grp_15_text_in_code", f"SELECT path, line, left(trim(text), 200) AS context FROM ({R.LINES}) WHERE length(text) BETWEEN 3 AND 500 AND contains(lower(text), 'er the') ORDER BY ord, line LIMIT 30")
+@query("grp_15_text_in_code", f"SELECT path, line, left(trim(text), 200) AS context FROM ({R.LINES}) WHERE length(text) >= 3 AND contains(lower(text), 'er the') ORDER BY ord, line LIMIT 30")
 def _(spark, sf):
     return rank.find_text_in_code(grep.corpus_lines(corpus(spark, sf)), "ER the").select("path", *BIG("line"), "context")
 

@@ -25,7 +25,7 @@ def _(spark, sf):
     return aggregates.largest_files(corpus(spark, sf))
 
 
-@query("agg_02_language_stats", f"SELECT language AS lang, count(*) AS files, sum(n_lines)::BIGINT AS lines, sum(size)::BIGINT AS size FROM ({_S}) GROUP BY language ORDER BY lines DESC LIMIT 15")
+@query("agg_02_language_stats", f"SELECT language AS lang, count(*) AS files, sum(n_lines)::BIGINT AS lines, sum(size)::BIGINT AS size FROM ({_S}) GROUP BY language")
 def _(spark, sf):
     return aggregates.language_stats(corpus(spark, sf), by_extension=False)
 
@@ -114,7 +114,7 @@ def _(spark, sf):
 
 @query("src_12_scan_cap", f"SELECT path FROM ({R.DOCS}) ORDER BY path LIMIT 10000")
 def _(spark, sf):
-    return filesrc.limited(corpus(spark, sf)).select("path")
+    return filesrc.limited(corpus(spark, sf), 10_000).select("path")
 
 
 # --- rendered text ------------------------------------------------------------------------

@@ -232,7 +232,7 @@ _file("prj_05_folder_filter", lambda f: [paths.folder_allowed(F.substring_index(
       "NOT contains(split_part(f, '/', 1), 'mal') AND (contains(split_part(f, '/', 1), 're') OR contains(split_part(f, '/', 1), 'sm')) AS ok")
 
 
-@query("src_09_grep_corpus", f"SELECT path, len(string_split(content, chr(10))) AS lines FROM ({R.DOCS}) WHERE length(content) BETWEEN 1 AND 500000")
+@query("src_09_grep_corpus", f"SELECT path, len(string_split(content, chr(10))) AS lines FROM ({R.DOCS}) WHERE length(content) > 0")
 def _(spark, sf):
     from ..operators.grep import grep_corpus
     return grep_corpus(R.corpus(spark, sf)).select("path", text.line_count(c("content")).cast("bigint").alias("lines"))

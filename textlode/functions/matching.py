@@ -20,9 +20,10 @@ def ascii_edges(pattern: str) -> str:
 
 @dataclass(frozen=True)
 class Rule:
-    """One pattern; ``groups`` are the capture numbers kept as g1, g2, g3."""
+    """One pattern; ``groups`` are the capture numbers kept as g1, g2, g3; ``zero_width`` for patterns that may match nothing."""
     pattern: str
     groups: tuple = (1,)
+    zero_width: bool = False
 
     def __post_init__(self):
         object.__setattr__(self, "pattern", ascii_edges(self.pattern))
@@ -43,10 +44,13 @@ def _braces(s):
 
 def _entries(content: Column, rule: Rule) -> Column:
     """Matches of one rule as an array of (gap, m, g1, g2, g3); the tail gap has no match."""
-    whole = F.regexp_extract_all(content, F.lit(f"({rule.pattern})"), F.lit(1))
+    whole = F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(0))
     groups = [F.regexp_extract_all(content, F.lit(rule.pattern), F.lit(g)) for g in rule.groups]
     groups += [F.array().cast("array<string>")] * (3 - len(groups))  # zipped as nulls
-    return F.arrays_zip(F.split(content, rule.pattern, -1).alias("gap"), whole.alias("m"),
+    gaps = F.split(content, rule.pattern, -1)
+    if rule.zero_width:  # split leaves out the empty gap before a match of no width at the start
+        gaps = F.when(F.size(gaps) <= F.size(whole), F.concat(F.array(F.lit("")), gaps)).otherwise(gaps)
+    return F.arrays_zip(gaps.alias("gap"), whole.alias("m"),
                         *[g.alias(f"g{k + 1}") for k, g in enumerate(groups)])
 
 

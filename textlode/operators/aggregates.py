@@ -16,11 +16,10 @@ def with_file_facts(files: DataFrame) -> DataFrame:
 
 
 def workspace_stats(files: DataFrame, count_lines_for=None) -> DataFrame:
-    """By extension, by top directory and in total, from one scan (grouping sets)."""
-    facts = with_file_facts(files).filter(F.col("size") <= fixed.MAX_FILE_BYTES)
+    """By extension, by top directory and in total, from one scan (grouping sets); lines of ``count_lines_for`` extensions only, if given."""
+    facts = with_file_facts(files)
     if count_lines_for is not None:
-        facts = facts.withColumn("n_lines", F.when(F.col("ext").isin(*count_lines_for) & (F.col("size") < 1024 * 1024),
-                                                   F.col("n_lines")).otherwise(0))
+        facts = facts.withColumn("n_lines", F.when(F.col("ext").isin(*count_lines_for), F.col("n_lines")).otherwise(0))
     return facts.groupingSets([[F.col("ext")], [F.col("top_dir")], []], F.col("ext"), F.col("top_dir")).agg(
         F.count("*").alias("files"), F.sum("n_lines").alias("lines"), F.sum("size").alias("size"),
         F.grouping_id().alias("gid")) \
@@ -33,13 +32,12 @@ def largest_files(files: DataFrame, n=10) -> DataFrame:
     return ordering.top(facts, (F.desc("n_lines"), "ord"), n).drop("ord")
 
 
-def language_stats(files: DataFrame, n=15, by_extension=True) -> DataFrame:
+def language_stats(files: DataFrame, n=None, by_extension=True) -> DataFrame:
     facts = with_file_facts(files)
     lang = F.try_element_at(paths.lit_map(fixed.DISPLAY_LANGUAGES), F.col("ext")) if by_extension else F.col("language")
-    return ordering.top(
-        facts.withColumn("lang", lang).filter((F.col("size") <= 1_000_000) & F.col("lang").isNotNull())
-        .groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_lines").alias("lines"), F.sum("size").alias("size")),
-        (F.desc("lines"), "lang"), n)
+    stats = facts.withColumn("lang", lang).filter(F.col("lang").isNotNull()) \
+        .groupBy("lang").agg(F.count("*").alias("files"), F.sum("n_lines").alias("lines"), F.sum("size").alias("size"))
+    return stats if n is None else ordering.top(stats, (F.desc("lines"), "lang"), n)
 
 
 def attachment_stats(files: DataFrame) -> DataFrame:

@@ -16,8 +16,13 @@ def callees(edges: DataFrame, name: str) -> DataFrame:
 
 def with_symbol(names: DataFrame, definitions: DataFrame) -> DataFrame:
     """Attach the first definition of each name; names without one stay with nulls."""
-    d = definitions.select("name", "file", "line", "type")
-    return names.join(d, "name", "left")
+    return names.join(first_definitions(definitions), "name", "left")
+
+
+def first_definitions(definitions: DataFrame) -> DataFrame:
+    """(name, file, line, type): the first definition of each name, by ``ord`` where there is one, else by file and line."""
+    order = ["ord"] if "ord" in definitions.columns else ["file", "line"]
+    return ordering.first_by(definitions, ["name"], order, ["file", "line", "type"])
 
 
 def first_variant(edges: DataFrame, variants, end: str, other: str) -> DataFrame:
@@ -96,13 +101,13 @@ def nodes_of(sub: DataFrame) -> DataFrame:
 def entry_points(edges: DataFrame, definitions: DataFrame) -> DataFrame:
     out = edges.groupBy(F.col("caller").alias("name")).agg(F.count("*").alias("call_count"))
     called = edges.select(F.col("callee").alias("name"))
-    return out.join(called, "name", "left_anti").join(definitions.select("name", "file", "line", "type"), "name")
+    return out.join(called, "name", "left_anti").join(first_definitions(definitions), "name")
 
 
 def leaf_functions(edges: DataFrame, definitions: DataFrame) -> DataFrame:
     into = edges.groupBy(F.col("callee").alias("name")).agg(F.count("*").alias("caller_count"))
     calls = edges.select(F.col("caller").alias("name"))
-    return into.join(calls, "name", "left_anti").join(definitions.select("name", "file", "line", "type"), "name")
+    return into.join(calls, "name", "left_anti").join(first_definitions(definitions), "name")
 
 
 def call_paths(edges: DataFrame, source: str, target: str, max_depth=10) -> DataFrame:

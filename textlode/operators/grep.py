@@ -2,10 +2,11 @@
 
 import re
 
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, paths
-from ..functions.matching import Rule, match_rows
+from ..functions.matching import Rule, ascii_edges, match_rows
 from ..functions.text import escape_regex, line_count
 from . import ordering
 
@@ -13,9 +14,8 @@ HIT_ORDER = ("ord", "line", "column")
 
 
 def grep_corpus(files: DataFrame) -> DataFrame:
-    """Files that text search reads: excluded paths and oversized or empty content dropped."""
-    return files.filter(~paths.grep_excluded(F.col("path"))
-                        & (F.length("content") > 0) & (F.length("content") <= fixed.MAX_GREP_CHARS))
+    """Files that text search reads: excluded paths and empty content dropped; files of any size are read."""
+    return files.filter(~paths.grep_excluded(F.col("path")) & (F.length("content") > 0))
 
 
 def corpus_lines(files: DataFrame) -> DataFrame:
@@ -48,11 +48,11 @@ def with_context(df: DataFrame, lines="lines", line="line", n=2) -> DataFrame:
 
 
 def search_literal(files: DataFrame, pattern: str, case_sensitive=False, whole_word=False,
-                   max_results=fixed.MAX_GREP_RESULTS, file_pattern=None, context_lines=2) -> DataFrame:
+                   max_results=None, file_pattern=None, context_lines=2) -> DataFrame:
     """Every occurrence of a literal with line, column and neighbouring lines.
 
     Lines are filtered before any offset is computed and nothing is shuffled until the
-    final ordered limit.  ``max_results=None`` returns everything.
+    final ordered limit, if ``max_results`` asks for one.
     """
     corpus = grep_corpus(files)
     if file_pattern is not None:
@@ -113,25 +113,47 @@ def attach_lines(hits: DataFrame, files: DataFrame, context_lines=2) -> DataFram
 
 
 def search_regex(files: DataFrame, pattern: str, groups=0, flags="im",
-                 max_results=fixed.MAX_GREP_RESULTS, file_pattern=None, context_lines=2) -> DataFrame:
-    """Whole-file regex search; matches may span lines.  An invalid pattern gives one error row."""
-    try:
-        re.compile(pattern)
-    except re.error as e:
-        return files.sparkSession.createDataFrame([(f"Invalid regex: {e}",)], "error string")
+                 max_results=None, file_pattern=None, context_lines=2) -> DataFrame:
+    """Whole-file regex search; matches may span lines, have no width, and refer back to groups.
+
+    ``groups`` capture groups are returned, however many.  A pattern that the JVM does not compile
+    gives one row of the same columns: the reason in ``match_text``, everything else null.
+    """
     corpus = grep_corpus(files)
     if file_pattern is not None:
         corpus = corpus.filter(paths.matches_file_pattern(F.col("path"), file_pattern))
     full = f"(?{flags}){pattern}" if flags else pattern
-    corpus = corpus.filter(F.col("content").rlike(full))
-    hits = match_rows(corpus, ["path", "ord"], "content", [Rule(full, tuple(range(1, min(groups, 3) + 1)) or (0,))])
-    kept = F.array(*[F.col(f"g{k}") for k in range(1, min(groups, 3) + 1)]).cast("array<string>")
-    hits = hits.select("path", "ord", "line", "column", "match_text", kept.alias("groups"))
+    reason = _invalid(files.sparkSession, ascii_edges(full))
+    if reason:
+        columns = attach_lines(_regex_hits(corpus.limit(0), "x", 0), corpus.limit(0), context_lines)
+        bad = F.lit(f"Invalid regex: {reason}")
+        return files.sparkSession.range(1).select(*[(bad if f.name == "match_text" else F.lit(None).cast(f.dataType)).alias(f.name) for f in columns.schema])
+    hits = _regex_hits(corpus.filter(F.col("content").rlike(ascii_edges(full))), full, groups)
     if max_results is not None:
         hits = ordering.top(hits, HIT_ORDER, max_results)
     return attach_lines(hits, corpus, context_lines)
 
 
+def _invalid(spark, pattern: str):
+    """Why the JVM does not compile a pattern, or None."""
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(pattern)
+    except IllegalArgumentException as e:  # PatternSyntaxException
+        return str(e).splitlines()[0]
+
+
+def _regex_hits(corpus: DataFrame, pattern: str, groups: int) -> DataFrame:
+    """One rule for each three groups; a match's rows meet by their number."""
+    rules = [Rule(pattern, tuple(range(k, min(k + 2, groups) + 1)), zero_width=True) for k in range(1, groups + 1, 3)] or [Rule(pattern, (0,), zero_width=True)]
+    rows = match_rows(corpus, ["path", "ord"], "content", rules)
+    kept = F.slice(F.array("g1", "g2", "g3"), 1, F.least(F.lit(3), F.lit(groups) - 3 * F.col("rule")))
+    if len(rules) == 1:
+        return rows.select("path", "ord", "line", "column", "match_text", (kept if groups else F.array().cast("array<string>")).alias("groups"))
+    parts = F.array_sort(F.collect_list(F.struct("rule", kept.alias("g"))))
+    return rows.groupBy("path", "ord", "match_no", "line", "column", "match_text").agg(parts.alias("p")) \
+        .select("path", "ord", "line", "column", "match_text", F.flatten(F.transform("p", lambda x: x["g"])).alias("groups"))
+
+
 CALL_RULES = (Rule(r"\b([a-zA-Z_]\w*)\s*\("), Rule(r"\.([a-zA-Z_]\w*)\s*\("),
               Rule(r"->([a-zA-Z_]\w*)\s*\("), Rule(r"::([a-zA-Z_]\w*)\s*\("))
 
@@ -152,7 +174,7 @@ def _looks_like_definition(context: Column, name: Column) -> Column:
 
 
 def search_calls(files: DataFrame, name: str, include_definitions=False,
-                 max_results=fixed.MAX_GREP_RESULTS, file_pattern=None, sites=None) -> DataFrame:
+                 max_results=None, file_pattern=None, sites=None) -> DataFrame:
     """Call sites of one function with context, lines that read like definitions dropped."""
     found = (call_sites(files) if sites is None else sites).filter(F.col("fn") == name)
     if file_pattern is not None:
@@ -165,7 +187,7 @@ def search_calls(files: DataFrame, name: str, include_definitions=False,
     return found if max_results is None else ordering.top(found, ("ord", "rule", "match_no"), max_results)
 
 
-def symbol_usages(files: DataFrame, name: str, max_results=fixed.MAX_GREP_RESULTS) -> DataFrame:
+def symbol_usages(files: DataFrame, name: str, max_results=None) -> DataFrame:
     """Calls, then whole-word references on lines without a call; one row per line."""
     calls = search_calls(files, name, max_results=max_results).select(
         "path", "ord", "line", "column", "match_line", "match_text", F.lit("call").alias("usage_type"),
@@ -173,11 +195,12 @@ def symbol_usages(files: DataFrame, name: str, max_results=fixed.MAX_GREP_RESULT
     refs = search_literal(files, name, whole_word=True, max_results=max_results).select(
         "path", "ord", "line", "column", "match_line", "match_text", F.lit("reference").alias("usage_type"),
         F.lit(1).alias("leg"), F.struct("ord", F.col("line").alias("rule"), F.col("column").alias("match_no")).alias("__o"))
-    room = calls.agg(F.greatest(F.lit(max_results) - F.count("*"), F.lit(0))).scalar()
-    w = Window.orderBy("ord", "line", "column")  # at most max_results rows reach it
-    refs = refs.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= room).drop("__n")
+    if max_results is not None:
+        room = calls.agg(F.greatest(F.lit(max_results) - F.count("*"), F.lit(0))).scalar()
+        w = Window.orderBy("ord", "line", "column")  # at most max_results rows reach it
+        refs = refs.withColumn("__n", F.row_number().over(w)).filter(F.col("__n") <= room).drop("__n")
     rows = ordering.first_by(calls.unionByName(refs), ["path", "line"], ["leg", "__o"])
-    return ordering.top(rows, ("leg", "__o"), max_results).drop("__o")
+    return (rows if max_results is None else ordering.top(rows, ("leg", "__o"), max_results)).drop("__o")
 
 
 def most_called(sites: DataFrame, limit=50) -> DataFrame:
@@ -186,6 +209,7 @@ def most_called(sites: DataFrame, limit=50) -> DataFrame:
     return ordering.top(counts, (F.desc("call_count"), "__first"), limit).drop("__first")
 
 
+# Pattern and group of the name.
 ENCLOSING_PATTERNS = (
     (r"^[\s]*(?:static\s+)?(?:inline\s+)?(\w+(?:\s*\*)*)\s+(\w+)\s*\([^)]*\)\s*\{?\s*$", 2),
     (r"^[\s]*def\s+(\w+)\s*\(", 1),

@@ -104,26 +104,27 @@ def file_name_trigrams(files: DataFrame) -> DataFrame:
 
 
 def line_trigrams(lines: DataFrame) -> DataFrame:
-    """Distinct trigrams per line of 3 to 500 characters."""
-    return lines.filter(F.length("text").between(3, 500)) \
+    """Distinct trigrams per line of at least 3 characters."""
+    return lines.filter(F.length("text") >= 3) \
         .select("path", "ord", "line", F.explode(F.array_distinct(text.alnum_trigrams(F.col("text")))).alias("tri"))
 
 
-def positioned_trigrams(files: DataFrame, max_positions=fixed.TRIGRAM_MAX_POSITIONS) -> DataFrame:
-    """(tri, path, positions): the first offsets of each trigram in each file.
+def positioned_trigrams(files: DataFrame, max_positions=None) -> DataFrame:
+    """(tri, path, positions): the offsets of each trigram in each file, the first ``max_positions`` if given.
 
-    The rank cap is applied as a per-key top-k, which map tasks enforce before the shuffle.
+    The cut is a per-key top-k, which map tasks enforce before the shuffle.
     """
-    rows = files.filter(F.length("content").between(1, fixed.MAX_GREP_CHARS)) \
+    rows = files.filter(F.length("content") > 0) \
         .select("path", F.posexplode(text.positioned_trigrams(F.col("content"))).alias("pos", "tri")) \
         .filter(~F.col("tri").rlike(rf"^{text.SPACE}+$"))
-    return ordering.top_per_key(rows, ["path", "tri"], ["pos"], max_positions) \
-        .groupBy("tri", "path").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
+    rows = rows if max_positions is None else ordering.top_per_key(rows, ["path", "tri"], ["pos"], max_positions)
+    return rows.groupBy("tri", "path").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
-def lightweight_files(files: DataFrame, max_files=500, max_chars=50_000) -> DataFrame:
-    """The first files in order, oversized ones dropped after the cut."""
-    return ordering.top(files, ["ord"], max_files).filter(F.length("content").between(1, max_chars))
+def lightweight_files(files: DataFrame, max_files=None, max_chars=None) -> DataFrame:
+    """Files with content; a caller may keep the first ones in order, then those of at most ``max_chars`` characters."""
+    kept = files if max_files is None else ordering.top(files, ["ord"], max_files)
+    return kept.filter((F.length("content") > 0) & (F.lit(True) if max_chars is None else F.length("content") <= max_chars))
 
 
 # --- name and directory maps ----------------------------------------------------

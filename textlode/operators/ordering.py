@@ -48,9 +48,14 @@ def number_rows(df: DataFrame, key: str, order, name: str, start=0, buckets=200)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder the cluster names; a private one only when none is named."""
+    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; on a cluster it must be named.
+
+    Only a session of one machine, as in tests, gets a folder of its own.
+    """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
         named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master != "local" and not sc.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()

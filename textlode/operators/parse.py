@@ -217,7 +217,7 @@ def extract_calls(code: Column, language: Column) -> Column:
         for p in strings:
             clean = F.regexp_replace(clean, p, '""')
         found = F.concat(*[F.regexp_extract_all(clean, F.lit(ascii_edges(p)), F.lit(1)) for p in patterns])
-        skip = [w.lower() for w in words.split()]
+        skip = [w.lower() for w in words]
         return F.filter(F.array_distinct(found), lambda w: (w != "") & ~F.lower(w).isin(*skip))
 
     aliases = {}

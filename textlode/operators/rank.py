@@ -162,22 +162,23 @@ def find_text_in_code(lines: DataFrame, wanted: str, max_results=30) -> DataFram
     alnum = "".join(c for c in low if c.isascii() and c.isalnum())
     if len(alnum) < 3:
         return lines.limit(0).select("path", "ord", "line", F.col("text").alias("context"))
-    found = lines.filter(F.length("text").between(3, 500) & F.contains(F.lower("text"), F.lit(low)))
+    found = lines.filter((F.length("text") >= 3) & F.contains(F.lower("text"), F.lit(low)))
     found = found.select("path", "ord", "line", F.left(F.trim("text"), F.lit(200)).alias("context"))
     return ordering.top(found, ("ord", "line"), max_results)
 
 
-def trigram_file_search(files: DataFrame, query: str, max_results=100, per_file=20) -> DataFrame:
-    """Files with verified substring lines, at most 20 lines each, by number of lines."""
+def trigram_file_search(files: DataFrame, query: str, max_results=100, per_file=None) -> DataFrame:
+    """Files with verified substring lines, by number of lines; ``per_file`` keeps the first lines of each."""
     if len(query) < 3:
         return files.limit(0).select("path", F.lit(0).alias("match_count"))
     low = F.lit(query.lower())
-    hit_lines = files.filter(F.length("content").between(1, fixed.MAX_GREP_CHARS)
+    first = (lambda a: a) if per_file is None else (lambda a: F.slice(a, 1, per_file))
+    hit_lines = files.filter((F.length("content") > 0)
                              & F.contains(F.lower("content"), low)) \
-        .select("path", "ord", F.slice(F.filter(
+        .select("path", "ord", first(F.filter(
             F.transform(F.split("content", "\n", -1), lambda t, i: F.struct(
                 (i + 1).alias("line"), F.left(F.trim(t), F.lit(200)).alias("context"), t.alias("t"))),
-            lambda x: F.contains(F.lower(x["t"]), low)), 1, per_file).alias("matches")) \
+            lambda x: F.contains(F.lower(x["t"]), low))).alias("matches")) \
         .filter(F.size("matches") > 0) \
         .select("path", "ord", F.size("matches").alias("match_count"),
                 F.transform("matches", lambda x: F.struct(x["line"].alias("line"), x["context"].alias("context")))

@@ -7,11 +7,12 @@ from ..functions.classify import REFERENCE
 from . import ordering
 
 
-def pair_turns(messages: DataFrame, session="session", order="seq", role="role", body="text", dense=True) -> DataFrame:
+def pair_turns(messages: DataFrame, session="session", order="seq", role="role", body="text", dense=False) -> DataFrame:
     """User messages with the assistant message right behind them: one turn each.
 
-    With dense numbers the next message is an equi-join on (session, number), which spreads
-    a session of any length over all tasks; gaps in the numbers need the sorted form.
+    Messages are sorted per session, so gaps in the numbers change nothing.  A caller who knows that the
+    numbers have no gaps may set ``dense``: the next message is then an equi-join on (session, number), which
+    spreads a session of any length over all tasks.
     """
     if dense:
         asked = messages.filter(F.col(role) == "user").select(session, F.col(order).alias("seq"), F.col(body).alias("user"))

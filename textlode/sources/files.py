@@ -22,10 +22,10 @@ def corpus(df: DataFrame) -> DataFrame:
     return out.withColumn("line_count", text.line_count(F.col("content"))).withColumn("is_source", paths.is_source(F.col("language")))
 
 
-def scan(spark, root: str, max_depth=None, skip_dirs=fixed.SKIP_DIRS, glob=None, keep=None, binary=False) -> DataFrame:
+def scan(spark, root: str, max_depth=None, skip_dirs=fixed.SKIP_DIRS, glob=None, keep=None, binary=False, max_bytes=None) -> DataFrame:
     """Recursive scan of a folder.
 
-    Size, name, depth and directory rules are applied on file metadata, before any
+    Size (``max_bytes``), name, depth and directory rules are applied on file metadata, before any
     content is read.  ``keep`` adds a condition on the relative path.
     """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
@@ -33,8 +33,9 @@ def scan(spark, root: str, max_depth=None, skip_dirs=fixed.SKIP_DIRS, glob=None,
         reader = reader.option("pathGlobFilter", glob)
     base = root.rstrip("/")
     rel = F.regexp_replace("path", r"^(file:/*|[a-z0-9]+://[^/]*/)", "/")
-    df = reader.load(base).filter(F.col("length") <= fixed.MAX_FILE_BYTES) \
-        .withColumn("path", paths.relative_to(rel, F.lit(base)))
+    df = reader.load(base).withColumn("path", paths.relative_to(rel, F.lit(base)))
+    if max_bytes is not None:
+        df = df.filter(F.col("length") <= max_bytes)
     parts = F.split("path", "/")
     dirs = F.slice(parts, F.lit(1), F.size(parts) - 1)
     df = df.filter(~F.exists(dirs, lambda d: d.isin(*skip_dirs) | F.startswith(d, F.lit("."))))
@@ -58,8 +59,8 @@ def indexable(files: DataFrame) -> DataFrame:
     return files.filter(paths.should_index(F.col("path")))
 
 
-def limited(files: DataFrame, most=10_000) -> DataFrame:
-    """The scan cap of a workspace index, under an explicit path order."""
+def limited(files: DataFrame, most: int) -> DataFrame:
+    """The first files by path, for a caller who wants so many."""
     return ordering.top(files, ("path",), most)
 
 
@@ -70,20 +71,10 @@ def document_corpus(docs: DataFrame, key="doc_id", body="text", lang="lang", sou
         F.col(body).alias("content"), F.col(lang).alias("language"), F.col(key).alias("ord"))
 
 
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Deal a small table out to all cores.
-
-    A file of one row group is one task however many cores there are.  Input that already
-    has a partition per core, which any large table has, is left as it is read.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
-
-
 # --- walking searches ---------------------------------------------------------
 
 def search_files(files: DataFrame, terms, limit: int, max_depth=8, include=(), exclude=()) -> DataFrame:
-    """Files hit by name or path on any term, otherwise by content on the first three."""
+    """Files hit by name or path on any term, otherwise by content on any term."""
     parts = F.split("path", "/")
     ext = F.lower(paths.extension(F.col("path")))
     df = files.filter((F.size(parts) <= max_depth + 1) & ext.isin(*fixed.WALK_CODE_EXTENSIONS))
@@ -91,8 +82,8 @@ def search_files(files: DataFrame, terms, limit: int, max_depth=8, include=(), e
         df = df.filter((F.size(parts) > 1) & paths.folder_allowed(F.get(parts, F.lit(0)), include, exclude))
     low, body = F.lower("path"), F.lower("content")
     hit = F.lit(None).cast("string")
-    for t in reversed(list(terms)[:3]):
-        hit = F.when((F.length("content") <= fixed.MAX_GREP_CHARS) & F.contains(body, F.lit(t)), F.lit(t)).otherwise(hit)
+    for t in reversed(list(terms)):
+        hit = F.when(F.contains(body, F.lit(t)), F.lit(t)).otherwise(hit)
     by_name = F.lit(None).cast("string")
     for t in reversed(list(terms)):
         by_name = F.when(F.contains(low, F.lit(t)), F.lit(t)).otherwise(by_name)
