@@ -58,3 +58,12 @@ def test_model_hook(spark):
     broken = lambda p: 1 / 0
     got = [r["answer"] for r in models.with_completion(df, "prompt", complete=models.with_fallback(broken, lambda p: p + "!")).collect()]
     assert got == ["p!", None]
+
+
+def test_scans_do_not_grow_with_terms(code):
+    from textlode.plans import scope, search
+    scans = lambda df: plan_of(df).count("Scan ")
+    few, many = ["heap"], ["heap", "insert", "tuple", "page", "helper", "static"]
+    for run in (lambda t: grep.search_literals(code, t, 5), lambda t: grep.keyword_search(code, t, 5, 9), lambda t: scope.text_scores(code, t),
+                lambda t: search.topic_search(code, " ".join(t))):
+        assert scans(run(many)) <= scans(run(few))

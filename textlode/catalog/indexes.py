@@ -127,13 +127,13 @@ def _(spark, sf):
     return f.select("item_id", "feature", F.round("w", 3).alias("w"))
 
 
-@query("idx_17_chunks", f"SELECT path || ':file' AS id, len(string_split(content, chr(10))) AS end_line, md5(left(content, 2000)) AS text FROM ({R.DOCS})")
+@query("idx_17_chunks", f"SELECT path || ':file' || CASE WHEN k > 0 THEN ':' || k ELSE '' END AS id, len(string_split(left(content, (k + 1) * 2000), chr(10))) AS end_line, md5(substring(content, k * 2000 + 1, 2000)) AS text FROM (SELECT path, content, unnest(range(0, greatest(ceil(length(content) / 2000)::BIGINT, 1))) AS k FROM ({R.DOCS}))")
 def _(spark, sf):
     ch = index.text_chunks(corpus(spark, sf))
     return ch.select("id", c("end_line").cast("bigint").alias("end_line"), F.md5("text").alias("text"))
 
 
-@query("agg_08_vector_stats", f"SELECT count(*) AS chunks, count(DISTINCT path) AS files, count(*) AS file_chunks, 0::BIGINT AS function_chunks, round(count(*) * 4 * 384 / 1048576, 2)::DOUBLE AS size_mb FROM ({R.DOCS})")
+@query("agg_08_vector_stats", f"SELECT count(*) AS chunks, count(DISTINCT path) AS files, count(*) AS file_chunks, 0::BIGINT AS function_chunks, round(count(*) * 4 * 384 / 1048576, 2)::DOUBLE AS size_mb FROM (SELECT path, unnest(range(0, greatest(ceil(length(content) / 2000)::BIGINT, 1))) AS k FROM ({R.DOCS}))")
 def _(spark, sf):
     return index.vector_stats(index.text_chunks(corpus(spark, sf)))
 
@@ -160,7 +160,7 @@ def _(spark, sf):
 
 # --- learned vocabulary -------------------------------------------------------------------
 
-_STR = "list_filter(list_transform(list_concat(list_concat(regexp_extract_all(content, '\"(?:[^\"\\\\]|\\\\.)*\"'), regexp_extract_all(content, '''(?:[^''\\\\]|\\\\.)*''')), regexp_extract_all(content, '`(?:[^`\\\\]|\\\\.)*`')), lambda s: substring(s, 2, length(s) - 2)), lambda s: length(s) BETWEEN 3 AND 200)"
+_STR = "list_filter(list_transform(list_concat(list_concat(regexp_extract_all(content, '\"(?:[^\"\\\\]|\\\\.)*\"'), regexp_extract_all(content, '''(?:[^''\\\\]|\\\\.)*''')), regexp_extract_all(content, '`(?:[^`\\\\]|\\\\.)*`')), lambda s: substring(s, 2, length(s) - 2)), lambda s: true)"
 _COM = "list_concat(regexp_extract_all(content, '//([^\\n\\r]+)', 1), regexp_extract_all(content, '(/\\*(?s:.)*?\\*/)', 1))"
 _STRIP = "regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(content, '//[^\\n\\r]+', ' ', 'g'), '/\\*(?s:.)*?\\*/', ' ', 'g'), '\"(?:[^\"\\\\]|\\\\.)*\"', '\"\"', 'g'), '''(?:[^''\\\\]|\\\\.)*''', '''''', 'g'), '`(?:[^`\\\\]|\\\\.)*`', '``', 'g')"
 _OCC = (f"WITH src AS (SELECT path, 2.0 AS w, regexp_extract(path, '[^/]*$') AS t FROM ({R.DOCS}) UNION ALL SELECT path, 1.5, unnest(string_split(path, '/')[1:2]) FROM ({R.DOCS}) UNION ALL SELECT path, 2.5, unnest({_COM}) FROM ({R.DOCS}) "
@@ -278,7 +278,7 @@ def _(spark, sf):
 
 # --- stored forms ----------------------------------------------------------------------------
 
-@query("snk_11_fingerprint", f"SELECT left(string_agg(path, '|' ORDER BY path), 500) AS fingerprint FROM ({R.DOCS})")
+@query("snk_11_fingerprint", f"SELECT count(*) || ':' || sum(('0x' || substring(h, 1, 8))::BIGINT) || ':' || sum(('0x' || substring(h, 9, 8))::BIGINT) AS fingerprint FROM (SELECT md5(path || '|' || length(content)) AS h FROM ({R.DOCS}))")
 def _(spark, sf):
     return persist.fingerprint(corpus(spark, sf))
 
@@ -290,16 +290,16 @@ def _(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", (~persist.fresh(c("c_mktsegment"), built, "BUILDING", now)).alias("stale"))
 
 
-@query("snk_07_capped_symbols", f"SELECT key FROM ({R.SYMBOLS}) ORDER BY ord LIMIT 50000")
+@query("snk_07_capped_symbols", f"SELECT key FROM ({R.SYMBOLS})")
 def _(spark, sf):
-    return persist.first_rows(symbols(spark, sf), "code_symbols").select("key")
+    return persist.first_rows(symbols(spark, sf)).select("key")
 
 
-@query("snk_09_capped_symbol_index", f"SELECT key FROM ({R.SYMBOLS}) ORDER BY ord LIMIT 5000")
+@query("snk_09_capped_symbol_index", f"SELECT key FROM ({R.SYMBOLS})")
 def _(spark, sf):
-    return persist.first_rows(symbols(spark, sf), "symbol_index").select("key")
+    return persist.first_rows(symbols(spark, sf)).select("key")
 
 
-@query("snk_10_capped_summaries", f"SELECT path FROM ({R.DOCS}) ORDER BY ord LIMIT 500")
+@query("snk_10_capped_summaries", f"SELECT path FROM ({R.DOCS})")
 def _(spark, sf):
-    return persist.first_rows(corpus(spark, sf), "file_summaries").select("path")
+    return persist.first_rows(corpus(spark, sf)).select("path")

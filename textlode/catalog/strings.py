@@ -283,7 +283,7 @@ _cols("str_22_comments", "pages", lambda: ["page_id", joined(text.comment_texts(
       "SELECT page_id, array_to_string(list_concat(regexp_extract_all(html, '//([^\\n\\r]+)', 1), regexp_extract_all(html, '(/\\*(?s:.)*?\\*/)', 1)), '|') AS t FROM pages")
 _cols("str_23_string_literals", "pages", lambda: ["page_id", joined(F.array_sort(text.string_literals(c("html")))).alias("t")],
       "SELECT page_id, array_to_string(list_sort(list_filter(list_transform(list_concat(list_concat(regexp_extract_all(html, '\"(?:[^\"\\\\]|\\\\.)*\"'), regexp_extract_all(html, '''(?:[^''\\\\]|\\\\.)*''')), regexp_extract_all(html, '`(?:[^`\\\\]|\\\\.)*`')), "
-      "lambda s: substring(s, 2, length(s) - 2)), lambda s: length(s) BETWEEN 3 AND 200)), '|') AS t FROM pages")
+      "lambda s: substring(s, 2, length(s) - 2)), lambda s: true)), '|') AS t FROM pages")
 _cols("str_24_strip_code", "pages", lambda: ["page_id", F.md5(text.strip_code(c("html"), F.lit("javascript"))).alias("t")],
       "SELECT page_id, md5(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '//[^\\n\\r]+', ' ', 'g'), '/\\*(?s:.)*?\\*/', ' ', 'g'), '\"(?:[^\"\\\\]|\\\\.)*\"', '\"\"', 'g'), '''(?:[^''\\\\]|\\\\.)*''', '''''', 'g'), '`(?:[^`\\\\]|\\\\.)*`', '``', 'g')) AS t FROM pages")
 

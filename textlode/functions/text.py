@@ -425,10 +425,13 @@ def comment_texts(content, lang):
 STRING_PATTERNS = (r'"(?:[^"\\]++|\\.)*+"', r"'(?:[^'\\]++|\\.)*+'", r"`(?:[^`\\]++|\\.)*+`")
 
 
-def string_literals(content):
+def string_literals(content, shortest=None, longest=None):
+    """Contents of string literals; a caller may set bounds of length."""
     parts = F.concat(*[F.regexp_extract_all(content, F.lit(f"({p})"), F.lit(1)) for p in STRING_PATTERNS])
     inner = F.transform(parts, lambda s: F.substr(s, F.lit(2), F.length(s) - 2))
-    return F.filter(inner, lambda s: (F.length(s) >= 3) & (F.length(s) <= 200))
+    if shortest is not None:
+        inner = F.filter(inner, lambda s: F.length(s) >= shortest)
+    return inner if longest is None else F.filter(inner, lambda s: F.length(s) <= longest)
 
 
 def strip_code(content, lang):

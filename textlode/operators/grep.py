@@ -79,6 +79,32 @@ def search_literal(files: DataFrame, pattern: str, case_sensitive=False, whole_w
     return hits if max_results is None else ordering.top(hits, HIT_ORDER, max_results)
 
 
+def search_literals(files: DataFrame, terms, per_term=None, context_lines=None) -> DataFrame:
+    """Every occurrence of each of several literals, case folded: the columns of ``search_literal`` and ``leg``, the term's number.
+
+    All terms share one scan: a line is tested for each term and only then searched.  ``per_term`` keeps the first hits of
+    each term in file order, by a ranked filter that map tasks apply before the shuffle.
+    """
+    terms = [t.lower() for t in terms]
+    corpus = grep_corpus(files)
+    has = lambda text: [F.contains(F.lower(text), F.lit(t)) for t in terms]
+    some = F.lit(False)
+    for h in has(F.col("content")):
+        some = some | h
+    lines = corpus.filter(some).select("path", "ord", F.split("content", "\n", -1).alias("lines")) \
+        .select("path", "ord", *([] if context_lines is None else ["lines"]), F.posexplode("lines").alias("i", "match_line")) \
+        .withColumn("line", F.col("i") + 1)
+    if context_lines is not None:
+        lines = with_context(lines, n=context_lines)
+    low = F.lower("match_line")
+    found = F.array_compact(F.array(*[F.when(h, F.struct(F.lit(i).alias("leg"), F.lit(len(t)).alias("size"), _occurrences(low, t).alias("at")))
+                                      for i, (t, h) in enumerate(zip(terms, has(F.col("match_line")), strict=True))]))
+    kept = ["path", "ord", "line", "match_line"] + ([] if context_lines is None else ["before", "after"])
+    hits = lines.select(*kept, F.explode(found).alias("f")).select(*kept, F.col("f.leg").alias("leg"), F.col("f.size").alias("size"), F.explode("f.at").alias("at")) \
+        .withColumn("column", F.col("at") + 1).withColumn("match_text", F.substr("match_line", F.col("column"), F.col("size"))).drop("at", "size")
+    return hits if per_term is None else ordering.top_per_key(hits, ["leg"], list(HIT_ORDER), per_term).drop("rn")
+
+
 def _search_multiline(corpus, wanted, fold, whole_word, max_results, context_lines):
     found = corpus.withColumn("__t", fold(F.col("content")))
     pattern = f"(?={quote(wanted)})"
@@ -166,7 +192,7 @@ def call_sites(files: DataFrame) -> DataFrame:
         .select(F.col("g1").alias("fn"), "path", "ord", "rule", "match_no", "line", "column", "match_text")
 
 
-def _looks_like_definition(context: Column, name: Column) -> Column:
+def looks_like_definition(context: Column, name: Column) -> Column:
     n = escape_regex(name)
     return (F.rlike(context, F.concat(F.lit(r"^\s*(?:static\s+)?(?:inline\s+)?(?:\w+\s+\*?\s*)"), n, F.lit(r"\s*\(")))
             | F.rlike(context, F.concat(F.lit(r"^\s*\w+[\s\*]+"), n, F.lit(r"\s*\([^)]*\)\s*;")))
@@ -176,12 +202,12 @@ def _looks_like_definition(context: Column, name: Column) -> Column:
 def search_calls(files: DataFrame, name: str, include_definitions=False,
                  max_results=None, file_pattern=None, sites=None) -> DataFrame:
     """Call sites of one function with context, lines that read like definitions dropped."""
-    found = (call_sites(files) if sites is None else sites).filter(F.col("fn") == name)
+    found = (call_sites(files.filter(F.contains("content", F.lit(name)))) if sites is None else sites).filter(F.col("fn") == name)
     if file_pattern is not None:
         found = found.filter(paths.matches_file_pattern(F.col("path"), file_pattern))
     found = attach_lines(found, grep_corpus(files)).withColumn("context", F.trim("match_line"))
     if not include_definitions:
-        found = found.filter(~_looks_like_definition(F.col("context"), F.lit(name)))
+        found = found.filter(~looks_like_definition(F.col("context"), F.lit(name)))
     found = found.select("fn", "path", "ord", "rule", "match_no", "line", "column", "match_text", "match_line",
                          "context", "before", "after")
     return found if max_results is None else ordering.top(found, ("ord", "rule", "match_no"), max_results)
@@ -257,11 +283,8 @@ def any_term_lines(lines: DataFrame, query_terms, limit=None) -> DataFrame:
 
 
 def keyword_search(files: DataFrame, keywords, per_keyword: int, limit: int) -> DataFrame:
-    """Union of per-keyword literal searches, first hit per line kept, in keyword order."""
-    legs = None
-    for n, k in enumerate(keywords):
-        leg = search_literal(files, k, max_results=per_keyword).withColumn("leg", F.lit(n))
-        legs = leg if legs is None else legs.unionByName(leg)
+    """The first hits of each keyword, first hit per line kept, in keyword order; one scan for all keywords."""
+    legs = search_literals(files, keywords, per_keyword, context_lines=2)
     rows = ordering.first_by(legs, ["path", "line"], ["leg", "ord", "column"])
     return ordering.top(rows, ("leg", "ord", "line"), limit)
 

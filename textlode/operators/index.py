@@ -141,7 +141,7 @@ def directories(files: DataFrame) -> DataFrame:
 # --- vocabulary and embeddings --------------------------------------------------
 
 def chunks(files: DataFrame, symbols: DataFrame = None) -> DataFrame:
-    """One chunk per code file (or file with symbols): its first 2000 characters."""
+    """Chunks of code files (or files with symbols): windows of 2000 characters that cover the whole text."""
     ext = F.concat(F.lit("."), paths.bare_extension(F.col("path")))
     df = files.filter(~ext.isin(*fixed.CHUNK_EXCLUDED_EXTENSIONS) & (F.length("content") > 0))
     if symbols is None:
@@ -153,12 +153,15 @@ def chunks(files: DataFrame, symbols: DataFrame = None) -> DataFrame:
     return text_chunks(df)
 
 
-def text_chunks(files: DataFrame) -> DataFrame:
-    return files.select(
-        F.concat("path", F.lit(":file")).alias("id"), F.col("path").alias("file"),
-        paths.file_name(F.col("path")).alias("file_name"), F.lit(1).alias("start_line"),
-        text.line_count(F.col("content")).alias("end_line"), F.lit("file").alias("type"),
-        F.left("content", F.lit(fixed.CHUNK_CHARS)).alias("text"), "ord")
+def text_chunks(files: DataFrame, size=fixed.CHUNK_CHARS) -> DataFrame:
+    """Consecutive windows of each whole text, numbered from the second one on."""
+    last = F.greatest(F.ceil(F.length("content") / size) - 1, F.lit(0)).cast("int")
+    w = files.withColumn("k", F.explode(F.sequence(F.lit(0), last)))
+    return w.select(
+        F.concat(F.col("path"), F.lit(":file"), F.when(F.col("k") > 0, F.concat(F.lit(":"), F.col("k").cast("string"))).otherwise(F.lit(""))).alias("id"),
+        F.col("path").alias("file"), paths.file_name(F.col("path")).alias("file_name"),
+        text.line_count(F.left("content", F.col("k") * size)).alias("start_line"), text.line_count(F.left("content", (F.col("k") + 1) * size)).alias("end_line"),
+        F.lit("file").alias("type"), F.substr("content", F.col("k") * size + 1, F.lit(size)).alias("text"), "ord")
 
 
 def vector_terms(docs: DataFrame, key="id", content="text", ord_col="ord") -> DataFrame:

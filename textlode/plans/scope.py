@@ -1,46 +1,35 @@
 """Scoped search: score files by text hits, vectors, index hits, siblings and names; select; filter."""
 
-from functools import reduce
-
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions import classify, fixed, paths, text
-from ..operators import aggregates, grep, joins, ordering, rank, topk
+from ..operators import grep, joins, ordering, rank, topk
 
 
 def parse_query(spark, query: str):
     return list(text.evaluate(spark, text.scope_terms(F.lit(query))))
 
 
-def term_hits(files: DataFrame, term: str, base: int, place: int, max_hits=2000, extensions=fixed.SCOPE_CODE_EXTENSIONS) -> DataFrame:
-    """Per file: hits of one term among the first hits in file order, and the score they give."""
-    hits = grep.search_literal(files, term, max_results=max_hits, context_lines=0).select("path", "ord")
-    counted = aggregates.hits_per_file(hits, extensions)
-    return counted.select("path", F.lit(place).alias("place"), F.lit(term).alias("term"), "hits",
-                          rank.js_round(base + F.log2(F.col("hits") + 1) * 6).alias("s"))
-
-
-def text_scores(files: DataFrame, terms, **options) -> DataFrame:
+def text_scores(files: DataFrame, terms, max_hits=None, extensions=fixed.SCOPE_CODE_EXTENSIONS) -> DataFrame:
     """Fold of term scores per file: the first term sets the score, each later one adds 15.
 
     A phrase without hits is searched by its words; files first found that way earn 25 when
-    all words hit and 10 when more than one does.
+    all words hit and 10 when more than one does.  All terms and words share one scan;
+    ``max_hits`` counts the first hits of each in file order only.
     """
-    legs, place = [], 0
-    fallbacks = []
-    for t in terms:
-        phrase = " " in t
-        leg = term_hits(files, t, 65 if phrase else 50, place, **options).withColumn("phrase", F.lit(None).cast("string"))
-        legs.append(leg)
-        if phrase:
-            fallbacks.append((t, leg.agg(F.count("*")).scalar()))
-        place += 1
-    for phrase, count in fallbacks:
-        for w in [w for w in phrase.split() if len(w) >= 2]:
-            leg = term_hits(files, w, 55, place, **options).withColumn("phrase", F.lit(phrase))
-            legs.append(leg.filter(count == 0))
-            place += 1
-    events = reduce(DataFrame.unionByName, legs)
+    legs = [(t, 65 if " " in t else 50, None, None) for t in terms]
+    for i, t in enumerate(terms):
+        legs += [(w, 55, t, i) for w in t.split() if " " in t and len(w) >= 2]
+    of = lambda k, kind: F.get(F.array(*[F.lit(leg[k]).cast(kind) for leg in legs]), F.col("leg"))
+    hits = grep.search_literals(files, [leg[0] for leg in legs], max_hits)
+    if extensions is not None:
+        hits = hits.filter(paths.bare_extension(F.col("path")).isin(*extensions))
+    counted = hits.groupBy("leg", "path").agg(F.count("*").alias("hits")).withColumn("needs", of(3, "int"))
+    if any(leg[3] is not None for leg in legs):
+        met = counted.filter("needs is null").agg(F.collect_set("leg")).scalar()
+        counted = counted.filter(F.col("needs").isNull() | ~F.array_contains(met, F.col("needs")))
+    events = counted.select("path", F.col("leg").alias("place"), of(0, "string").alias("term"), of(2, "string").alias("phrase"), "hits",
+                            rank.js_round(of(1, "int") + F.log2(F.col("hits") + 1) * 6).alias("s"))
     per_file = events.groupBy("path").agg(  # one entry per query term
         F.array_sort(F.collect_list(F.struct("place", "s", "hits", "phrase", "term"))).alias("e"))
     score = F.aggregate("e", F.lit(0).cast("bigint"), lambda s, x: F.when(s == 0, x["s"]).otherwise(F.greatest(s, x["s"]) + 15))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import Optional
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import classify, fixed, paths, text
 from ..operators import context, grep, graph, index, joins, ordering, parse, rank, topk
@@ -232,18 +232,23 @@ def topic_search(files: DataFrame, topic: str, max_results=100) -> DataFrame:
     spark = files.sparkSession
     variants = list(text.evaluate(spark, text.topic_variants(F.lit(topic))))[:5]
     words = list(text.evaluate(spark, text.first_keywords(F.lit(topic), 10)))
-    legs = [grep.search_literal(files, topic, max_results=max_results // 3)]
-    for w in words:
-        legs.append(grep.search_literal(files, w, max_results=max_results // len(words)))
-    legs += [grep.search_literal(files, v, max_results=10) for v in variants]
+    shares = [max_results // 3] + [max_results // len(words) for _ in words] + [10 for _ in variants]
+    most = F.get(F.array(*[F.lit(n) for n in shares]), F.col("leg"))
     cols = ["path", "line", "column", "match_line", "match_text"]
-    rows = [leg.select(*cols, F.struct(F.lit(i).alias("leg"), "ord", "line", "column").alias("ord")) for i, leg in enumerate(legs)]
+    place = F.struct("leg", "ord", "line", "column").alias("ord")
+    hits = grep.search_literals(files, [topic, *words, *variants], per_term=max(shares))
+    number = F.row_number().over(Window.partitionBy("leg").orderBy("ord", "line", "column"))
+    rows = [hits.withColumn("n", number).filter(F.col("n") <= most).select(*cols, place)]
     if words:
-        sites = grep.call_sites(files)
-        for i, w in enumerate(words):
-            most = max_results // len(words) // 2
-            calls = grep.search_calls(files, w, max_results=most, sites=sites)
-            rows.append(calls.select(*cols, F.struct(F.lit(1000 + i).alias("leg"), "ord", "line", "column").alias("ord")))
+        each = max_results // len(words) // 2
+        called = F.lit(False)
+        for w in words:
+            called = called | F.contains("content", F.lit(w))
+        sites = grep.call_sites(files.filter(called)).filter(F.col("fn").isin(*words))
+        asked = F.array_position(F.array(*[F.lit(w) for w in words]), F.col("fn")).cast("int") - 1 + 1000
+        near = grep.attach_lines(sites.withColumn("leg", asked), grep.grep_corpus(files)).withColumn("context", F.trim("match_line"))
+        near = near.filter(~grep.looks_like_definition(F.col("context"), F.col("fn")))
+        rows.append(ordering.top_per_key(near, ["leg"], ["ord", "rule", "match_no"], each).select(*cols, place))
     return topk.rank_hits(reduce(DataFrame.unionByName, rows), topic, max_results)
 
 
@@ -264,9 +269,10 @@ def planned_search(files: DataFrame, query: str, max_results=50) -> DataFrame:
             if not plan["is_call"]:
                 words = tagged(grep.search_literal(files, name, whole_word=True, max_results=max_results * 2), 1)
                 primary = calls.unionByName(words.filter(calls.agg(F.count("*")).scalar() == 0))
-    legs = [tagged(grep.search_literal(files, k, max_results=30), 10 + i) for i, k in enumerate(plan["keywords"][:5])]
-    if legs:
-        fallback = ordering.top(reduce(DataFrame.unionByName, legs), ("ord",), max_results * 2 + 29)
+    if plan["keywords"]:
+        legs = grep.search_literals(files, plan["keywords"], per_term=max_results * 2) \
+            .select(*cols, F.struct((F.col("leg") + 10).alias("leg"), "ord", "line", "column").alias("ord"))
+        fallback = ordering.top(legs, ("ord",), max_results * 2 + 29)
         rows = fallback if primary is None else primary.unionByName(fallback.filter(primary.agg(F.count("*")).scalar() == 0))
     else:
         rows = primary

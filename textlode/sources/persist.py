@@ -1,11 +1,11 @@
 """Index tables on disk: one Parquet table per structure, guarded by a fingerprint."""
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, functions as F
 
 from ..operators import index, ordering
 
 VERSION = "2.0"
-CAPS = {"code_symbols": 50_000, "symbol_index": 5_000, "file_summaries": 500}
 
 
 def save_tables(tables: dict, root: str, partition_by=None):
@@ -28,18 +28,16 @@ def derived(files: DataFrame, symbols: DataFrame) -> dict:
             "symbol_names": index.symbol_names(symbols), "directories": index.directories(files)}
 
 
-def first_rows(df: DataFrame, kind: str, order="ord") -> DataFrame:
-    """The stored part of a capped table: its first rows by insertion order."""
-    return ordering.top(df, (order,), CAPS[kind])
+def first_rows(df: DataFrame, most=None, order="ord") -> DataFrame:
+    """The stored rows of a table: all of them, or the first ``most`` by insertion order."""
+    return df if most is None else ordering.top(df, (order,), most)
 
 
-def fingerprint(files: DataFrame, chars=500) -> DataFrame:
-    """First 500 characters of the sorted path list joined by bars.
-
-    A path takes one character or more, so the first 500 sorted paths are enough.
-    """
-    head = ordering.top(files.select("path"), ("path",), chars)
-    return head.agg(F.left(F.array_join(F.array_sort(F.collect_list("path")), "|"), F.lit(chars)).alias("fingerprint"))
+def fingerprint(files: DataFrame) -> DataFrame:
+    """Number of files and two sums of digests of all paths with their lengths: one aggregate, whatever the order of rows."""
+    digest = F.md5(F.concat_ws("|", "path", F.length("content").cast("string")))
+    part = lambda at: F.sum(F.conv(F.substring(digest, at, 8), 16, 10).cast("bigint")).cast("string")
+    return files.agg(F.concat_ws(":", F.count("*").cast("string"), part(1), part(9)).alias("fingerprint"))
 
 
 def metadata(files: DataFrame, symbols: DataFrame, workspace: str) -> DataFrame:
@@ -65,7 +63,9 @@ def restore_if_same(spark, root: str, files: DataFrame, names):
     """Stored tables when the corpus still has the stored fingerprint, else None."""
     try:
         stored = spark.read.parquet(f"{root}/metadata").select("fingerprint").first()
-    except Exception:
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
         return None
     now = fingerprint(files).first()
     return load_tables(spark, root, names) if stored and stored[0] == now[0] else None
