@@ -256,7 +256,11 @@ def _(spark, sf):
     return search.functionality_search(_index(spark, sf), "ring").select("key", "file", "name")
 
 
-@query("top_02_merge_blocks")
+@query("top_02_merge_blocks", f"""WITH RECURSIVE b AS (SELECT file, name, ord::BIGINT AS ord, line::BIGINT AS lo, line + ord % 12 + 1 AS hi, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM ({R.SYMBOLS})),
+ f(file, rn, kept) AS (SELECT DISTINCT file, 0::BIGINT, []::STRUCT(lo BIGINT, hi BIGINT, ord BIGINT)[] FROM b UNION ALL
+ SELECT file, rn, CASE WHEN place > 0 THEN list_transform(kept, lambda s, i: CASE WHEN i = place AND hi - lo > s.hi - s.lo THEN {{'lo': lo, 'hi': hi, 'ord': ord}} ELSE s END) ELSE list_append(kept, {{'lo': lo, 'hi': hi, 'ord': ord}}) END
+ FROM (SELECT f.file, b.rn, kept, lo, hi, ord, coalesce(list_position(list_transform(kept, lambda s: lo <= s.hi + 5 AND hi >= s.lo - 5), true), 0) AS place FROM f JOIN b ON b.file = f.file AND b.rn = f.rn + 1)),
+ w AS (SELECT file, unnest(arg_max(kept, rn)).ord AS ord FROM f GROUP BY file) SELECT b.file, b.lo AS line, b.name FROM w JOIN b USING (ord)""")
 def _(spark, sf):
     s = R.symbols(spark, sf)
     blocks = s.select("file", "line", "name", "ord", F.array_join(F.array_repeat(F.lit("x"), (c("ord") % 12 + 1).cast("int")), "\n").alias("code"))

@@ -257,7 +257,16 @@ def _(spark, sf):
     return vocabulary.expand_query(spark, "onth ering haeser", s)
 
 
-@query("kwl_08_expand_by_concepts")
+def _affixes(terms):
+    """(kind, affix, term) of a relation of terms, in SQL."""
+    ks = f"SELECT term, unnest(range(3, greatest(3, least(5, length(term) - 2)) + 1)) AS k FROM ({terms}) WHERE length(term) >= 5"
+    return f"SELECT 'prefix' AS kind, left(term, k) AS affix, term FROM ({ks}) UNION ALL SELECT 'suffix', right(term, k), term FROM ({ks})"
+
+
+@query("kwl_08_expand_by_concepts", f"""WITH q AS (SELECT unnest(['ering', 'onthe']) AS term), own AS (SELECT kind, affix, term AS asked FROM ({_affixes('SELECT term FROM q')})),
+ g AS (SELECT asked, kind, affix, term FROM ({_affixes(f'SELECT term FROM ({_FIN})')}) JOIN own USING (kind, affix)), big AS (SELECT asked, kind, affix FROM g GROUP BY ALL HAVING count(*) >= 3),
+ near AS (SELECT asked, kind, affix, term, row_number() OVER (PARTITION BY asked, kind, affix ORDER BY term) AS rn FROM g WHERE term <> asked)
+ SELECT term FROM q UNION SELECT term FROM near SEMI JOIN big USING (asked, kind, affix) WHERE rn <= 3""")
 def _(spark, sf):
     return vocabulary.expand_query(spark, "ering onthe", None, _vocab(spark, sf))
 

@@ -295,7 +295,10 @@ def _(spark, sf):
     return graph.induced(edges(spark, sf), _defs(spark, sf).filter("type = 'method'"))
 
 
-@query("grf_11_mermaid")
+@query("grf_11_mermaid", f"""WITH e AS (SELECT caller, callee FROM ({R.EDGES})), n AS (SELECT DISTINCT name FROM (SELECT caller AS name FROM e UNION ALL SELECT callee FROM e) ORDER BY name LIMIT 50),
+ b AS (SELECT '    ' || regexp_replace(name, '[^a-zA-Z0-9_]', '_', 'g') || '["' || name || '"]' AS t FROM n),
+ a AS (SELECT '    ' || regexp_replace(caller, '[^a-zA-Z0-9_]', '_', 'g') || ' --> ' || regexp_replace(callee, '[^a-zA-Z0-9_]', '_', 'g') AS t FROM e WHERE caller IN (FROM n) AND callee IN (FROM n))
+ SELECT 'graph TB' || chr(10) || (SELECT string_agg(t, chr(10) ORDER BY t) FROM b) || chr(10) || (SELECT coalesce(string_agg(t, chr(10) ORDER BY t), '') FROM a) AS diagram""")
 def _(spark, sf):
     return graph.mermaid(edges(spark, sf))
 

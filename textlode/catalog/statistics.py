@@ -172,7 +172,9 @@ def _(spark, sf):
     return h.select("path", *BIG("line", "column"), F.md5(context.snippet()).alias("s"))
 
 
-@query("str_40_split_chunks")
+@query("str_40_split_chunks", """WITH RECURSIVE l AS (SELECT doc_id, length(t) AS n, i FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents)),
+ f(doc_id, i, part, cur) AS (SELECT doc_id, 0::BIGINT, 0::BIGINT, 0::BIGINT FROM documents UNION ALL SELECT f.doc_id, l.i, part + (cur > 0 AND cur + n > 2000)::BIGINT, CASE WHEN cur > 0 AND cur + n > 2000 THEN 0 ELSE cur END + n + 1
+ FROM f JOIN l ON l.doc_id = f.doc_id AND l.i = f.i + 1) SELECT doc_id, part, max(cur) AS n FROM f WHERE i > 0 GROUP BY ALL""")
 def _(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", F.posexplode(text.split_at_lines(F.split("text", "\n", -1), 2000)).alias("part", "chunk"))
     return d.select("doc_id", *BIG("part"), F.length("chunk").cast("bigint").alias("n"))
