@@ -1,6 +1,7 @@
 """Order-sensitive helpers that never pull a whole table into one task."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -48,14 +49,30 @@ def number_rows(df: DataFrame, key: str, order, name: str, start=0, buckets=200)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in the folder that ``spark.checkpoint.dir`` names; on a cluster it must be named.
+    """Reliable checkpoint in the shared folder."""
+    shared_folder(df.sparkSession)
+    return df.checkpoint()
+
+
+def stored(df: DataFrame, by: str, root=None) -> DataFrame:
+    """``df`` written as Parquet in ranges of ``by``, sorted, and read back: a filter on ``by`` skips files and row groups.
+
+    ``root`` is a new folder that all executors share; without it one is made in the shared folder.
+    """
+    path = root or f"{shared_folder(df.sparkSession)}/{uuid.uuid4()}"
+    df.repartitionByRange(by).sortWithinPartitions(by).write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def shared_folder(spark) -> str:
+    """The checkpoint folder, set from ``spark.checkpoint.dir`` if need be; on a cluster that must be named.
 
     Only a session of one machine, as in tests, gets a folder of its own.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        named = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and sc.master != "local" and not sc.master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
+    return sc.getCheckpointDir()

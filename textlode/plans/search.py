@@ -33,17 +33,19 @@ class CorpusIndex:
         return parse.call_edges(self.calls)
 
 
-def build_index(files: DataFrame, only_code=True) -> CorpusIndex:
-    """Parse a corpus once: symbol, call and posting tables are materialised, the rest derives from them.
+def build_index(files: DataFrame, only_code=True, root=None) -> CorpusIndex:
+    """Parse a corpus once: symbol, call and posting tables are stored, the rest derives from them.
 
-    They go through a reliable checkpoint, so searches plan against plain tables and a lost
-    executor re-reads files instead of re-parsing the corpus.
+    They are Parquet tables under ``root`` (a new folder that all executors share; by default in the checkpoint folder):
+    symbols sorted by name, calls by name, postings by term, so a search reads the parts that can hold its terms, and a
+    lost executor re-reads files instead of re-parsing the corpus.
     """
+    at = lambda name: root and f"{root}/{name}"
     kept = files.filter(paths.should_index(F.col("path"))) if only_code else files
-    symbols = ordering.cut_lineage(parse.symbol_table(parse.parse_symbols(kept)))
-    calls = ordering.cut_lineage(parse.call_lists(symbols, kept))
+    symbols = ordering.stored(parse.symbol_table(parse.parse_symbols(kept)), "name", at("symbols"))
+    calls = ordering.stored(parse.call_lists(symbols, kept), "name", at("calls"))
     docs = index.document_feed(kept, symbols)
-    posts = ordering.cut_lineage(index.postings(docs))
+    posts = ordering.stored(index.postings(docs), "term", at("postings"))
     return CorpusIndex(kept, symbols, docs, calls, posts)
 
 
