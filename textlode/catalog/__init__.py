@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-MODULES = ("strings", "search", "indexes", "relations", "statistics", "sessions", "code")
+MODULES = ("strings", "search", "indexes", "relations", "statistics", "sessions", "code", "records")
 
 
 def load():

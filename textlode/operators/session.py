@@ -1,8 +1,10 @@
 """Session turns: retention, lookup, tags, references and history, per session id."""
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import fixed, text
+from ..functions import classify, fixed, text
 from ..functions.classify import REFERENCE
 from . import ordering
 
@@ -161,3 +163,41 @@ def history_ring(items: DataFrame, most: int, key="user", order="seq") -> DataFr
 
 def history_results(ring: DataFrame, item: int) -> DataFrame:
     return ring.filter(F.col("id") == item)
+
+
+def run_commands(commands: DataFrame, turns: DataFrame, tags: DataFrame = None, marks: DataFrame = None, most=10) -> DataFrame:
+    """Results of reading commands: (session, command, kind, number, part, text), any number of commands of any number of sessions.
+
+    ``commands``: (session, command); ``turns``: numbered turns with summaries; ``tags``: (session, number, tag);
+    ``marks``: (session, number).  Commands meet the turns by one join on the session; a search gives its first ``most`` turns.
+    """
+    asked = commands.withColumn("c", classify.session_command(F.col("command"))).filter("c.type is not null") \
+        .select("session", "command", F.col("c.type").alias("kind"), F.col("c.arg1").alias("a"), F.col("c.arg2").alias("b"))
+    with_turn = asked.join(turns.select("session", "number", "user", "assistant", "summary"), "session")
+    number = F.col("number").cast("string")
+    out = lambda df, part, text: df.select("session", "command", "kind", F.col("number").cast("bigint").alias("number"), part.cast("string").alias("part"), text.alias("text"))
+
+    def newest(df, k):
+        rank = F.row_number().over(Window.partitionBy("session", "command").orderBy(F.desc("number")))
+        return df.withColumn("rn", rank).filter(F.col("rn") <= k)
+
+    low = F.lower("a")
+    found = with_turn.filter((F.col("kind") == "search") & (F.contains(F.lower("user"), low) | F.contains(F.lower("assistant"), low)))
+    first = F.row_number().over(Window.partitionBy("session", "command").orderBy("number"))
+    shown = with_turn.filter((F.col("kind") == "show") & (number == F.col("a")))
+    pair = with_turn.filter((F.col("kind") == "compare") & ((number == F.col("a")) | (number == F.col("b"))))
+    code = with_turn.filter((F.col("kind") == "code") & (number == F.col("a"))) \
+        .select("session", "command", "kind", "number", F.posexplode(text.fenced_blocks(F.col("assistant"))).alias("i", "block"))
+    total = with_turn.filter(F.col("kind") == "stats").groupBy("session", "command", "kind").agg(
+        F.count("*").alias("turns"), F.sum(F.length("user") + F.length("assistant")).alias("chars"), F.sum(block_count(F.col("assistant"))).alias("blocks"))
+    legs = [out(newest(with_turn.filter(F.col("kind") == "history"), F.col("a").cast("int")), F.lit("summary"), F.col("summary")),
+            out(found.withColumn("rn", first).filter(F.col("rn") <= most), F.lit("summary"), F.col("summary")),
+            out(shown, F.lit("user"), F.col("user")), out(shown, F.lit("assistant"), F.col("assistant")),
+            out(pair, F.lit("lengths"), F.concat_ws("|", F.length("user").cast("string"), F.length("assistant").cast("string"))),
+            out(code, F.col("i"), F.col("block.code")),
+            out(total.withColumn("number", F.lit(None)), F.lit("totals"), F.concat_ws("|", *[F.col(n).cast("string") for n in ("turns", "chars", "blocks")]))]
+    if tags is not None:
+        legs.append(out(with_turn.filter(F.col("kind") == "tagged").join(tags.withColumnRenamed("tag", "a").distinct(), ["session", "number", "a"]), F.lit("summary"), F.col("summary")))
+    if marks is not None:
+        legs.append(out(with_turn.filter(F.col("kind") == "list-bookmarks").join(marks.distinct(), ["session", "number"]), F.lit("summary"), F.col("summary")))
+    return reduce(DataFrame.unionByName, legs)

@@ -34,6 +34,11 @@ def scan(spark, root: str, max_depth=None, skip_dirs=fixed.SKIP_DIRS, glob=None,
     base = root.rstrip("/")
     rel = F.regexp_replace("path", r"^(file:/*|[a-z0-9]+://[^/]*/)", "/")
     df = reader.load(base).withColumn("path", paths.relative_to(rel, F.lit(base)))
+    return select_files(df.withColumnRenamed("content", "raw").withColumnRenamed("modificationTime", "modified"), max_depth, skip_dirs, keep, binary, max_bytes)
+
+
+def select_files(df: DataFrame, max_depth=None, skip_dirs=fixed.SKIP_DIRS, keep=None, binary=False, max_bytes=None) -> DataFrame:
+    """The rules of a scan on any table of (path, length, raw, ...): folders, depth, size and kind of file."""
     if max_bytes is not None:
         df = df.filter(F.col("length") <= max_bytes)
     parts = F.split("path", "/")
@@ -45,8 +50,7 @@ def scan(spark, root: str, max_depth=None, skip_dirs=fixed.SKIP_DIRS, glob=None,
         df = df.filter(~paths.is_binary(F.col("path")))
     if keep is not None:
         df = df.filter(keep(F.col("path")))
-    out = df.select("path", F.col("length").alias("size"), F.col("content").alias("raw"), F.col("modificationTime").alias("modified"))
-    return with_order(out)
+    return with_order(df.withColumnRenamed("length", "size"))
 
 
 def read_text(spark, root: str, **options) -> DataFrame:
