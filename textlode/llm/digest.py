@@ -9,8 +9,8 @@ expected difference of unrelated digests, cut at 0.
 Equal texts have equal digests, and a digest depends on nothing else.  Texts are read in chunks; counters are bounded; nothing is shuffled for
 fingerprints themselves.
 
-Neighbours.  ``with_next`` gives each row the text of the next id.  Ids are cut into ranges of about equal row counts (one aggregate over ids), each
-range is one group of bounded size, and the first row of each range, found beside, serves the range before it.
+Neighbours.  ``over_neighbours`` gives each row the text of the next id.  Ids are cut into one range for each shuffle partition (approximate quantiles of
+ids, bounded in number), Spark sorts the ranges, and a range is read as a stream; the first row of each range is sent along to the range before it.
 
 Defined cases: null is the empty text; a text of fewer than five bytes has all counts zero and one digest per length and checksum; repeated ids
 follow each other by text; the only row is its own next; an empty table gives an empty table; null ids come first; extra columns are ignored.
@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import shared, words as W
+from . import words as W
 
 BUCKETS = 256
 _RNG = np.random.default_rng(20240613)
