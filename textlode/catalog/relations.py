@@ -4,7 +4,6 @@ from pyspark.sql import functions as F
 
 from ..operators import context, graph, grep, joins, parse, topk
 from ..plans import scope, search
-from ..sources import files as filesrc
 from . import registry as R
 from .registry import corpus, edges, joined, query, symbols, table
 
