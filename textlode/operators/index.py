@@ -9,6 +9,8 @@ from . import ordering
 
 # --- document feeds -----------------------------------------------------------
 
+BROADCAST_TERMS = 500_000
+
 
 def document_feed(files: DataFrame, symbols: DataFrame = None) -> DataFrame:
     """Index documents: source files, symbols and summaries as (doc_id, doc_type, content, ...)."""
@@ -190,13 +192,17 @@ def tfidf_sparse(docs: DataFrame, vocab: DataFrame, key="id", content="text",
                  dimensions=fixed.EMBEDDING_DIMENSIONS) -> DataFrame:
     """Unit-length bucketed TF-IDF weights, sparse: (id, bucket, weight).
 
-    Token counts are per document; the vocabulary joins on term, and the per-document
-    norm comes from a second aggregate, so no document row is ever wider than its text.
+    Token counts are per document; the vocabulary joins on term (sent to all tasks while it has at most
+    ``BROADCAST_TERMS`` terms of under 30 characters, so that no frequent term is one task's), and the
+    per-document norm comes from a second aggregate, so no document row is ever wider than its text.
     """
     tokens = docs.select(key, text.vector_tokens(F.col(content)).alias("tokens"))  # tokenized once, below the explode
     counts = tokens.select(key, F.size("tokens").alias("n_tokens"), F.explode("tokens").alias("term")) \
         .groupBy(key, "n_tokens", "term").agg(F.count("*").alias("tf"))
-    sums = counts.join(vocab.select("term", "idx", "idf"), "term") \
+    known = vocab.select("term", "idx", "idf")
+    if known.count() <= BROADCAST_TERMS:  # else a shuffle join, whose hot terms Spark splits
+        known = F.broadcast(known)
+    sums = counts.join(known, "term") \
         .groupBy(key, (F.col("idx") % dimensions).cast("int").alias("bucket")) \
         .agg(F.sum(F.col("tf") / F.col("n_tokens") * F.col("idf")).alias("w"))
     norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(key)))
