@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from . import words as W
+from . import shared, words as W
 
 SHORT = 64
 
@@ -118,7 +118,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text"
                     out = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(ids), dtype="<i4")))
                 yield pa.RecordBatch.from_arrays([*b.slice(lo, hi - lo).columns, out], names=[*rest, ids_col])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).transform(shared.in_batches, run, schema)
 
 
 def decode(df: DataFrame, ranks: dict[bytes, int], ids_col="ids", out_col="decoded") -> DataFrame:
@@ -135,4 +135,4 @@ def decode(df: DataFrame, ranks: dict[bytes, int], ids_col="ids", out_col="decod
                 ids = [np.frombuffer(x or b"", dtype="<u4").tolist() if is_packed else x or [] for x in part.column(at).to_pylist()]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([b"".join(map(piece, x)) for x in ids], pa.binary())], names=[*rest, out_col])
 
-    return df.select(*rest).mapInArrow(run, schema)
+    return df.select(*rest).transform(shared.in_batches, run, schema)

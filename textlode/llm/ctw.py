@@ -87,7 +87,7 @@ def gather(docs: DataFrame, text_col: str) -> DataFrame:
         yield from out(0, full, cells[full])
         yield from out(2, np.zeros(1, np.int64), np.array([texts_seen]))
 
-    return docs.select(text_col).mapInArrow(count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
+    return docs.select(text_col).transform(shared.in_batches, count, "kind byte, key long, n long").groupBy("kind", "key").agg(F.sum("n").alias("n"))
 
 
 _LGAMMA_HALF = None
@@ -238,7 +238,7 @@ def score(docs: DataFrame, training: Column, id_col="doc_id", text_col="text", f
                 [b.column(0), pa.array([len(t) for t in texts], pa.int64()), pa.array(scores), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()),
                  pa.array(logs, pa.float64()), lists], names=["id", "n_bytes", "score", "n_tokens", "seen", "logs", "rest"])
 
-    scored = rows.select("id", "text").mapInArrow(
+    scored = rows.select("id", "text").transform(shared.in_batches, 
         run, f"id {kind}, n_bytes long, score double, n_tokens long, seen long, logs double, rest array<struct<key:bigint,k:int>>")
     scored = shared.cut(scored.withColumn("row", F.monotonically_increasing_id()))
     rest = (scored.select("row", F.explode("rest").alias("w")).select("row", "w.key", "w.k").join(words, "key")

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import words as W
+from . import shared, words as W
 
 FIELDS = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, hit_words array<struct<start:int,end:int>>"
 
@@ -102,7 +102,7 @@ def item_words(benchmark: DataFrame, id_col="item_id", text_col="text", window=1
     def read(batches: Iterator[pa.RecordBatch]):
         for b in batches:
             ids, rows = b.column(0).to_pylist(), []
-            for lo, hashes, cuts, *_ in W.words_by_text(W.texts_of(b.column(1)), W.ALNUM):
+            for lo, hashes, cuts, *_ in W.words_by_text(b.column(1), W.ALNUM):
                 for i in range(len(cuts) - 1):
                     own = hashes[cuts[i]:cuts[i + 1]]
                     for at in range(0, max(1, len(own) - window + 1), piece):
@@ -113,7 +113,7 @@ def item_words(benchmark: DataFrame, id_col="item_id", text_col="text", window=1
                 [pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.list_(pa.int64())), pa.array([r[2] for r in rows], pa.int64())],
                 names=["item", "words", "n"])
 
-    return benchmark.select(F.col(id_col).cast("string"), text_col).mapInArrow(read, "item string, words array<long>, n long")
+    return benchmark.select(F.col(id_col).cast("string"), text_col).transform(shared.in_batches, read, "item string, words array<long>, n long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_col="text", item_id="item_id", item_text="text", window=10, k=5,
@@ -149,7 +149,7 @@ def clean(docs: DataFrame, benchmark: DataFrame, text_col="text", item_id="item_
     """The rows of ``docs`` without any window of an item, with all their columns; one pass over them for all blocks."""
     at = docs.columns.index(text_col)
     for sent in _indexes(benchmark, item_id, item_text, window, k, block_words):
-        docs = docs.mapInArrow(_without(sent, at), docs.schema)
+        docs = docs.transform(shared.in_batches, _without(sent, at), docs.schema)
     return docs
 
 
@@ -157,7 +157,7 @@ def _without(sent, at):
     def run(batches):
         for b in batches:
             kept = []
-            for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(b.column(at)), W.ALNUM):
+            for _, hashes, cuts, *_ in W.words_by_text(b.column(at), W.ALNUM):
                 kept += [not len(hits(hashes[cuts[i]:cuts[i + 1]], sent.value)[1]) for i in range(len(cuts) - 1)]
             yield b.filter(pa.array(kept, pa.bool_()))
     return run
@@ -170,7 +170,7 @@ def _against(docs, sent, kind, with_items):
         index = sent.value
         for b in batches:
             n_words, n_hit, n_items, digest, spans, names = [], [], [], [], [], []
-            for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(b.column(1)), W.ALNUM):
+            for _, hashes, cuts, *_ in W.words_by_text(b.column(1), W.ALNUM):
                 for i in range(len(cuts) - 1):
                     mask, found = hits(hashes[cuts[i]:cuts[i + 1]], index)
                     own = sorted(index.names[j] for j in found)
@@ -185,7 +185,7 @@ def _against(docs, sent, kind, with_items):
             yield pa.RecordBatch.from_arrays(out + ([pa.array(names, pa.list_(pa.string()))] if with_items else []),
                                              names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words"] + ["items"] * with_items)
 
-    return docs.mapInArrow(run, f"id {kind}, {FIELDS}" + (", items array<string>" if with_items else ""))
+    return docs.transform(shared.in_batches, run, f"id {kind}, {FIELDS}" + (", items array<string>" if with_items else ""))
 
 
 def _united(parts, id_col):

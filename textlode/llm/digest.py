@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import words as W
+from . import shared, words as W
 
 BUCKETS = 256
 _RNG = np.random.default_rng(20240613)
@@ -88,7 +88,7 @@ def fingerprints(docs: DataFrame, id_col="doc_id", text_col="text") -> DataFrame
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([fingerprint(t) for t in W.texts_of(b.column(1))], pa.string())], names=["id", "fingerprint"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(shared.in_batches, run, f"id {kind}, fingerprint string").withColumnRenamed("id", id_col)
 
 
 def over_neighbours(docs: DataFrame, id_col: str, text_col: str, per_pair, schema: str) -> DataFrame:
@@ -134,7 +134,7 @@ def over_neighbours(docs: DataFrame, id_col: str, text_col: str, per_pair, schem
                 yield from out.cast(pa.schema([(names[0], ids.type), *[(n, out.schema.field(n).type) for n in names[1:]]])).to_batches()
 
     placed = both.repartition(ranges, "part").sortWithinPartitions("part", "border", "id", "text")
-    return placed.mapInArrow(run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
+    return placed.transform(shared.in_batches, run, f"id {kind}, {schema}").withColumnRenamed("id", id_col)
 
 
 def edited(text: bytes, following: bytes) -> tuple[int, bytes]:

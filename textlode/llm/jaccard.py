@@ -46,7 +46,7 @@ def _digest(own: np.ndarray) -> np.uint64:
 
 
 def _sets(column, k):
-    for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(column), W.NONSPACE):
+    for _, hashes, cuts, *_ in W.words_by_text(column, W.NONSPACE):
         for i in range(len(cuts) - 1):
             yield shingle_set(hashes[cuts[i]:cuts[i + 1]], k)
 
@@ -63,7 +63,7 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
                 c.append(int(_digest(own).view(np.int64)))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64())], names=["id", "n", "c"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, n long, c long")
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(shared.in_batches, run, f"id {kind}, n long, c long")
 
 
 _PACKED = "bucket int, heavy long, classes binary, sizes binary, owners binary, hashes binary"
@@ -130,7 +130,7 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> Da
         if held:
             yield from flush(held)
 
-    return docs.select(text_col).mapInArrow(run, _PACKED)
+    return docs.select(text_col).transform(shared.in_batches, run, _PACKED)
 
 
 _SHARED = "part int, classes binary, sizes binary, keys binary"
@@ -149,6 +149,7 @@ def shared_keys(rows: DataFrame, bits: int) -> DataFrame:
     """Order keys (frequency, then hash) of the n-grams that two classes or more have, dealt by class."""
 
     def count(table: pa.Table) -> pa.Table:
+        shared.release()
         if table.column("bucket")[0].as_py() < 0:  # keys that are known already
             part = pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int32())
             return pa.table([part, table.column("classes"), table.column("sizes"), table.column("hashes")], schema=W.schema_of(_SHARED))
@@ -185,6 +186,7 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     """(c, n, k, p, keys): classes with a posted prefix; its ``p`` first of the ``k`` shared n-grams, in order of frequency."""
 
     def choose(table: pa.Table) -> pa.Table:
+        shared.release()
         column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
         c, s, keys = column("classes", np.uint64), column("sizes", np.uint32).astype(np.int64), column("keys", np.uint64)
         order = np.lexsort((keys, c))

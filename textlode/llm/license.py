@@ -18,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import words as W
+from . import shared, words as W
 
 #: The phrases whose places are counted, with their labels.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
@@ -58,7 +58,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col="text") ->
     def count(batches):
         found, rows = np.zeros(len(keys), dtype=np.int64), 0
         for b in batches:
-            for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(b.column(0)), W.ALNUM):
+            for _, hashes, cuts, *_ in W.words_by_text(b.column(0), W.ALNUM):
                 at = np.searchsorted(ranked, hashes)
                 at[at == len(ranked)] = 0
                 hit = np.flatnonzero(ranked[at] == hashes)
@@ -68,7 +68,7 @@ def document_frequencies(docs: DataFrame, words: list[str], text_col="text") ->
                 rows += len(cuts) - 1
         yield pa.RecordBatch.from_arrays([pa.array([-1, *range(len(keys))], pa.int32()), pa.array([rows, *found.tolist()], pa.int64())], names=["w", "n"])
 
-    total = {r["w"]: r["n"] for r in docs.select(text_col).mapInArrow(count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
+    total = {r["w"]: r["n"] for r in docs.select(text_col).transform(shared.in_batches, count, "w int, n long").groupBy("w").agg(F.sum("n").alias("n")).collect()}
     return total.get(-1, 0), {words[order[i]]: total.get(i, 0) for i in range(len(keys))}
 
 
@@ -148,7 +148,7 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", phrases=None, notice
     def run(batches):
         for b in batches:
             rows = []
-            for _, hashes, cuts, *_ in W.words_by_text(W.texts_of(b.column(1)), W.ALNUM):
+            for _, hashes, cuts, *_ in W.words_by_text(b.column(1), W.ALNUM):
                 for i in range(len(cuts) - 1):
                     own = hashes[cuts[i]:cuts[i + 1]]
                     base, scores = scan_words(own, index, slack, least)
@@ -162,6 +162,6 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", phrases=None, notice
             yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
                                              names=["id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "places"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(shared.in_batches, 
         run, f"id {kind}, n_words long, n_base long, first_word long, last_word long, base_labels string, labels string, score double, "
              "places array<struct<label:string,word:bigint>>").withColumnRenamed("id", id_col)

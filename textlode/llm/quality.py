@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from . import words as W
+from . import shared, words as W
 
 PASSAGE = 64
 _CODE = np.full(256, 5, dtype=np.int64)  # classes of bytes: 0 lower, 1 upper, 2 digit, 3 space, 4 full stop or comma, 5 other ASCII, 6 line end, 7 not ASCII
@@ -145,7 +145,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
             kept = [p[np.unique(np.linspace(0, len(p) - 1, sample_passages).astype(int))] for p in map(passages, W.texts_of(b.column(0)))]
             yield pa.RecordBatch.from_arrays([b.column(1), pa.array([p.astype(np.float32).tobytes() for p in kept], pa.binary())], names=["y", "x"])
 
-    found = sorted((bytes(r["x"]), r["y"]) for r in rows.mapInArrow(codes, "y double, x binary").collect())
+    found = sorted((bytes(r["x"]), r["y"]) for r in rows.transform(shared.in_batches, codes, "y double, x binary").collect())
     if not found:
         return Model()
     x = [np.frombuffer(r[0], dtype=np.float32).reshape(-1, FEATURES) for r in found]
@@ -168,7 +168,7 @@ def keep(docs: DataFrame, model: Model, least: float, text_col="text") -> DataFr
         for b in batches:
             yield b.filter(pa.array(_scores(sent.value, W.texts_of(b.column(at))) >= least))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.transform(shared.in_batches, run, docs.schema)
 
 
 def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> DataFrame:
@@ -180,4 +180,4 @@ def score(docs: DataFrame, model: Model, id_col="doc_id", text_col="text") -> Da
         for b in batches:
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(_scores(sent.value, W.texts_of(b.column(1))))], names=["id", "score"])
 
-    return docs.select(F.col(id_col).alias("id"), text_col).mapInArrow(run, f"id {kind}, score double").withColumnRenamed("id", id_col)
+    return docs.select(F.col(id_col).alias("id"), text_col).transform(shared.in_batches, run, f"id {kind}, score double").withColumnRenamed("id", id_col)

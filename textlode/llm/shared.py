@@ -1,8 +1,10 @@
 """Small helpers of the training-data operators."""
 
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 
@@ -49,3 +51,31 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
             break
         lowest = c
     return (classed.limit(0) if lowest is None else classed.filter(F.col("class") >= lowest)).drop("class")
+
+
+#: Rows of an Arrow batch between the JVM and a Python worker.
+BATCH_ROWS = 2000
+
+
+def in_batches(df: DataFrame, run, schema) -> DataFrame:
+    """``df.mapInArrow(run, schema)`` in small batches, after which a worker gives its free memory back.
+
+    Workers stay between tasks and share an executor's memory with the JVM, so what the C library keeps would add up over a job's stages.
+    """
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    df.sparkSession.conf.set(key, str(min(int(df.sparkSession.conf.get(key)), BATCH_ROWS)))
+
+    def bounded(batches):
+        yield from run(batches)
+        release()
+
+    return df.mapInArrow(bounded, schema)
+
+
+def release():
+    """Free memory goes back to the system, where the C library can do that."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass

@@ -66,7 +66,7 @@ def write(pages: DataFrame, folder: str, id_col="page_id", payload_col="html", u
 
     # bytes pass through the text writer unchanged; its line separator is what stands between two records
     separator = EMPTY_MEMBER.decode("latin-1") if compress else "\r\n\r\n"
-    (text.mapInArrow(form, "value binary").select(F.col("value").cast("string").alias("value"))
+    (text.transform(shared.in_batches, form, "value binary").select(F.col("value").cast("string").alias("value"))
      .write.option("lineSep", separator).option("encoding", "ISO-8859-1")
      .option("maxRecordsPerFile", max(1, archive_mb * 64)).text(folder))
 
@@ -189,5 +189,5 @@ def read(spark, folder: str) -> DataFrame:
                 yield from W.batches_of(rows, RECORD)
 
     # one archive a batch would be best; Arrow batches are bounded by bytes, archives by the writer
-    return spark.read.format("binaryFile").load(folder).select("path", "content").mapInArrow(parse, RECORD)
+    return spark.read.format("binaryFile").load(folder).select("path", "content").transform(shared.in_batches, parse, RECORD)
 

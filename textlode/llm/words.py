@@ -8,6 +8,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 CHUNK = 1 << 20
 _U = np.uint64
@@ -100,13 +101,18 @@ def chunked(sizes, limit=CHUNK):
         yield at, len(sizes)
 
 
-def words_by_text(texts: list[bytes], kind: np.ndarray):
-    """For chunks of texts: (first index, hashes, cuts, starts, ends, data); words of the chunk's text i are ``[cuts[i], cuts[i + 1])``."""
-    for lo, hi in chunked([len(t) for t in texts]):
-        # zero bytes between texts are no word bytes of the alphanumeric class; for the other class a space is
-        data = LOWER[np.frombuffer(b" ".join(texts[lo:hi]), dtype=np.uint8)]
+def words_by_text(texts, kind: np.ndarray):
+    """For chunks of texts: (first index, hashes, cuts, starts, ends, data); words of the chunk's text i are ``[cuts[i], cuts[i + 1])``.
+
+    ``texts`` are bytes, or an Arrow string column, of which one chunk at a time becomes bytes; null is the empty text.
+    """
+    column = not isinstance(texts, list)
+    for lo, hi in chunked(pc.fill_null(pc.binary_length(texts), 0).to_pylist() if column else [len(t) for t in texts]):
+        own = texts_of(texts.slice(lo, hi - lo)) if column else texts[lo:hi]
+        # a space between texts is a word byte of neither class
+        data = LOWER[np.frombuffer(b" ".join(own), dtype=np.uint8)]
         offsets = np.zeros(hi - lo + 1, dtype=np.int64)
-        np.cumsum([len(t) + 1 for t in texts[lo:hi]], out=offsets[1:])
+        np.cumsum([len(t) + 1 for t in own], out=offsets[1:])
         starts, ends, hashes = hash_words(data, kind)
         yield lo, hashes, np.searchsorted(starts, offsets), starts, ends, data
 
