@@ -8,8 +8,8 @@ expanded to members and verified by the exact overlap.
 
 Hot groups.  Near copies may be a third of all rows, so pairs are not listed: (1) every group is verified against one pivot, the set with the
 fewest unique n-grams among its lists, and members against their group's first; (2) components of these links are formed; (3) each list is asked only
-for the pairs across components: the members outside the pivot's component against all.  Every link between different components is so found,
-whatever the group's size; links inside a component change nothing.
+for the pairs across components: the members outside the pivot's component against all, where the places of the shared n-gram and the overlaps with a
+common pivot leave a link possible.  Every link between different components is so found, whatever the group's size; links inside a component change nothing.
 
 Frequencies are counted on packed arrays: a task sorts the hashes of up to ``BLOCK`` n-grams and sends one row for each range of hashes.  A hash that more
 than ``heavy`` classes of a block have counts as most frequent everywhere: its range is told so, and its classes go straight to where their n-grams are
@@ -210,11 +210,16 @@ def _possible(a, b, percent):
     return (F.least(f"{a}k", f"{b}k") * (100 + percent) >= need) & (F.greatest(f"{a}n", f"{b}n") * percent <= 100 * F.least(f"{a}n", f"{b}n"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The (a, b) pairs whose overlap makes a link."""
+def _needed(percent):
+    """The overlap that links two sets of a_n and b_n n-grams."""
+    return F.ceil(percent * (F.col("a_n") + F.col("b_n")) / (100 + percent))
+
+
+def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b, o, linked): the overlap of each pair, and whether it makes a link."""
     side = lambda x: sets.select(F.col("c").alias(x), F.col("n").alias(f"{x}_n"), F.col("keys").alias(f"{x}_keys"))
     both = pairs.join(side("a"), "a").join(side("b"), "b").withColumn("o", F.size(F.array_intersect("a_keys", "b_keys")))
-    return both.filter(100 * F.col("o") >= percent * (F.col("a_n") + F.col("b_n") - F.col("o"))).select("a", "b")
+    return both.select("a", "b", "o", (100 * F.col("o") >= percent * (F.col("a_n") + F.col("b_n") - F.col("o"))).alias("linked"))
 
 
 def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75, heavy=HEAVY) -> DataFrame:
@@ -233,26 +238,38 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
     groups = shared.cut(groups)
     first = groups.select("g", "n", "k", "a")
     inside = members.join(first, ["g", "n", "k"]).filter("a <> c").select("a", F.col("c").alias("b"))
-    posted = groups.select("a", "n", "k", F.explode("prefix").alias("key"))
+    posted = groups.select("a", "n", "k", F.posexplode("prefix").alias("at", "key"))
     best = F.struct((F.col("k") / F.col("n")).alias("share"), F.col("a"), F.col("n"), F.col("k"))
     lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.max(best).alias("top"), F.min("n").alias("least")).filter("size > 1")
     lists = shared.cut(lists.select("key", F.col("top.a").alias("pivot"), F.col("top.n").alias("t_n"), F.col("top.k").alias("t_k"), F.col("top.share").alias("share"), "least"))
     star = (posted.withColumnsRenamed({"n": "a_n", "k": "a_k"}).join(lists, "key").filter("a <> pivot").filter(_possible("a_", "t_", percent))
             .groupBy("a").agg(F.max(F.struct("share", "pivot")).alias("m")).select("a", F.col("m.pivot").alias("b")))
-    links = shared.cut(_verified(inside.unionByName(star), sets, percent))
+    tried = shared.cut(_overlaps(inside.unionByName(star), sets, percent)
+                       .join(star.withColumn("star", F.lit(True)), ["a", "b"], "left"))
+    links = tried.filter("linked").select("a", "b")
     label = components(links)  # (v, label) of linked classes
+    known = tried.filter("star").select(F.col("a").alias("c"), F.col("b").alias("pivot_of"), F.col("o").alias("with_pivot"))
 
     of = members.join(label.withColumnRenamed("v", "c"), "c", "left").select("c", "g", "n", "k", F.coalesce("label", "c").alias("label"))
-    wide = (posted.select("key", "a", "n", "k").join(first.select("a", "g"), "a").join(of.select("c", "g", "n", "k", "label"), ["g", "n", "k"])
+    wide = (posted.select("key", "at", "a", "n", "k").join(first.select("a", "g"), "a").join(of.select("c", "g", "n", "k", "label"), ["g", "n", "k"])
             .join(lists.select("key", "pivot", "least"), "key")
             .filter(F.col("k") * (100 + percent) >= percent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))))
     home = wide.filter("c = pivot").select("key", F.col("label").alias("home"))
-    wide = shared.cut(wide.join(home, "key", "left").select("key", "c", "n", "k", "label", "home"))
-    out = wide.filter(~F.col("label").eqNullSafe(F.col("home"))).select("key", *[F.col(x).alias(f"a_{x}") for x in ("c", "n", "k", "label")])
-    all_ = wide.select("key", *[F.col(x).alias(f"b_{x}") for x in ("c", "n", "k", "label")])
-    across = (out.join(all_, "key").filter((F.col("a_label") != F.col("b_label")) & _possible("a_", "b_", percent))
+    wide = wide.join(home, "key", "left").join(known, "c", "left")
+    fields = ("c", "n", "k", "label", "at", "pivot_of", "with_pivot")
+    wide = shared.cut(wide.select("key", "home", "c", "n", "k", "label", "at", F.coalesce("pivot_of", "c").alias("pivot_of"),
+                                  F.when(F.col("pivot_of").isNull(), F.col("k")).otherwise(F.col("with_pivot")).alias("with_pivot")))
+    out = wide.filter(~F.col("label").eqNullSafe(F.col("home"))).select("key", *[F.col(x).alias(f"a_{x}") for x in fields])
+    all_ = wide.select("key", *[F.col(x).alias(f"b_{x}") for x in fields])
+    # two sets that overlap by ``need`` share an n-gram within the first k - need + 1 of each
+    need = _needed(percent)
+    early = (F.col("a_at") <= F.col("a_k") - need) & (F.col("b_at") <= F.col("b_k") - need)
+    # they share what both share with a common pivot at most, and outside of it what either has there at most
+    inner = F.least("a_with_pivot", "b_with_pivot") + F.least(F.col("a_k") - F.col("a_with_pivot"), F.col("b_k") - F.col("b_with_pivot"))
+    near = (F.col("a_pivot_of") != F.col("b_pivot_of")) | (inner >= need)
+    across = (out.join(all_, "key").filter((F.col("a_label") != F.col("b_label")) & _possible("a_", "b_", percent) & early & near)
               .select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct())
-    more = shared.cut(_verified(across, sets, percent))
+    more = shared.cut(_overlaps(across, sets, percent)).filter("linked").select("a", "b")
     final = components(links.unionByName(more))
 
     classes = rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
