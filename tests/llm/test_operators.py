@@ -15,7 +15,7 @@ import pytest
 import tiktoken
 from pyspark.sql import functions as F
 
-from textlode.llm import bpe, ctw, decontaminate, digest, jaccard, license, pii, pipeline, quality, queries, warc
+from textlode.llm import bpe, ctw, decontaminate, digest, jaccard, license, pii, pipeline, quality, queries, tokencount, warc
 from textlode.llm.components import components
 
 SMALL = "/root/testdata/sf0.001"
@@ -86,6 +86,29 @@ def test_bpe_as_the_library(spark, docs, texts, empty, unnamed):
         assert bpe.fold(word, RANKS) == bpe._fold_long(word, RANKS)
 
 
+@pytest.mark.parametrize("rule", tokencount.RULES)
+def test_token_counts_of_fields(spark, docs, texts, empty, unnamed, rule):
+    by_rank = {i: p for p, i in RANKS.items()}
+    library = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=RANKS, special_tokens={})
+    table = docs.filter("doc_id % 7 = 0 or doc_id >= 100000").select("doc_id", F.when(F.col("doc_id") % 2 == 0, " a é").alias("source"), F.lit("").alias("lang"), "text")
+    for r in tokencount.count(table, RANKS, public_tokenizers.PATTERN, ("source", "lang", "text"), rule=rule).collect():
+        parts = [" a é" if r.doc_id % 2 == 0 else "", "\n", "", "\n", texts[r.doc_id]]
+        owner = [k for k, p in enumerate(parts) for _ in p.encode()]
+        ids, want, crossing, at = library.encode_ordinary("".join(parts)), [0.0] * 5, 0, 0
+        for i in ids:
+            own = owner[at:at + len(by_rank[i])]
+            at += len(own)
+            crossing += len(set(own)) > 1
+            for k in {"start": own[:1], "end": own[-1:], "share": own}[rule]:
+                want[k] += 1 if rule != "share" else 1 / len(own)
+        got = [f.tokens for f in r.fields]
+        assert (r.n_tokens, r.n_crossing) == (len(ids), crossing) and [f.field for f in r.fields] == ["source", "lang", "text", "layout"]
+        assert got == pytest.approx([want[0], want[2], want[4], want[1] + want[3]]) and sum(got) == pytest.approx(len(ids))
+        assert (r.fields[2].start, r.fields[2].end) == (len("".join(parts[:4])), len("".join(parts)))
+    assert tokencount.count(empty, RANKS, public_tokenizers.PATTERN, ("source", "text")).count() == 0
+    assert [r.n_tokens for r in tokencount.count(unnamed, RANKS, public_tokenizers.PATTERN, ("text",)).orderBy("doc_id").collect()] == [0, 6, 6]
+
+
 def test_license_phrases_are_found_everywhere(docs, texts, empty, unnamed):
     for r in license.scan(docs).collect():
         words, hit = WORD.findall(low(texts[r.doc_id])), []

@@ -84,6 +84,17 @@ def _fold_long(word: bytes, ranks) -> list[int]:
     return out
 
 
+def known_words(ranks: dict[bytes, int], kept=1 << 18) -> dict[str, bytes]:
+    """Words to their packed ids, folded when first asked for; emptied when it holds ``kept`` words."""
+    class Known(dict):
+        def __missing__(self, word):
+            if len(self) >= kept:
+                self.clear()
+            own = self[word] = np.array(fold(word.encode(), ranks), dtype="<u4").tobytes()
+            return own
+    return Known()
+
+
 def _with(df: DataFrame, out: str, kind: str):
     """(columns kept, schema text of them and ``out``)."""
     rest = [c for c in df.columns if c != out]
@@ -98,15 +109,7 @@ def encode(df: DataFrame, ranks: dict[bytes, int], pattern: str, text_col="text"
 
     def run(batches):
         ranks, cut = sent.value, regex.compile(pattern).findall
-
-        class Known(dict):
-            def __missing__(self, word):
-                if len(self) >= kept:
-                    self.clear()
-                own = self[word] = np.array(fold(word.encode(), ranks), dtype="<u4").tobytes()
-                return own
-
-        known = Known()
+        known = known_words(ranks, kept)
         for b in batches:
             texts = b.column(at).to_pylist()
             for lo, hi in W.chunked([len(t or "") for t in texts], 4 << 20):

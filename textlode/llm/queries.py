@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, digest, jaccard, license, oracles, pii, quality, shared, warc
+from . import bpe, ctw, decontaminate, digest, jaccard, license, oracles, pii, quality, shared, tokencount, warc
 from .shared import table
 
 
@@ -30,6 +30,14 @@ def op4_benchmark_decontamination(spark, sf_dir):
     return found.select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
 
 
+def op5_token_counts(spark, sf_dir, vocabulary_path=None):
+    docs = table(spark, sf_dir, "documents")
+    ranks = bpe.read_ranks(vocabulary_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    found = tokencount.count(docs, ranks, public_tokenizers.PATTERN, ("source", "lang", "text"))
+    tokens = [F.get("fields", F.lit(i))["tokens"].cast("long").alias(f"{n}_tokens") for i, n in enumerate(("source", "lang", "text", "layout"))]
+    return found.select("doc_id", "n_tokens", *tokens, "n_crossing")
+
+
 def held_out(of, folds, fold):
     return F.crc32(F.coalesce(F.col(of).cast("string"), F.lit("")).cast("binary")) % folds == fold
 
@@ -71,7 +79,7 @@ def op10_lm_scoring(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_byte_level_bpe, op2_license_scan, op3_ngram_jaccard_join, op4_benchmark_decontamination, op6_quality_classifier, op7_document_fingerprints,
+    op1_byte_level_bpe, op2_license_scan, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op6_quality_classifier, op7_document_fingerprints,
     op8_warc, op9_pii, op10_lm_scoring)}
 
 #: The others cannot be said in SQL (merges, trained models, digests of counts); tests hold them against brute force.
