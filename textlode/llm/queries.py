@@ -33,7 +33,8 @@ def op4_benchmark_decontamination(spark, sf_dir):
 def op5_token_counts(spark, sf_dir, vocabulary_path=None):
     docs = table(spark, sf_dir, "documents")
     ranks = bpe.read_ranks(vocabulary_path or public_tokenizers.path("byte_bpe_50k.tiktoken"))
-    found = tokencount.count(docs, ranks, public_tokenizers.PATTERN, ("source", "lang", "text"))
+    # a space joins the fields, so a field's first token takes it in and crosses the border; it counts where it ends
+    found = tokencount.count(docs, ranks, public_tokenizers.PATTERN, ("source", "lang", "text"), separator=" ", rule="end")
     tokens = [F.get("fields", F.lit(i))["tokens"].cast("long").alias(f"{n}_tokens") for i, n in enumerate(("source", "lang", "text", "layout"))]
     return found.select("doc_id", "n_tokens", *tokens, "n_crossing")
 
