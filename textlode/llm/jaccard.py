@@ -32,6 +32,8 @@ from .components import components
 #: N-grams of a block; fewer than 2 ** 24, which bounds the number of its classes.
 BLOCK = 1 << 21
 HEAVY = 256
+#: N-grams of a range of hashes, about; ranges and parts are as many, so the rows between them stay few beside the n-grams.
+RANGE = 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
 
 
@@ -224,11 +226,9 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75, heavy=HEAVY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links of Jaccard >= percent / 100 reach)."""
-    spark = docs.sparkSession
     rows = shared.cut(summaries(docs, id_col, text_col, k))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    bits = min(20, max(1, math.ceil(math.log2(max(2 * tasks, total / (1 << 20), 2)))))
+    bits = min(20, math.ceil(math.log2(max(total / RANGE, 2))))
     blocks = packed(docs, text_col, k, bits, heavy)
     sets = shared.cut(candidates(shared_keys(blocks, bits), percent))
 
