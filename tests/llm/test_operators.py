@@ -182,6 +182,23 @@ def test_jaccard_components(spark, docs, texts, empty, unnamed, heavy):
         assert jaccard.similar_components(docs).count() == len(texts)
 
 
+def test_jaccard_members_of_a_lone_group(spark):
+    """Members that link to each other and not to their group's first, where no other group posts their n-grams."""
+    texts = {}
+    for case in range(12):  # any of the three may be the first, by digest
+        a = [f"a{case}_{i}" for i in range(12)]
+        texts[case * 100] = " ".join(["z"] + a[2:12])
+        texts[case * 100 + 1] = " ".join(a[1:11] + ["x"])
+        texts[case * 100 + 2] = " ".join(a[1:11] + ["y"])
+        for i in range(4):
+            texts[case * 100 + 10 + i] = " ".join(a[1:6] + [f"p{case}_{i}_{j}" for j in range(9)])
+            texts[case * 100 + 20 + i] = " ".join([f"q{case}_{i}_{j}" for j in range(9)] + a[7:12])
+    sets = sets_of(texts)
+    least = brute_components(sets)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_components(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert sum(least[c * 100 + 2] == c * 100 + 1 for c in range(12)) == 12 and got == least
+
+
 def test_components_of_a_path_and_a_star(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 130)] + [(7, 7), (1, 2)]
     got = {r.v: r.label for r in components(spark.createDataFrame(links, "a long, b long")).collect()}

@@ -7,8 +7,8 @@ and size are one group.  Group pairs that share a posted n-gram are filtered by
 expanded to members and verified by the exact overlap.
 
 Hot groups.  Near copies may be a third of all rows, so pairs are not listed: (1) every group is verified against one pivot, the set with the
-fewest unique n-grams among its lists, and members against their group's first; (2) components of these links are formed; (3) each list is asked only
-for the pairs across components: the members outside the pivot's component against all, where the places of the shared n-gram and the overlaps with a
+fewest unique n-grams among its lists, and members against their group's first; (2) components of these links are formed; (3) each list that two groups
+or a group of several members post is asked only for the pairs across components: the members outside the pivot's component against all, where the places of the shared n-gram and the overlaps with a
 common pivot leave a link possible.  Every link between different components is so found, whatever the group's size; links inside a component change nothing.
 
 Frequencies are counted on packed arrays: a task sorts the hashes of up to ``BLOCK`` n-grams and sends one row for each range of hashes.  A hash that more
@@ -233,14 +233,16 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
     sets = shared.cut(candidates(shared_keys(blocks, bits), percent))
 
     groups = (sets.withColumn("prefix", F.slice("keys", 1, F.col("p"))).withColumn("g", F.xxhash64("prefix", "n"))
-              .groupBy("g", "n", "k").agg(F.min("c").alias("a"), F.min_by("prefix", "c").alias("prefix")))
+              .groupBy("g", "n", "k").agg(F.min("c").alias("a"), F.min_by("prefix", "c").alias("prefix"), F.count("*").alias("m")))
     members = sets.select("c", "n", "k", F.xxhash64(F.slice("keys", 1, F.col("p")), "n").alias("g"))
     groups = shared.cut(groups)
     first = groups.select("g", "n", "k", "a")
     inside = members.join(first, ["g", "n", "k"]).filter("a <> c").select("a", F.col("c").alias("b"))
-    posted = groups.select("a", "n", "k", F.posexplode("prefix").alias("at", "key"))
+    posted = groups.select("a", "n", "k", "m", F.posexplode("prefix").alias("at", "key"))
     best = F.struct((F.col("k") / F.col("n")).alias("share"), F.col("a"), F.col("n"), F.col("k"))
-    lists = posted.groupBy("key").agg(F.count("*").alias("size"), F.max(best).alias("top"), F.min("n").alias("least")).filter("size > 1")
+    # a group's members share its whole prefix, so its first n-gram alone asks for the pairs inside it, also where no other group posts it
+    lists = (posted.groupBy("key").agg(F.count("*").alias("size"), F.max(best).alias("top"), F.min("n").alias("least"),
+                                       F.max((F.col("at") == 0) & (F.col("m") > 1)).alias("own")).filter("size > 1 or own"))
     lists = shared.cut(lists.select("key", F.col("top.a").alias("pivot"), F.col("top.n").alias("t_n"), F.col("top.k").alias("t_k"), F.col("top.share").alias("share"), "least"))
     star = (posted.withColumnsRenamed({"n": "a_n", "k": "a_k"}).join(lists, "key").filter("a <> pivot").filter(_possible("a_", "t_", percent))
             .groupBy("a").agg(F.max(F.struct("share", "pivot")).alias("m")).select("a", F.col("m.pivot").alias("b")))
@@ -248,7 +250,9 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
                        .join(star.withColumn("star", F.lit(True)), ["a", "b"], "left"))
     links = tried.filter("linked").select("a", "b")
     label = components(links)  # (v, label) of linked classes
-    known = tried.filter("star").select(F.col("a").alias("c"), F.col("b").alias("pivot_of"), F.col("o").alias("with_pivot"))
+    # a first with its list's pivot, a member with its group's first
+    known = tried.select(F.when(F.col("star"), F.col("a")).otherwise(F.col("b")).alias("c"), F.when(F.col("star"), F.col("b")).otherwise(F.col("a")).alias("pivot_of"),
+                         F.col("o").alias("with_pivot"))
 
     of = members.join(label.withColumnRenamed("v", "c"), "c", "left").select("c", "g", "n", "k", F.coalesce("label", "c").alias("label"))
     wide = (posted.select("key", "at", "a", "n", "k").join(first.select("a", "g"), "a").join(of.select("c", "g", "n", "k", "label"), ["g", "n", "k"])
@@ -256,8 +260,8 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
             .filter(F.col("k") * (100 + percent) >= percent * (F.col("n") + F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))))
     home = wide.filter("c = pivot").select("key", F.col("label").alias("home"))
     wide = wide.join(home, "key", "left").join(known, "c", "left")
-    fields = ("c", "n", "k", "label", "at", "pivot_of", "with_pivot")
-    wide = shared.cut(wide.select("key", "home", "c", "n", "k", "label", "at", F.coalesce("pivot_of", "c").alias("pivot_of"),
+    fields = ("c", "g", "n", "k", "label", "at", "pivot_of", "with_pivot")
+    wide = shared.cut(wide.select("key", "home", "c", "g", "n", "k", "label", "at", F.coalesce("pivot_of", "c").alias("pivot_of"),
                                   F.when(F.col("pivot_of").isNull(), F.col("k")).otherwise(F.col("with_pivot")).alias("with_pivot")))
     out = wide.filter(~F.col("label").eqNullSafe(F.col("home"))).select("key", *[F.col(x).alias(f"a_{x}") for x in fields])
     all_ = wide.select("key", *[F.col(x).alias(f"b_{x}") for x in fields])
@@ -267,6 +271,7 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
     # they share what both share with a common pivot at most, and outside of it what either has there at most
     inner = F.least("a_with_pivot", "b_with_pivot") + F.least(F.col("a_k") - F.col("a_with_pivot"), F.col("b_k") - F.col("b_with_pivot"))
     near = (F.col("a_pivot_of") != F.col("b_pivot_of")) | (inner >= need)
+    near &= (F.col("a_g") != F.col("b_g")) | (F.col("a_at") == 0)  # pairs of one group meet once
     across = (out.join(all_, "key").filter((F.col("a_label") != F.col("b_label")) & _possible("a_", "b_", percent) & early & near)
               .select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct())
     more = shared.cut(_overlaps(across, sets, percent)).filter("linked").select("a", "b")
