@@ -262,6 +262,32 @@ def test_quality(spark, docs, empty, unnamed):
     assert {r.score for r in quality.score(unnamed, one).collect()} == {1.0}
 
 
+def test_quality_learns_from_whole_texts(spark):
+    """Long texts that one passage of forty decides, at no evenly spaced place, and held-out texts over 768 words of the given tables."""
+    rng, places = random.Random(2), [i for i in range(40) if i not in {0, 3, 7, 10, 14, 17, 21, 24, 28, 31, 35, 39}]
+    texts = []
+    for i in range(500):
+        parts = [" ".join(rng.choice(("stone", "river", "green", "walks", "under", "light")) for _ in range(quality.PASSAGE)) for _ in range(40)]
+        if i % 2:
+            parts[rng.choice(places)] = " ".join(f"$$#{rng.randrange(10 ** 6)}!!" for _ in range(quality.PASSAGE))
+        texts.append((i, " ".join(parts), 1 - i % 2))
+    table = spark.createDataFrame(texts, "doc_id long, text string, label long").repartition(4).cache()
+    model = quality.train(table.select("doc_id", "text"), table.filter("doc_id < 400").select("doc_id", "label"))
+    got = {r.doc_id: r.score for r in quality.score(table, model).collect()}
+    assert sum((got[i] > 0.5) == y for i, _, y in texts[400:]) >= 95
+    few = quality.train(table.select("doc_id", "text"), table.select("doc_id", "label"), most_passages=401)  # eleven whole texts
+    assert few.samples == (11, 440)
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", F.col("quality").alias("label"))
+    out = queries.held_out("doc_id", 5, 0)
+    model = quality.train(docs, labels.filter(~out))
+    long = docs.join(labels.filter(out), "doc_id").filter(F.size(F.split("text", "[ \t\n]+")) > 768)
+    score = {r.doc_id: r.score for r in quality.score(long, model).collect()}
+    right = [(score[r.doc_id] >= 0.3) == r.label for r in long.select("doc_id", "label").collect()]
+    print(f"held-out over 768 words: {sum(right)} of {len(right)}")
+    assert len(right) > 40 and sum(right) >= 0.95 * len(right)
+
+
 def test_attention_gradient():
     """The analytic gradient leads where the loss falls, on bags that one passage decides."""
     import numpy as np

@@ -5,8 +5,8 @@ repeated words and neighbours, lines) and by hashed rates of characters' classes
 softmax(w . (tanh(V h) * sigmoid(U h))); the document is the weighted sum of its passages' codes h, scored by a logistic layer.  All weights are learned
 from document labels alone, by Adam on a bounded sample; passages have no labels.  The same weights score every document.
 
-The sample is the ``sample_rows`` labelled rows of least hash of id.  Each document's codes are a matrix of a few numbers a passage; only the sample's
-come to the driver (at most ``sample_passages`` passages of each, evenly spread, which bounds the sample; scoring uses all passages).
+The sample is the ``sample_rows`` labelled rows of least hash of id, each with all its passages.  Each document's codes are a matrix of a few numbers a
+passage; only the sample's come to the driver: whole documents in order of hash until they have ``most_passages`` passages or more.
 
 Defined cases: a null or empty text is one passage without words and gets that passage's score; repeated rows get equal scores; rows without a label, or
 whose label is null, are not learned from; labels of one value only, or none, give their mean (or 0.5) as every score; an empty table gives an empty
@@ -15,6 +15,7 @@ table; other columns, whatever their names, are never inputs.
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from . import shared, words as W
@@ -76,6 +77,7 @@ class Model:
 
     def __init__(self, weights=None, mean=0.0, scale=1.0, constant=0.5):
         self.w, self.mean, self.scale, self.constant = weights, mean, scale, constant
+        self.samples = 0, 0  # documents and passages learned from
 
     def score(self, x: np.ndarray, cuts: np.ndarray) -> np.ndarray:
         if self.w is None:
@@ -133,23 +135,34 @@ def fit(x: np.ndarray, cuts: np.ndarray, y: np.ndarray, hidden=24, gate=12, epoc
     return Model(w, mean, scale)
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="label", sample_rows=3000, sample_passages=12) -> Model:
-    """A model from at most ``sample_rows`` labelled documents (id and label in ``labels``)."""
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="label", sample_rows=3000, most_passages=1 << 17) -> Model:
+    """A model from at most ``sample_rows`` labelled documents (id and label in ``labels``), each taken whole."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
-              .orderBy(F.xxhash64(F.col(id_col).cast("string")), id_col).limit(sample_rows))
+              .withColumn("h", F.xxhash64(F.col(id_col).cast("string"))).orderBy("h", id_col).limit(sample_rows))
     # at most ``sample_rows`` ids: the side that is sent
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), "y")
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), "y", "h")
 
     def codes(batches):
         for b in batches:
-            kept = [p[np.unique(np.linspace(0, len(p) - 1, sample_passages).astype(int))] for p in map(passages, W.texts_of(b.column(0)))]
-            yield pa.RecordBatch.from_arrays([b.column(1), pa.array([p.astype(np.float32).tobytes() for p in kept], pa.binary())], names=["y", "x"])
-
-    found = sorted((bytes(r["x"]), r["y"]) for r in rows.transform(shared.in_batches, codes, "y double, x binary").collect())
-    if not found:
+            for lo, hi in W.chunked(pc.fill_null(pc.binary_length(b.column(0)), 0).to_pylist(), 2 << 20):
+                part = b.slice(lo, hi - lo)
+                bags = [passages(t) for t in W.texts_of(part.column(0))]
+                yield pa.RecordBatch.from_arrays([part.column(1), part.column(2), pa.array([len(p) for p in bags], pa.int64()),
+                                                  pa.array([p.astype(np.float32).tobytes() for p in bags], pa.binary())], names=["y", "h", "k", "x"])
+
+    coded = shared.cut(rows.transform(shared.in_batches, codes, "y double, h long, k long, x binary"))
+    total, last = 0, None
+    for r in sorted(coded.groupBy("h").agg(F.sum("k").alias("k")).collect()):
+        if total >= most_passages:
+            break
+        total, last = total + r["k"], r["h"]
+    if last is None:
         return Model()
+    found = sorted((bytes(r["x"]), r["y"]) for r in coded.filter(F.col("h") <= last).select("x", "y").collect())
     x = [np.frombuffer(r[0], dtype=np.float32).reshape(-1, FEATURES) for r in found]
-    return fit(np.concatenate(x).astype(float), np.concatenate([[0], np.cumsum([len(p) for p in x])]), np.array([r[1] for r in found]))
+    model = fit(np.concatenate(x).astype(float), np.concatenate([[0], np.cumsum([len(p) for p in x])]), np.array([r[1] for r in found]))
+    model.samples = len(x), total
+    return model
 
 
 def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
