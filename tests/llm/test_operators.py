@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import gzip
 import hashlib
 import math
@@ -462,6 +463,52 @@ def test_context_tree_weighting():
         assert math.isclose(total, got, rel_tol=1e-4), text
 
 
+@pytest.mark.parametrize("frequent_codes", [1 << 20, 3])
+def test_context_tree_of_five_bytes(spark, frequent_codes):
+    """Scores of whole tables against the recursion over all depths, with texts that are not learned from."""
+    depth, mark = 5, b"\xff"
+    train = ["abracadabra abracadabra", "abab", "", "cadabra", "bracad abrac"]
+    probe = ["abracad", "zz", "é", "cadabra abra", None]
+    data = [mark * depth + t.encode() + mark for t in train]
+    cells = collections.Counter(d[i - depth:i + 1] for d in data for i in range(depth, len(d)))
+
+    def counts(context, prefix):
+        z = [0, 0]
+        for cell, n in cells.items():
+            bits = f"{cell[depth]:08b}"
+            if cell[:depth].endswith(context) and bits.startswith(prefix):
+                z[int(bits[len(prefix)])] += n
+        return z
+
+    @functools.cache
+    def pw(context, prefix):
+        own = kt(*counts(context, prefix))
+        if len(context) == depth:
+            return own
+        more = sum(pw(bytes([b]) + context, prefix) for b in {c[depth - 1 - len(context)] for c in cells if c[:depth].endswith(context)})
+        return max(own, more) + math.log1p(math.exp(-abs(own - more))) - math.log(2)
+
+    @functools.cache
+    def predict(context, prefix, at=0):
+        own = context[depth - at:]
+        z, o = counts(own, prefix)
+        if at == depth:
+            return (o + .5) / (z + o + 1)
+        w = math.exp(kt(z, o) - math.log(2) - pw(own, prefix))
+        return w * (o + .5) / (z + o + 1) + (1 - w) * predict(context, prefix, at + 1)
+
+    table = spark.createDataFrame([(i, t, i < 100) for i, t in [*enumerate(train), *enumerate(probe, 100)]], "doc_id long, text string, learn boolean")
+    for r in ctw.score(table, F.col("learn"), frequent_codes=frequent_codes).collect():
+        text = (train[r.doc_id] if r.doc_id < 100 else probe[r.doc_id - 100]) or ""
+        d, total = mark * depth + text.encode() + mark, 0.0
+        for i in range(depth, len(d)):
+            bits = f"{d[i]:08b}"
+            for k in range(8):
+                p = predict(d[i - depth:i], bits[:k])
+                total += math.log10(p if bits[k] == "1" else 1 - p)
+        assert math.isclose(r.score, total, rel_tol=1e-5), text
+
+
 def test_pipeline_stages(spark, docs, texts, empty, unnamed):
     assert [n for n, _ in pipeline.STAGES] == ["quality", "near_duplicates", "decontamination", "pii", "bpe"]
     least = brute_components(sets_of(texts))
