@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, digest, fim, jaccard, license, oracles, pii, quality, shared, tokencount, warc
+from . import bpe, ctw, decontaminate, digest, fim, jaccard, license, oracles, pii, quality, shared, tokencount, vantage, warc
 from .shared import table
 
 
@@ -79,6 +79,11 @@ def op10_lm_scoring(spark, sf_dir):
     return scored.select("doc_id", held_out("doc_id", 7, 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
+def op11_nearest_neighbours(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return vantage.search(vectors, vectors.filter(F.col("vec_id") % 100 == 0), k=10)
+
+
 def op12_fill_in_middle(spark, sf_dir):
     made = fim.transform(table(spark, sf_dir, "documents"))
     digests = F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"), F.sha2(fim.restored().cast("binary"), 256).alias("restored_sha256")
@@ -87,7 +92,8 @@ def op12_fill_in_middle(spark, sf_dir):
 
 QUERIES = {f.__name__: f for f in (
     op1_byte_level_bpe, op2_license_scan, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op6_quality_classifier, op7_document_fingerprints,
-    op8_warc, op9_pii, op10_lm_scoring, op12_fill_in_middle)}
+    op8_warc, op9_pii, op10_lm_scoring,
+    op11_nearest_neighbours, op12_fill_in_middle)}
 
 #: The others cannot be said in SQL (merges, trained models, digests of counts); tests hold them against brute force.
 SQL = {"op3_ngram_jaccard_join": oracles.JACCARD, "op4_benchmark_decontamination": oracles.DECONTAMINATION, "op8_warc": oracles.WARC,
