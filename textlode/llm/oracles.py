@@ -38,3 +38,17 @@ FILL_IN_MIDDLE = r"""WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_e
   CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 50 THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM h)
 SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(m) END AS middle_chars,
  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || z || '<M>' || m ELSE '<S>' || z || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c"""
+
+COLLOCATIONS = f"""WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[.,;:!?\\x0A-\\x0D]')) AS piece FROM documents),
+ w AS (SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM d),
+ f AS (SELECT lang, p, count(*) AS c FROM (SELECT lang, w[i:i + m - 1] AS p FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM w, (SELECT unnest(range(1, 6)) AS m) WHERE len(w) >= m)) GROUP BY 1, 2),
+ n AS (SELECT lang, sum(c)::BIGINT AS n FROM f WHERE len(p) = 1 GROUP BY 1),
+ c AS (SELECT lang, p, c FROM f WHERE len(p) >= 2 AND c >= 100),
+ part AS (SELECT lang, c, p[i:i + m - 1] AS p FROM (SELECT lang, p, c, m, unnest(range(1, len(p) - m + 2)) AS i FROM c, (SELECT unnest(range(2, 5)) AS m) WHERE len(p) > m)),
+ kept AS (SELECT c.* FROM c WHERE NOT EXISTS (SELECT 1 FROM part WHERE part.lang = c.lang AND part.p = c.p AND 100 * part.c >= 100 * c.c)),
+ cut AS (SELECT lang, p, c, unnest(range(1, len(p))) AS k FROM kept),
+ s AS (SELECT cut.lang, cut.p, cut.c AS a, k, x.c AS l, y.c AS r, n, ((1000::HUGEINT * cut.c * n) // (x.c::HUGEINT * y.c))::BIGINT AS score
+  FROM cut JOIN n USING (lang) JOIN f x ON x.lang = cut.lang AND x.p = cut.p[1:k] JOIN f y ON y.lang = cut.lang AND y.p = cut.p[k + 1:]),
+ low AS (SELECT lang, array_to_string(p, ' ') AS phrase, a, l, r, n, score FROM s QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank, phrase, a, l, r, n, score FROM low
+QUALIFY rank <= 2000"""

@@ -3,7 +3,7 @@
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from . import bpe, ctw, decontaminate, digest, fim, jaccard, license, oracles, pii, quality, shared, tokencount, vantage, warc
+from . import bpe, ctw, decontaminate, digest, fim, jaccard, license, oracles, phrases, pii, quality, shared, tokencount, vantage, warc
 from .shared import table
 
 
@@ -90,11 +90,15 @@ def op12_fill_in_middle(spark, sf_dir):
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
 
 
+def op13_phrase_collocations(spark, sf_dir):
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_byte_level_bpe, op2_license_scan, op3_ngram_jaccard_join, op4_benchmark_decontamination, op5_token_counts, op6_quality_classifier, op7_document_fingerprints,
     op8_warc, op9_pii, op10_lm_scoring,
-    op11_nearest_neighbours, op12_fill_in_middle)}
+    op11_nearest_neighbours, op12_fill_in_middle, op13_phrase_collocations)}
 
 #: The others cannot be said in SQL (merges, trained models, digests of counts); tests hold them against brute force.
 SQL = {"op3_ngram_jaccard_join": oracles.JACCARD, "op4_benchmark_decontamination": oracles.DECONTAMINATION, "op8_warc": oracles.WARC,
-       "op12_fill_in_middle": oracles.FILL_IN_MIDDLE}
+       "op12_fill_in_middle": oracles.FILL_IN_MIDDLE, "op13_phrase_collocations": oracles.COLLOCATIONS}
