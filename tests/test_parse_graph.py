@@ -1,3 +1,6 @@
+import random
+import re
+
 from pyspark.sql import functions as F
 
 from textlode.operators import graph, ordering, parse
@@ -32,6 +35,67 @@ def test_duplicate_names_last_definition_wins(spark):
     assert ref == {("hh", "two")} and both == {("hh", "one"), ("hh", "two")}
 
 
+PIECES = {
+    "c": ["int f{}(int a) {{", "}}", "{{", "x = 1;", "call{}(1);", "if (a) {{ b(); }}", "}} else {{", "", "int p{}(int);", "{{ }} {{"],
+    "python": ["def f{}(a):", "    def g{}(b):", "    x{}(1)", "", "  y = 2", "class K{}:", "        return h{}(2)", "# c"],
+    "sql": ["CREATE FUNCTION f{}(a INT) AS", "BEGIN", "END;", "  q{}(1)", "BEGIN x END", ""],
+    "cobol": ["       PARA-{}.", "           PERFORM X{}.", "           END-IF.", "       SEC{} SECTION.", ""],
+    "tal": ["PROC p{};", "BEGIN", "CALL c{};", "END;", "SUBPROC s{};"]}
+
+
+def plain_end(lines, at, language):
+    """Last line of the body that starts on line ``at``, walked from there."""
+    n = len(lines)
+    if language == "python":
+        lead = lambda t: len(t) - len(t.lstrip())
+        found = [i for i in range(at + 1, n + 1) if lines[i - 1].strip() and lead(lines[i - 1]) <= lead(lines[at - 1])]
+        return min(found[0] if found else n, n)
+    if language == "cobol":
+        for i in range(at + 1, n + 1):
+            if re.search(r"(?i)^.{7}[A-Z0-9][-A-Z0-9]*\s*(SECTION)?\s*\.\s*$", lines[i - 1]):
+                return i
+            if re.search(r"(?i)^\s*END-", lines[i - 1][7:]):
+                return min(i + 1, n)
+        return n
+    depth = 0
+    for i in range(at, n + 1):
+        t = lines[i - 1]
+        marks = re.findall("[{}]", t) if language == "c" else ["{"] * ("BEGIN" in t) + ["}"] * ("END" in t)
+        closed = False
+        for m in marks:
+            depth += 1 if m == "{" else -1
+            closed |= m == "}" and depth == 0
+        if closed:
+            return min(i + 1, n)
+    return min(at + 200, n)
+
+
+def test_body_ends_of_nested_unclosed_and_repeated_definitions(spark):
+    rng = random.Random(3)
+    rows = []
+    for i in range(60):
+        language = rng.choice(list(PIECES))
+        content = "\n".join(rng.choice(PIECES[language]).format(*[rng.randrange(9)] * 3) for _ in range(rng.choice([0, 1, 5, 40, 400])))
+        rows.append((f"d{i}.x", content, language, i))
+    files = spark.createDataFrame(rows, "path string, content string, language string, ord long")
+    table = ordering.cut_lineage(parse.symbol_table(parse.parse_symbols(files, with_summary=False)))
+    texts = {p: (c.split("\n"), language) for p, c, language, _ in rows}
+    got = parse.body_ends(table, files).collect()
+    assert len(got) > 150 and all(r.end_line == plain_end(texts[r.path][0], r.line, texts[r.path][1]) for r in got)
+    odd = table.withColumn("line", F.when(F.col("ord") == table.agg(F.max("ord")).scalar(), 9999).otherwise(F.col("line")))
+    assert parse.body_ends(odd, files).count() == len(got)
+
+
+def test_call_graph_reads_files_once_in_three_exchanges(spark, code):
+    table = ordering.cut_lineage(parse.symbol_table(parse.parse_symbols(code, with_summary=False)))
+    stored = ordering.cut_lineage(code)
+    edges = parse.call_edges(parse.call_lists(table, stored))
+    edges.count()
+    plan = edges._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    edges.explain("formatted")
+    assert plan.count("Exchange hashpartitioning") <= 3 and plan.count("Scan ExistingRDD") == 2
+
+
 EDGES = [("a", "b"), ("b", "c"), ("c", "a"), ("a", "d"), ("d", "c"), ("e", "a"), ("c", "leaf")]
 
 

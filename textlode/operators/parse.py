@@ -131,73 +131,92 @@ def first_definitions(symbols: DataFrame) -> DataFrame:
 
 # --- bodies -------------------------------------------------------------------
 
-def _next_event(symbols: DataFrame, events: DataFrame, keys, inclusive: bool) -> DataFrame:
-    """For each symbol the nearest event line at or after (or strictly after) its own, per key."""
-    s = symbols.select(*keys, "line", "key", F.lit(None).cast("int").alias("at"), F.lit(None).cast("int").alias("extra"))
-    e = events.select(*keys, "line", F.lit(None).cast("string").alias("key"), F.col("line").alias("at"), "extra")
-    is_event = F.col("at").isNotNull()
-    w = Window.partitionBy(*keys).orderBy(F.desc("line"), is_event.desc() if inclusive else is_event.asc()) \
-        .rowsBetween(Window.unboundedPreceding, 0)
-    return s.unionByName(e).withColumn("hit", F.last(F.when(is_event, F.struct("at", "extra")), ignorenulls=True).over(w)) \
-        .filter(F.col("key").isNotNull() & F.col("hit").isNotNull()).select("key", *keys, "hit.at", "hit.extra")
+def _marks(style: Column, t: Column) -> Column:
+    """What a line opens (1) and closes (-1), in order: its braces, or one BEGIN and one END."""
+    braces = F.transform(F.regexp_extract_all(t, F.lit("([{}])"), F.lit(1)), lambda x: F.when(x == "{", 1).otherwise(-1))
+    up = F.upper(t)
+    words = F.filter(F.array(F.when(F.contains(up, F.lit("BEGIN")), 1), F.when(F.contains(up, F.lit("END")), -1)), lambda x: x.isNotNull())
+    return F.when(style == "brace", braces).otherwise(words)
 
 
-def body_ends(symbols: DataFrame, files: DataFrame) -> DataFrame:
-    """Last body line (1-based, inclusive) of every callable: (key, end_line).
+def _lowered(marks: Column) -> Column:
+    """Depths, relative to a line's start, that its closings come down to, and its net change: (levels, d)."""
+    start = F.struct(F.array().cast("array<int>").alias("levels"), F.lit(0).alias("d"))
+    return F.aggregate(marks, start, lambda s, m: F.struct(
+        F.when(m < 0, F.concat(s["levels"], F.array(s["d"] + m))).otherwise(s["levels"]).alias("levels"), (s["d"] + m).alias("d")))
+
 
-    Braces, BEGIN/END words, indentation or COBOL labels, by language.  Bodies that never
-    close run 200 lines.
+def _closings(style: Column, lines: Column, groups: Column, kind: str) -> Column:
+    """The definitions of a file, each with where it ends, as (d, end_line), null if it stays open: one pass over the lines, open definitions on a stack.
+
+    ``groups``: (line, defs) in order of lines; ``kind``: type of a definition.  A definition inside braces or BEGIN/END words ends behind the first
+    line whose closings come down to the depth it started at; an indented one at the next line that is no deeper; a COBOL one at the next label, or
+    behind the next END- line.
+    """
+    opened_type, closed_type = f"array<struct<level:int,d:{kind}>>", f"array<struct<d:{kind},end_line:int>>"
+    nothing = F.array().cast(opened_type)
+
+    def step(s, e, level, closes, end, own_too):
+        group = F.get(groups, s["next"])  # definitions that start here: the next in turn
+        hit = F.coalesce(group["line"] <= e["line"], F.lit(False))
+        own = F.when(hit, F.transform(group["defs"], lambda d: F.struct(level.cast("int").alias("level"), d.alias("d")))).otherwise(nothing)
+        before = F.concat(s["open"], own) if own_too else s["open"]
+        ended = F.transform(F.filter(before, lambda o: closes(o["level"])), lambda o: F.struct(o["d"].alias("d"), end.cast("int").alias("end_line")))
+        still = F.filter(before, lambda o: ~closes(o["level"]))
+        depth = s["depth"] + e["m"]["d"] if own_too else s["depth"]
+        return F.struct(depth.alias("depth"), (s["next"] + hit.cast("int")).alias("next"),
+                        (still if own_too else F.concat(still, own)).alias("open"), F.concat(s["out"], ended).alias("out"))
+
+    def fold(event, step_of):
+        start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("next"), nothing.alias("open"), F.array().cast(closed_type).alias("out"))
+        unclosed = lambda d: F.struct(d.alias("d"), F.lit(None).cast("int").alias("end_line"))
+        return F.aggregate(F.transform(lines, event), start, step_of, lambda s: F.concat(
+            s["out"], F.transform(s["open"], lambda o: unclosed(o["d"])),
+            F.transform(F.flatten(F.transform(F.slice(groups, s["next"] + 1, F.size(groups)), lambda g: g["defs"])), unclosed)))
+
+    def line(i):
+        return (i + 1).cast("int").alias("line")
+
+    def braces(t, i):
+        return F.struct(line(i), _lowered(_marks(style, t)).alias("m"))
+
+    def indent(t, i):
+        return F.struct(line(i), F.length(F.regexp_extract(t, rf"^({text.SPACE}*)", 1)).alias("indent"), (F.length(text.trim(t)) > 0).alias("solid"))
+
+    def label(t, i):
+        stop = (F.when(t.rlike(r"(?i)^.{7}[A-Z0-9][-A-Z0-9]*\s*(SECTION)?\s*\.\s*$"), 0)
+                .when(F.substr(t, F.lit(8)).rlike(r"(?i)^\s*END-"), 1))
+        return F.struct(line(i), stop.alias("stop"))
+
+    nested = fold(braces, lambda s, e: step(s, e, s["depth"], lambda v: F.array_contains(e["m"]["levels"], v - s["depth"]), e["line"] + 1, True))
+    indented = fold(indent, lambda s, e: step(s, e, e["indent"], lambda v: e["solid"] & (v >= e["indent"]), e["line"], False))
+    labelled = fold(label, lambda s, e: step(s, e, F.lit(0), lambda v: e["stop"].isNotNull(), e["line"] + e["stop"], False))
+    return F.when(style == "indent", indented).when(style == "label", labelled).otherwise(nested)
+
+
+def bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """(path, lines, d, end_line) of every callable, d a struct of line, ord, key, name and language; lines 1-based and inclusive.
+
+    Braces, BEGIN/END words, indentation or COBOL labels, by language.  Bodies that never close run 200 lines (braces and words) or to the end of the
+    file.  A file is one row: its definitions meet its text once, and an array fold walks its lines.
     """
     style = F.coalesce(F.try_element_at(_style_map(), F.col("language")), F.lit("brace"))
-    src = files.select("path", style.alias("style"), "content").select("path", "style", F.posexplode(F.split("content", "\n", -1)).alias("i", "t")) \
-        .select("path", "style", (F.col("i") + 1).alias("line"), "t")
-    sizes = files.select("path", text.line_count(F.col("content")).alias("n_lines"))
-    calls = symbols.filter(F.col("type").isin(*fixed.CALLABLE_TYPES)) \
-        .select("key", F.col("file").alias("path"), "name", "language", "line", "ord", style.alias("style"))
-
-    # braces and keywords: an event is a closing that brings the depth back to a level
-    marks = F.regexp_extract_all("t", F.lit("([{}])"), F.lit(1))
-    up = F.upper("t")
-    word_marks = F.filter(F.array(F.when(F.contains(up, F.lit("BEGIN")), F.lit("{")),
-                                  F.when(F.contains(up, F.lit("END")), F.lit("}"))), lambda x: x.isNotNull())
-    steps = src.filter(F.col("style").isin("brace", "keyword")) \
-        .withColumn("marks", F.when(F.col("style") == "brace", marks).otherwise(word_marks)) \
-        .withColumn("delta", F.size(F.filter("marks", lambda x: x == "{")) - F.size(F.filter("marks", lambda x: x == "}")))
-    w = Window.partitionBy("path").orderBy("line").rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("level", F.coalesce(F.sum("delta").over(w), F.lit(0)))
-    state = F.struct(F.lit(0).alias("d"), F.array().cast("array<int>").alias("out"))
-    closes = F.aggregate("marks", state, lambda s, x: F.when(x == "{", F.struct(
-        (s["d"] + 1).alias("d"), s["out"].alias("out"))).otherwise(F.struct(
-            (s["d"] - 1).alias("d"), F.concat(s["out"], F.array(s["d"] - 1)).alias("out"))), lambda s: F.array_distinct(s["out"]))
-    nested = calls.filter(F.col("style").isin("brace", "keyword")) \
-        .join(steps.select("path", "line", "level"), ["path", "line"])
-    level_events = steps.select("path", "line", F.col("level"), F.explode(closes).alias("rel")) \
-        .select("path", "line", (F.col("level") + F.col("rel")).alias("level"), F.lit(1).alias("extra"))
-    by_level = _next_event(nested, level_events, ["path", "level"], True) \
-        .select("key", (F.col("at") + F.col("extra")).alias("end_line"))
-
-    # indentation: the next non-blank line at or left of the definition's own column
-    lead = F.length(F.regexp_extract("t", rf"^({text.SPACE}*)", 1))
-    solid = src.filter(F.col("style") == "indent").withColumn("indent", lead)
-    starts = calls.filter(F.col("style") == "indent").join(solid.select("path", "line", "indent"), ["path", "line"])
-    starts = starts.withColumn("indent", F.explode(F.sequence(F.lit(0), F.col("indent"))))
-    lines_at = solid.filter(F.length(text.trim(F.col("t"))) > 0).select("path", "line", "indent", F.lit(0).alias("extra"))
-    by_indent = _next_event(starts, lines_at, ["path", "indent"], False) \
-        .groupBy("key").agg(F.min("at").alias("end_line"))
-
-    # labels: the next paragraph or section label, or an END- line
-    cob = src.filter(F.col("style") == "label")
-    label = F.col("t").rlike(r"(?i)^.{7}[A-Z0-9][-A-Z0-9]*\s*(SECTION)?\s*\.\s*$")
-    stop = F.substr("t", F.lit(8)).rlike(r"(?i)^\s*END-")
-    labels = cob.filter(label | stop).select("path", "line", F.when(label, 0).otherwise(1).alias("extra"))
-    by_label = _next_event(calls.filter(F.col("style") == "label"), labels, ["path"], False) \
-        .select("key", (F.col("at") + F.col("extra")).alias("end_line"))
-
-    ends = by_level.unionByName(by_indent).unionByName(by_label)
-    open_end = F.when(F.col("style").isin("brace", "keyword"), F.col("line") + 200).otherwise(F.col("n_lines"))
-    return calls.join(sizes, "path").join(ends, "key", "left") \
-        .select("key", "path", "name", "language", "line", "ord",
-                F.least(F.coalesce("end_line", open_end), F.col("n_lines")).alias("end_line"))
+    own = F.struct("line", "ord", "key", "name", "language")
+    # a file's own definitions, so bounded by its text; split and style stand below the join, where they are computed once
+    defs = symbols.filter(F.col("type").isin(*fixed.CALLABLE_TYPES)).select(F.col("file").alias("path"), F.col("line").cast("int").alias("line"), own.alias("d"))
+    groups = (defs.repartition("path").groupBy("path", "line").agg(F.collect_list("d").alias("defs"))
+              .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "defs"))).alias("groups")))
+    rows = files.select("path", style.alias("style"), F.split("content", "\n", -1).alias("lines"), text.line_count(F.col("content")).alias("n_lines")).join(groups, "path")
+    kind = groups.schema["groups"].dataType.elementType["defs"].dataType.elementType.simpleString()
+    closed = _closings(F.col("style"), F.col("lines"), F.col("groups"), kind)
+    out = rows.select("path", "style", "lines", "n_lines", F.explode(closed).alias("e")).select("path", "style", "lines", "n_lines", "e.*")
+    open_end = F.when(F.col("style").isin("brace", "keyword"), F.col("d.line") + 200).otherwise(F.col("n_lines"))
+    return out.select("path", "lines", "d", F.least(F.coalesce("end_line", open_end), F.col("n_lines")).alias("end_line"))
+
+
+def body_ends(symbols: DataFrame, files: DataFrame) -> DataFrame:
+    """Last body line (1-based, inclusive) of every callable: (key, path, name, language, line, ord, end_line)."""
+    return bodies(symbols, files).select("d.key", "path", "d.name", "d.language", "d.line", "d.ord", "end_line")
 
 
 def _style_map():
@@ -232,12 +251,9 @@ def extract_calls(code: Column, language: Column) -> Column:
 
 def call_lists(symbols: DataFrame, files: DataFrame) -> DataFrame:
     """Per callable definition its distinct callees without itself: (caller, file, ord, calls)."""
-    ends = body_ends(symbols, files)
-    lines = files.select("path", F.split("content", "\n", -1).alias("lines"))
-    code = F.array_join(F.slice("lines", F.col("line"), F.greatest(F.col("end_line") - F.col("line") + 1, F.lit(0))), "\n")
-    bodies = ends.join(lines, "path").select("path", "name", "language", "ord", code.alias("code"))
-    calls = F.filter(extract_calls(F.col("code"), F.col("language")), lambda c: c != F.col("name"))
-    return bodies.select(F.col("name").alias("caller"), F.col("path").alias("file"), "ord", calls.alias("calls")) \
+    code = F.array_join(F.slice("lines", F.col("d.line"), F.greatest(F.col("end_line") - F.col("d.line") + 1, F.lit(0))), "\n")
+    calls = F.filter(extract_calls(code, F.col("d.language")), lambda c: c != F.col("d.name"))
+    return bodies(symbols, files).select(F.col("d.name").alias("caller"), F.col("path").alias("file"), "d.ord", calls.alias("calls")) \
         .filter(F.size("calls") > 0)
 
 
