@@ -67,3 +67,28 @@ def test_scans_do_not_grow_with_terms(code):
     for run in (lambda t: grep.search_literals(code, t, 5), lambda t: grep.keyword_search(code, t, 5, 9), lambda t: scope.text_scores(code, t),
                 lambda t: search.topic_search(code, " ".join(t))):
         assert scans(run(many)) <= scans(run(few))
+
+
+def test_questions_share_their_scans(spark, ix):
+    from textlode.plans import questions
+    scans = lambda df: plan_of(df).count("Scan ")
+    texts = ["heap insert", "helper", "how is baz built", "Foo bar", "counter limit tuple page"]
+    one, many = (questions.search_questions(ix, questions.asked(spark, q)) for q in (texts[:1], texts))
+    assert scans(one[0]) == scans(many[0]) and scans(one[1]) == scans(many[1])
+    alone = {(r.key, r.match_score, r.match_source) for r in one[0].collect()}
+    assert alone and alone == {(r.key, r.match_score, r.match_source) for r in many[0].filter("question = 0").collect()}
+
+
+def test_positional_postings_find_what_a_scan_finds(spark):
+    rng = __import__("random").Random(4)
+    rows = [(f"f{i}", "".join(rng.choice("ab \n") for _ in range(rng.choice([0, 2, 30, 200]))), "c", i) for i in range(80)]
+    files = spark.createDataFrame(rows, "path string, content string, language string, ord long").cache()
+    posts = index.positioned_trigrams(files)
+    for wanted in ("aba", "ab ba", "a   b", "AAb", "ab\na"):
+        scan = {(r.path, r.match_count, str(r.matches)) for r in rank.trigram_file_search(files, wanted).collect()}
+        assert scan == {(r.path, r.match_count, str(r.matches)) for r in rank.trigram_file_search(files, wanted, posts=posts).collect()}
+        lines = rank.lines_by_postings(files, posts, wanted).collect()
+        assert {tuple(r) for r in rank.find_text_in_code(grep.corpus_lines(files), wanted).collect()} == {tuple(r) for r in lines}
+    terms = spark.createDataFrame([("aba",), ("b a",)], "term string")
+    got = {(r.term, r.path): sorted(r.offsets) for r in rank.literal_offsets(posts, terms).collect()}
+    assert got == {(t, p): at for t in ("aba", "b a") for p, c, _, _ in rows if (at := [i for i in range(len(c)) if c.startswith(t, i)])}

@@ -8,7 +8,7 @@ and edges can be written down in SQL from the part rows alone.
 from pyspark.sql import functions as F
 
 from ..operators import aggregates, cobol, ordering, parse, topk
-from ..plans import search
+from ..plans import questions, search
 from ..sources import prebuilt
 from . import registry as R
 from .registry import joined, query, table
@@ -235,25 +235,85 @@ def _index(spark, sf):
     return search.build_index(ordering.cut_lineage(code_corpus(spark, sf)))  # files as a stored table
 
 
-@query("rnk_06_unified_search")
+_LINES = ("SELECT path, base + i AS line, lower(replace(replace(replace(tpl[i], '{n}', n), '{k}', callee), '{d}', p_name)) AS t FROM (SELECT *, CASE language "
+          + " ".join("WHEN '%s' THEN [%s]" % (k, ", ".join("'%s'" % x for x in v)) for k, v in SNIPPETS.items()) + f" END AS tpl, unnest([1, 2, 3, 4]) AS i FROM ({CODE}))")
+
+
+def _search_sql(terms, extra=()):
+    """(key, leg, match_score, match_source) of all symbols that a query of these terms finds.
+
+    One of the terms must be "call": every definition has a call line, so the code leg finds all symbols that no leg before it has, and the term
+    postings behind it add none.
+    """
+    every = [*terms, *[t for t in extra if t not in terms]]
+    words = "(VALUES " + ", ".join(f"({i}, '{t}', {'true' if t in extra else 'false'}, {'true' if t in terms else 'false'})" for i, t in enumerate(every)) + ") AS w(no, term, extra, own)"
+    return f"""WITH w AS (SELECT * FROM {words}), s AS (SELECT name || '@' || path AS key, lower(name) AS nm, path, max(line) AS line FROM ({SYMS}) GROUP BY name, path),
+ f AS (SELECT DISTINCT path, 'f' || fno AS stem, 'm' || fno % 7 AS dir FROM ({CODE})),
+ forms AS (SELECT term AS form FROM w WHERE own AND length(term) >= 3),
+ concept AS (SELECT DISTINCT path FROM f, forms WHERE stem = form OR stem = form || 's' OR (starts_with(stem, form) AND length(stem) < length(form) + 8)),
+ dirs AS (SELECT DISTINCT path FROM f, w WHERE own AND (contains(dir, term) OR contains(term, dir) OR contains('src', term) OR contains(term, 'src')) AND path NOT IN (SELECT path FROM concept)),
+ hits AS (SELECT DISTINCT l.path, l.line FROM ({_LINES}) l, w WHERE own AND length(replace(term, '_', '')) >= 3 AND contains(l.t, term)),
+ legs AS (SELECT key, 0 AS leg, 0 AS no, 95.0 AS sc, 'concept_file' AS src FROM s WHERE path IN (SELECT path FROM concept)
+  UNION ALL SELECT key, 1, no, CASE WHEN extra THEN 98.0 ELSE 100.0 END, CASE WHEN extra THEN 'expanded_match' ELSE 'exact_match' END FROM s JOIN w ON nm = term
+  UNION ALL SELECT key, 2, no, CASE WHEN nm = term THEN 100.0 WHEN starts_with(nm, term) THEN 90.0 ELSE 70.0 END, 'pattern_match' FROM s JOIN w ON length(term) >= 3 AND contains(nm, term)
+  UNION ALL SELECT key, 3, 0, 75.0, 'directory_match' FROM s WHERE path IN (SELECT path FROM dirs)
+  UNION ALL SELECT key, 4, 0, 70.0, 'trigram_code' FROM s WHERE EXISTS (SELECT 1 FROM hits h WHERE h.path = s.path AND abs(h.line - s.line) <= 50))
+SELECT key, leg, sc::DOUBLE AS match_score, src AS match_source FROM legs QUALIFY row_number() OVER (PARTITION BY key ORDER BY leg, no) = 1"""
+
+
+#: Queries over the code corpus, with the terms that they have.
+ASKED = (("small ring f70 call_7", ("small", "ring", "f70", "call_7", "call")), ("m3x call", ("m3x", "call")), ("who calls f1 call_20", ("calls", "f1", "call_20", "call")))
+CALLED = f"SELECT caller AS name, callee FROM ({CEDGES})"
+
+
+@query("rnk_06_unified_search", f"SELECT key, match_score, match_source FROM ({_search_sql(ASKED[0][1])})")
+def _(spark, sf):
+    symbols, _ = search.unified_search(_index(spark, sf), ASKED[0][0], max_results=None)
+    return symbols.select("key", "match_score", "match_source")
+
+
+@query("rnk_06_unified_files", f"SELECT DISTINCT path, CASE WHEN 'f' || fno IN ('f70', 'f70s') THEN 'concept_exact' ELSE 'concept_prefix' END AS match_source FROM ({CODE}) WHERE starts_with('f' || fno, 'f70') AND length('f' || fno) < 11")
+def _(spark, sf):
+    return search.unified_search(_index(spark, sf), ASKED[0][0])[1].filter("leg = 0").select("path", "match_source")
+
+
+@query("rnk_14_batched_questions", " UNION ALL ".join(f"SELECT {i} AS question, key, match_score, match_source FROM ({_search_sql(t)})" for i, (_, t) in enumerate(ASKED)))
+def _(spark, sf):
+    found, _ = questions.search_questions(_index(spark, sf), questions.asked(spark, [q for q, _ in ASKED]))
+    return found.select(c("question").cast("int").alias("question"), "key", "match_score", "match_source")
+
+
+@query("rnk_14_questions_top", " UNION ALL ".join(f"SELECT {i} AS question, least(count(*), {n})::BIGINT AS n, min(match_score) AS lowest FROM (SELECT match_score FROM ({_search_sql(t)}) ORDER BY 1 DESC LIMIT {n})"
+                                                  for i, ((_, t), n) in enumerate(zip(ASKED, (7, 40, 1)))))
+def _(spark, sf):
+    asks = questions.asked(spark, [(q, n) for (q, _), n in zip(ASKED, (7, 40, 1), strict=True)])
+    found, _ = questions.search_questions(_index(spark, sf), asks)
+    return found.groupBy(c("question").cast("int").alias("question")).agg(F.count("*").alias("n"), F.min("match_score").alias("lowest"))
+
+
+@query("rnk_13_execute_search", f"SELECT name FROM ({CALLED}) WHERE callee = 'call_7'")
 def _(spark, sf):
-    symbols, _ = search.unified_search(_index(spark, sf), "small ring")
-    return symbols.select("key", F.round("match_score", 4).alias("match_score"), "match_source")
+    return search.execute_search(_index(spark, sf), "who calls call_7")["callers"].select("name")
 
 
-@query("rnk_15_code_search")
+@query("rnk_13_batched_callers", " UNION ALL ".join(f"SELECT {i} AS question, 'caller' AS side, name FROM ({CALLED}) WHERE callee = 'call_{n}'" for i, n in ((0, 7), (1, 20)))
+       + f" UNION ALL SELECT 2, 'callee', callee FROM ({CALLED}) WHERE name = 'call_9'")
 def _(spark, sf):
-    return search.code_search(_index(spark, sf), "small ring", []).select("key", "file", "name")
+    asks = questions.kinds(questions.asked(spark, ["who calls call_7", "who calls call_20", "what does call_9 call"]))
+    ix = _index(spark, sf)
+    return questions.callers(ix.edges, asks, parse.first_definitions(ix.symbols)).select(c("question").cast("int").alias("question"), "side", "name").distinct()
 
 
-@query("rnk_13_execute_search")
+@query("rnk_15_code_search", f"SELECT name, path AS file, min(leg) AS leg FROM (SELECT s.name, s.path, 0 AS leg FROM ({_search_sql(ASKED[0][1])}) q JOIN (SELECT DISTINCT name, path FROM ({SYMS})) s ON q.key = s.name || '@' || s.path) GROUP BY 1, 2")
 def _(spark, sf):
-    return search.execute_search(_index(spark, sf), "who calls call_7")["callers"]
+    found = search.code_search(_index(spark, sf), ASKED[0][0], ["gear"], max_results=None, per_name=None)
+    return found.select("name", "file", c("ord.leg").cast("int").alias("leg"))
 
 
-@query("rnk_30_functionality_search")
+@query("rnk_30_functionality_search", f"SELECT key, leg::INT AS leg, match_score FROM (SELECT key, 0 AS leg, match_score FROM ({_search_sql(ASKED[1][1])}))")
 def _(spark, sf):
-    return search.functionality_search(_index(spark, sf), "ring").select("key", "file", "name")
+    found = search.functionality_search(_index(spark, sf), ASKED[1][0], ["small"], business=True, max_results=None)
+    return found.select("key", c("leg").cast("int").alias("leg"), "match_score")
 
 
 @query("top_02_merge_blocks", f"""WITH RECURSIVE b AS (SELECT file, name, ord::BIGINT AS ord, line::BIGINT AS lo, line + ord % 12 + 1 AS hi, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM ({R.SYMBOLS})),

@@ -149,12 +149,42 @@ def _(spark, sf):
     return rank.trigram_file_search(corpus(spark, sf), "ations").select("path", *BIG("match_count"))
 
 
-@query("grp_15_text_in_code", f"SELECT path, line, left(trim(text), 200) AS context FROM ({R.LINES}) WHERE length(text) >= 3 AND contains(lower(text), 'er the') ORDER BY ord, line LIMIT 30")
+_POSTED = f"SELECT path, count(*) AS match_count, md5(string_agg(line || ':' || trim(text), chr(10) ORDER BY line)) AS h FROM ({R.LINES}) WHERE contains(lower(text), 'er the') GROUP BY path, ord"
+
+
+def _grams(spark, sf):
+    """Positional postings of the documents, stored by gram."""
+    from ..operators import ordering
+    return ordering.stored(index.positioned_trigrams(corpus(spark, sf)), "tri")
+
+
+@query("grp_14_by_postings", _POSTED)
+def _(spark, sf):
+    found = rank.trigram_file_search(corpus(spark, sf), "er the", max_results=10_000_000, posts=_grams(spark, sf))
+    said = F.array_join(F.transform("matches", lambda m: F.concat(m["line"].cast("string"), F.lit(":"), m["context"])), "\n")
+    return found.select("path", *BIG("match_count"), F.md5(said.cast("binary")).alias("h"))
+
+
+@query("grp_15_by_postings", f"SELECT path, line, trim(text) AS context FROM ({R.LINES}) WHERE contains(lower(text), 'ering an')")
+def _(spark, sf):
+    return rank.lines_by_postings(corpus(spark, sf), _grams(spark, sf), "ERing an").select("path", *BIG("line"), "context")
+
+
+@query("idx_15_literal_offsets", f"SELECT term, path, length(content) - length(replace(lower(content), term, substr(term, 2))) AS n FROM ({R.DOCS}), (SELECT unnest(['ering an', 'the on']) AS term) WHERE contains(lower(content), term)")
+def _(spark, sf):
+    terms = spark.createDataFrame([("ering an",), ("the on",), ("zz  zz",)], "term string")
+    return rank.literal_offsets(_grams(spark, sf), terms).select("term", "path", F.size("offsets").cast("bigint").alias("n"))
+
+
+@query("grp_15_text_in_code", f"SELECT path, line, trim(text) AS context FROM ({R.LINES}) WHERE length(text) >= 3 AND contains(lower(text), 'er the')")
 def _(spark, sf):
     return rank.find_text_in_code(grep.corpus_lines(corpus(spark, sf)), "ER the").select("path", *BIG("line"), "context")
 
 
-@query("grp_09_topic_search")
+@query("grp_09_topic_search", f"""SELECT path, line, score FROM (SELECT path, ord, line, CASE WHEN contains(t, 'edtion the') THEN 0 WHEN contains(t, 'edtion') THEN 1 ELSE 2 END AS leg,
+ CASE WHEN contains(t, 'edtion the') THEN 10 ELSE 0 END + CASE WHEN contains(t, 'edtion') THEN 3 ELSE 0 END + CASE WHEN contains(t, 'the') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)^\\s*(PROC|SUBPROC)\\s+\\w+') THEN 25 ELSE 0 END
+ + CASE WHEN regexp_matches(text, '(?i)^\\s*(public|private|protected)\\s+') THEN 20 ELSE 0 END + CASE WHEN regexp_matches(text, '(?i)^\\s*(class|interface|function|def)\\s+') THEN 15 ELSE 0 END AS score
+ FROM (SELECT *, lower(text) AS t FROM ({R.LINES})) WHERE contains(t, 'edtion') OR contains(t, 'the')) ORDER BY score DESC, leg, ord, line LIMIT 100""")
 def _(spark, sf):
     return search.topic_search(corpus(spark, sf), "edtion the").select("path", *BIG("line", "score"))
 

@@ -123,6 +123,14 @@ def positioned_trigrams(files: DataFrame, max_positions=None) -> DataFrame:
     return rows.groupBy("tri", "path").agg(F.array_sort(F.collect_list("pos")).alias("positions"))
 
 
+def line_starts(files: DataFrame) -> DataFrame:
+    """(path, starts): 0-based offsets at which a file's lines begin, from the lengths of the lines before them."""
+    sizes = F.transform(F.split("content", "\n", -1), lambda t: F.length(t) + 1)
+    lines = files.filter(F.length("content") > 0).select("path", F.posexplode(sizes).alias("i", "n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("path").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("int")
+    return lines.withColumn("start", before).groupBy("path").agg(F.array_sort(F.collect_list("start")).alias("starts"))
+
+
 def lightweight_files(files: DataFrame, max_files=None, max_chars=None) -> DataFrame:
     """Files with content; a caller may keep the first ones in order, then those of at most ``max_chars`` characters."""
     kept = files if max_files is None else ordering.top(files, ["ord"], max_files)

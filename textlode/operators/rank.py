@@ -1,11 +1,15 @@
 """Ranked retrieval over postings, vectors, symbols and file names."""
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import fixed, paths, text
 from . import index, ordering
 
 
+#: Grams that are named in a filter; more are joined.
+MOST_PUSHED = 500
+
+
 def js_round(x: Column) -> Column:
     return F.floor(x + 0.5)
 
@@ -156,34 +160,79 @@ def fuzzy_symbols(symbols: DataFrame, query: str, kind=None, max_results=50, min
     return ordering.top(scored, (F.desc("match_score"), "ord"), max_results)
 
 
-def find_text_in_code(lines: DataFrame, wanted: str, max_results=30) -> DataFrame:
-    """Lines containing a text, verified after an all-trigram test on the same row."""
+def _context(t: Column, width) -> Column:
+    return F.trim(t) if width is None else F.left(F.trim(t), F.lit(width))
+
+
+def find_text_in_code(lines: DataFrame, wanted: str, max_results=None, width=None) -> DataFrame:
+    """Lines containing a text, verified after an all-trigram test on the same row; whole lines and all of them unless limits are given."""
     low = wanted.lower()
     alnum = "".join(c for c in low if c.isascii() and c.isalnum())
     if len(alnum) < 3:
         return lines.limit(0).select("path", "ord", "line", F.col("text").alias("context"))
     found = lines.filter((F.length("text") >= 3) & F.contains(F.lower("text"), F.lit(low)))
-    found = found.select("path", "ord", "line", F.left(F.trim("text"), F.lit(200)).alias("context"))
-    return ordering.top(found, ("ord", "line"), max_results)
+    found = found.select("path", "ord", "line", _context(F.col("text"), width).alias("context"))
+    return found if max_results is None else ordering.top(found, ("ord", "line"), max_results)
 
 
-def trigram_file_search(files: DataFrame, query: str, max_results=100, per_file=None) -> DataFrame:
-    """Files with verified substring lines, by number of lines; ``per_file`` keeps the first lines of each."""
-    if len(query) < 3:
-        return files.limit(0).select("path", F.lit(0).alias("match_count"))
-    low = F.lit(query.lower())
+def _matching_lines(files: DataFrame, low: str, per_file, width) -> DataFrame:
     first = (lambda a: a) if per_file is None else (lambda a: F.slice(a, 1, per_file))
-    hit_lines = files.filter((F.length("content") > 0)
-                             & F.contains(F.lower("content"), low)) \
+    return files.filter((F.length("content") > 0) & F.contains(F.lower("content"), F.lit(low))) \
         .select("path", "ord", first(F.filter(
-            F.transform(F.split("content", "\n", -1), lambda t, i: F.struct(
-                (i + 1).alias("line"), F.left(F.trim(t), F.lit(200)).alias("context"), t.alias("t"))),
-            lambda x: F.contains(F.lower(x["t"]), low))).alias("matches")) \
+            F.transform(F.split("content", "\n", -1), lambda t, i: F.struct((i + 1).alias("line"), t.alias("t"))),
+            lambda x: F.contains(F.lower(x["t"]), F.lit(low)))).alias("matches")) \
         .filter(F.size("matches") > 0) \
         .select("path", "ord", F.size("matches").alias("match_count"),
-                F.transform("matches", lambda x: F.struct(x["line"].alias("line"), x["context"].alias("context")))
-                .alias("matches"))
-    return ordering.top(hit_lines, (F.desc("match_count"), "ord"), max_results)
+                F.transform("matches", lambda x: F.struct(x["line"].alias("line"), _context(x["t"], width).alias("context"))).alias("matches"))
+
+
+def trigram_file_search(files: DataFrame, query: str, max_results=100, per_file=None, width=None, posts: DataFrame = None) -> DataFrame:
+    """Files with verified substring lines, by number of lines; ``per_file`` keeps the first lines of each, ``width`` the first characters of a line.
+
+    With ``posts`` (stored positional postings) only the query's grams are read, and then only the files in which they stand in a row; without them all
+    texts are scanned.
+    """
+    if len(query) < 3:
+        return files.limit(0).select("path", F.lit(0).alias("match_count"))
+    low = query.lower()
+    if posts is not None:
+        files = files.join(literal_offsets(posts, _one_term(files.sparkSession, low), "or").select("path").distinct(), "path", "left_semi")
+    return ordering.top(_matching_lines(files, low, per_file, width), (F.desc("match_count"), "ord"), max_results)
+
+
+def lines_by_postings(files: DataFrame, posts: DataFrame, wanted: str, max_results=None, width=None) -> DataFrame:
+    """``find_text_in_code`` from stored positional postings: text is read of the files only in which the grams stand in a row."""
+    low = wanted.lower()
+    if len("".join(c for c in low if c.isascii() and c.isalnum())) < 3:
+        return files.limit(0).select("path", "ord", F.lit(0).alias("line"), F.col("content").alias("context"))
+    kept = files.join(literal_offsets(posts, _one_term(files.sparkSession, low), "or").select("path").distinct(), "path", "left_semi")
+    found = _matching_lines(kept, low, None, width).select("path", "ord", F.explode("matches").alias("m")).select("path", "ord", "m.line", "m.context")
+    return found if max_results is None else ordering.top(found, ("ord", "line"), max_results)
+
+
+def _one_term(spark, low):
+    return spark.range(1).select(F.lit(low).alias("term"))
+
+
+def literal_offsets(posts: DataFrame, terms: DataFrame, blank="and") -> DataFrame:
+    """(term, path, offsets): where the texts ``terms`` (term, lower case, three characters or more) start in each file, from positional postings.
+
+    Every gram of a term gives the starts that its own places allow (its positions less its place in the term); the starts that all grams allow are the
+    occurrences.  A term is a few grams long, so a file's rows are as many.  White-space grams are in no posting; a term of three blanks or more in a row
+    may therefore have false starts, which a caller that reads the text verifies (``blank="or"``) and others leave out (``blank="and"``).
+    """
+    grams = terms.select("term", F.posexplode(text.positioned_trigrams(F.col("term"))).alias("j", "tri")).filter(~F.col("tri").rlike(rf"^{text.SPACE}+$"))
+    if blank == "and":
+        grams = grams.filter(~F.col("term").rlike(rf"{text.SPACE}{{3}}"))
+    grams = grams.withColumn("n", F.count("*").over(Window.partitionBy("term")))
+    # the literal list of a few grams reaches the scan of the postings as a pushed filter; many are a semi join
+    wanted = grams.select("tri").distinct()
+    few = wanted.limit(MOST_PUSHED + 1).toArrow().column("tri").to_pylist()
+    read = posts.filter(F.col("tri").isin(*few)) if len(few) <= MOST_PUSHED else posts.join(wanted, "tri", "left_semi")
+    starts = read.join(grams, "tri").select("term", "path", "n", F.transform("positions", lambda p: p - F.col("j")).alias("starts"))
+    both = starts.groupBy("term", "path", "n").agg(F.collect_list("starts").alias("s")).filter(F.size("s") == F.col("n"))
+    offsets = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), F.array_intersect)
+    return both.select("term", "path", offsets.alias("offsets")).filter(F.size("offsets") > 0)
 
 
 # --- files ------------------------------------------------------------------------
@@ -234,15 +283,16 @@ def keyword_file_score(path: Column, terms) -> Column:
     return score
 
 
-def keyword_files(files: DataFrame, symbols: DataFrame, terms, max_results=40) -> DataFrame:
-    """Fallback ranking by path words and by the first 30 symbols of each file, capped at 200."""
+def keyword_files(files: DataFrame, symbols: DataFrame, terms, max_results=40, per_file=None) -> DataFrame:
+    """Fallback ranking by path words and by the symbols of each file (the first ``per_file`` if given), capped at 200."""
     base = files.select("path", "ord", keyword_file_score(F.col("path"), terms).alias("score"))
     if symbols is not None:
         hit = F.lit(0)
         for t in terms:
             hit = hit + F.when(F.contains(F.lower("name"), F.lit(t))
                                | F.contains(F.lower("name"), F.lit(py_singular(t))), 2).otherwise(0)
-        extra = ordering.top_per_key(symbols, ["file"], ["ord"], 30).groupBy("file").agg(F.sum(hit).alias("extra"))
+        read = symbols if per_file is None else ordering.top_per_key(symbols, ["file"], ["ord"], per_file)
+        extra = read.groupBy("file").agg(F.sum(hit).alias("extra"))
         base = base.join(extra.withColumnRenamed("file", "path"), "path", "left")
         base = base.withColumn("score", F.col("score") + F.coalesce("extra", F.lit(0))).drop("extra")
     base = base.withColumn("score", F.least("score", F.lit(200))).filter("score > 0")
@@ -314,9 +364,10 @@ def group_by_file(found: DataFrame) -> DataFrame:
         F.array_sort(F.collect_set("match_source")).alias("sources"))
 
 
-def score_files(found: DataFrame, terms) -> DataFrame:
-    """File heuristic: name 150 or trigram*120, 20 per matching symbol among the first ten, term multiplier."""
-    first = ordering.top_per_key(found.withColumn("file", F.coalesce("file", F.lit("unknown"))), ["file"], ["ord"], 10)
+def score_files(found: DataFrame, terms, per_file=None) -> DataFrame:
+    """File heuristic: name 150 or trigram*120, 20 per matching symbol (of the first ``per_file`` if given), term multiplier."""
+    first = found.withColumn("file", F.coalesce("file", F.lit("unknown")))
+    first = first if per_file is None else ordering.top_per_key(first, ["file"], ["ord"], per_file)
     per_term = [F.count_if(F.contains(F.lower("name"), F.lit(t))).alias(f"__t{i}") for i, t in enumerate(terms)]
     groups = group_by_file(found)
     if terms:

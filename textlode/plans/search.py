@@ -1,18 +1,18 @@
 """Search plans over an indexed corpus.
 
-A plan is a union of legs.  Each leg is a bounded or pruned DataFrame that tags its rows
-with (leg, place); a symbol keeps the first leg that found it, and only the winning keys
-are joined back to the symbol table.
+Searches of symbols go through ``questions``: a plan's queries, spellings and keywords are rows of one table, so its
+scans do not grow with them.  Text searches tag their rows with (leg, place), and the first leg that found a row keeps it.
 """
 
 from dataclasses import dataclass
 from functools import reduce
 from typing import Optional
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from ..functions import classify, fixed, paths, text
 from ..operators import context, grep, graph, index, joins, ordering, parse, rank, topk
+from . import questions
 
 
 @dataclass
@@ -23,10 +23,25 @@ class CorpusIndex:
     docs: DataFrame
     calls: Optional[DataFrame] = None
     postings: Optional[DataFrame] = None
+    grams: Optional[DataFrame] = None
+    starts: Optional[DataFrame] = None
+
+    @property
+    def gram_table(self):
+        """Positional gram postings of source files."""
+        return self.grams if self.grams is not None else index.positioned_trigrams(self.source)
+
+    @property
+    def line_table(self):
+        return self.starts if self.starts is not None else index.line_starts(self.source)
+
+    @property
+    def source(self):
+        return self.files.filter(paths.is_source(F.col("language")))
 
     @property
     def lines(self):
-        return grep.corpus_lines(self.files.filter(paths.is_source(F.col("language"))))
+        return grep.corpus_lines(self.source)
 
     @property
     def edges(self):
@@ -37,130 +52,41 @@ def build_index(files: DataFrame, only_code=True, root=None) -> CorpusIndex:
     """Parse a corpus once: symbol, call and posting tables are stored, the rest derives from them.
 
     They are Parquet tables under ``root`` (a new folder that all executors share; by default in the checkpoint folder):
-    symbols sorted by name, calls by name, postings by term, so a search reads the parts that can hold its terms, and a
+    symbols sorted by name, calls by caller, postings by term, gram postings by gram, so a search reads the parts that can hold its terms, and a
     lost executor re-reads files instead of re-parsing the corpus.
     """
     at = lambda name: root and f"{root}/{name}"
     kept = files.filter(paths.should_index(F.col("path"))) if only_code else files
     symbols = ordering.stored(parse.symbol_table(parse.parse_symbols(kept)), "name", at("symbols"))
-    calls = ordering.stored(parse.call_lists(symbols, kept), "name", at("calls"))
+    calls = ordering.stored(parse.call_lists(symbols, kept), "caller", at("calls"))
     docs = index.document_feed(kept, symbols)
     posts = ordering.stored(index.postings(docs), "term", at("postings"))
-    return CorpusIndex(kept, symbols, docs, calls, posts)
-
-
-def _query(spark, query):
-    q = F.lit(query)
-    row = spark.range(1).select(text.without_stop_words(text.search_terms(q)).alias("t")) \
-        .select("t", text.compound_terms(q, F.col("t")).alias("e")).first()
-    return list(row["t"]), list(row["e"])
+    source = kept.filter(paths.is_source(F.col("language")))
+    grams = ordering.stored(index.positioned_trigrams(source), "tri", at("grams"))
+    return CorpusIndex(kept, symbols, docs, calls, posts, grams, ordering.stored(index.line_starts(source), "path", at("starts")))
 
 
-def _leg(df, n, a, b, score, source):
-    return df.select("key", F.lit(n).alias("leg"), F.struct(
-        F.lit(a).cast("double").alias("a") if not hasattr(a, "alias") else a.cast("double").alias("a"),
-        F.lit(b).cast("double").alias("b") if not hasattr(b, "alias") else b.cast("double").alias("b"),
-        F.col("ord").alias("o")).alias("place"),
-        (score if hasattr(score, "alias") else F.lit(score)).cast("double").alias("match_score"), F.lit(source).alias("match_source"))
-
+def unified_search(ix: CorpusIndex, query: str, max_results=100, search_types=("all",)):
+    """(symbols, files) of one query; ``questions.search_questions`` answers many at once."""
+    best, files = questions.search_questions(ix, questions.asked(ix.files.sparkSession, [query]), max_results, search_types)
+    symbols = ix.symbols.join(best.drop("question", "rank"), "key")
+    return symbols, None if files is None else files.drop("question")
 
-def _symbols_of(symbols, files, k):
-    """First k symbols of each listed file."""
-    hit = symbols.join(files.select(F.col("path").alias("file")), "file", "left_semi")
-    return ordering.top_per_key(hit, ["file"], ["ord"], k).drop("rn")
 
+def base_context(ix: CorpusIndex, query: str, variants, max_results=100, hits_per_variant=None, blocks=25):
+    """Symbols over all spellings of a query, literal hits of all spellings, code blocks for the best symbols.
 
-def unified_search(ix: CorpusIndex, query: str, max_results=100, search_types=("all",)):
-    """(symbols, files) of a query over seven legs in fixed priority."""
+    All spellings are searched together; a symbol belongs to the first one that found it.
+    """
     spark = ix.files.sparkSession
-    terms, extra = _query(spark, query)
-    every = list(dict.fromkeys(terms + extra))
-    use = lambda kind: "all" in search_types or kind in search_types
-    sym, legs, flegs = ix.symbols, [], []
-
-    if use("files"):
-        concept = rank.concept_files(ix.files, terms)
-        flegs.append(concept.select("path", F.lit(0).alias("leg"), (-F.col("match_score")).cast("double").alias("place"),
-                                    F.col("match_score").cast("double").alias("match_score"), "match_source", "ord"))
-        tagged = _symbols_of(sym, concept, 30).join(concept.select(F.col("path").alias("file"), F.col("match_score").alias("__s")), "file")
-        legs.append(_leg(tagged, 0, -F.col("__s"), 0, 95, "concept_file"))
-    if use("symbols"):
-        nm = F.lower("name")
-        place = F.array_position(F.array(*[F.lit(t) for t in every]), nm)
-        exact = sym.filter(nm.isin(*every))
-        legs.append(_leg(exact.filter(~nm.isin(*extra)), 1, place, 0, 100, "exact_match"))
-        legs.append(_leg(exact.filter(nm.isin(*extra)), 1, place, 0, 98, "expanded_match") if extra else _leg(exact.limit(0), 1, 0, 0, 98, "expanded_match"))
-        for i, t in enumerate(every):
-            if len(t) >= 3:
-                found = rank.symbols_by_pattern(sym, t, 20)
-                legs.append(_leg(found, 2, i, -F.col("match_score"), F.col("match_score"), "pattern_match"))
-    if use("files"):
-        dirs = joins.directory_matches(index.directories(ix.files), terms).groupBy("path").agg(
-            F.min("term_no").alias("term_no"), F.min("ord").alias("ord")).join(concept.select("path"), "path", "left_anti")
-        flegs.append(dirs.select("path", F.lit(1).alias("leg"), F.col("term_no").cast("double").alias("place"), F.lit(85.0).alias("match_score"),
-                                 F.lit("directory_match").alias("match_source"), "ord"))
-        tagged = _symbols_of(sym, dirs, 5).join(dirs.select(F.col("path").alias("file"), "term_no"), "file")
-        legs.append(_leg(tagged, 3, F.col("term_no"), 0, 75, "directory_match"))
-    if use("code"):
-        for i, t in enumerate(terms):
-            if len(t) >= 3:
-                near = joins.symbols_near(rank.find_text_in_code(ix.lines, t, 20).select("path", "line"), sym, 50)
-                legs.append(_leg(near.select("symbol.key", "symbol.ord").distinct(), 4, i, 0, 70, "trigram_code"))
-    legs += _index_legs(ix, query, use, flegs)
-
-    found = reduce(DataFrame.unionByName, legs)
-    first = found.groupBy("key").agg(F.min_by(F.struct("leg", "place", "match_score", "match_source"), F.struct("leg", "place")).alias("w")).select("key", "w.*")
-    best = ordering.top(first, (F.desc("match_score"), "leg", "place"), max_results)
-    symbols = sym.join(F.broadcast(best), "key")
-    files = None
-    if flegs:
-        fl = reduce(DataFrame.unionByName, flegs)
-        files = fl.groupBy("path").agg(F.min_by(F.struct("leg", "place", "match_score", "match_source", "ord"), F.struct("leg", "place", "ord")).alias("w")) \
-            .select("path", "w.*")
-    return symbols, files
-
-
-def _index_legs(ix, query, use, flegs):
-    out = []
-    ordered = ix.docs.select("doc_id", "key", "path", "doc_ord")
-
-    def run(kinds, n):
-        hits = rank.search_documents(ix.docs, query, max_results=n, doc_types=kinds, posts=ix.postings)
-        return ordered.join(F.broadcast(hits.select("doc_id", "score")), "doc_id")
-
-    keyed = ix.symbols.select("key", "ord")
-    if use("symbols"):
-        hits = run(["symbol", "function"], 30).select("key", "score")
-        out.append(_leg(keyed.join(F.broadcast(hits), "key"), 5, -F.col("score"), 0, F.col("score") * 80, "inverted_index"))
-    if use("summaries"):
-        hits = run(["summary"], 20).select("key", "score")
-        out.append(_leg(keyed.join(F.broadcast(hits), "key"), 6, -F.col("score"), 0, F.col("score") * 75, "summary_search"))
-    if use("files"):
-        hits = run(["file", "code"], 15).select("path", "score", F.col("doc_ord").alias("ord"))
-        flegs.append(hits.select("path", F.lit(2).alias("leg"), (-F.col("score")).alias("place"), (F.col("score") * 60).alias("match_score"),
-                                 F.lit("file_keyword").alias("match_source"), "ord"))
-        tagged = _symbols_of(ix.symbols, hits, 5).join(F.broadcast(hits.select(F.col("path").alias("file"), "score")), "file")
-        out.append(_leg(tagged, 7, -F.col("score"), 0, F.col("score") * 50, "file_keyword"))
-    return out
-
-
-def base_context(ix: CorpusIndex, query: str, variants, max_results=100):
-    """Symbols over all spellings of a query, literal hits for the first three, code blocks for the best."""
-    share = -(-max_results // max(len(variants), 1))
-    legs = []
-    for i, v in enumerate(variants):
-        symbols, _ = unified_search(ix, v, share)
-        legs.append(symbols.select("key", F.lit(i).alias("variant_no"), F.lit(v).alias("matched_variant"), "match_score", "match_source"))
-    first = ordering.first_by(reduce(DataFrame.unionByName, legs), ["key"], ["variant_no"])
-    best = ordering.top(first, (F.desc("match_score"), "variant_no", "key"), max_results)
-    symbols = ix.symbols.join(F.broadcast(best), "key")
-    hits = None
-    for i, v in enumerate(variants[:3]):
-        h = grep.search_literal(ix.files, v, max_results=20).withColumn("variant_no", F.lit(i))
-        hits = h if hits is None else hits.unionByName(h)
-    lead = ordering.top(symbols, (F.desc("match_score"), "variant_no", "key"), 25)
-    blocks = context.code_blocks(topk.dedupe_blocks(lead, 20, 25), ix.files)
-    return symbols, hits, blocks
+    found, _ = questions.search_questions(ix, questions.asked(spark, list(variants)))
+    first = ordering.first_by(found.select("key", "question", "match_score", "match_source"), ["key"], ["question"])
+    best = ordering.top(first, (F.desc("match_score"), "question", "key"), max_results)
+    spelling = F.get(F.array(*[F.lit(v) for v in variants]), F.col("question"))
+    symbols = ix.symbols.join(best.withColumn("matched_variant", spelling).withColumnRenamed("question", "variant_no"), "key")
+    hits = grep.search_literals(ix.files, list(variants), per_term=hits_per_variant)
+    lead = ordering.top(symbols, (F.desc("match_score"), "variant_no", "key"), blocks)
+    return symbols, hits, context.code_blocks(topk.dedupe_blocks(lead, 20, blocks), ix.files)
 
 
 def execute_search(ix: CorpusIndex, query: str, max_results=100) -> dict:
@@ -189,20 +115,26 @@ def first_call_sites(sites: DataFrame, variants, most=30) -> DataFrame:
     return ordering.top(hits.filter(F.col("variant_no") == best), ("ord", "rule", "match_no"), most)
 
 
-def code_search(ix: CorpusIndex, query: str, keywords, max_results=50):
-    """Unified result, all symbols of files whose path holds a keyword, keyword searches, fuzzy names; deduped."""
+def code_search(ix: CorpusIndex, query: str, keywords, max_results=50, fuzzy=20, per_name=3):
+    """Unified result, all symbols of files whose path holds a keyword, all symbols of the keywords' searches, fuzzy names; deduped.
+
+    The query and its keywords are one table of questions, so keywords add rows, not plans.
+    """
+    words = [k for k in keywords if len(k) >= 3]
+    asked = questions.asked(ix.files.sparkSession, [(query, max_results), *[(k, None) for k in words]])
     cols = ["key", "file", "name", "type", "line", "ord"]
-    legs = [unified_search(ix, query, max_results)[0].select(*cols, F.lit(0).alias("leg"), "match_score")]
+    found, _ = questions.search_questions(ix, asked)
+    found = found.join(ix.symbols.select(cols), "key")
+    leg = F.when(F.col("question") == 0, 0).otherwise(F.col("question") + 1)
+    legs = [found.select(*cols, leg.alias("leg"), F.when(F.col("question") == 0, F.col("match_score")).otherwise(0.0).alias("match_score"))]
     named = joins.paths_with_any(ix.files, [k for k in keywords if len(k) >= 4])
     by_path = ix.symbols.join(named.select(F.col("path").alias("file")), "file", "left_semi").filter(~text.is_garbage_symbol(F.col("name")))
     legs.append(by_path.select(*cols, F.lit(1).alias("leg"), F.lit(0.0).alias("match_score")))
-    for i, k in enumerate([k for k in keywords[:5] if len(k) >= 3]):
-        legs.append(unified_search(ix, k, 15)[0].select(*cols, F.lit(2 + i).alias("leg"), F.lit(0.0).alias("match_score")))
-    fuzzy = rank.fuzzy_symbols(ix.symbols, query, max_results=20, min_score=25)
-    legs.append(fuzzy.select(*cols, F.lit(9).alias("leg"), F.col("match_score").cast("double").alias("match_score")))
+    close = rank.fuzzy_symbols(ix.symbols, query, max_results=fuzzy, min_score=25)
+    legs.append(close.select(*cols, F.lit(len(words) + 2).alias("leg"), F.col("match_score").cast("double").alias("match_score")))
     all_ = ordering.first_by(reduce(DataFrame.unionByName, legs), ["name", "file"], ["leg", "ord"])
     ranked = all_.withColumn("ord", F.struct(F.col("leg"), (-F.col("match_score")).alias("s"), F.col("ord").alias("o")))
-    return topk.dedupe_symbols(ranked)
+    return ranked if per_name is None else topk.dedupe_symbols(ranked, per_name)
 
 
 def direct_symbols(symbols: DataFrame, query: str, keywords, most=50) -> DataFrame:
@@ -214,35 +146,34 @@ def direct_symbols(symbols: DataFrame, query: str, keywords, most=50) -> DataFra
     return ordering.top(symbols.filter(cond), ("ord",), most)
 
 
-def functionality_search(ix: CorpusIndex, query: str, extra_terms=(), business=False, scope: DataFrame = None, max_results=50) -> DataFrame:
-    """Base search plus one search per business pattern and extra term, limited to a scope."""
+def functionality_search(ix: CorpusIndex, query: str, extra_terms=(), business=False, scope: DataFrame = None, max_results=50, each=None) -> DataFrame:
+    """Base search plus one search per business pattern and extra term (``each``: the most of one), limited to a scope; one table of questions."""
     asks = [(query, max_results)]
     if business:
-        asks += [(f"{query} {p}", 10) for p in fixed.BUSINESS_PATTERNS]
-    asks += [(t, 10) for t in extra_terms]
-    legs = [unified_search(ix, q, n)[0].select("key", "file", "name", "type", "line", "ord", F.lit(i).alias("leg"), "match_score")
-            for i, (q, n) in enumerate(asks)]
-    found = ordering.first_by(reduce(DataFrame.unionByName, legs), ["name", "file"], ["leg", "ord"])
+        asks += [(f"{query} {p}", each) for p in fixed.BUSINESS_PATTERNS]
+    asks += [(t, each) for t in extra_terms]
+    found, _ = questions.search_questions(ix, questions.asked(ix.files.sparkSession, asks))
+    rows = found.join(ix.symbols.select("key", "file", "name", "type", "line", "ord"), "key") \
+        .select("key", "file", "name", "type", "line", "ord", F.col("question").alias("leg"), "match_score")
+    first = ordering.first_by(rows, ["name", "file"], ["leg", "ord"])
     if scope is None:
-        return found
-    kept = joins.in_scope_by_suffix(found.select(F.col("file").alias("path")).distinct(), scope)
-    return found.join(kept.select(F.col("path").alias("file")), "file", "left_semi")
+        return first
+    kept = joins.in_scope_by_suffix(first.select(F.col("file").alias("path")).distinct(), scope)
+    return first.join(kept.select(F.col("path").alias("file")), "file", "left_semi")
 
 
-def topic_search(files: DataFrame, topic: str, max_results=100) -> DataFrame:
-    """Exact phrase, keywords with their call sites, then spelling variants; deduped and tiered."""
+def topic_search(files: DataFrame, topic: str, max_results=100, per_leg=None) -> DataFrame:
+    """Exact phrase, keywords with their call sites, then spelling variants; deduped and tiered.
+
+    Every leg keeps all its hits, or its first ``per_leg``; the final top-k is the only other cut.
+    """
     spark = files.sparkSession
-    variants = list(text.evaluate(spark, text.topic_variants(F.lit(topic))))[:5]
-    words = list(text.evaluate(spark, text.first_keywords(F.lit(topic), 10)))
-    shares = [max_results // 3] + [max_results // len(words) for _ in words] + [10 for _ in variants]
-    most = F.get(F.array(*[F.lit(n) for n in shares]), F.col("leg"))
+    variants = list(text.evaluate(spark, text.topic_variants(F.lit(topic))))
+    words = list(text.evaluate(spark, text.first_keywords(F.lit(topic), len(topic) + 1)))
     cols = ["path", "line", "column", "match_line", "match_text"]
     place = F.struct("leg", "ord", "line", "column").alias("ord")
-    hits = grep.search_literals(files, [topic, *words, *variants], per_term=max(shares))
-    number = F.row_number().over(Window.partitionBy("leg").orderBy("ord", "line", "column"))
-    rows = [hits.withColumn("n", number).filter(F.col("n") <= most).select(*cols, place)]
+    rows = [grep.search_literals(files, [topic, *words, *variants], per_term=per_leg).select(*cols, place)]
     if words:
-        each = max_results // len(words) // 2
         called = F.lit(False)
         for w in words:
             called = called | F.contains("content", F.lit(w))
@@ -250,7 +181,8 @@ def topic_search(files: DataFrame, topic: str, max_results=100) -> DataFrame:
         asked = F.array_position(F.array(*[F.lit(w) for w in words]), F.col("fn")).cast("int") - 1 + 1000
         near = grep.attach_lines(sites.withColumn("leg", asked), grep.grep_corpus(files)).withColumn("context", F.trim("match_line"))
         near = near.filter(~grep.looks_like_definition(F.col("context"), F.col("fn")))
-        rows.append(ordering.top_per_key(near, ["leg"], ["ord", "rule", "match_no"], each).select(*cols, place))
+        near = near if per_leg is None else ordering.top_per_key(near, ["leg"], ["ord", "rule", "match_no"], per_leg)
+        rows.append(near.select(*cols, place))
     return topk.rank_hits(reduce(DataFrame.unionByName, rows), topic, max_results)
 
 
