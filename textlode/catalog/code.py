@@ -316,6 +316,22 @@ def _(spark, sf):
     return found.select("key", c("leg").cast("int").alias("leg"), "match_score")
 
 
+_COMBINED = ((0, "call_7"), (1, "call_20"))
+
+
+@query("ctx_08_enrichments", " UNION ALL ".join(f"SELECT {i} AS question, 'caller' AS part, name FROM ({CALLED}) WHERE callee = '{n}'" for i, n in _COMBINED) + " UNION ALL "
+       + " UNION ALL ".join(f"SELECT {i}, 'call_site', '{n}' FROM ({CODE}) WHERE callee = '{n}' AND language NOT IN ('cobol')" for i, n in _COMBINED))
+def _(spark, sf):
+    asks = questions.kinds(questions.asked(spark, [f"who calls {n}" for _, n in _COMBINED]))
+    return questions.enrichments(_index(spark, sf), asks).select("question", "part", "name")
+
+
+@query("ctx_07_combined_parts")
+def _(spark, sf):
+    found = questions.combined(_index(spark, sf), questions.asked(spark, [f"who calls {n}" for _, n in _COMBINED]))
+    return found.filter("part <> 'symbol' or place <= 20").select("question", "part", "place", "key", "name", "file", "line", "score", "source")
+
+
 @query("top_02_merge_blocks", f"""WITH RECURSIVE b AS (SELECT file, name, ord::BIGINT AS ord, line::BIGINT AS lo, line + ord % 12 + 1 AS hi, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM ({R.SYMBOLS})),
  f(file, rn, kept) AS (SELECT DISTINCT file, 0::BIGINT, []::STRUCT(lo BIGINT, hi BIGINT, ord BIGINT)[] FROM b UNION ALL
  SELECT file, rn, CASE WHEN place > 0 THEN list_transform(kept, lambda s, i: CASE WHEN i = place AND hi - lo > s.hi - s.lo THEN {{'lo': lo, 'hi': hi, 'ord': ord}} ELSE s END) ELSE list_append(kept, {{'lo': lo, 'hi': hi, 'ord': ord}}) END

@@ -1,9 +1,11 @@
 """Index construction and vocabulary learning over documents."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import grep, index, rank, vocabulary
+from ..operators import grep, index, ordering, rank, segments, vocabulary
 from ..sources import persist
 from . import registry as R
 from .registry import corpus, joined, query, symbols, table
@@ -285,6 +287,41 @@ def _(spark, sf):
     return vocabulary.file_keywords(corpus(spark, sf)).select("path", "keyword", "n")
 
 
+# --- segments -------------------------------------------------------------------------------
+
+def _segments(spark, sf, feed=index.plain_feed):
+    """The documents added in three parts, some of them twice."""
+    d = corpus(spark, sf)
+    ix = segments.create(d.filter("ord % 3 = 0"), new_folder(spark), feed)
+    ix = segments.add(ix, d.filter("ord % 3 = 1 or ord % 9 = 0"), feed)
+    return segments.add(ix, d.filter("ord % 3 = 2"), feed)
+
+
+def new_folder(spark):
+    return f"{ordering.shared_folder(spark)}/{uuid.uuid4()}"
+
+
+@query("idx_11_segmented_build", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf FROM ({R.TF}) GROUP BY term")
+def _(spark, sf):
+    ix = _segments(spark, sf)
+    cf = ix.postings().groupBy("term").agg(F.sum("tf").cast("bigint").alias("cf"))
+    return ix.frequencies().join(cf, "term").select("term", "df", "cf")
+
+
+@query("idx_11_learned_first", f"SELECT term, df, round(weight, 4) AS weight FROM ({_FIN})")
+def _(spark, sf):
+    return _segments(spark, sf).learned().select("term", "df", F.round("weight", 4).alias("weight"))
+
+
+@query("idx_18_remove_and_compact", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS cf, (SELECT count(*) FROM documents WHERE doc_id % 7 <> 0) AS docs FROM ({R.TF}) WHERE ord % 7 <> 0 GROUP BY term")
+def _(spark, sf):
+    ix = segments.remove(_segments(spark, sf), corpus(spark, sf).filter("ord % 7 = 0"))
+    ix = segments.compact(ix, segments.smallest(ix, 2))
+    ix = segments.current(spark, ix.root)
+    cf = ix.postings().groupBy("term").agg(F.sum("tf").cast("bigint").alias("cf"))
+    return ix.frequencies().join(cf, "term").select("term", "df", "cf", F.lit(ix.n_docs).cast("bigint").alias("docs"))
+
+
 # --- stored forms ----------------------------------------------------------------------------
 
 @query("snk_11_fingerprint", f"SELECT count(*) || ':' || sum(('0x' || substring(h, 1, 8))::BIGINT) || ':' || sum(('0x' || substring(h, 9, 8))::BIGINT) AS fingerprint FROM (SELECT md5(path || '|' || length(content)) AS h FROM ({R.DOCS}))")

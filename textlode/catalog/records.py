@@ -119,3 +119,23 @@ def _(spark, sf):
     numbered = S.retain(S.add_facts(turns(spark, sf)), fixed.MAX_TURNS)
     asked = numbered.select("session").distinct().select("session", F.explode(F.array(*[F.lit(x) for x in _CMD])).alias("command"))
     return S.run_commands(asked, numbered).select("session", "command", "number", "part", F.md5("text").alias("h"))
+
+
+_KIND = "doc_id % 2 = 0 AS piped, doc_id % 3 = 0 AS h, doc_id % 5 = 0 AS w, doc_id % 7 = 0 AS a, doc_id % 11 = 0 AS llm"
+
+
+@query("cls_19_gathered_sources", f"""SELECT doc_id, CASE WHEN p <> '' AND length(p) > 50 THEN '🔗 Piped;' ELSE '' END || CASE WHEN h AND p = '' AND length(t) > 50 THEN '📜 History;' ELSE '' END || CASE WHEN w AND t <> '' THEN '🔍 Workspace (2 files);' ELSE '' END
+ || CASE WHEN a AND length(t) > 50 THEN '📎 Attachments (1);' ELSE '' END || CASE WHEN llm THEN '🤖 LLM only;' ELSE '' END AS used, md5(CASE WHEN p <> '' THEN p || chr(10) || chr(10) ELSE '' END || CASE WHEN h AND p = '' AND t <> '' THEN t || chr(10) || chr(10) ELSE '' END
+ || CASE WHEN w AND t <> '' THEN '## Reference Code from Workspace' || chr(10) || chr(10) || t || source || chr(10) || chr(10) ELSE '' END || CASE WHEN a AND length(t) > 50 THEN '## Reference from Attachments' || chr(10) || chr(10) || t || chr(10) || chr(10) ELSE '' END) AS h
+ FROM (SELECT *, coalesce(text, '') AS t, CASE WHEN piped THEN coalesce(text, '') ELSE '' END AS p FROM (SELECT *, {_KIND} FROM documents))""")
+def _(spark, sf):
+    from ..operators import context
+    d = table(spark, sf, "documents")
+    requests = d.selectExpr("doc_id AS request", *[x.strip() for x in _KIND.split(",")[1:]])
+    part = lambda source, text, n=0: d.select(F.col("doc_id").alias("request"), F.lit(source).alias("source"), F.lit(n).alias("ord"), F.lit("x").alias("name"), text.alias("content"))
+    text = F.col("text")
+    parts = part("piped", text).filter("request % 2 = 0").unionByName(part("history", text)).unionByName(part("workspace", text)).unionByName(part("workspace", F.when(text != "", F.col("source")), 1)) \
+        .unionByName(part("attachments", text))
+    got = context.gather_sources(parts, requests)
+    used = F.array_join(F.transform("sources_used", lambda u: F.concat(u, F.lit(";"))), "")
+    return got.select(F.col("request").alias("doc_id"), used.alias("used"), F.md5("content").alias("h"))

@@ -143,3 +143,36 @@ def _(spark, sf):
 @query("ses_12_bounded_chat", f"SELECT conv_id, turn FROM conversations QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3")
 def _(spark, sf):
     return ordering.top_per_key(table(spark, sf, "conversations"), ["conv_id"], [F.desc("turn")], 3).select("conv_id", "turn")
+
+
+# A log of commands between the turns; turn k of a session has the numbers 100 k, its commands those behind it.
+_LOG = ("/bookmark 1", "/tag 2 todo", "/tag 1 todo", "/bookmarks", "/tagged todo", "/stats", "/show 2", "/history 2", "/bookmark 99", "/bookmarks", "/search ering", "/compare 1 2", "/export-session")
+_EVENTS = (f"SELECT session, seq * 100 AS seq, user, assistant, {SUMMARY} AS summary, row_number() OVER (PARTITION BY session ORDER BY seq) AS turn FROM ({R.TURNS})")
+_REPLAY = f"""WITH t AS ({_EVENTS}), m AS (SELECT session, seq, turn, CASE WHEN turn % 4 = 3 THEN true ELSE false END AS clears FROM t),
+ s AS (SELECT t.*, turn // 4 AS stretch, CASE WHEN turn < 4 THEN turn ELSE turn % 4 + 1 END AS number FROM t),
+ c AS (SELECT session, seq + 1 + i AS seq, i, stretch, number AS n FROM s, (SELECT unnest(range(0, {len(_LOG)})) AS i)),
+ mark AS (SELECT session, stretch, 1 AS number, min(seq) AS since FROM c WHERE i = 0 GROUP BY ALL),
+ tag AS (SELECT session, stretch, CASE i WHEN 1 THEN 2 ELSE 1 END AS number, min(seq) AS since FROM c WHERE i IN (1, 2) AND CASE i WHEN 1 THEN 2 ELSE 1 END <= n GROUP BY ALL),
+ v AS (SELECT c.session, c.seq, c.i, c.n, s.number, s.user, s.assistant, s.summary FROM c JOIN s USING (session, stretch) WHERE s.number <= c.n)
+SELECT session, seq, kind, number::BIGINT AS number, part, md5(text) AS h FROM (
+ SELECT session, seq, 'history' AS kind, number, 'summary' AS part, summary AS text FROM v WHERE i = 7 AND number > n - 2
+ UNION ALL SELECT session, seq, 'show', number, 'user', user FROM v WHERE i = 6 AND number = 2 UNION ALL SELECT session, seq, 'show', number, 'assistant', assistant FROM v WHERE i = 6 AND number = 2
+ UNION ALL SELECT session, seq, 'search', number, 'summary', summary FROM v WHERE i = 10 AND (contains(lower(user), 'ering') OR contains(lower(assistant), 'ering'))
+ UNION ALL SELECT session, seq, 'compare', number, 'lengths', length(user) || '|' || length(assistant) FROM v WHERE i = 11 AND number IN (1, 2)
+ UNION ALL SELECT c.session, c.seq, 'list-bookmarks', s.number, 'summary', summary FROM c JOIN mark k USING (session, stretch) JOIN s USING (session, stretch) WHERE c.i IN (3, 9) AND k.since < c.seq AND s.number = k.number
+ UNION ALL SELECT c.session, c.seq, 'tagged', s.number, 'summary', summary FROM c JOIN tag k USING (session, stretch) JOIN s USING (session, stretch) WHERE c.i = 4 AND k.since < c.seq AND s.number = k.number
+ UNION ALL SELECT session, seq, 'stats', NULL, 'totals', n || '|' || sum(length(user) + length(assistant)) || '|' || sum({BLOCKS.format('assistant')}) || '|1|1' FROM v WHERE i = 5 GROUP BY session, seq, n
+ UNION ALL SELECT session, seq, 'export', NULL, 'state', '{{"turns":' || n || ',"bookmarks":[1],"tags":[{{"tag":"todo","number":1}}' || CASE WHEN n > 1 THEN ',{{"tag":"todo","number":2}}' ELSE '' END || ']}}' FROM c WHERE i = 12
+ UNION ALL SELECT session, seq, CASE WHEN i IN (1, 2) THEN 'tag' ELSE 'bookmark' END, CASE i WHEN 1 THEN 2 WHEN 8 THEN 99 ELSE 1 END, 'changed', CASE WHEN i IN (0, 2) OR i = 1 AND n >= 2 THEN 'true' ELSE 'false' END FROM c WHERE i IN (0, 1, 2, 8)
+ UNION ALL SELECT session, seq + 90, 'clear', NULL, 'changed', 'true' FROM m WHERE clears)"""
+
+
+@query("cls_14_command_replay", _REPLAY)
+def _(spark, sf):
+    from pyspark.sql import Window
+    t = turns(spark, sf).withColumn("turn", F.row_number().over(Window.partitionBy("session").orderBy("seq")))
+    logged = t.select("session", (c("seq") * 100).alias("seq"), "turn", F.posexplode(F.array(*[F.lit(x) for x in _LOG])).alias("i", "command"))
+    log = logged.select("session", (c("seq") + 1 + c("i")).alias("seq"), "command")
+    log = log.unionByName(t.filter("turn % 4 = 3").select("session", (c("seq") * 100 + 90).alias("seq"), F.lit("/clear-history").alias("command")))
+    answers = S.replay_commands(log, t.select("session", (c("seq") * 100).alias("seq"), "user", "assistant"))
+    return answers.select("session", "seq", "kind", "number", "part", F.md5("text").alias("h"))

@@ -203,6 +203,13 @@ def _(spark, sf):
     return models.rerank(f, [5, 3, 9, 3]).select("p_partkey", *BIG("score"))
 
 
+@query("top_11_pack_whole_table", "WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_retailprice % 7, p_partkey) AS i, p_partkey, p_size FROM part), "
+       "r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, -1::BIGINT AS k UNION ALL SELECT s.i, CASE WHEN used + p_size < 60 THEN used + p_size ELSE used END, CASE WHEN used + p_size < 60 THEN p_partkey ELSE -1 END FROM r JOIN s ON s.i = r.i + 1) SELECT k AS p_partkey FROM r WHERE k >= 0")
+def _(spark, sf):
+    p = table(spark, sf, "part").select("p_partkey", c("p_size").alias("size"), (c("p_retailprice") % 7).alias("o"))
+    return topk.pack(p, 60, ("o", "p_partkey")).select("p_partkey")
+
+
 @query("top_11_greedy_packing", "WITH RECURSIVE s AS (SELECT row_number() OVER (ORDER BY p_size DESC, p_partkey) AS i, p_partkey, p_size FROM (SELECT * FROM part ORDER BY p_size DESC, p_partkey LIMIT 100)), "
        "r AS (SELECT 0::BIGINT AS i, 0::BIGINT AS used, -1::BIGINT AS k UNION ALL SELECT s.i, CASE WHEN used + p_size < 777 THEN used + p_size ELSE used END, CASE WHEN used + p_size < 777 THEN p_partkey ELSE -1 END FROM r JOIN s ON s.i = r.i + 1) SELECT k AS p_partkey FROM r WHERE k >= 0")
 def _(spark, sf):

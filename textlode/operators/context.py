@@ -197,3 +197,31 @@ def combined_content(piped: Column, history: Column, workspace: Column, attachme
         return F.when(F.length(F.coalesce(c, F.lit(""))) > 0, F.concat(F.lit(title), c, F.lit("\n\n"))).otherwise(F.lit(""))
     return F.concat(part(piped), part(history), part(workspace, "## Reference Code from Workspace\n\n"),
                     part(attachments, "## Reference from Attachments\n\n"))
+
+
+#: Sources of a request in the order in which their text is put together, with the label that says a source was used.
+SOURCES = (("piped", "🔗 Piped"), ("history", "📜 History"), ("workspace", "🔍 Workspace"), ("attachments", "📎 Attachments"))
+
+
+def gather_sources(parts: DataFrame, requests: DataFrame, least=50) -> DataFrame:
+    """(request, sources_used, content) of every request.
+
+    ``parts``: (request, source, ord, name, content), any number of parts of a source; ``requests``: (request, h, w, a, llm), the sources it asks for.
+    Piped text is always used and takes the place of history; workspace text needs no length, the others more than ``least`` characters.  A request
+    without any source still gets a row.
+    """
+    joined = parts.groupBy("request", "source").agg(F.count("*").alias("n"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("ord", "content"))), lambda p: F.coalesce(
+        p["content"], F.lit(""))), "").alias("content"))
+    rows = requests.join(joined.groupBy("request").agg(F.map_from_entries(F.collect_list(F.struct("source", F.struct("n", "content")))).alias("s")), "request", "left")
+    part = lambda k: F.coalesce(F.try_element_at("s", F.lit(k))["content"], F.lit(""))
+    number = lambda k: F.coalesce(F.try_element_at("s", F.lit(k))["n"], F.lit(0)).cast("string")
+    piped, long = part("piped"), lambda c: F.length(c) > least
+    history = F.when(F.col("h") & (piped == ""), part("history")).otherwise("")
+    workspace = F.when(F.col("w"), part("workspace")).otherwise("")
+    attached = F.when(F.col("a") & long(part("attachments")), part("attachments")).otherwise("")
+    labels = dict(SOURCES)
+    used = F.array_compact(F.array(
+        F.when(long(piped), labels["piped"]), F.when(long(history), labels["history"]),
+        F.when(workspace != "", F.concat(F.lit(labels["workspace"] + " ("), number("workspace"), F.lit(" files)"))),
+        F.when(attached != "", F.concat(F.lit(labels["attachments"] + " ("), number("attachments"), F.lit(")"))), F.when(F.col("llm"), "🤖 LLM only")))
+    return rows.select("request", used.alias("sources_used"), combined_content(piped, history, workspace, attached).alias("content"))

@@ -201,3 +201,65 @@ def run_commands(commands: DataFrame, turns: DataFrame, tags: DataFrame = None,
     if marks is not None:
         legs.append(out(with_turn.filter(F.col("kind") == "list-bookmarks").join(marks.distinct(), ["session", "number"]), F.lit("summary"), F.col("summary")))
     return reduce(DataFrame.unionByName, legs)
+
+
+def replay_commands(log: DataFrame, turns: DataFrame, most=10) -> DataFrame:
+    """Answers of a log of commands, each as the session stood when it came: (session, seq, kind, number, part, text).
+
+    ``log``: (session, seq, command); ``turns``: (session, seq, user, assistant), on the same scale of ``seq``, not numbered.  /bookmark and /tag change what
+    later commands see if the turn exists then; /clear-history drops turns, bookmarks and tags, and turns that come behind it are numbered from 1 again.
+    State is not carried from row to row: a command belongs to the stretch between two clears, sees the turns of its stretch before it, and a mark counts
+    from the first command that made it; so a session of any length is windows and joins.
+    """
+    asked = log.withColumn("c", classify.session_command(F.col("command"))).filter("c.type is not null") \
+        .select("session", "seq", F.col("c.type").alias("kind"), F.col("c.arg1").alias("a"), F.col("c.arg2").alias("b"))
+    facts = turns.select("session", "seq", "user", "assistant", turn_summary(F.col("user"), F.col("assistant")).alias("summary"))
+    none = F.lit(None).cast("string")
+    events = asked.select("*", none.alias("user"), none.alias("assistant"), none.alias("summary")).unionByName(
+        facts.select("*", none.alias("kind"), none.alias("a"), none.alias("b")))
+    w = Window.partitionBy("session").orderBy("seq")
+    stretch = F.coalesce(F.count_if(F.col("kind") == "clear").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    events = events.withColumn("stretch", stretch)
+    here = Window.partitionBy("session", "stretch").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
+    events = ordering.cut_lineage(events.withColumn("n", F.count_if(F.col("kind").isNull()).over(here).cast("int")))
+    said = events.filter("kind is null").select("session", "stretch", F.col("n").alias("number"), "user", "assistant", "summary")
+    cmd = events.filter("kind is not null").select("session", "stretch", "seq", "kind", "a", "b", "n")
+
+    target = F.col("a").cast("int")
+    made = cmd.filter(F.col("kind").isin("bookmark", "tag") & (target >= 1) & (target <= F.col("n"))).withColumn("number", target)
+    marks = made.filter("kind = 'bookmark'").groupBy("session", "stretch", "number").agg(F.min("seq").alias("since"))
+    tags = made.filter("kind = 'tag'").groupBy("session", "stretch", "number", F.col("b").alias("tag")).agg(F.min("seq").alias("since"))
+
+    at = ["session", "stretch"]
+    seen = cmd.filter(F.col("kind").isin("history", "search", "show", "compare", "code", "stats")).join(said, at).filter(F.col("number") <= F.col("n"))
+    out = lambda df, part, text: df.select("session", "seq", "kind", F.col("number").cast("bigint").alias("number"), part.cast("string").alias("part"), text.alias("text"))
+    number, low = F.col("number").cast("string"), F.lower("a")
+    found = seen.filter((F.col("kind") == "search") & (F.contains(F.lower("user"), low) | F.contains(F.lower("assistant"), low)))
+    found = found.withColumn("rn", F.row_number().over(Window.partitionBy("session", "seq").orderBy("number"))).filter(F.col("rn") <= most)
+    shown = seen.filter((F.col("kind") == "show") & (number == F.col("a")))
+    code = seen.filter((F.col("kind") == "code") & (number == F.col("a"))).select("session", "seq", "kind", "number", F.posexplode(text.fenced_blocks(F.col("assistant"))).alias("i", "block"))
+    known = cmd.join(marks, at).filter(F.col("since") < F.col("seq"))
+    named = cmd.join(tags, at).filter(F.col("since") < F.col("seq"))
+    listed = known.filter("kind = 'list-bookmarks'").join(said.select("session", "stretch", "number", "summary"), [*at, "number"])
+    tagged = named.filter((F.col("kind") == "tagged") & (F.col("tag") == F.col("a"))).join(said.select("session", "stretch", "number", "summary"), [*at, "number"])
+    ids = ["session", "seq", "kind"]
+    whole = cmd.filter(F.col("kind").isin("stats", "export")).select(*ids, "n")
+    chars = seen.filter("kind = 'stats'").groupBy(*ids).agg(F.sum(F.length("user") + F.length("assistant")).alias("chars"), F.sum(block_count(F.col("assistant"))).alias("blocks"))
+    whole = whole.join(known.groupBy(*ids).agg(F.array_sort(F.collect_list("number")).alias("marks")), ids, "left") \
+        .join(named.groupBy(*ids).agg(F.array_sort(F.collect_list(F.struct("tag", "number"))).alias("tags")), ids, "left").join(chars, ids, "left")
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("string")
+    totals = F.concat_ws("|", count("n"), count("chars"), count("blocks"), count(F.size(F.coalesce("marks", F.array()))),
+                         count(F.size(F.array_distinct(F.transform(F.coalesce("tags", F.array().cast("array<struct<tag:string,number:int>>")), lambda t: t["tag"])))))
+    state = F.to_json(F.struct(F.col("n").alias("turns"), F.coalesce("marks", F.array().cast("array<int>")).alias("bookmarks"),
+                               F.coalesce("tags", F.array().cast("array<struct<tag:string,number:int>>")).alias("tags")))
+    nothing = whole.withColumn("number", F.lit(None))
+    done = cmd.filter(F.col("kind").isin("bookmark", "tag", "clear")).withColumn("number", target)
+    changed = (target >= 1) & (target <= F.col("n"))
+    return reduce(DataFrame.unionByName, [
+        out(seen.filter((F.col("kind") == "history") & (F.col("number") > F.col("n") - F.col("a").cast("int"))), F.lit("summary"), F.col("summary")),
+        out(found, F.lit("summary"), F.col("summary")), out(shown, F.lit("user"), F.col("user")), out(shown, F.lit("assistant"), F.col("assistant")),
+        out(seen.filter((F.col("kind") == "compare") & ((number == F.col("a")) | (number == F.col("b")))), F.lit("lengths"),
+            F.concat_ws("|", F.length("user").cast("string"), F.length("assistant").cast("string"))),
+        out(code, F.col("i"), F.col("block.code")), out(listed, F.lit("summary"), F.col("summary")), out(tagged, F.lit("summary"), F.col("summary")),
+        out(nothing.filter("kind = 'stats'"), F.lit("totals"), totals), out(nothing.filter("kind = 'export'"), F.lit("state"), state),
+        out(done, F.lit("changed"), F.when(F.col("kind") == "clear", F.lit("true")).otherwise(changed.cast("string")))])

@@ -8,7 +8,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import fixed, paths, text
+from ..functions import paths, text
 from ..operators import index, joins, ordering, rank
 
 LEGS = ("concept_file", "exact_match", "pattern_match", "directory_match", "trigram_code", "inverted_index", "summary_search", "file_keyword")
@@ -199,5 +199,53 @@ def callers(edges: DataFrame, asked_kinds: DataFrame, definitions: DataFrame) ->
     return in_.unionByName(out).distinct().join(definitions.select("name", "key", "file", "type", "line"), "name", "left")
 
 
-__all__ = ["asked", "callers", "code_lines", "concept_files", "directory_files", "document_hits", "first_question", "fuzzy", "kinds", "pattern_symbols", "query_terms",
-           "search_questions", "fixed"]
+_PART = ("question", "part", "place", "key", "name", "file", "line", "score", "source")
+
+
+def _part(rows: DataFrame, part: str, **columns) -> DataFrame:
+    kinds_ = dict(zip(_PART, ("int", "string", "bigint", "string", "string", "string", "int", "double", "string"), strict=True))
+    given = {"question": F.col("question"), "part": F.lit(part), **columns}
+    return rows.select(*[given.get(c, F.lit(None)).cast(kinds_[c]).alias(c) for c in _PART])
+
+
+def enrichments(ix, asked_kinds: DataFrame) -> DataFrame:
+    """Callers, callees and call sites that the questions' intents ask for, as parts; of a question's spellings the first with any answers."""
+    from ..operators import grep, parse
+    variants = asked_kinds.select("question", "intent", F.posexplode("variants").alias("no", "variant"))
+    definitions = parse.first_definitions(ix.symbols).select("name", "key", "file", "line")
+    edges = ix.edges
+
+    def side(intents, part, end, other):
+        found = variants.filter(F.col("intent").isin(*intents)).join(edges, F.col("variant") == F.col(end)).select("question", "no", F.col(other).alias("name"), "variant")
+        best = found.groupBy("question").agg(F.min("no").alias("no"))
+        found = found.join(best, ["question", "no"]).distinct().join(definitions, "name", "left")
+        return _part(found, part, name=F.col("name"), key=F.col("key"), file=F.col("file"), line=F.col("line"), source=F.col("variant"))
+
+    wanted = variants.filter(F.col("intent") == "callers")
+    sites = grep.call_sites(ix.files).join(wanted, F.col("fn") == F.col("variant"))
+    first = sites.groupBy("question").agg(F.min("no").alias("no"))
+    sites = sites.join(first, ["question", "no"])
+    return (side(("callers", "explain"), "caller", "callee", "caller").unionByName(side(("callees", "explain"), "callee", "caller", "callee"))
+            .unionByName(_part(sites, "call_site", name=F.col("fn"), file=F.col("path"), line=F.col("line"), source=F.col("variant"))))
+
+
+def combined(ix, questions: DataFrame, max_results=100) -> DataFrame:
+    """One table of typed parts (question, part, place, key, name, file, line, score, source) of each question.
+
+    Parts are symbols of all spellings in the order of their rank, files, callers, callees and call sites by intent, and ``stat`` rows with the number of
+    rows of each part.  A symbol belongs to the first spelling that found it.
+    """
+    asked_kinds = ordering.cut_lineage(kinds(questions))
+    spelled = asked_kinds.select(F.col("question").alias("q"), F.posexplode("variants").alias("no", "query"))
+    each = ordering.cut_lineage(spelled.withColumn("question", F.concat_ws(":", F.col("q").cast("string"), F.col("no").cast("string"))))
+    found, files = search_questions(ix, each.select("question", "query"))
+    own = each.select("question", "q", "no", "query")
+    first = ordering.first_by(found.join(own, "question").select("q", "key", "no", "match_score", "match_source"), ["q", "key"], ["no"])
+    number = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("match_score"), "no", "key"))
+    best = first.withColumn("place", number).filter(F.col("place") <= max_results).join(ix.symbols.select("key", "name", "file", "line"), "key").withColumnRenamed("q", "question")
+    symbols = _part(best, "symbol", place=F.col("place"), key=F.col("key"), name=F.col("name"), file=F.col("file"), line=F.col("line"), score=F.col("match_score"), source=F.col("match_source"))
+    by_file = ordering.first_by(files.join(own, "question").select("q", "path", "no", "leg", "match_score", "match_source"), ["q", "path"], ["no", "leg"]).withColumnRenamed("q", "question")
+    parts = symbols.unionByName(_part(by_file, "file", file=F.col("path"), score=F.col("match_score"), source=F.col("match_source"))).unionByName(enrichments(ix, asked_kinds))
+    parts = ordering.cut_lineage(parts)
+    counts = parts.groupBy("question", F.col("part").alias("of")).agg(F.count("*").alias("n"))
+    return parts.unionByName(_part(counts, "stat", name=F.col("of"), score=F.col("n")))
