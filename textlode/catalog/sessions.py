@@ -176,3 +176,16 @@ def _(spark, sf):
     log = log.unionByName(t.filter("turn % 4 = 3").select("session", (c("seq") * 100 + 90).alias("seq"), F.lit("/clear-history").alias("command")))
     answers = S.replay_commands(log, t.select("session", (c("seq") * 100).alias("seq"), "user", "assistant"))
     return answers.select("session", "seq", "kind", "number", "part", F.md5("text").alias("h"))
+
+
+@query("ses_01_stream_retention", f"SELECT session::VARCHAR AS session, seq, number, md5(user || assistant) AS h FROM ({KEPT.replace('rn <= 2', 'rn <= 3')})")
+def _(spark, sf):
+    import uuid
+
+    from ..streaming import sessions as stream
+    folder = f"{ordering.shared_folder(spark)}/{uuid.uuid4()}"
+    # three files, each a trigger: a session's turns come in several of them
+    turns(spark, sf).repartition(3, c("seq") % 3).write.parquet(f"{folder}/in")
+    source = spark.readStream.schema("session long, seq long, user string, assistant string").option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    kept = stream.run_retention(source, folder, 3)
+    return kept.select("session", "seq", *BIG("number"), F.md5(F.concat("user", "assistant")).alias("h"))
