@@ -72,26 +72,28 @@ def _(spark, sf):
 
 
 def _raw(spark, sf):
-    """documents as raw files: every third in Latin-1, some binary, in folders of several depths."""
+    """documents as raw files, each once under a path that a scan reads (every third in Latin-1 if that can hold it), and copies under paths that it skips."""
     d = table(spark, sf, "documents")
-    ext = F.when(c("doc_id") % 10 == 9, ".png").otherwise(".txt")
-    folder = F.element_at(F.array(*[F.lit(x) for x in ("src", "src/a/b", "node_modules/x", ".hidden", "src/a/b/c/d")]), (c("doc_id") % 5 + 1).cast("int"))
-    raw = F.when(c("doc_id") % 3 == 0, F.encode(F.translate("text", "’“”…œ–", "'''.o-"), "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
-    latin = d.filter(~c("text").rlike("[^\\x00-\\xff]"))
-    return latin.select(F.concat(folder, F.lit("/"), c("doc_id").cast("string"), ext).alias("path"), raw.alias("raw")).withColumn("length", F.octet_length("raw").cast("bigint"))
+    name = c("doc_id").cast("string")
+    folder = F.element_at(F.array(F.lit("src"), F.lit("src/a/b"), F.lit("lib/c")), (c("doc_id") % 3 + 1).cast("int"))
+    latin = (c("doc_id") % 3 == 0) & ~c("text").rlike("[^\\x00-\\xff]")
+    raw = F.when(latin, F.encode("text", "ISO-8859-1")).otherwise(F.encode("text", "UTF-8"))
+    skipped = F.array(F.concat(F.lit("node_modules/x/"), name, F.lit(".txt")), F.concat(F.lit(".hidden/"), name, F.lit(".txt")), F.concat(F.lit("src/"), name, F.lit(".png")),
+                      F.concat(F.lit("src/a/b/c/d/"), name, F.lit(".txt")))
+    paths = F.concat(F.array(F.concat(folder, F.lit("/"), name, F.lit(".txt"))), F.when(c("doc_id") % 5 == 0, skipped).otherwise(F.array().cast("array<string>")))
+    return d.select(F.explode(paths).alias("path"), raw.alias("raw")).withColumn("length", F.octet_length("raw").cast("bigint"))
 
 
-_RAW = ("SELECT doc_id, text, ['src', 'src/a/b', 'node_modules/x', '.hidden', 'src/a/b/c/d'][doc_id % 5 + 1] || '/' || doc_id || CASE WHEN doc_id % 10 = 9 THEN '.png' ELSE '.txt' END AS path "
-        "FROM documents WHERE NOT regexp_matches(text, '[^\\x00-\\xff]')")
+_READ = "SELECT ['src', 'src/a/b', 'lib/c'][doc_id % 3 + 1] || '/' || doc_id || '.txt' AS path, text FROM documents"
 
 
-@query("src_01_read_file", f"SELECT path, md5(text) AS h FROM ({_RAW}) WHERE doc_id % 10 <> 9 AND doc_id % 5 NOT IN (2, 3)")
+@query("src_01_read_file", f"SELECT path, md5(text) AS h FROM ({_READ} UNION ALL SELECT 'src/a/b/c/d/' || doc_id || '.txt', text FROM documents WHERE doc_id % 5 = 0)")
 def _(spark, sf):
     kept = filesrc.select_files(_raw(spark, sf))
     return filesrc.corpus(kept.withColumn("content", filesrc.decode(c("raw")))).select("path", F.md5("content").alias("h"))
 
 
-@query("src_02_folder_scan", f"SELECT path FROM ({_RAW}) WHERE doc_id % 10 <> 9 AND doc_id % 5 IN (0, 1)")
+@query("src_02_folder_scan", f"SELECT path FROM ({_READ})")
 def _(spark, sf):
     return filesrc.select_files(_raw(spark, sf), max_depth=3).select("path")
 

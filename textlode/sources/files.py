@@ -7,7 +7,7 @@ from ..operators import ordering
 
 
 def decode(raw: Column) -> Column:
-    """UTF-8, or Latin-1 where the bytes are not valid UTF-8."""
+    """UTF-8, or Latin-1 where the bytes are not valid UTF-8.  Latin-1 has a character for every byte, so an encoding behind it would never be tried."""
     return F.when(F.is_valid_utf8(raw.cast("string")), F.decode(raw, "UTF-8")).otherwise(F.decode(raw, "ISO-8859-1"))
 
 
