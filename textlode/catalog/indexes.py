@@ -268,7 +268,7 @@ def _affixes(terms):
 @query("kwl_08_expand_by_concepts", f"""WITH q AS (SELECT unnest(['ering', 'onthe']) AS term), own AS (SELECT kind, affix, term AS asked FROM ({_affixes('SELECT term FROM q')})),
  g AS (SELECT asked, kind, affix, term FROM ({_affixes(f'SELECT term FROM ({_FIN})')}) JOIN own USING (kind, affix)), big AS (SELECT asked, kind, affix FROM g GROUP BY ALL HAVING count(*) >= 3),
  near AS (SELECT asked, kind, affix, term, row_number() OVER (PARTITION BY asked, kind, affix ORDER BY term) AS rn FROM g WHERE term <> asked)
- SELECT term FROM q UNION SELECT term FROM near SEMI JOIN big USING (asked, kind, affix) WHERE rn <= 3""")
+ SELECT term FROM q UNION SELECT term FROM near SEMI JOIN big USING (asked, kind, affix)""")
 def _(spark, sf):
     return vocabulary.expand_query(spark, "ering onthe", None, _vocab(spark, sf))
 
@@ -282,7 +282,7 @@ def _(spark, sf):
 _KW = ("SELECT path, upper(w) AS keyword, pos FROM (SELECT path, unnest(t) AS w, generate_subscripts(t, 1) AS pos FROM (SELECT path, regexp_extract_all(regexp_replace(content, '[^\\x00-\\x7f]', 'zq9', 'g'), '\\b[A-Z][A-Z0-9_-]{2,}\\b|\\b[a-z][a-zA-Z0-9_]{3,}\\b') AS t FROM (" + R.DOCS + "))) WHERE NOT contains(lower(w), 'zq9')")
 
 
-@query("kwl_13_file_keywords", f"SELECT path, keyword, n FROM (SELECT path, keyword, count(*) AS n, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, min(pos)) AS rn FROM ({_KW}) WHERE keyword NOT IN {R.sql_in(fixed.COMMON_KEYWORDS)} GROUP BY 1, 2) WHERE rn <= 50")
+@query("kwl_13_file_keywords", f"SELECT path, keyword, n FROM (SELECT path, keyword, count(*) AS n, row_number() OVER (PARTITION BY path ORDER BY count(*) DESC, min(pos)) AS rn FROM ({_KW}) WHERE keyword NOT IN {R.sql_in(fixed.COMMON_KEYWORDS)} GROUP BY 1, 2)")
 def _(spark, sf):
     return vocabulary.file_keywords(corpus(spark, sf)).select("path", "keyword", "n")
 
