@@ -121,15 +121,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col="doc_id", text_c
     """Per row of ``docs``: id, n_words, n_hit, n_items, items_sha256, contaminated and ``hit_words`` (word ranges, end exclusive).
 
     ``items_sha256`` is the digest of the comma-joined, sorted ids of the items that have an occurring window.  ``block_words`` bounds what is sent
-    to the executors at a time.  With more than one block, the blocks' hit ranges are united per document; ids must then be unique.
+    to the executors for one block; further blocks add their hits to the same rows, so rows with equal or null ids stay rows of their own.
     """
-    kind = docs.schema[id_col].dataType.simpleString()
     sent = list(_indexes(benchmark, item_id, item_text, window, k, block_words))
-    source = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    parts = [_against(source, s, kind, len(sent) > 1) for s in sent]
-    if len(parts) == 1:
-        return parts[0].select(F.col("id").alias(id_col), "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words")
-    return _united(parts, id_col)
+    none = F.array().cast("array<struct<start:int,end:int>>")
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"), F.lit(0).cast("long").alias("n_words"), none.alias("hit_words"),
+                       F.array().cast("array<string>").alias("items"))
+    for index in sent:  # each block adds to the rows, whatever their ids
+        rows = rows.transform(shared.in_batches, _against(index), rows.schema)
+    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
+    digest = F.sha2(F.array_join("items", ",").cast("binary"), 256)
+    return rows.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), digest.alias("items_sha256"),
+                       (F.size("hit_words") > 0).alias("contaminated"), "hit_words")
 
 
 def _indexes(benchmark, item_id, item_text, window, k, block_words):
@@ -163,44 +166,25 @@ def _without(sent, at):
     return run
 
 
-def _against(docs, sent, kind, with_items):
-    target = pa.struct([("start", pa.int32()), ("end", pa.int32())])
+def _against(sent):
+    """Adds one block's hits to rows of (id, text, n_words, hit_words, items)."""
+    target = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
 
     def run(batches):
         index = sent.value
         for b in batches:
-            n_words, n_hit, n_items, digest, spans, names = [], [], [], [], [], []
+            n_words, spans, names = [], [], []
+            before, known, row = b.column(3).to_pylist(), b.column(4).to_pylist(), 0
             for _, hashes, cuts, *_ in W.words_by_text(b.column(1), W.ALNUM):
                 for i in range(len(cuts) - 1):
                     mask, found = hits(hashes[cuts[i]:cuts[i + 1]], index)
-                    own = sorted(index.names[j] for j in found)
+                    for s in before[row]:
+                        mask[s["start"]:s["end"]] = True
                     n_words.append(len(mask))
-                    n_hit.append(int(mask.sum()))
-                    n_items.append(len(own))
-                    digest.append(W.sha256(",".join(own).encode()))
-                    spans.append([{"start": int(x), "end": int(y)} for x, y in _runs(mask)] if n_hit[-1] else [])
-                    names.append(own)
-            out = [b.column(0), pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array(n_items, pa.int64()), pa.array(digest, pa.string()),
-                   pa.array([x > 0 for x in n_hit], pa.bool_()), pa.array(spans, pa.list_(target))]
-            yield pa.RecordBatch.from_arrays(out + ([pa.array(names, pa.list_(pa.string()))] if with_items else []),
-                                             names=["id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "hit_words"] + ["items"] * with_items)
-
-    return docs.transform(shared.in_batches, run, f"id {kind}, {FIELDS}" + (", items array<string>" if with_items else ""))
-
-
-def _united(parts, id_col):
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p)
-    one = rows.groupBy("id").agg(F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
-                                 F.array_sort(F.flatten(F.collect_list("hit_words"))).alias("ranges"))
-    # one pass over the ranges in order: touching ranges become one
-    empty = F.array().cast("array<struct<start:int,end:int>>")
-    last = lambda acc: F.element_at(acc, -1)
-    joined = F.aggregate("ranges", empty, lambda acc, r: F.when((F.size(acc) > 0) & (r["start"] <= F.get(acc, F.size(acc) - 1)["end"]), F.concat(
-        F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last(acc)["start"].alias("start"), F.greatest(last(acc)["end"], r["end"]).alias("end")))))
-        .otherwise(F.concat(acc, F.array(r))))
-    one = one.withColumn("hit_words", joined)
-    n_hit = F.aggregate("hit_words", F.lit(0).cast("long"), lambda acc, r: acc + r["end"] - r["start"])
-    return one.select(F.col("id").alias(id_col), "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-                      F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"), "hit_words")
+                    spans.append([{"start": int(x), "end": int(y)} for x, y in _runs(mask)] if mask.any() else [])
+                    names.append(sorted({*known[row], *(index.names[j] for j in found)}))
+                    row += 1
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(n_words, pa.int64()), pa.array(spans, target), pa.array(names, pa.list_(pa.string()))],
+                                             names=["id", "text", "n_words", "hit_words", "items"])
+
+    return run
