@@ -84,7 +84,7 @@ def _headers(data: bytes, at: int):
     """(headers, payload start, payload end, record end) of the record at ``at``; raises Damaged."""
     if not data.startswith(b"WARC/", at):
         raise Damaged("no version line")
-    end = data.find(b"\r\n\r\n", at, at + 65536)
+    end = data.find(b"\r\n\r\n", at)
     if end < 0:
         raise Damaged("headers without end")
     lines = data[at:end].split(b"\r\n")
@@ -112,48 +112,76 @@ def _headers(data: bytes, at: int):
 
 
 def _inflate(data: bytes, at: int):
-    """(inflated bytes, end of the member); raises Damaged."""
-    z, view, out = zlib.decompressobj(31), memoryview(data), []
-    try:
-        while not z.eof:
-            if at >= len(data):
-                raise Damaged("member cut short")
-            out.append(z.decompress(view[at:at + 65536]))
-            at += 65536
-    except zlib.error as e:
-        raise Damaged(f"bad member: {e}") from None
-    return b"".join(out), min(at, len(data)) - len(z.unused_data)
-
-
-def _next(data: bytes, at: int) -> int:
-    """The next place that looks like a member or a version line, or the end."""
-    return min((x for x in (data.find(MAGIC, at), data.find(b"WARC/", at)) if x >= 0), default=len(data))
+    """(inflated bytes, end of the member, reason): all that a member gives before it ends or breaks; a broken one has a reason and no end."""
+    z, view, out, step = zlib.decompressobj(31), memoryview(data), [], 65536
+    while not z.eof:
+        if at >= len(data):
+            return b"".join(out), None, "member cut short"
+        before = z.copy()
+        try:
+            out.append(z.decompress(view[at:at + step]))
+            at += step
+        except zlib.error as e:
+            if step == 1:
+                return b"".join(out), None, f"bad member: {e}"
+            z, step = before, 256 if step > 256 else 1  # again in smaller steps, so that all before the bad byte is kept
+    return b"".join(out), min(at, len(data)) - len(z.unused_data), None
 
 
-def salvage(data: bytes):
-    """Yields ("record", offset, headers, payload) and ("gap", from, to, reason) over the whole archive, in order."""
+def _plain(data: bytes):
+    """Yields ("record", offset, headers, payload) and ("gap", from, to, reason) of bytes that hold no members."""
     at, bad, why = 0, None, ""
     while at < len(data):
         try:
-            if data.startswith(MAGIC, at):
-                found, end = _inflate(data, at)
-                parts, p = [], 0
-                while p < len(found):
-                    head, start, stop, p = _headers(found, p)
-                    parts.append((head, found[start:stop]))
-            else:
-                head, start, stop, end = _headers(data, at)
-                parts = [(head, data[start:stop])]
+            head, start, stop, end = _headers(data, at)
         except Damaged as e:
             if bad is None:
                 bad, why = at, str(e)
-            at = _next(data, at + 1)
+            at = data.find(b"WARC/", at + 1)
+            at = len(data) if at < 0 else at
             continue
-        if bad is not None and parts:
+        if bad is not None:
             yield "gap", bad, at, why
             bad = None
-        for head, payload in parts:
-            yield "record", at, head, payload
+        yield "record", at, head, data[start:stop]
+        at = end
+    if bad is not None:
+        yield "gap", bad, len(data), why
+
+
+def salvage(data: bytes):
+    """Yields ("record", offset, headers, payload) and ("gap", from, to, reason) over the whole archive, in order.
+
+    Inside a member, and inside what a broken member gave before it broke, version lines are looked for as in plain bytes, so a bad record costs itself
+    alone; a gap inside a member is told with the member's own place in the archive, and its length in the member's inflated bytes in its reason.
+    """
+    at, bad, why = 0, None, ""
+    while at < len(data):
+        found, broken = [], None
+        if data.startswith(MAGIC, at):
+            inflated, end, broken = _inflate(data, at)
+            found = list(_plain(inflated))
+            if broken:  # what was cut off is part of the gap behind it
+                found = [x for x in found if x[0] == "record" or x[2] < len(inflated)]
+                after = min((x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/", at + 1)) if x >= 0), default=len(data))
+                end = after
+        else:
+            try:
+                head, start, stop, end = _headers(data, at)
+                found = [("record", at, head, data[start:stop])]
+            except Damaged as e:
+                broken = str(e)
+                end = min((x for x in (data.find(MAGIC, at + 1), data.find(b"WARC/", at + 1)) if x >= 0), default=len(data))
+        if bad is not None and (found or not broken):
+            yield "gap", bad, at, why
+            bad = None
+        for what, start, x, y in found:
+            if what == "record":
+                yield "record", at, x, y
+            else:
+                yield "gap", at, end, f"{y} (inflated bytes {start} to {x})"
+        if broken and bad is None:
+            bad, why = at, broken
         at = end
     if bad is not None:
         yield "gap", bad, len(data), why
