@@ -24,9 +24,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from . import shared, words as W
+from .jaccard import _planes, _unplanes
+from .shared import BITS, bitmap, held
 
 LONGEST = 5
-BITS = 25
 #: Distinct keys that a task holds before it hands their counts on.
 HELD = 1 << 22
 
@@ -36,7 +37,7 @@ PIECE_END = ~W._byte_class(*_PIECE_ENDS)
 
 
 def coded(texts, langs):
-    """For chunks of texts: (code of each word, with 0 where a piece ends; first and last byte of each, the bytes, text of each).
+    """For chunks of texts: (code of each word, number of its piece, its first byte and the byte behind it, the chunk's bytes, its text).
 
     ``langs``: a 64-bit hash of each text's language, which is mixed into its words' codes.
     """
@@ -77,8 +78,8 @@ class Tally:
         if self.parts:
             self._merge()
             keys, counts = self.parts[0]
-            for at in range(0, len(keys), 1 << 16):
-                part = slice(at, at + (1 << 16))
+            for at in range(0, len(keys), 1 << 20):
+                part = slice(at, at + (1 << 20))
                 yield pa.RecordBatch.from_arrays([pa.array(keys[part].view(np.int64)), pa.array(counts[part])], names=self.names)
         self.parts, self.size = [], 0
 
@@ -93,76 +94,59 @@ def _texts(batch):
 
 
 def count_words(source: DataFrame) -> DataFrame:
-    """(lang, h, n): occurrences of each word (h, lang null; codes differ by language) and of all words of each language (lang, h null)."""
+    """(h, n, lang, word): occurrences of each word (codes differ by language), and with h null all words of each language."""
+
+    names_out, types = ["h", "n", "lang", "word"], [pa.int64(), pa.int64(), pa.string(), pa.string()]
+
+    def rows(h, n, lang, word):
+        return pa.RecordBatch.from_arrays([pa.array(x, t) if x is not None else pa.nulls(len(h), t) for x, t in zip((h, n, lang, word), types, strict=True)], names=names_out)
 
     def run(batches):
-        tally, totals = Tally(), {}
+        tally, totals, named = Tally(), {}, np.zeros(0, np.uint64)
         for b in batches:
             texts, salts = _texts(b)
-            names = b.column(0).to_pylist()
-            for codes, _, _, _, _, text in coded(texts, salts):
+            langs = b.column(0).to_pylist()
+            for codes, _, starts, ends, data, text in coded(texts, salts):
                 own, many = np.unique(text, return_counts=True)
                 for i, n in zip(own, many.tolist(), strict=True):
-                    totals[names[i]] = totals.get(names[i], 0) + n
+                    totals[langs[i]] = totals.get(langs[i], 0) + n
+                fresh, first = np.unique(codes, return_index=True)
+                new = ~np.isin(fresh, named)
+                if new.any():  # a task names a word once, or again after very many others
+                    at = first[new]
+                    named = np.union1d(named, fresh[new]) if len(named) < HELD else fresh[new]
+                    yield rows(fresh[new].view(np.int64), np.zeros(len(at), np.int64), [langs[t] for t in text[at]], [data[starts[i]:ends[i]].tobytes().decode() for i in at])
                 for out in tally.add(codes):
-                    yield unnamed(out)
+                    yield rows(out.column(0), out.column(1), None, None)
         for out in tally.rest():
-            yield unnamed(out)
-        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.string()), pa.nulls(len(totals), pa.int64()), pa.array(totals.values(), pa.int64())], names=names_out)
-
-    names_out = ["lang", "h", "n"]
-
-    def unnamed(batch):
-        return pa.RecordBatch.from_arrays([pa.nulls(batch.num_rows, pa.string()), *batch.columns], names=names_out)
-
-    return shared.in_batches(source, run, "lang string, h long, n long").groupBy("lang", "h").agg(F.sum("n").alias("n"))
-
+            yield rows(out.column(0), out.column(1), None, None)
+        yield rows(pa.nulls(len(totals), pa.int64()), list(totals.values()), list(totals), None)
 
-def bitmap(keys: DataFrame) -> np.ndarray:
-    """The low ``BITS`` bits of the keys (h) as a bitmap of ``2**BITS`` bits; one row for each 32,768 of them comes to the driver."""
-    place = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
-    rows = (keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits"))).toArrow()
-    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
-    for b, bits in zip(rows.column("b").to_pylist(), rows.column("bits").to_pylist(), strict=True):
-        out[(b - 1) * 4096:b * 4096] = np.frombuffer(bits, dtype=np.uint8)
-    return out
-
-
-def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    low = keys & np.uint64((1 << BITS) - 1)
-    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+    counted = shared.in_batches(source, run, "h long, n long, lang string, word string")
+    return (counted.groupBy("h", F.when(F.col("h").isNull(), F.col("lang")).alias("whole"))
+            .agg(F.sum("n").alias("n"), F.max("lang").alias("lang"), F.max("word").alias("word")).drop("whole"))
 
 
 def write_runs(source: DataFrame, frequent, folder: str) -> DataFrame:
-    """Texts as runs of frequent words (dictionary of codes, places in it; code 0 parts runs), and (h, lang, word) of each task's frequent words, as Parquet."""
+    """Texts as runs of frequent words, as Parquet: (dictionary of codes, places in it); code 0 parts runs."""
 
     def run(batches):
-        names, known = ["codes", "places", "h", "lang", "word"], np.zeros(0, np.uint64)
-        types = [pa.binary(), pa.binary(), pa.int64(), pa.string(), pa.string()]
         for b in batches:
-            texts, salts = _texts(b)
-            langs = b.column(0).to_pylist()
-            for codes, piece, starts, ends, data, text in coded(texts, salts):
+            for codes, piece, *_ in coded(*_texts(b)):
                 often = held(frequent.value, codes)
-                fresh, first = np.unique(codes[often], return_index=True)
-                new = ~np.isin(fresh, known)
-                at = np.flatnonzero(often)[first[new]]
-                known = np.union1d(known, fresh[new])
-                strings = [data[starts[i]:ends[i]].tobytes().decode() for i in at]
                 # a word alone between two breaks is in no phrase
-                broken = np.concatenate([[True], (piece[1:] != piece[:-1]) | ~often[1:] | ~often[:-1]]) if len(codes) else np.zeros(0, bool)
-                alone = broken & np.concatenate([broken[1:], [True]]) if len(codes) else broken
+                broken = np.concatenate([[True], (piece[1:] != piece[:-1]) | ~often[1:] | ~often[:-1]])[:len(codes)]
+                alone = broken & np.concatenate([broken[1:], [True]])[:len(codes)]
                 own = np.flatnonzero(often & ~alone)
+                if not len(own):
+                    continue
                 line = np.zeros(len(own) + int(broken[own].sum()), np.uint64)
-                line[np.arange(len(own)) + np.cumsum(broken[own])] = codes[own] if len(own) else []
+                line[np.arange(len(own)) + np.cumsum(broken[own])] = codes[own]
                 values, places = np.unique(line, return_inverse=True)
                 small = places.astype(np.uint16 if len(values) <= 1 << 16 else np.uint32)
-                rows = [(values.tobytes(), small.tobytes(), None, None, None)] * bool(len(line))
-                rows += [(None, None, int(h), langs[t], s) for h, t, s in zip(fresh[new].view(np.int64), text[at], strings, strict=True)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array([values.tobytes()], pa.binary()), pa.array([small.tobytes()], pa.binary())], names=["codes", "places"])
 
-    out = shared.in_batches(source, run, "codes binary, places binary, h long, lang string, word string")
+    out = shared.in_batches(source, run, "codes binary, places binary")
     out.write.option("compression", "zstd").parquet(folder)
     return source.sparkSession.read.parquet(folder)
 
@@ -183,18 +167,54 @@ def _runs(batches):
             yield Run(values[np.frombuffer(places, np.uint16 if len(values) <= 1 << 16 else np.uint32)])
 
 
-def count_phrases(runs: DataFrame, kept, least: int) -> DataFrame:
-    """(h, n) of the phrases that occur ``least`` times; ``kept(run)`` yields the hashes to count."""
+def count_phrases(runs: DataFrame, kept, least: int, total: int, bits=64) -> DataFrame:
+    """(h, n) of the phrases that occur ``least`` times; ``kept(run)`` yields the hashes to count, ``total`` is the number of words.
+
+    A task sends its counts as sorted steps, one row for each range of hashes.  With fewer than 64 ``bits`` only so many top bits of a hash are counted,
+    as h; what falls together is counted together, which can only let more pass.
+    """
+    ranges = 1 << max(5, int(total >> 21).bit_length())
+    cut = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << bits) // ranges)
 
     def run(batches):
         tally = Tally()
         for line in _runs(batches):
             for keys in kept(line):
-                yield from tally.add(keys)
-        yield from tally.rest()
+                yield from packs(tally.add(keys >> np.uint64(64 - bits)))
+        yield from packs(tally.rest())
+
+    def packs(outs):
+        for out in outs:
+            keys, counts = out.column(0).to_numpy().view(np.uint64), out.column(1).to_numpy()
+            counts = counts.astype(np.uint32) if bits == 64 else np.minimum(counts, least).astype(np.uint32 if least > 255 else np.uint8)
+            at = np.concatenate([[0], np.searchsorted(keys, cut), [len(keys)]])
+            used = np.flatnonzero(np.diff(at))
+            columns = [pa.array(used.astype(np.int32)), pa.array([_planes(keys[at[i]:at[i + 1]]) for i in used], pa.binary()),
+                       pa.array([counts[at[i]:at[i + 1]].tobytes() for i in used], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "keys", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        keys = np.concatenate([_unplanes(k) for k in table.column("keys").to_pylist()])
+        counts = np.frombuffer(b"".join(table.column("counts").to_pylist()), np.uint32 if bits == 64 or least > 255 else np.uint8).astype(np.int64)
+        order = np.argsort(keys, kind="stable")
+        keys, counts = keys[order], counts[order]
+        head = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n = np.add.reduceat(counts, head)
+        return pa.table({"h": keys[head][n >= least].view(np.int64), "n": n[n >= least]})
+
+    packed = shared.in_batches(runs, run, "part int, keys binary, counts binary")
+    return packed.groupBy("part").applyInArrow(add, "h long, n long")
 
-    counted = shared.in_batches(runs, run, "h long, n long")
-    return counted.groupBy("h").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+
+def frequent_pairs(runs: DataFrame, least: int, total: int) -> DataFrame:
+    """The top ``BITS`` bits (h) of the hashes that pairs of ``least`` occurrences have, and of some others.
+
+    Pairs of frequent words are many and most of them rare, so a first count takes only as many bits of a hash as the number of words asks for: a pair is
+    then about two bytes.
+    """
+    bits = min(48, max(30, int(total).bit_length() + 7))
+    likely = count_phrases(runs, lambda r: [r.gram(2)[r.whole(2)]], least, total, bits)
+    return likely.select(F.expr(f"shiftright(h, {bits - BITS})").alias("h")).distinct()
 
 
 _SEEN = "h long, m int, words array<long>, firsts array<long>, rests array<long>, before_lo long, before_hi long, after_lo long, after_hi long"
@@ -277,28 +297,29 @@ def mine(docs: DataFrame, top=2000, least=100, lang_col="lang", text_col="text")
     source = _source(docs, lang_col, text_col)
     counted = shared.cut(count_words(source).filter((F.col("n") >= least) | F.col("h").isNull()))
     totals = counted.filter("h is null").select("lang", F.col("n").alias("total"))
-    counted = counted.filter("h is not null").select("h", "n")
-    written = write_runs(source, send(counted), shared.new_folder(spark, "runs"))
-    runs, strings = written.filter("codes is not null").select("codes", "places"), written.filter("codes is null").select("h", "lang", "word").distinct()
-    frequent = shared.cut(counted.join(strings, "h").withColumn("step", F.floor(F.log2("n") * 4).cast("int")))
+    frequent = counted.filter("h is not null").withColumn("step", F.floor(F.log2("n") * 4).cast("int"))
+    strings, counted = frequent.select("h", "lang", "word"), frequent.select("h", "n")
+    runs = write_runs(source, send(counted), shared.new_folder(spark, "runs"))
     # classes of counts, a few hundred for each language, with the bound of their rarest word
     steps = frequent.groupBy("lang", "step").agg(F.count("*").alias("words"), F.min("n").alias("rarest")).join(totals, "lang")
     steps = shared.cut(steps.withColumn("sum", F.sum("words").over(Window.partitionBy("lang").orderBy("step")))
                        .withColumn("bound", F.expr("cast(1000 * total as decimal(38, 0)) div cast(rarest as decimal(19, 0))")))
-    pairs = shared.cut(count_phrases(runs, lambda r: [r.gram(2)[r.whole(2)]], least))
+    size = totals.agg(F.sum("total")).first()[0] or 0
+    likely = send(frequent_pairs(runs, least, size))
+    pairs = shared.cut(count_phrases(runs, _likely_pairs(likely), least, size))
     common = send(pairs)
     known, found, band = [counted, pairs], None, shared.cut(_first_band(steps, top))
     while found is None or band.limit(1).count():
         begun = send(frequent.join(band, "lang").filter("step > past and step <= upto"))
         levels, grown = [pairs], [common]
         for m in range(3, LONGEST + 1):
-            levels.append(shared.cut(count_phrases(runs, _growth(m, begun, grown[-1], common), least)))
+            levels.append(shared.cut(count_phrases(runs, _growth(m, begun, grown[-1], common), least, size)))
             grown.append(send(levels[-1]))
         seen = shared.cut(describe(runs, _grown(begun, grown)))
         known += levels[1:]
         # parts that begin with words of other bands are counted by name
         lacking = seen.select(F.explode("rests").alias("h")).distinct().join(union(known), "h", "left_anti")
-        known.append(shared.cut(count_phrases(runs, _named(send(lacking)), least)))
+        known.append(shared.cut(count_phrases(runs, _named(send(lacking)), least, size)))
         fresh = survivors(seen, union(levels), union(known), strings, totals)
         found = shared.cut(fresh if found is None else found.unionAll(fresh).dropDuplicates(["h"]))
         last = _last_scores(found, top)
@@ -306,6 +327,16 @@ def mine(docs: DataFrame, top=2000, least=100, lang_col="lang", text_col="text")
     return _ranked(found, last, strings, top)
 
 
+def _likely_pairs(likely):
+    """Pairs whose hash's top bits are among those of frequent ones."""
+
+    def kept(run):
+        own = run.gram(2)[run.whole(2)]
+        yield own[held(likely.value, own >> np.uint64(64 - BITS))]
+
+    return kept
+
+
 def _growth(m, begun, prefixes, pairs):
     """Phrases of m words to count: begun in the band, prefix frequent, last pair frequent."""
 

@@ -4,6 +4,7 @@ import ctypes
 import tempfile
 import uuid
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -53,6 +54,26 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
     return (classed.limit(0) if lowest is None else classed.filter(F.col("class") >= lowest)).drop("class")
 
 
+#: Low bits of a hash that a bitmap tells apart: 4 MB, whatever the number of hashes.
+BITS = 25
+
+
+def bitmap(keys: DataFrame) -> np.ndarray:
+    """The low ``BITS`` bits of the hashes (h) as a bitmap of ``2**BITS`` bits; one row for each 32,768 of them comes to the driver."""
+    place = F.col("h").bitwiseAND(F.lit((1 << BITS) - 1)) + 1
+    rows = keys.select(place.alias("p")).groupBy(F.bitmap_bucket_number("p").alias("b")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).toArrow()
+    out = np.zeros(1 << (BITS - 3), dtype=np.uint8)
+    for b, bits in zip(rows.column("b").to_pylist(), rows.column("bits").to_pylist(), strict=True):
+        out[(b - 1) * 4096:b * 4096] = np.frombuffer(bits, dtype=np.uint8)
+    return out
+
+
+def held(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the 64-bit keys a bitmap holds: all that were put in, and a few others."""
+    low = keys & np.uint64((1 << BITS) - 1)
+    return (bits[low >> np.uint64(3)] >> (low & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 #: Rows of an Arrow batch between the JVM and a Python worker.
 BATCH_ROWS = 2000
 
