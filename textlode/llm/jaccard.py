@@ -9,11 +9,13 @@ expanded to members and verified by the exact overlap.
 Hot groups.  Near copies may be a third of all rows, so pairs are not listed: (1) every group is verified against one pivot, the set with the
 fewest unique n-grams among its lists, and members against their group's first; (2) components of these links are formed; (3) each list that two groups
 or a group of several members post is asked only for the pairs across components: the members outside the pivot's component against all, where the places of the shared n-gram and the overlaps with a
-common pivot leave a link possible.  Every link between different components is so found, whatever the group's size; links inside a component change nothing.
+common pivot leave a link possible; members of a group that these tests cannot tell apart meet as one.  Every link between different components is so found, whatever the group's size; links inside a component change nothing.
 
-Frequencies are counted on packed arrays: a task sorts the hashes of up to ``BLOCK`` n-grams and sends one row for each range of hashes.  A hash that more
-than ``heavy`` classes of a block have counts as most frequent everywhere: its range is told so, and its classes go straight to where their n-grams are
-gathered, so no range gathers a hot n-gram's classes.
+Frequencies are counted on packed arrays: a task sorts the hashes of a block of classes and sends one row for each range of hashes, in which a class is its
+place in the block; its digest is sent once, to where the block's shared n-grams are gathered, and to the ranges only if other rows have the same set (a
+bitmap of such digests tells, a false hit costs eight bytes), so that copies count once.  A hash that more than ``heavy`` classes of a block have counts as
+most frequent everywhere: its range is told so, and its owners stay with the block, so no range gathers a hot n-gram's classes.  Ranges and blocks both
+grow with the root of very large inputs, so rows between them stay long.
 
 Defined cases: null and empty texts have the empty set and are their own component; fewer than five words are one n-gram of all; ids that repeat are
 rows of their own, linked if their sets are equal or similar, and a component is named by its smallest id; an empty table gives an empty table; extra
@@ -25,14 +27,15 @@ import math
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import shared, words as W
 from .components import components
 
-#: N-grams of a block; fewer than 2 ** 24, which bounds the number of its classes.
-BLOCK = 1 << 21
+#: N-grams of a block, about: the least and the most (fewer than 2 ** 24, which bounds the number of its classes).
+BLOCK = 1 << 21, 1 << 23
 HEAVY = 256
-#: N-grams of a range of hashes, about; ranges and parts are as many, so the rows between them stay few beside the n-grams.
+#: N-grams of a range of hashes, about, at least.
 RANGE = 1 << 19
 _LOW = np.uint64((1 << 48) - 1)
 
@@ -68,7 +71,19 @@ def summaries(docs: DataFrame, id_col: str, text_col: str, k: int) -> DataFrame:
     return docs.select(F.col(id_col).alias("id"), text_col).transform(shared.in_batches, run, f"id {kind}, n long, c long")
 
 
-_PACKED = "bucket int, heavy long, classes binary, sizes binary, owners binary, hashes binary"
+def with_digests(docs: DataFrame, text_col: str, k=5) -> DataFrame:
+    """The rows of ``docs`` with ``set_digest``, the digest of their set."""
+    at = docs.columns.index(text_col)
+
+    def run(batches):
+        for b in batches:
+            digests = pa.array([int(_digest(own).view(np.int64)) for own in _sets(b.column(at), k)], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, digests], names=[*b.schema.names, "set_digest"])
+
+    return docs.transform(shared.in_batches, run, StructType([*docs.schema.fields, StructField("set_digest", LongType())]))
+
+
+_PACKED = "bucket int, block long, heavy long, classes binary, sizes binary, owners binary, hashes binary, counts binary"
 #: The frequency, as it orders n-grams, of the most frequent ones.
 MOST = 32767
 
@@ -89,33 +104,47 @@ def _unplanes(data: bytes) -> np.ndarray:
     return np.cumsum(np.concatenate([first, steps.reshape(-1).view("<u8")]), dtype=np.uint64)
 
 
-def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> DataFrame:
-    """Sorted hashes with their classes, one row for each block and range of hashes, and the heavy hashes' classes."""
+def _three(values: np.ndarray) -> bytes:
+    """Numbers below 2 ** 24 in three bytes each."""
+    return (values & 255).astype(np.uint8).tobytes() + (values >> 8).astype(np.uint16).tobytes()
+
+
+def _unthree(data: bytes) -> np.ndarray:
+    k = len(data) // 3
+    return np.frombuffer(data, np.uint8, k) | (np.frombuffer(data[k:], np.uint16).astype(np.uint32) << 8)
+
+
+def packed(docs: DataFrame, text_col: str, k: int, bits: int, copied, heavy=HEAVY, block=BLOCK[0]) -> DataFrame:
+    """Sorted hashes with their owners, one row for each block and range of hashes; under bucket -1 a block's classes and the owners of its heavy hashes.
+
+    ``copied``: broadcast bitmap of the digests that more than one row has; such classes are named in the ranges (digests and their owners).
+    """
 
     def flush(held):
         classes = np.fromiter(held, dtype=np.uint64, count=len(held))
         sizes = np.array([len(s) for s in held.values()], dtype=np.uint32)
+        # named by what it holds, so that a task that runs again sends the same rows
+        name = int(W.mix(W.grams(classes, len(classes)) + np.uint64(len(classes))).view(np.int64)[0])
         hashes = np.concatenate(list(held.values())) & _LOW
         owners = np.repeat(np.arange(len(classes), dtype=np.uint32), sizes)
         order = np.argsort(hashes, kind="stable")
         hashes, owners = hashes[order], owners[order]
+        fresh = np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (owners[1:] != owners[:-1])])  # a set's hashes may agree in their low bits
+        hashes, owners = hashes[fresh], owners[fresh]
         first = np.flatnonzero(np.concatenate([[True], hashes[1:] != hashes[:-1]]))
         counts = np.diff(np.append(first, len(hashes)))
         hot = counts > heavy
-        rows = [(int(h) >> (48 - bits), int(h), b"", b"", b"", b"") for h in hashes[first[hot]]]
-        if hot.any():
-            own = np.repeat(hot, counts)
-            keys = np.uint64(MOST << 48) | hashes[own]
-            rows += [(-1 - part, None, c, n, b"", k) for part, c, n, k in _dealt(classes[owners[own]], sizes[owners[own]], keys, bits)]
-        light = np.repeat(counts <= heavy, counts)
-        hashes, owners = hashes[light], owners[light]
+        again = shared.held(copied.value, classes)
+        rows = [(int(h) >> (48 - bits), name, int(h), b"", b"", b"", b"", b"") for h in hashes[first[hot]]]
+        own = np.repeat(hot, counts)
+        rows.append((-1, name, None, classes.tobytes(), sizes.tobytes(), _three(owners[own]), _planes(hashes[own]) if own.any() else b"",
+                     np.full(own.sum(), MOST, np.uint16).tobytes()))
+        hashes, owners = hashes[~own], owners[~own]
         cuts = np.searchsorted(hashes, np.arange((1 << bits) + 1, dtype=np.uint64) << np.uint64(48 - bits))
-        for b in range(1 << bits):
+        for b in np.flatnonzero(np.diff(cuts)):
             part = slice(cuts[b], cuts[b + 1])
-            if cuts[b] < cuts[b + 1]:
-                used, own = np.unique(owners[part], return_inverse=True)
-                low, high = (own & 255).astype(np.uint8), (own >> 8).astype(np.uint16)
-                rows.append((b, None, classes[used].tobytes(), sizes[used].tobytes(), low.tobytes() + high.tobytes(), _planes(hashes[part])))
+            named = np.unique(owners[part][again[owners[part]]])
+            rows.append((int(b), name, None, classes[named].tobytes(), _three(named), _three(owners[part]), _planes(hashes[part]), b""))
         return W.batches_of(rows, _PACKED, 64)
 
     def run(batches):
@@ -126,7 +155,7 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> Da
                 if len(own) and c not in held:
                     held[c] = own
                     size += len(own)
-                    if size >= BLOCK:
+                    if size >= block:
                         yield from flush(held)
                         held, size = {}, 0
         if held:
@@ -135,52 +164,49 @@ def packed(docs: DataFrame, text_col: str, k: int, bits: int, heavy=HEAVY) -> Da
     return docs.select(text_col).transform(shared.in_batches, run, _PACKED)
 
 
-_SHARED = "part int, classes binary, sizes binary, keys binary"
-
-
-def _dealt(classes, sizes, keys, bits):
-    """Rows of (class, size, key) by a hash of the class."""
-    part = (W.mix(classes) >> np.uint64(64 - bits)).astype(np.int64)
-    order = np.lexsort((keys, classes, part))
-    part, classes, sizes, keys = part[order], classes[order], sizes[order], keys[order]
-    cuts = np.searchsorted(part, np.arange((1 << bits) + 1))
-    return [(p, classes[a:b].tobytes(), sizes[a:b].tobytes(), keys[a:b].tobytes()) for p, a, b in zip(range(1 << bits), cuts[:-1], cuts[1:], strict=True) if a < b]
+_SHARED = "block long, classes binary, sizes binary, owners binary, hashes binary, counts binary"
 
 
-def shared_keys(rows: DataFrame, bits: int) -> DataFrame:
-    """Order keys (frequency, then hash) of the n-grams that two classes or more have, dealt by class."""
+def shared_keys(rows: DataFrame) -> DataFrame:
+    """The n-grams that two sets or more have, with their frequencies and owners, one row for each range and block; a block's own rows pass."""
 
     def count(table: pa.Table) -> pa.Table:
         shared.release()
-        if table.column("bucket")[0].as_py() < 0:  # keys that are known already
-            part = pa.array([-1 - b for b in table.column("bucket").to_pylist()], pa.int32())
-            return pa.table([part, table.column("classes"), table.column("sizes"), table.column("hashes")], schema=W.schema_of(_SHARED))
-        most, hashes, classes, sizes = [], [], [], []
-        for heavy, c, n, o, h in zip(*(table.column(name).to_pylist() for name in ("heavy", "classes", "sizes", "owners", "hashes")), strict=True):
+        if table.column("bucket")[0].as_py() < 0:
+            return table.select(_SHARED_NAMES).cast(W.schema_of(_SHARED))
+        most, hashes, owners, blocks, idents = [], [], [], [], []
+        for name, heavy, c, n, o, h in zip(*(table.column(x).to_pylist() for x in ("block", "heavy", "classes", "sizes", "owners", "hashes")), strict=True):
             if heavy is not None:
                 most.append(heavy)
-            else:
-                k = len(o) // 3
-                own = np.frombuffer(o, np.uint8, k) | (np.frombuffer(o[k:], np.uint16).astype(np.uint32) << 8)
-                hashes.append(_unplanes(h))
-                classes.append(np.frombuffer(c, np.uint64)[own])
-                sizes.append(np.frombuffer(n, np.uint32)[own])
-        empty = np.empty(0, np.uint64)
-        h, c, n = (np.concatenate(x) if x else empty for x in (hashes, classes, sizes))
-        order = np.lexsort((c, h))
-        h, c, n = h[order], c[order], n[order].astype(np.uint32)
-        fresh = np.ones(len(h), bool)
-        fresh[1:] = (h[1:] != h[:-1]) | (c[1:] != c[:-1])  # copies in several blocks count once
-        h, c, n = h[fresh], c[fresh], n[fresh]
-        distinct, at, df = np.unique(h, return_inverse=True, return_counts=True)
-        df = np.where(np.isin(distinct, np.array(most, np.uint64)), MOST, np.minimum(df, MOST - 1)).astype(np.uint64)
-        kept = df[at] > 1
-        keys = (df << np.uint64(48) | distinct)[at][kept]
-        return pa.Table.from_batches(W.batches_of(_dealt(c[kept], n[kept], keys, bits), _SHARED), schema=W.schema_of(_SHARED))
-
-    return rows.groupBy("bucket").applyInArrow(count, _SHARED)
-
-
+                continue
+            own, named = _unthree(o), _unthree(n)
+            ident = W.mix((own.astype(np.uint64) << np.uint64(40)) ^ W.mix(np.array([name]).view(np.uint64)))
+            if len(named):
+                at = np.minimum(np.searchsorted(named, own), len(named) - 1)
+                ident = np.where(named[at] == own, np.frombuffer(c, np.uint64)[at], ident)
+            hashes.append(_unplanes(h))
+            owners.append(own)
+            blocks.append(np.full(len(own), name, np.int64))
+            idents.append(ident)
+        h, o, b, ident = (np.concatenate(x) if x else np.empty(0, kind) for x, kind in ((hashes, np.uint64), (owners, np.uint32), (blocks, np.int64), (idents, np.uint64)))
+        order = np.lexsort((ident, h))
+        h, o, b, ident = h[order], o[order], b[order], ident[order]
+        new = np.concatenate([[True], h[1:] != h[:-1]])[:len(h)]
+        fresh = new | np.concatenate([[True], ident[1:] != ident[:-1]])[:len(h)]  # copies in several blocks count once
+        df = np.bincount(np.cumsum(new)[fresh] - 1)[np.cumsum(new) - 1] if len(h) else np.empty(0, np.int64)
+        df = np.where(np.isin(h, np.array(most, np.uint64)), MOST, np.minimum(df, MOST - 1)).astype(np.uint16)
+        kept = df > 1
+        h, o, b, df = h[kept], o[kept], b[kept], df[kept]
+        order = np.argsort(b, kind="stable")  # by block, hashes rising
+        h, o, b, df = h[order], o[order], b[order], df[order]
+        cuts = np.flatnonzero(np.concatenate([[True], b[1:] != b[:-1]])) if len(b) else []
+        rows = [(int(b[x]), b"", b"", _three(o[x:y]), _planes(h[x:y]), df[x:y].tobytes()) for x, y in zip(cuts, [*cuts[1:], len(b)], strict=False)]  # none if nothing is shared
+        return pa.Table.from_batches(W.batches_of(rows, _SHARED), schema=W.schema_of(_SHARED))
+
+    return rows.groupBy("bucket", F.when(F.col("bucket") < 0, F.col("block"))).applyInArrow(count, _SHARED)
+
+
+_SHARED_NAMES = [c.split()[0] for c in _SHARED.split(", ")]
 _CANDIDATE = "c long, n int, k int, p int, keys array<long>"
 
 
@@ -189,21 +215,26 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
     def choose(table: pa.Table) -> pa.Table:
         shared.release()
-        column = lambda name, kind: np.frombuffer(b"".join(table.column(name).to_pylist()), kind)
-        c, s, keys = column("classes", np.uint64), column("sizes", np.uint32).astype(np.int64), column("keys", np.uint64)
-        order = np.lexsort((keys, c))
-        c, s, keys = c[order], s[order], keys[order]
-        fresh = np.concatenate([[True], (c[1:] != c[:-1]) | (keys[1:] != keys[:-1])])
-        c, s, keys = c[fresh], s[fresh], keys[fresh]
-        first = np.flatnonzero(np.concatenate([[True], c[1:] != c[:-1]]))
-        k = np.diff(np.append(first, len(c)))
-        n = s[first]
+        named = {name: [x for x in table.column(name).to_pylist() if x] for name in _SHARED_NAMES[1:]}
+        # blocks of one name hold the same classes
+        c, s = (np.frombuffer(named[name][0], kind) for name, kind in (("classes", np.uint64), ("sizes", np.uint32)))
+        empty = np.empty(0, np.uint64)
+        own = np.concatenate([empty, *map(_unthree, named["owners"])]).astype(np.int64)
+        df = np.frombuffer(b"".join(named["counts"]), np.uint16).astype(np.uint64)
+        keys = df << np.uint64(48) | np.concatenate([empty, *map(_unplanes, named["hashes"])])
+        order = np.lexsort((keys, own))
+        own, keys = own[order], keys[order]
+        fresh = np.concatenate([[True], (own[1:] != own[:-1]) | (keys[1:] != keys[:-1])])[:len(own)]
+        own, keys = own[fresh], keys[fresh]
+        first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])[:len(own)])
+        k = np.diff(np.append(first, len(own)))
+        n = s[own[first]].astype(np.int64)
         p = (n - -(-percent * n // 100) + 1) - (n - k)
         use = (p > 0) & (100 * k >= percent * n)  # and enough shared n-grams for the smallest possible partner
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(k[use])]).astype(np.int32)), pa.array(keys[np.repeat(use, k)].view(np.int64)))
-        return pa.table([pa.array(c[first][use].view(np.int64)), *(pa.array(x[use].astype(np.int32)) for x in (n, k, p)), lists], schema=W.schema_of(_CANDIDATE))
+        return pa.table([pa.array(c[own[first]][use].view(np.int64)), *(pa.array(x[use].astype(np.int32)) for x in (n, k, p)), lists], schema=W.schema_of(_CANDIDATE))
 
-    return rows.groupBy("part").applyInArrow(choose, _CANDIDATE)
+    return rows.groupBy("block").applyInArrow(choose, _CANDIDATE).dropDuplicates(["c"])
 
 
 def _possible(a, b, percent):
@@ -226,11 +257,18 @@ def _overlaps(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75, heavy=HEAVY) -> DataFrame:
     """Per row: id, n_shingles, component_id (the smallest id that links of Jaccard >= percent / 100 reach)."""
+    return row_components(docs, id_col, text_col, k, percent, heavy).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")
+
+
+def row_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, percent=75, heavy=HEAVY) -> DataFrame:
+    """Per row: id, n, c (size and digest of its set), label (of its component; its own digest if it has no links) and component_id."""
     rows = shared.cut(summaries(docs, id_col, text_col, k))
     total = rows.agg(F.sum("n")).first()[0] or 0
-    bits = min(20, math.ceil(math.log2(max(total / RANGE, 2))))
-    blocks = packed(docs, text_col, k, bits, heavy)
-    sets = shared.cut(candidates(shared_keys(blocks, bits), percent))
+    root = math.sqrt(total / 2 ** 34)  # over 1 from 17 billion n-grams on
+    bits = min(22, math.ceil(math.log2(max(total / (RANGE * max(1, root)), 2))))
+    copied = docs.sparkSession.sparkContext.broadcast(shared.bitmap(rows.filter("n > 0").groupBy(F.col("c").alias("h")).agg(F.count("*").alias("m")).filter("m > 1")))
+    blocks = packed(docs, text_col, k, bits, copied, heavy, int(min(BLOCK[1], BLOCK[0] * max(1, root))))
+    sets = shared.cut(candidates(shared_keys(blocks), percent))
 
     groups = (sets.withColumn("prefix", F.slice("keys", 1, F.col("p"))).withColumn("g", F.xxhash64("prefix", "n"))
               .groupBy("g", "n", "k").agg(F.min("c").alias("a"), F.min_by("prefix", "c").alias("prefix"), F.count("*").alias("m")))
@@ -263,6 +301,12 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
     fields = ("c", "g", "n", "k", "label", "at", "pivot_of", "with_pivot")
     wide = shared.cut(wide.select("key", "home", "c", "g", "n", "k", "label", "at", F.coalesce("pivot_of", "c").alias("pivot_of"),
                                   F.when(F.col("pivot_of").isNull(), F.col("k")).otherwise(F.col("with_pivot")).alias("with_pivot")))
+    # members of a group that agree in component and overlap with the pivot pass the same tests: they meet as one, once for each pair, and are told apart after
+    alike = ("g", "label", "pivot_of", "with_pivot")
+    wide = wide.withColumn("u", F.xxhash64(*alike))
+    member = wide.select("u", "c").distinct()
+    fields = ("u", "g", "n", "k", "label", "at", "pivot_of", "with_pivot")
+    wide = wide.select("key", "home", *fields).distinct()
     out = wide.filter(~F.col("label").eqNullSafe(F.col("home"))).select("key", *[F.col(x).alias(f"a_{x}") for x in fields])
     all_ = wide.select("key", *[F.col(x).alias(f"b_{x}") for x in fields])
     # two sets that overlap by ``need`` share an n-gram within the first k - need + 1 of each
@@ -273,14 +317,15 @@ def similar_components(docs: DataFrame, id_col="doc_id", text_col="text", k=5, p
     near = (F.col("a_pivot_of") != F.col("b_pivot_of")) | (inner >= need)
     near &= (F.col("a_g") != F.col("b_g")) | (F.col("a_at") == 0)  # pairs of one group meet once
     across = (out.join(all_, "key").filter((F.col("a_label") != F.col("b_label")) & _possible("a_", "b_", percent) & early & near)
-              .select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct())
+              .select("a_u", "b_u").distinct())
+    side = lambda x: member.select(F.col("u").alias(f"{x}_u"), F.col("c").alias(f"{x}_c"))
+    across = across.join(side("a"), "a_u").join(side("b"), "b_u").select(F.least("a_c", "b_c").alias("a"), F.greatest("a_c", "b_c").alias("b")).distinct()
     more = shared.cut(_overlaps(across, sets, percent)).filter("linked").select("a", "b")
     final = components(links.unionByName(more))
 
     classes = rows.filter("n > 0").groupBy("c").agg(F.min("id").alias("least"))
-    named = classes.join(final.withColumnRenamed("v", "c"), "c", "left").withColumn("label", F.coalesce("label", "c"))
-    name = named.groupBy("label").agg(F.min("least").alias("component_id"))
-    by_class = named.join(name, "label").select("c", "component_id")
-    return (rows.join(by_class, "c", "left")
-            .select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"),
-                    F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id")))
+    # a component's name is read from one of 16 copies, so a large component does not meet in one task
+    named = classes.join(final.withColumnRenamed("v", "c"), "c", "left").withColumn("copy", F.pmod(F.xxhash64("c"), F.lit(16)).cast("int"))
+    name = named.filter("label is not null").groupBy("label").agg(F.min("least").alias("name")).withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(15))))
+    by_class = named.join(name, ["label", "copy"], "left").select("c", F.coalesce("label", "c").alias("label"), F.coalesce("name", "least").alias("component_id"))
+    return rows.join(by_class, "c", "left").select("id", "n", "c", "label", F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("id")).alias("component_id"))

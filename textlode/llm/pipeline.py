@@ -4,7 +4,7 @@ Each stage takes (spark, docs, sf_dir) and returns what it keeps of ``docs`` wit
 filter and rewrite rows where they stand; only the near-duplicate stage shuffles, and not the texts unless very many ids are dropped.
 
 Defined cases: a null or empty text passes every stage that has no reason against it, and has no tokens; rows without an id are never dropped as
-duplicates; of rows that share an id and belong to the kept document, one stays; an empty table gives an empty table; extra columns pass through until
+duplicates; rows that share an id are judged by their own texts (of those that links join, one stays); an empty table gives an empty table; extra columns pass through until
 the last stage.
 """
 
@@ -26,15 +26,22 @@ def quality_stage(spark, docs, sf_dir):
 
 def near_duplicate_stage(spark, docs, sf_dir):
     """Of each group that links of similarity reach, the document of smallest id."""
-    found = shared.cut(jaccard.similar_components(docs).filter("doc_id is not null"))
-    dropped = found.filter("doc_id <> component_id").select("doc_id").distinct()
+    found = shared.cut(jaccard.row_components(docs).filter("id is not null"))
+    again = shared.cut(found.groupBy("id").agg(F.count("*").alias("k")).filter("k > 1").select("id"))
+    once = found.join(again, "id", "left_anti")
+    dropped = once.filter("id <> component_id").select(F.col("id").alias("doc_id"))
     dropped = F.broadcast(dropped) if dropped.count() <= BROADCAST else dropped
     kept = docs.join(dropped, "doc_id", "left_anti")
-    again = shared.cut(found.groupBy("doc_id").agg(F.count("*").alias("k")).filter("k > 1").select("doc_id"))
     if again.isEmpty():
         return kept
-    once = kept.join(again, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return kept.join(again, "doc_id", "left_anti").unionByName(once)
+    # an id on several rows says nothing about one of them: their sets do
+    several = again.withColumnRenamed("id", "doc_id")
+    own = jaccard.with_digests(kept.join(several, "doc_id", "left_semi"), "text")
+    sets = found.join(again, "id", "left_semi").select(F.col("id").alias("doc_id"), F.col("c").alias("set_digest"), "label", (F.col("n") == 0).alias("bare"),
+                                                       (F.col("id") == F.col("component_id")).alias("first")).distinct()
+    own = own.join(sets.filter("first or bare"), ["doc_id", "set_digest"])
+    bare, full = own.filter("bare"), own.filter("not bare").dropDuplicates(["doc_id", "label"])
+    return kept.join(several, "doc_id", "left_anti").unionByName(full.select(docs.columns)).unionByName(bare.select(docs.columns))
 
 
 def decontamination_stage(spark, docs, sf_dir):
