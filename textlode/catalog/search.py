@@ -376,7 +376,7 @@ def _(spark, sf):
 
 
 _SCORED = (f"WITH g AS (SELECT file, count(*) AS n, count(DISTINCT match_source) AS src FROM ({_FOUND}) GROUP BY file), "
-           f"t AS (SELECT file, count_if(contains(name, 'ring')) AS a, count_if(contains(name, 'small')) AS b FROM (SELECT *, row_number() OVER (PARTITION BY file ORDER BY ord) AS rn FROM ({_FOUND})) WHERE rn <= 10 GROUP BY file), "
+           f"t AS (SELECT file, count_if(contains(name, 'ring')) AS a, count_if(contains(name, 'small')) AS b FROM ({_FOUND}) GROUP BY file), "
            "s AS (SELECT file, n, floor((a * 20 + b * 20) * CASE WHEN a > 0 AND b > 0 THEN 1.3 ELSE 0.7 END + src * 10 + 0.5)::BIGINT AS score FROM g JOIN t USING (file)) ")
 
 
