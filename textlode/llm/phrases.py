@@ -229,23 +229,46 @@ def describe(runs: DataFrame, kept) -> DataFrame:
     types = [pa.int64(), pa.int32(), many, many, many, *[pa.int64()] * 4]
     names = [c.split()[0] for c in _SEEN.split(", ")]
 
+    fold = (np.minimum, np.maximum, np.minimum, np.maximum)
+
+    def merged(parts):
+        """One row for each phrase: (h, words, firsts, rests, ends); ends are least and greatest neighbours."""
+        h, *lists, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(h, kind="stable")
+        head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+        one = order[head]
+        return h[one], *(x[one] for x in lists), np.stack([f.reduceat(ends[order, i], head) for i, f in enumerate(fold)], axis=1)
+
+    def rows(m, parts):
+        h, *lists, ends = merged(parts)
+        for at in range(0, len(h), 1 << 14):
+            part = slice(at, at + (1 << 14))
+            columns = [h[part].view(np.int64), np.full(len(h[part]), m, np.int32), *(x[part].view(np.int64).tolist() for x in lists), *ends[part].T]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+
     def run(batches):
+        held_, size = {m: [] for m in range(2, LONGEST + 1)}, dict.fromkeys(range(2, LONGEST + 1), 0)
         for line in _runs(batches):
             padded = np.concatenate([np.zeros(1, np.uint64), line.line, np.zeros(1, np.uint64)]).view(np.int64)
-            for m in range(2, LONGEST + 1):
+            for m in held_:
                 at = np.flatnonzero(kept(line, m))
                 if not len(at):
                     continue
-                h = line.gram(m)[at]
-                order = np.argsort(h, kind="stable")
-                at, h = at[order], h[order]
-                head = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
-                before, after, one = padded[at], padded[at + m + 1], at[head]
-                lists = [np.stack([line.line[one + k] for k in range(m)]), np.stack([line.gram(k)[one] for k in range(1, m)]),
-                         np.stack([line.gram(m - k)[one + k] for k in range(1, m)])]
-                columns = [h[head].view(np.int64), np.full(len(head), m, np.int32), *(x.T.astype(np.uint64).view(np.int64).tolist() for x in lists),
-                           *(f.reduceat(x, head) for x in (before, after) for f in (np.minimum, np.maximum))]
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+                lists = [np.stack([f(k) for k in ks], axis=1) for f, ks in (
+                    (lambda k: line.line[at + k], range(m)), (lambda k: line.gram(k)[at], range(1, m)), (lambda k: line.gram(m - k)[at + k], range(1, m)))]  # noqa: B023
+                before, after = padded[at], padded[at + m + 1]
+                own = merged([(line.gram(m)[at], *lists, np.stack([before, before, after, after], axis=1))])
+                held_[m].append(own)
+                size[m] += len(own[0])
+                if size[m] > HELD // 16:  # a task hands a phrase on once, or again after very many rows
+                    held_[m] = [merged(held_[m])]
+                    size[m] = len(held_[m][0][0])
+                    if size[m] > HELD // 32:
+                        yield from rows(m, held_[m])
+                        held_[m], size[m] = [], 0
+        for m, parts in held_.items():
+            if parts:
+                yield from rows(m, parts)
 
     found = shared.in_batches(runs, run, _SEEN)
     ends = [f(c).alias(c) for f, c in ((F.min, "before_lo"), (F.max, "before_hi"), (F.min, "after_lo"), (F.max, "after_hi"))]
