@@ -57,6 +57,13 @@ def test_call_sites_stored_twice_for_members(spark):
     assert {r["line"] for r in grep.search_calls(df, "ff").collect()} == {1}
 
 
+def test_call_sites_of_statements_without_a_bracket(spark):
+    df = spark.createDataFrame([("a.tal", "BEGIN CALL go_on;\nCALL other(x);", "tal", 1), ("b.cbl", "PERFORM MAIN-1.\nPERFORM UNTIL X", "cobol", 2), ("c.c", "CALL go_on; f2(x)", "c", 3)],
+                               "path string, content string, language string, ord long")
+    rows = [(r["path"], r["fn"], r["line"]) for r in grep.call_sites(df).orderBy("ord", "line").collect()]
+    assert rows == [("a.tal", "go_on", 1), ("a.tal", "other", 2), ("b.cbl", "MAIN-1", 1), ("c.c", "f2", 1)]
+
+
 def test_usages_prefer_calls(spark):
     df = files(spark, "x = ff;\nff(1);\nff(2); ff")
     got = {(r["line"], r["usage_type"]) for r in grep.symbol_usages(df, "ff").collect()}

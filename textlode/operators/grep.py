@@ -5,8 +5,8 @@ import re
 from pyspark.errors import IllegalArgumentException
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from ..functions import fixed, paths
-from ..functions.matching import Rule, ascii_edges, match_rows
+from ..functions import fixed, grammar, paths
+from ..functions.matching import Rule, ascii_edges, match_rows, match_rows_by
 from ..functions.text import escape_regex, line_count
 from . import ordering
 
@@ -184,11 +184,22 @@ CALL_RULES = (Rule(r"\b([a-zA-Z_]\w*)\s*\("), Rule(r"\.([a-zA-Z_]\w*)\s*\("),
               Rule(r"->([a-zA-Z_]\w*)\s*\("), Rule(r"::([a-zA-Z_]\w*)\s*\("))
 
 
+#: Statements that call without a bracket, after the four patterns; one with a bracket is found by those.
+CALL_STATEMENT = Rule(r"(?i)\bCALL\s+([a-zA-Z_]\w*+)(?!\s*\()")
+PERFORM_STATEMENT = Rule(r"(?i)\b(?:PERFORM|CALL|INVOKE|GO\s+TO)\s+['\"]?([A-Z0-9][-A-Z0-9]*+)(?!\s*\()")
+
+
 def call_sites(files: DataFrame) -> DataFrame:
-    """Call-site index: four patterns in one pass; member calls appear under two of them."""
-    corpus = grep_corpus(files).filter(F.contains("content", F.lit("(")))
-    rows = match_rows(corpus, ["path", "ord"], "content", CALL_RULES)
-    return rows.filter(~F.col("g1").isin(*fixed.CALL_INDEX_KEYWORDS) & (F.length("g1") >= 2)) \
+    """Call-site index: four patterns in one pass; member calls appear under two of them.  Languages with call statements have a fifth."""
+    corpus, keys = grep_corpus(files), ["path", "ord"]
+    bracket = F.contains("content", F.lit("("))
+    if "language" in files.columns:
+        sets = ((0, (), CALL_RULES), (0, ("tal", "sql"), (*CALL_RULES, CALL_STATEMENT)), (0, ("cobol",), (*CALL_RULES, PERFORM_STATEMENT)))
+        rows = match_rows_by(corpus.filter(bracket | F.col("language").isin("tal", "sql", "cobol")), keys, "content", "language", sets)
+    else:
+        rows = match_rows(corpus.filter(bracket), keys, "content", CALL_RULES)
+    skip = (F.col("rule") == len(CALL_RULES)) & F.lower("g1").isin(*[w.lower() for w in grammar.CALL_RULES["cobol"][1]])
+    return rows.filter(~F.col("g1").isin(*fixed.CALL_INDEX_KEYWORDS) & (F.length("g1") >= 2) & ~skip) \
         .select(F.col("g1").alias("fn"), "path", "ord", "rule", "match_no", "line", "column", "match_text")
 
 
