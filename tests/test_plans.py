@@ -16,6 +16,15 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_gram_postings_are_made_in_their_rows(spark):
+    df = spark.createDataFrame([("a", "abcabcab", 1), ("b", "ab", 2), ("c", "x   y", 3)], "path string, content string, ord long")
+    posts = index.positioned_trigrams(df)
+    rows = [(r["path"], r["tri"], r["positions"]) for r in posts.orderBy("path", "tri").collect()]
+    assert rows == [("a", "abc", [0, 3]), ("a", "bca", [1, 4]), ("a", "cab", [2, 5]), ("c", "  y", [2]), ("c", "x  ", [0])]
+    assert [r["positions"] for r in index.positioned_trigrams(df, 1).filter("tri = 'abc'").collect()] == [[0]]
+    assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
+
+
 def test_unified_search_first_leg_wins(ix):
     symbols, files = search.unified_search(ix, "heap_insert")
     got = {r["name"]: (r["match_source"], r["match_score"]) for r in symbols.collect()}

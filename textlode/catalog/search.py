@@ -155,7 +155,7 @@ _POSTED = f"SELECT path, count(*) AS match_count, md5(string_agg(line || ':' ||
 def _grams(spark, sf):
     """Positional postings of the documents, stored by gram."""
     from ..operators import ordering
-    return ordering.stored(index.positioned_trigrams(corpus(spark, sf)), "tri")
+    return ordering.stored(index.positioned_trigrams(corpus(spark, sf)), "tri", ranges=False)
 
 
 @query("grp_14_by_postings", _POSTED)

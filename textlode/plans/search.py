@@ -62,7 +62,7 @@ def build_index(files: DataFrame, only_code=True, root=None) -> CorpusIndex:
     docs = index.document_feed(kept, symbols)
     posts = ordering.stored(index.postings(docs), "term", at("postings"))
     source = kept.filter(paths.is_source(F.col("language")))
-    grams = ordering.stored(index.positioned_trigrams(source), "tri", at("grams"))
+    grams = ordering.stored(index.positioned_trigrams(source), "tri", at("grams"), ranges=False)
     return CorpusIndex(kept, symbols, docs, calls, posts, grams, ordering.stored(index.line_starts(source), "path", at("starts")))
 
 
