@@ -16,6 +16,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
+def test_lines_of_hits_do_not_pass_the_driver(spark, code):
+    from textlode.plans import questions
+    terms = spark.createDataFrame([("helper",)], "term string")
+    lines = questions.code_lines(index.positioned_trigrams(code), index.line_starts(code), terms)
+    assert "SortMergeJoin" in lines._jdf.queryExecution().executedPlan().toString()
+    assert {(r["path"], r["line"]) for r in lines.collect()} == {("src/heap/heapam.c", n) for n in (6, 10, 13)}
+
+
 def test_gram_postings_are_made_in_their_rows(spark):
     df = spark.createDataFrame([("a", "abcabcab", 1), ("b", "ab", 2), ("c", "x   y", 3)], "path string, content string, ord long")
     posts = index.positioned_trigrams(df)

@@ -51,7 +51,7 @@ def pattern_symbols(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     grams = grams.select("term", F.size("g").alias("n"), F.explode("g").alias("tri"))
     both = index.symbol_trigrams(symbols).join(grams, "tri").groupBy("term", "n", "key").agg(F.count("*").alias("k")).filter(F.col("k") == F.col("n"))
     named = symbols.select("key", "ord", F.lower("name").alias("low"))
-    long = named.join(both.select("term", "key"), "key").withColumn("match_score", text.name_score(F.col("term"), F.col("low"))).filter("match_score >= 30")
+    long = named.join(ordering.apart(both.select("term", "key")), "key").withColumn("match_score", text.name_score(F.col("term"), F.col("low"))).filter("match_score >= 30")
     short = wanted.filter(F.length(text.alnum_only(F.col("term"))) < 3).withColumn("tri", F.left("term", F.lit(3)))
     raw = named.select("key", "ord", "low", F.explode(F.array_distinct(text.positioned_trigrams(F.col("low")))).alias("tri"))
     loose = raw.join(short, "tri").filter(F.contains("low", F.col("term"))).withColumn("match_score", F.lit(50))
@@ -84,7 +84,7 @@ def code_lines(grams: DataFrame, starts: DataFrame, terms: DataFrame) -> DataFra
     """(term, path, line) of the lines that contain a term of three letters or digits or more, from positional postings."""
     wanted = terms.filter(F.length(text.alnum_only(F.col("term"))) >= 3).select("term").distinct()
     offsets = rank.literal_offsets(grams, wanted)
-    lines = offsets.join(starts, "path").select("term", "path", F.explode(F.array_distinct(F.transform(
+    lines = offsets.join(ordering.apart(starts), "path").select("term", "path", F.explode(F.array_distinct(F.transform(
         "offsets", lambda o: F.size(F.filter("starts", lambda s: s <= o))))).alias("line"))
     return lines
 
@@ -119,13 +119,13 @@ def search_questions(ix, questions: DataFrame, max_results=None, search_types=("
                                       source.alias("match_source"), "ord"))
 
     def with_symbols(found):
-        return keyed.join(found.drop("ord"), "path")
+        return keyed.join(ordering.apart(found.drop("ord")), "path")
 
     if use("files"):
         concept = ordering.cut_lineage(concept_files(ix.files, own))
         files_leg(concept, 0, -F.col("match_score"), F.col("match_score"), F.when(F.col("match_score") == 100, "concept_exact").otherwise("concept_prefix"))
         legs.append(_leg(with_symbols(concept), 0, -F.col("match_score"), 0, 95, LEGS[0]))
-        dirs = directory_files(ix.files, own).join(concept.select("question", "path"), ["question", "path"], "left_anti")
+        dirs = directory_files(ix.files, own).join(ordering.apart(concept.select("question", "path")), ["question", "path"], "left_anti")
         files_leg(dirs, 1, F.col("no"), F.lit(85), F.lit(LEGS[3]))
         legs.append(_leg(with_symbols(dirs), 3, F.col("no"), 0, 75, LEGS[3]))
     if use("symbols"):
@@ -139,12 +139,12 @@ def search_questions(ix, questions: DataFrame, max_results=None, search_types=("
         legs.append(_leg(near.join(own, "term"), 4, F.col("no"), 0, 70, LEGS[4]))
     if use("symbols") or use("summaries") or use("files"):
         posts = ix.postings if ix.postings is not None else index.postings(ix.docs)
-        hits = document_hits(ix.docs, posts, questions).join(ix.docs.select("doc_id", "key", "path", F.col("doc_ord")), "doc_id")
+        hits = document_hits(ix.docs, posts, questions).join(ordering.apart(ix.docs.select("doc_id", "key", "path", F.col("doc_ord"))), "doc_id")
         hits = ordering.cut_lineage(hits.drop("doc_id"))
         of = lambda *kinds: hits.filter(F.col("doc_type").isin(*kinds))
         for kind, leg, types, factor in (("symbols", 5, ("symbol", "function"), 80), ("summaries", 6, ("summary",), 75)):
             if use(kind):
-                legs.append(_leg(of(*types).drop("path").join(keyed.drop("path"), "key"), leg, -F.col("score"), 0, F.col("score") * factor, LEGS[leg]))
+                legs.append(_leg(of(*types).drop("path").join(ordering.apart(keyed.drop("path")), "key"), leg, -F.col("score"), 0, F.col("score") * factor, LEGS[leg]))
         if use("files"):
             found = of("file", "code").select("question", "path", "score", F.col("doc_ord").alias("ord"))
             files_leg(found, 2, -F.col("score"), F.col("score") * 60, F.lit(LEGS[7]))
@@ -242,7 +242,7 @@ def combined(ix, questions: DataFrame, max_results=100) -> DataFrame:
     own = each.select("question", "q", "no", "query")
     first = ordering.first_by(found.join(own, "question").select("q", "key", "no", "match_score", "match_source"), ["q", "key"], ["no"])
     number = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("match_score"), "no", "key"))
-    best = first.withColumn("place", number).filter(F.col("place") <= max_results).join(ix.symbols.select("key", "name", "file", "line"), "key").withColumnRenamed("q", "question")
+    best = first.withColumn("place", number).filter(F.col("place") <= max_results).join(ordering.apart(ix.symbols.select("key", "name", "file", "line")), "key").withColumnRenamed("q", "question")
     symbols = _part(best, "symbol", place=F.col("place"), key=F.col("key"), name=F.col("name"), file=F.col("file"), line=F.col("line"), score=F.col("match_score"), source=F.col("match_source"))
     by_file = ordering.first_by(files.join(own, "question").select("q", "path", "no", "leg", "match_score", "match_source"), ["q", "path"], ["no", "leg"]).withColumnRenamed("q", "question")
     parts = symbols.unionByName(_part(by_file, "file", file=F.col("path"), score=F.col("match_score"), source=F.col("match_source"))).unionByName(enrichments(ix, asked_kinds))

@@ -69,7 +69,7 @@ def build_index(files: DataFrame, only_code=True, root=None) -> CorpusIndex:
 def unified_search(ix: CorpusIndex, query: str, max_results=100, search_types=("all",)):
     """(symbols, files) of one query; ``questions.search_questions`` answers many at once."""
     best, files = questions.search_questions(ix, questions.asked(ix.files.sparkSession, [query]), max_results, search_types)
-    symbols = ix.symbols.join(best.drop("question", "rank"), "key")
+    symbols = ix.symbols.join(ordering.apart(best.drop("question", "rank")), "key")
     return symbols, None if files is None else files.drop("question")
 
 
@@ -124,7 +124,7 @@ def code_search(ix: CorpusIndex, query: str, keywords, max_results=50, fuzzy=20,
     asked = questions.asked(ix.files.sparkSession, [(query, max_results), *[(k, None) for k in words]])
     cols = ["key", "file", "name", "type", "line", "ord"]
     found, _ = questions.search_questions(ix, asked)
-    found = found.join(ix.symbols.select(cols), "key")
+    found = found.join(ordering.apart(ix.symbols.select(cols)), "key")
     leg = F.when(F.col("question") == 0, 0).otherwise(F.col("question") + 1)
     legs = [found.select(*cols, leg.alias("leg"), F.when(F.col("question") == 0, F.col("match_score")).otherwise(0.0).alias("match_score"))]
     named = joins.paths_with_any(ix.files, [k for k in keywords if len(k) >= 4])
@@ -153,7 +153,7 @@ def functionality_search(ix: CorpusIndex, query: str, extra_terms=(), business=F
         asks += [(f"{query} {p}", each) for p in fixed.BUSINESS_PATTERNS]
     asks += [(t, each) for t in extra_terms]
     found, _ = questions.search_questions(ix, questions.asked(ix.files.sparkSession, asks))
-    rows = found.join(ix.symbols.select("key", "file", "name", "type", "line", "ord"), "key") \
+    rows = found.join(ordering.apart(ix.symbols.select("key", "file", "name", "type", "line", "ord")), "key") \
         .select("key", "file", "name", "type", "line", "ord", F.col("question").alias("leg"), "match_score")
     first = ordering.first_by(rows, ["name", "file"], ["leg", "ord"])
     if scope is None:
