@@ -66,3 +66,23 @@ def test_edges(spark):
     rows = [("p q", "en"), ("é q2", "en"), ("z q3", "en")] * 3
     got = mined(spark, rows, 2, 2)
     assert got == brute(rows, 2, 2) and [r[2] for r in got] == ["p q", "z q3"]
+
+
+def test_descriptions_are_sent_by_range(spark):
+    import numpy as np
+    total = 400 * 9
+    rows = [(" ".join(f"w{(i * 7 + k) % 300}" for k in range(9)), "en") for i in range(400)]
+    df = spark.createDataFrame(rows, "text string, lang string").repartition(4)
+    source = phrases._source(df, "lang", "text")
+    all_ = spark.sparkContext.broadcast(np.full(1 << 22, 255, np.uint8))
+    runs = phrases.write_runs(source, all_, phrases.shared.new_folder(spark, "runs"))
+    kept = lambda run, m: run.whole(m)
+    seen = phrases.describe(runs, kept, total)
+    got = seen.collect()
+    assert len(got) == len({r.h for r in got}) == 300 * 4
+    assert all(len(r.words) == r.m and len(r.firsts) == len(r.rests) == r.m - 1 for r in got)
+    by = {r.h: r for r in got}
+    for r in got:
+        if r.m > 2:
+            assert by[r.firsts[-1]].words == r.words[:-1] and by[r.rests[0]].words == r.words[1:]
+        assert r.firsts[0] == r.words[0] and r.rests[-1] == r.words[-1]

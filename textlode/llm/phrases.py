@@ -220,31 +220,35 @@ def frequent_pairs(runs: DataFrame, least: int, total: int) -> DataFrame:
 _SEEN = "h long, m int, words array<long>, firsts array<long>, rests array<long>, before_lo long, before_hi long, after_lo long, after_hi long"
 
 
-def describe(runs: DataFrame, kept) -> DataFrame:
+def describe(runs: DataFrame, kept, total: int) -> DataFrame:
     """Phrases with their words, the hashes of their first parts and rests, and their occurrences' least and greatest neighbours (0: none).
 
-    ``kept(run, m)`` tells which phrases of m words are wanted.
+    ``kept(run, m)`` tells which phrases of m words are wanted, ``total`` is the number of words.  A task sends its phrases as arrays, one row for each
+    range of hashes and length; of neighbours it sends the one that all its occurrences have, else 0.  A range makes one row of each phrase.
     """
+    ranges = 1 << max(5, int(total >> 21).bit_length())
+    cut = np.arange(1, ranges, dtype=np.uint64) * np.uint64((1 << 64) // ranges)
     many = pa.list_(pa.int64())
     types = [pa.int64(), pa.int32(), many, many, many, *[pa.int64()] * 4]
     names = [c.split()[0] for c in _SEEN.split(", ")]
-
     fold = (np.minimum, np.maximum, np.minimum, np.maximum)
 
     def merged(parts):
-        """One row for each phrase: (h, words, firsts, rests, ends); ends are least and greatest neighbours."""
-        h, *lists, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
+        """One row for each phrase, by hash: (h, words, ends); ends are least and greatest neighbours."""
+        h, words, ends = (np.concatenate(x) for x in zip(*parts, strict=True))
         order = np.argsort(h, kind="stable")
         head = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
         one = order[head]
-        return h[one], *(x[one] for x in lists), np.stack([f.reduceat(ends[order, i], head) for i, f in enumerate(fold)], axis=1)
+        return h[one], words[one], np.stack([f.reduceat(ends[order, i], head) for i, f in enumerate(fold)], axis=1)
 
-    def rows(m, parts):
-        h, *lists, ends = merged(parts)
-        for at in range(0, len(h), 1 << 14):
-            part = slice(at, at + (1 << 14))
-            columns = [h[part].view(np.int64), np.full(len(h[part]), m, np.int32), *(x[part].view(np.int64).tolist() for x in lists), *ends[part].T]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
+    def packs(m, parts):
+        h, words, ends = merged(parts)
+        alike = np.stack([np.where(ends[:, i] == ends[:, i + 1], ends[:, i], 0) for i in (0, 2)], axis=1)
+        at = np.concatenate([[0], np.searchsorted(h, cut), [len(h)]])
+        used = np.flatnonzero(np.diff(at))
+        binary = lambda x: pa.array([x[at[i]:at[i + 1]].tobytes() for i in used], pa.binary())
+        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(np.full(len(used), m, np.int32)), binary(h), binary(words), binary(alike)],
+                                         names=["part", "m", "keys", "words", "ends"])
 
     def run(batches):
         held_, size = {m: [] for m in range(2, LONGEST + 1)}, dict.fromkeys(range(2, LONGEST + 1), 0)
@@ -254,25 +258,32 @@ def describe(runs: DataFrame, kept) -> DataFrame:
                 at = np.flatnonzero(kept(line, m))
                 if not len(at):
                     continue
-                lists = [np.stack([f(k) for k in ks], axis=1) for f, ks in (
-                    (lambda k: line.line[at + k], range(m)), (lambda k: line.gram(k)[at], range(1, m)), (lambda k: line.gram(m - k)[at + k], range(1, m)))]  # noqa: B023
                 before, after = padded[at], padded[at + m + 1]
-                own = merged([(line.gram(m)[at], *lists, np.stack([before, before, after, after], axis=1))])
+                own = merged([(line.gram(m)[at], np.stack([line.line[at + k] for k in range(m)], axis=1), np.stack([before, before, after, after], axis=1))])
                 held_[m].append(own)
                 size[m] += len(own[0])
-                if size[m] > HELD // 16:  # a task hands a phrase on once, or again after very many rows
+                if size[m] > HELD // 16:  # a task hands a phrase on once, or again after very many
                     held_[m] = [merged(held_[m])]
                     size[m] = len(held_[m][0][0])
                     if size[m] > HELD // 32:
-                        yield from rows(m, held_[m])
+                        yield from packs(m, held_[m])
                         held_[m], size[m] = [], 0
         for m, parts in held_.items():
             if parts:
-                yield from rows(m, parts)
+                yield from packs(m, parts)
+
+    def add(table: pa.Table) -> pa.Table:
+        m = table.column("m")[0].as_py()
+        read = lambda c, kind, width: np.frombuffer(b"".join(table.column(c).to_pylist()), kind).reshape(-1, width)
+        h, words, ends = merged([(read("keys", np.uint64, 1)[:, 0], read("words", np.uint64, m), read("ends", np.int64, 2)[:, [0, 0, 1, 1]])])
+        line, at = words.reshape(-1), np.arange(len(h)) * m
+        gram = lambda k: line if k == 1 else W.grams(line, k)
+        lists = [words, np.stack([gram(k)[at] for k in range(1, m)], axis=1), np.stack([gram(m - k)[at + k] for k in range(1, m)], axis=1)]
+        columns = [h.view(np.int64), np.full(len(h), m, np.int32), *(np.ascontiguousarray(x).view(np.int64).tolist() for x in lists), *ends.T]
+        return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=names)
 
-    found = shared.in_batches(runs, run, _SEEN)
-    ends = [f(c).alias(c) for f, c in ((F.min, "before_lo"), (F.max, "before_hi"), (F.min, "after_lo"), (F.max, "after_hi"))]
-    return found.groupBy("h").agg(F.any_value(F.struct("m", "words", "firsts", "rests")).alias("p"), *ends).select("h", "p.*", *[c for c in names[5:]])
+    packed = shared.in_batches(runs, run, "part int, m int, keys binary, words binary, ends binary")
+    return packed.groupBy("part", "m").applyInArrow(add, _SEEN)
 
 
 def survivors(seen: DataFrame, counts: DataFrame, known: DataFrame, strings: DataFrame, totals: DataFrame) -> DataFrame:
@@ -338,7 +349,7 @@ def mine(docs: DataFrame, top=2000, least=100, lang_col="lang", text_col="text")
         for m in range(3, LONGEST + 1):
             levels.append(shared.cut(count_phrases(runs, _growth(m, begun, grown[-1], common), least, size)))
             grown.append(send(levels[-1]))
-        seen = shared.cut(describe(runs, _grown(begun, grown)))
+        seen = shared.cut(describe(runs, _grown(begun, grown), size))
         known += levels[1:]
         # parts that begin with words of other bands are counted by name
         lacking = seen.select(F.explode("rests").alias("h")).distinct().join(union(known), "h", "left_anti")
