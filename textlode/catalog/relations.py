@@ -45,7 +45,7 @@ def _(spark, sf):
 @query("joi_01_postings_to_documents", f"SELECT lang, term, count(*) AS docs, sum(tf)::BIGINT AS tf FROM (SELECT ord AS doc_id, term, tf FROM ({R.TF})) JOIN documents USING (doc_id) GROUP BY 1, 2")
 def _(spark, sf):
     from ..operators import index
-    tf = index.term_frequencies(corpus(spark, sf), ("ord",))
+    tf = index.term_frequencies(corpus(spark, sf).repartition("ord"), ("ord",))  # dealt once, before the texts are cut
     return tf.join(table(spark, sf, "documents").select(c("doc_id").alias("ord"), "lang"), "ord").groupBy("lang", "term").agg(F.count("*").alias("docs"), F.sum("tf").alias("tf"))
 
 
