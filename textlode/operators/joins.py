@@ -10,13 +10,15 @@ def symbols_near(hits: DataFrame, symbols: DataFrame, reach=50) -> DataFrame:
     """Range join on line distance inside a file, on buckets of ``reach`` lines.
 
     A hit looks only at its own and the two neighbouring buckets, so a file with many
-    hits and symbols spreads over its buckets instead of meeting in one task.
+    hits and symbols spreads over its buckets instead of meeting in one task.  Symbols are
+    merged past a bucket's hits, and neither side is held whole.
     """
     size = reach + 1
     h = hits.select("*", F.explode(F.array(*[F.floor(F.col("line") / size) + d for d in (-1, 0, 1)])).alias("__b"))
     s = symbols.select(F.col("file").alias("path"), F.struct(*symbols.columns).alias("symbol"),
                        F.floor(F.col("line") / size).alias("__b"))
-    return h.join(s, ["path", "__b"]).filter(F.abs(F.col("symbol.line") - F.col("line")) <= reach).drop("__b")
+    near = s.join(ordering.apart(h), ["path", "__b"]).filter(F.abs(F.col("symbol.line") - F.col("line")) <= reach)
+    return near.select(*hits.columns, "symbol")
 
 
 def nearest_symbol(hits: DataFrame, symbols: DataFrame, reach=50) -> DataFrame:
