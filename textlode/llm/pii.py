@@ -9,7 +9,8 @@ of the others, those over the threshold are taken by falling score where nothing
 Labels are weak: base spans are positive, and so are base phones with the "+" hidden; loose spans whose digit count or grouping no phone or card has are
 negative; the rest are left out of training.
 
-Scoring reads each text once, in any order, and moves nothing but results.  The sample is the ``sample_rows`` candidates of least hash, over all rows.
+Scoring reads each text once, in any order, and moves nothing but results.  All labelled candidates of all rows are learned from: a fifth of them, by hash,
+sets the thresholds, the others the trees.
 
 Defined cases: a null or empty text has no spans; repeated rows give repeated rows; an empty table, or one without candidates of both labels, trains
 nothing and base spans alone remain; ties in score go to the earlier, then longer span; extra columns are ignored.
@@ -40,6 +41,7 @@ _GROUPS = re.compile(r"(?<![\w+])\(?[0-9][0-9 ().-]{5,28}[0-9](?!\w)")
 _NUMBER = re.compile(r"(?<![\w.])(?:[0-9]{13,19}|[0-9]{4}([ -])[0-9]{4}\1[0-9]{4}\1[0-9]{4})(?!\w)")
 _CUES = re.compile(r"\b(?:tel|phone|call|mobile|fax|contact|mail|email|card|visa|account|ip|host|server|address)\b", re.I)
 WINDOW = 32
+N_FEATURES = 21
 
 
 def luhn(digits: str) -> bool:
@@ -149,8 +151,16 @@ class Model:
         return sorted(taken, key=lambda x: (x[1], KINDS.index(x[0]), x[2]))
 
 
-def train(docs: DataFrame, id_col="doc_id", text_col="text", sample_rows=4000, false_rate=0.01) -> Model:
-    """Boosted trees on the labelled candidates of least hash; thresholds from the fifth of them that training does not see."""
+#: Distinct coded candidates that one task adds up.
+PART = 1 << 14
+
+
+def train(docs: DataFrame, id_col="doc_id", text_col="text", false_rate=0.01) -> Model:
+    """Boosted trees on all labelled candidates but a fifth; thresholds from all negatives of that fifth.
+
+    Candidates are coded by their features' bins, and equal ones are one row with a count; each level of a tree is one pass of all tasks over these rows,
+    of which only sums by node, feature and bin come to the driver.
+    """
 
     def gather(batches):
         for b in batches:
@@ -161,28 +171,82 @@ def train(docs: DataFrame, id_col="doc_id", text_col="text", sample_rows=4000, f
                  pa.array([r[3] for r in rows], pa.list_(pa.float64()))], names=["own", "i", "y", "x"])
 
     found = (docs.select(F.col(id_col).cast("string"), text_col).transform(shared.in_batches, gather, "own string, i int, y int, x array<double>")
-             .withColumn("h", F.xxhash64("own", "i")))
+             .select("y", "x", (F.pmod(F.xxhash64("own", "i"), F.lit(5)) == 0).alias("held")))
     found = shared.cut(found)
-    rows = []
-    for r in found.groupBy("y").agg(F.count("*").alias("n")).orderBy("y").collect():
-        # about twice the rows that are wanted come near the driver; the exact cut is by rank of hash
-        share = min(1.0, 2 * (sample_rows // 2 + 50) / r["n"])
-        some = found.filter((F.col("y") == r["y"]) & (F.col("h") <= min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63))))
-        rows += some.orderBy("h", "own", "i", "x").limit(sample_rows // 2).collect() if sample_rows else []
-    if len({r["y"] for r in rows}) < 2:
+    n = {(r["y"], r["held"]): r["n"] for r in found.groupBy("y", "held").agg(F.count("*").alias("n")).collect()}
+    if len({y for y, _ in n}) < 2:
         return Model()
-    x, y = np.array([r["x"] for r in rows]), np.array([r["y"] for r in rows])
-    held = np.array([r["h"] % 5 == 0 for r in rows])
-    if held.all() or len(set(y[~held].tolist())) < 2:
-        held = np.zeros(len(rows), dtype=bool)
-    trees = Trees().fit(x[~held], y[~held])
-    score, thresholds = trees.score(x), {}
+    apart = len({y for y, held in n if not held}) == 2 and any(held for _, held in n)
+    seen = found.filter(~F.col("held")) if apart else found
+    of = [sum(k for (y, held), k in n.items() if y == label and not (apart and held)) for label in (0, 1)]
+    # both labels weigh alike, and each has its own quantiles
+    trees, total = Trees(), sum(of)
+    cuts = [F.percentile(F.col("x")[j], F.array(*map(F.lit, trees.quantiles()))).alias(f"c{j}") for j in range(N_FEATURES)]
+    cuts = seen.groupBy("y").agg(*cuts).collect()
+    trees.prepare([np.concatenate([r[f"c{j}"] for r in cuts]) for j in range(N_FEATURES)], 0.5, tuple(total / (2 * k) for k in of))
+    coded = _coded(found, trees)
+
+    def sums(trees, level):
+        def run(batches):
+            out = 0
+            for b in batches:
+                code, y, held, n = _code_rows(b)
+                own = ~held if apart else np.ones(len(y), dtype=bool)
+                out = out + trees.sums(code[own], y[own], n[own], level)
+            if not isinstance(out, int):
+                yield pa.RecordBatch.from_arrays([pa.array([out.tobytes()], pa.binary())], names=["sums"])
+
+        shape = 1 << level, N_FEATURES, max(map(len, trees.cuts)) + 1, 3, 2
+        return sum(np.frombuffer(r["sums"]).reshape(shape) for r in coded.mapInArrow(run, "sums binary").collect())
+
+    trees.grow(sums)
+    return Model(trees, _thresholds(coded, trees, apart, false_rate))
+
+
+def _coded(found: DataFrame, trees: Trees) -> DataFrame:
+    """(code, kind, y, held, n): the bins of the features, a byte each, and the number of candidates."""
+
+    def run(batches):
+        for b in batches:
+            x = b.column(1).flatten().to_numpy().reshape(-1, N_FEATURES)
+            yield pa.RecordBatch.from_arrays([pa.array([c.tobytes() for c in trees.codes(x)], pa.binary()), pa.array(x[:, 0].astype(np.int32)), b.column(0), b.column(2)],
+                                             names=["code", "kind", "y", "held"])
+
+    coded = found.transform(shared.in_batches, run, "code binary, kind int, y int, held boolean")
+    coded = shared.cut(coded.groupBy("code", "kind", "y", "held").agg(F.count("*").alias("n")))
+    return shared.cut(coded.repartition(max(1, -(-coded.count() // PART))))
+
+
+def _code_rows(b):
+    code = np.frombuffer(b"".join(b.column(0).to_pylist()), dtype=np.uint8).reshape(-1, N_FEATURES)
+    return code, b.column(2).to_numpy().astype(np.int64), b.column(3).to_numpy(zero_copy_only=False), b.column(4).to_numpy()
+
+
+def _thresholds(coded: DataFrame, trees: Trees, apart: bool, false_rate: float, least=0.9) -> dict:
+    """Per kind the score that at most ``false_rate`` of its known negatives (held-out ones, if set apart) pass, and not under ``least``; without negatives, ``least``.
+
+    Scores are counted in classes a ten-thousandth wide, which pass or fail as one.
+    """
+
+    def run(batches):
+        for b in batches:
+            code, y, held, n = _code_rows(b)
+            own = np.flatnonzero((y == 0) & (held if apart else True))
+            yield pa.RecordBatch.from_arrays([b.column(1).take(pa.array(own)), pa.array(trees.score_codes(code[own])), pa.array(n[own])], names=["kind", "score", "n"])
+
+    counted = coded.mapInArrow(run, "kind int, score double, n long").groupBy("kind", F.floor(F.col("score") * 10000).alias("class"))
+    rows = sorted(tuple(r) for r in counted.agg(F.sum("n"), F.max("score")).collect())
+    out = {}
     for i, kind in enumerate(KINDS):
-        negative = np.sort(score[(held if held.any() else ~held) & (y == 0) & (x[:, 0] == i)])
-        # the score that at most ``false_rate`` of the kind's held-out negatives reach; without such negatives, a high one
-        cut = negative[min(len(negative) - 1, int(np.ceil(len(negative) * (1 - false_rate))))] + 1e-9 if len(negative) else 0.0
-        thresholds[kind] = max(0.9, float(cut))
-    return Model(trees, thresholds)
+        own = [r for r in rows if r[0] == i]
+        total = sum(r[2] for r in own)
+        place, before, cut = min(total - 1, int(np.ceil(total * (1 - false_rate)))), 0, -1.0
+        for _, _, k, top in own:
+            if before <= place:
+                cut = top
+            before += k
+        out[kind] = max(least, cut + 1e-9)
+    return out
 
 
 SPAN = "array<struct<kind:string,start:int,end:int,score:double,base:boolean>>"
