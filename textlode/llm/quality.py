@@ -3,16 +3,19 @@
 Method.  A text is a bag of passages of ``PASSAGE`` words.  Each passage is encoded by surface rates (case, digits, punctuation, symbols, word lengths,
 repeated words and neighbours, lines) and by hashed rates of characters' classes at word ends.  Gated attention gives each passage the weight
 softmax(w . (tanh(V h) * sigmoid(U h))); the document is the weighted sum of its passages' codes h, scored by a logistic layer.  All weights are learned
-from document labels alone, by Adam on a bounded sample; passages have no labels.  The same weights score every document.
+from document labels alone, by Adam on all labelled rows; passages have no labels.  The same weights score every document.
 
-The sample is the ``sample_rows`` labelled rows of least hash of id, each with all its passages.  Each document's codes are a matrix of a few numbers a
-passage; only the sample's come to the driver: whole documents in order of hash until they have ``most_passages`` passages or more.
+Each document's codes are a matrix of a few numbers a passage, kept in parts of about ``PART`` passages.  In a round each part's task goes on from the common
+weights over its own documents, and the parts' weights are averaged by their documents; weights are all that comes to the driver.  A caller may bound the rows
+by ``sample_rows``, the labelled ids of least hash, or by ``most_passages``: whole documents in order of hash until they have as many passages or more.
 
 Defined cases: a null or empty text is one passage without words and gets that passage's score; repeated rows get equal scores; rows without a label, or
 whose label is null, are not learned from; labels of one value only, or none, give their mean (or 0.5) as every score; an empty table gives an empty
 table; other columns, whatever their names, are never inputs.
 """
 
+import pickle
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -102,18 +105,22 @@ def _forward(w, x, cuts):
     return _sigmoid(z @ w["c"] + w["b"]), (h, t, g, p, z, sizes)
 
 
-def fit(x: np.ndarray, cuts: np.ndarray, y: np.ndarray, hidden=24, gate=12, epochs=60, batch=128, rate=0.01, decay=1e-4, seed=7) -> Model:
-    """Adam on the logistic loss of documents, both classes weighing alike."""
-    if not len(y) or len(set(y.tolist())) < 2:
-        return Model(constant=float(y.mean()) if len(y) else 0.5)
+def _start(n, hidden=24, gate=12, seed=7) -> dict:
+    """Weights and Adam's two means of ``n`` features."""
     rng = np.random.default_rng(seed)
-    mean, scale = x.mean(0), x.std(0) + 1e-6
-    x = np.clip((x - mean) / scale, -8, 8)
-    n = x.shape[1]
     w = {"E": rng.normal(0, n ** -0.5, (n, hidden)), "e": np.zeros(hidden), "V": rng.normal(0, hidden ** -0.5, (hidden, gate)),
          "U": rng.normal(0, hidden ** -0.5, (hidden, gate)), "w": rng.normal(0, gate ** -0.5, gate), "c": rng.normal(0, hidden ** -0.5, hidden), "b": np.zeros(1)}
-    m, v, step = {k: np.zeros_like(a) for k, a in w.items()}, {k: np.zeros_like(a) for k, a in w.items()}, 0
-    weight = np.where(y == 1, 0.5 / (y == 1).mean(), 0.5 / (y == 0).mean())
+    return {"w": w, "m": {k: np.zeros_like(a) for k, a in w.items()}, "v": {k: np.zeros_like(a) for k, a in w.items()}, "step": 0}
+
+
+def _balance(share):
+    """Weights of a document of label 0 and 1, at a share of label 1: both weigh alike."""
+    return 0.5 / (1 - share), 0.5 / share
+
+
+def _epochs(state, x, cuts, y, weight, rng, epochs, batch=128, rate=0.01, decay=1e-4) -> dict:
+    """The state after some epochs of Adam on the logistic loss of documents; ``x`` is standardized, ``weight`` is by document."""
+    w, m, v, step = state["w"].copy(), state["m"].copy(), state["v"].copy(), state["step"]
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             sizes = cuts[rows + 1] - cuts[rows]
@@ -132,15 +139,35 @@ def fit(x: np.ndarray, cuts: np.ndarray, y: np.ndarray, hidden=24, gate=12, epoc
                 m[k] = 0.9 * m[k] + 0.1 * q
                 v[k] = 0.999 * v[k] + 0.001 * q * q
                 w[k] = w[k] - rate * (m[k] / (1 - 0.9 ** step)) / (np.sqrt(v[k] / (1 - 0.999 ** step)) + 1e-8)
-    return Model(w, mean, scale)
+    return {"w": w, "m": m, "v": v, "step": step}
+
+
+def _standard(x, mean, scale):
+    return np.clip((x - mean) / scale, -8, 8)
+
+
+def fit(x: np.ndarray, cuts: np.ndarray, y: np.ndarray, epochs=60, seed=7) -> Model:
+    """A model of documents given as arrays."""
+    if not len(y) or len(set(y.tolist())) < 2:
+        return Model(constant=float(y.mean()) if len(y) else 0.5)
+    mean, scale = x.mean(0), x.std(0) + 1e-6
+    weight = np.where(y == 1, *_balance((y == 1).mean())[::-1])
+    state = _epochs(_start(x.shape[1], seed=seed), _standard(x, mean, scale), cuts, y, weight, np.random.default_rng(seed), epochs)
+    return Model(state["w"], mean, scale)
+
+
+#: Passages of a part, and labels (id, number) that are sent to all executors; more are joined by shuffle.
+PART = 1 << 16
+BROADCAST = 500_000
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="label", sample_rows=3000, most_passages=1 << 17) -> Model:
-    """A model from at most ``sample_rows`` labelled documents (id and label in ``labels``), each taken whole."""
+def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text", label_col="label", sample_rows=None, most_passages=None, rounds=20, epochs=3) -> Model:
+    """A model from all labelled documents (id and label in ``labels``), each taken whole."""
     chosen = (labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull()).groupBy(id_col).agg(F.max(label_col).cast("double").alias("y"))
-              .withColumn("h", F.xxhash64(F.col(id_col).cast("string"))).orderBy("h", id_col).limit(sample_rows))
-    # at most ``sample_rows`` ids: the side that is sent
-    rows = docs.select(id_col, text_col).join(F.broadcast(chosen), id_col).select(F.col(text_col).alias("text"), "y", "h")
+              .withColumn("h", F.xxhash64(F.col(id_col).cast("string"))))
+    chosen = chosen if sample_rows is None else chosen.orderBy("h", id_col).limit(sample_rows)
+    chosen = shared.cut(chosen)
+    rows = docs.select(id_col, text_col).join(F.broadcast(chosen) if chosen.count() <= BROADCAST else chosen, id_col).select(F.col(text_col).alias("text"), "y", "h")
 
     def codes(batches):
         for b in batches:
@@ -151,20 +178,55 @@ def train(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
                                                   pa.array([p.astype(np.float32).tobytes() for p in bags], pa.binary())], names=["y", "h", "k", "x"])
 
     coded = shared.cut(rows.transform(shared.in_batches, codes, "y double, h long, k long, x binary"))
-    total, last = 0, None
-    for r in sorted(coded.groupBy("h").agg(F.sum("k").alias("k")).collect()):
-        if total >= most_passages:
-            break
-        total, last = total + r["k"], r["h"]
-    if last is None:
+    if most_passages is not None:
+        total, last = 0, None
+        for r in sorted(coded.groupBy("h").agg(F.sum("k").alias("k")).collect()):
+            if total >= most_passages:
+                break
+            total, last = total + r["k"], r["h"]
+        coded = coded.limit(0) if last is None else coded.filter(F.col("h") <= last)
+    n, found, ones = coded.agg(F.count("*"), F.sum("k"), F.sum((F.col("y") == 1).cast("long"))).first()
+    if not n:
         return Model()
-    found = sorted((bytes(r["x"]), r["y"]) for r in coded.filter(F.col("h") <= last).select("x", "y").collect())
-    x = [np.frombuffer(r[0], dtype=np.float32).reshape(-1, FEATURES) for r in found]
-    model = fit(np.concatenate(x).astype(float), np.concatenate([[0], np.cumsum([len(p) for p in x])]), np.array([r[1] for r in found]))
-    model.samples = len(x), total
+    if ones in (0, n):
+        model = Model(constant=1.0 if ones else coded.agg(F.avg("y")).first()[0])
+    else:
+        parts = shared.cut(coded.repartition(max(1, -(-found // PART))).sortWithinPartitions("h", "y", "x"))
+        model = _fit_parts(parts, n, found, _balance(ones / n), rounds, epochs)
+    model.samples = n, found
     return model
 
 
+def _fit_parts(parts: DataFrame, n, found, weights, rounds, epochs, seed=7) -> Model:
+    """The weights after some rounds over all parts (y, h, k, x)."""
+
+    def documents(batches):
+        y, bags = [], []
+        for b in batches:
+            y.append(b.column(0).to_numpy())
+            bags += [np.frombuffer(t, dtype=np.float32).reshape(-1, FEATURES) for t in b.column(3).to_pylist()]
+        if bags:
+            yield np.concatenate(y), np.concatenate(bags).astype(float), np.concatenate([[0], np.cumsum([len(x) for x in bags])])
+
+    def moments(batches):
+        for _, x, _ in documents(batches):
+            yield pa.RecordBatch.from_arrays([pa.array([np.concatenate([x.sum(0), (x * x).sum(0)]).tobytes()], pa.binary())], names=["sums"])
+
+    sums = sum(np.frombuffer(r["sums"]) for r in parts.mapInArrow(moments, "sums binary").collect()) / found
+    mean, scale = sums[:FEATURES], np.sqrt(np.maximum(sums[FEATURES:] - sums[:FEATURES] ** 2, 0)) + 1e-6
+    state = _start(FEATURES, seed=seed)
+    for done in range(rounds):
+
+        def learn(batches):
+            for y, x, cuts in documents(batches):
+                own = _epochs(state, _standard(x, mean, scale), cuts, y, np.where(y == 1, *weights[::-1]), np.random.default_rng([seed, done]), epochs)
+                yield pa.RecordBatch.from_arrays([pa.array([len(y)], pa.int64()), pa.array([pickle.dumps(own)], pa.binary())], names=["n", "state"])
+
+        got = [(r["n"] / n, pickle.loads(r["state"])) for r in parts.mapInArrow(learn, "n long, state binary").collect()]
+        state = {s: {k: sum(share * own[s][k] for share, own in got) for k in state[s]} for s in "wmv"} | {"step": max(own["step"] for _, own in got)}
+    return Model(state["w"], mean, scale)
+
+
 def _scores(model: Model, texts: list[bytes]) -> np.ndarray:
     out = [np.empty(0)]
     for lo, hi in W.chunked([len(t) for t in texts], 2 << 20):
