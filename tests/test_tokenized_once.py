@@ -2,7 +2,11 @@
 
 import contextlib
 import io
+import itertools
 
+from pyspark.sql import functions as F
+
+from textlode.functions import text
 from textlode.operators import index, joins
 
 
@@ -45,3 +49,22 @@ def test_symbols_near_merge_past_the_hits(spark):
     near = joins.symbols_near(hits, symbols)
     assert sorted((r.line, r.symbol.key) for r in near.collect()) == [(10, "k1"), (100, "k1"), (100, "k2")]
     assert "SortMergeJoin" in _plan(near)
+
+
+def test_only_words_of_wanted_stems_are_cut_out(spark):
+    ends = ("", "s", "es", "ed", "ied", "ies", "ing", "ting", "y", "x", "ingly")
+    words = [a + b for a, b in itertools.product(("par", "carr", "stop", "t", "sto", "ind\u212aex", "B\u0130z", "x" * 48), ends)]
+    files = spark.createDataFrame([(" ".join(words), 1), (None, 2), ("", 3)], "content string, ord long")
+    rows = files.select("ord", F.explode(text.index_tokens(F.col("content"))).alias("w")).select("w", text.stem(F.col("w")).alias("t")).collect()
+    assert "ind" in {r.w for r in rows} and "indkex" not in {r.w for r in rows}  # only ASCII letters are lowered into words
+    for stems in (["par"], ["carry", "sto"], ["stop", "ts"], ["x" * 48, "x" * 60], ["é", "a b", "b"]):
+        some = files.select(F.explode(text.index_tokens(F.col("content"), stems)).alias("w")).select("w", text.stem(F.col("w")).alias("t")).collect()
+        assert [r for r in some if r.t in stems] == [r[:2] for r in rows if len(r.t) > 1 and r.t in stems]
+        assert len(some) < len(rows) / 2
+
+
+def test_posting_scores_cut_texts_once(spark):
+    from textlode import catalog
+    df = catalog.load()["rnk_02_posting_scores"][0](spark, "/root/testdata/sf0.001")
+    df.collect()
+    assert "ReusedExchange" in df._jdf.queryExecution().executedPlan().toString()

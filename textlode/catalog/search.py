@@ -218,7 +218,7 @@ def _(spark, sf):
 def _(spark, sf):
     docs = index.plain_feed(corpus(spark, sf))
     hits = index.postings(docs, only=["the", "onthe", "of"])
-    df = hits.groupBy("term").agg(F.count("*").alias("df"))
+    df = hits.groupBy("term").agg(F.count_if(c("tf") > 0).alias("df"))  # reads tf as the other side does, so texts are cut once
     n = docs.agg(F.count("*")).scalar()
     return hits.join(F.broadcast(df), "term").select(c("doc_id").alias("path"), "term", F.round(rank.tfidf(c("freq"), n, c("df")), 6).alias("w"))
 
