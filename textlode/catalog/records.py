@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..operators import index, session as S
+from ..operators import index, ordering, session as S
 from ..sources import files as filesrc, persist, prebuilt, records
 from . import registry as R
 from .indexes import _FIN, _vocab
@@ -34,8 +34,11 @@ def _(spark, sf):
 
 @query("snk_04_posting_records", f"SELECT path, term, tf FROM ({R.TF})")
 def _(spark, sf):
-    p = index.postings(index.plain_feed(corpus(spark, sf)))
-    return _again(p).select(c("doc_id").alias("path"), "term", *BIG("tf")) if "doc_id" in p.columns else _again(p).select("path", "term", *BIG("tf"))
+    docs = index.plain_feed(corpus(spark, sf))
+    if not ordering.one_row_each(docs, "doc_id"):
+        return _again(index.postings(docs)).select(c("doc_id").alias("path"), "term", *BIG("tf"))
+    lists = _again(index.posting_lists(docs))  # a record for each document
+    return lists.select(c("doc_id").alias("path"), F.inline_outer(F.arrays_zip(c("terms").alias("term"), "tf"))).filter("term is not null")
 
 
 @query("snk_05_vector_records", "SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: x::DOUBLE)), 5) AS total FROM embeddings")
