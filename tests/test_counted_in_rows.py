@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from textlode import catalog
 from textlode.functions import text
-from textlode.operators import index, ordering, vocabulary
+from textlode.operators import index, ordering, segments, vocabulary
 
 SF = "/root/testdata/sf0.001"
 
@@ -54,3 +54,28 @@ def test_stop_words_shuffle_no_words_of_files(spark):
 
 def test_posting_records_are_one_of_each_document(spark):
     assert "hashpartitioning" not in _plan(catalog.load()["snk_04_posting_records"][0](spark, SF))
+
+
+def test_lists_count_as_rows_do(spark):
+    files = _files(spark)
+    for got, value, want in ((index.term_lists(files, ("path",)), "tf", index.term_frequencies(files, ("path",))),
+                             (vocabulary.weight_lists(files), "weights", vocabulary.document_terms(vocabulary.weighted_terms(files)))):
+        assert sorted(map(tuple, segments._entries(got, value, "n").collect())) == sorted(map(tuple, want.collect()))
+        assert "hashpartitioning" not in _plan(got)
+
+
+def test_parts_of_names_are_split_before_their_capitals(spark):
+    s = "aB fooBarBAZ HTTPServer parseHTTPRequestX9y XMLHttp aBC ABc aBCd ABCDe x9Yz ÉAb éB A1Bc"
+    got = spark.range(1).select(text.split_camel(F.lit(s)).alias("c"), text.learner_tokens(F.lit(s)).alias("l")).first()
+    camel = re.sub("([a-z])([A-Z])", r"\1 \2", s)
+    assert got.c == camel
+    assert got.l == [w for w in re.findall("[a-z0-9]+", re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", camel).lower()) if len(w) > 1]
+
+
+def test_segments_of_repeated_paths_are_grouped(spark, tmp_path):
+    files = _files(spark)
+    ix = segments.create(files, str(tmp_path / "a"))
+    cols = ["doc_id", "doc_type", "term", "tf", "freq"]
+    assert sorted(map(tuple, ix.postings().select(*cols).collect())) == sorted(map(tuple, index.postings(index.plain_feed(files)).select(*cols).collect()))
+    twice = segments.create(files.unionByName(files.filter("ord = 1")), str(tmp_path / "b"))
+    assert {r.term: r.df for r in twice.frequencies().collect()}["alpha1"] == 1

@@ -96,13 +96,34 @@ def _publish(spark, root, version, parts) -> SegmentedIndex:
     return SegmentedIndex(spark, root, version, tuple(parts))
 
 
-def _write_segment(docs: DataFrame, occurrences: DataFrame, spark, root) -> tuple:
-    """Writes (docs, forward, postings, counts, weights) tables; returns the segment's manifest row."""
+def _entries(lists: DataFrame, value: str, name: str) -> DataFrame:
+    """A row for each term of (.., terms, ``value``)."""
+    rest = [c for c in lists.columns if c not in ("terms", value)]
+    return lists.select(*rest, F.inline_outer(F.arrays_zip(F.col("terms").alias("term"), F.col(value).alias(name)))).filter("term is not null")
+
+
+def _lists(rows: DataFrame, keys, value: str, name: str) -> DataFrame:
+    listed = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("term", value))).alias("l"))
+    return listed.select(*keys, F.col("l.term").alias("terms"), F.col(f"l.{value}").alias(name))
+
+
+def _write_segment(docs: DataFrame, files: DataFrame, spark, root) -> tuple:
+    """Writes (docs, forward, postings, counts, weights) tables; returns the segment's manifest row.
+
+    The forward tables hold a document's terms as lists.  A document or file that is one row is counted inside it, and each task writes its own, by path.
+    """
     name = f"seg-{uuid.uuid4()}"
     at = f"{root}/{name}"
     docs.select("doc_id", "doc_type", "path", "doc_ord").write.parquet(f"{at}/docs")
-    ordering.stored(index.term_frequencies(docs, ("doc_id", "doc_type", "path")), "path", f"{at}/forward")
-    ordering.stored(vocabulary.document_terms(occurrences), "path", f"{at}/learner")
+    keys = ("doc_id", "doc_type", "path")
+    if ordering.one_row_each(spark.read.parquet(f"{at}/docs"), *keys):
+        index.term_lists(docs.sortWithinPartitions("path"), keys).write.parquet(f"{at}/forward")
+    else:
+        ordering.stored(_lists(index.term_frequencies(docs, keys), keys, "tf", "tf"), "path", f"{at}/forward")
+    if ordering.one_row_each(files, "path"):
+        vocabulary.weight_lists(files.sortWithinPartitions("path")).write.parquet(f"{at}/learner")
+    else:
+        ordering.stored(_lists(vocabulary.document_terms(vocabulary.weighted_terms(files)), ["path"], "weight", "weights"), "path", f"{at}/learner")
     return _finish_segment(spark, root, name)
 
 
@@ -110,9 +131,9 @@ def _finish_segment(spark, root, name) -> tuple:
     """The tables that follow from a segment's documents and forward tables."""
     at = f"{root}/{name}"
     forward, learner = spark.read.parquet(f"{at}/forward"), spark.read.parquet(f"{at}/learner")
-    ordering.stored(forward, "term", f"{at}/postings")
-    forward.groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/counts")
-    learner.groupBy("term").agg(F.count("*").alias("df"), F.sum("weight").alias("total_weight")).write.parquet(f"{at}/weights")
+    ordering.stored(_entries(forward, "tf", "tf"), "term", f"{at}/postings")
+    _entries(forward, "tf", "tf").groupBy("term").agg(F.count("*").alias("df")).write.parquet(f"{at}/counts")
+    _entries(learner, "weights", "weight").groupBy("term").agg(F.count("*").alias("df"), F.sum("weight").alias("total_weight")).write.parquet(f"{at}/weights")
     docs = spark.read.parquet(f"{at}/docs").agg(F.count("*"), F.count_distinct("path")).first()
     return name, None, docs[0], docs[1]
 
@@ -120,7 +141,7 @@ def _finish_segment(spark, root, name) -> tuple:
 def create(files: DataFrame, root: str, feed=index.plain_feed) -> SegmentedIndex:
     """An index of ``files`` (path, content, language, ord) under the new folder ``root``; ``feed`` makes documents of files, with their path."""
     spark = files.sparkSession
-    return _publish(spark, root, 1, [_write_segment(feed(files), vocabulary.weighted_terms(files), spark, root)])
+    return _publish(spark, root, 1, [_write_segment(feed(files), files, spark, root)])
 
 
 def remove(ix: SegmentedIndex, paths: DataFrame) -> SegmentedIndex:
@@ -141,8 +162,8 @@ def _delete(ix: SegmentedIndex, paths: DataFrame) -> list:
         own = gone.select("path").distinct()
         own.write.parquet(f"{ix.root}/{part}/paths")
         rows = lambda name: spark.read.parquet(f"{ix.root}/{segment}/{name}").join(own, "path", "left_semi")  # noqa: E731, B023
-        rows("forward").groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{ix.root}/{part}/counts")
-        rows("learner").groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("weight")).alias("total_weight")).write.parquet(f"{ix.root}/{part}/weights")
+        _entries(rows("forward"), "tf", "tf").groupBy("term").agg((-F.count("*")).alias("df")).write.parquet(f"{ix.root}/{part}/counts")
+        _entries(rows("learner"), "weights", "weight").groupBy("term").agg((-F.count("*")).alias("df"), (-F.sum("weight")).alias("total_weight")).write.parquet(f"{ix.root}/{part}/weights")
         out.append((segment, part, -docs, -files))
     return out
 
@@ -150,7 +171,7 @@ def _delete(ix: SegmentedIndex, paths: DataFrame) -> list:
 def add(ix: SegmentedIndex, files: DataFrame, feed=index.plain_feed) -> SegmentedIndex:
     """With ``files``; a path that the index has is replaced."""
     gone = _delete(ix, files.select("path"))
-    fresh = _write_segment(feed(files), vocabulary.weighted_terms(files), ix.spark, ix.root)
+    fresh = _write_segment(feed(files), files, ix.spark, ix.root)
     return _publish(ix.spark, ix.root, ix.version + 1, [*ix.parts, *gone, fresh])
 
 
