@@ -106,7 +106,7 @@ def add_summaries(symbols: DataFrame, files: DataFrame) -> DataFrame:
     above = F.slice("lines", first, F.col("line") - first)
     said = F.nullif(_comment_summary(above), F.lit(""))
     callable_ = F.col("type").isin(*fixed.SUMMARY_TYPES)
-    return symbols.join(lines, "file").withColumn(
+    return symbols.join(ordering.apart(lines), "file").withColumn(
         "summary", F.when(callable_, F.coalesce(said, text.summary_from_name(F.col("name"))))).drop("lines")
 
 
@@ -206,7 +206,7 @@ def bodies(symbols: DataFrame, files: DataFrame) -> DataFrame:
     defs = symbols.filter(F.col("type").isin(*fixed.CALLABLE_TYPES)).select(F.col("file").alias("path"), F.col("line").cast("int").alias("line"), own.alias("d"))
     groups = (defs.repartition("path").groupBy("path", "line").agg(F.collect_list("d").alias("defs"))
               .groupBy("path").agg(F.array_sort(F.collect_list(F.struct("line", "defs"))).alias("groups")))
-    rows = files.select("path", style.alias("style"), F.split("content", "\n", -1).alias("lines"), text.line_count(F.col("content")).alias("n_lines")).join(groups, "path")
+    rows = files.select("path", style.alias("style"), F.split("content", "\n", -1).alias("lines"), text.line_count(F.col("content")).alias("n_lines")).join(ordering.apart(groups), "path")
     kind = groups.schema["groups"].dataType.elementType["defs"].dataType.elementType.simpleString()
     closed = _closings(F.col("style"), F.col("lines"), F.col("groups"), kind)
     out = rows.select("path", "style", "lines", "n_lines", F.explode(closed).alias("e")).select("path", "style", "lines", "n_lines", "e.*")

@@ -228,8 +228,8 @@ def literal_offsets(posts: DataFrame, terms: DataFrame, blank="and") -> DataFram
     # the literal list of a few grams reaches the scan of the postings as a pushed filter; many are a semi join
     wanted = grams.select("tri").distinct()
     few = wanted.limit(MOST_PUSHED + 1).toArrow().column("tri").to_pylist()
-    read = posts.filter(F.col("tri").isin(*few)) if len(few) <= MOST_PUSHED else posts.join(wanted, "tri", "left_semi")
-    starts = read.join(grams, "tri").select("term", "path", "n", F.transform("positions", lambda p: p - F.col("j")).alias("starts"))
+    read = posts.filter(F.col("tri").isin(*few)) if len(few) <= MOST_PUSHED else posts.join(F.broadcast(wanted), "tri", "left_semi")
+    starts = read.join(F.broadcast(grams), "tri").select("term", "path", "n", F.transform("positions", lambda p: p - F.col("j")).alias("starts"))
     both = starts.groupBy("term", "path", "n").agg(F.collect_list("starts").alias("s")).filter(F.size("s") == F.col("n"))
     offsets = F.aggregate(F.slice("s", F.lit(2), F.size("s")), F.get("s", F.lit(0)), F.array_intersect)
     return both.select("term", "path", offsets.alias("offsets")).filter(F.size("offsets") > 0)

@@ -2,6 +2,9 @@
 
 Scans and shuffles follow the index, not the number of questions or of their terms: terms are rows that join symbol names, symbol trigrams, file names,
 directory names, positional gram postings and term postings.  A symbol keeps the first leg that found it; the only cut is each question's final top-k.
+
+Every join says which side is sent to all tasks: rows of the questions.  Sides that grow with the index are merged (``ordering.apart``), as Spark, which
+does not know how few rows the questions are, would send the index's side through the driver.
 """
 
 from functools import reduce
@@ -40,7 +43,7 @@ def concept_files(files: DataFrame, terms: DataFrame) -> DataFrame:
     names = files.select("path", "ord", paths.stem_name(F.col("path")).alias("stem")).filter(n >= 1)
     names = names.select("path", "ord", "stem", F.explode(F.sequence(F.greatest(n - 7, F.lit(1)), n)).alias("k")).withColumn("form", F.left("stem", F.col("k")))
     score = F.when((F.col("stem") == F.col("form")) | (F.col("stem") == F.concat("form", F.lit("s"))), 100).otherwise(90)
-    each = names.join(forms, "form").groupBy("question", "no", "path", "ord").agg(F.min_by(score, "i").alias("s"))
+    each = names.join(F.broadcast(forms), "form").groupBy("question", "no", "path", "ord").agg(F.min_by(score, "i").alias("s"))
     return each.groupBy("question", "path", "ord").agg(F.max("s").alias("match_score"))
 
 
@@ -49,12 +52,12 @@ def pattern_symbols(symbols: DataFrame, terms: DataFrame) -> DataFrame:
     wanted = terms.select("term").filter(F.length("term") >= 3).distinct()
     grams = wanted.select("term", F.array_distinct(text.alnum_trigrams(F.col("term"))).alias("g")).filter(F.size("g") > 0)
     grams = grams.select("term", F.size("g").alias("n"), F.explode("g").alias("tri"))
-    both = index.symbol_trigrams(symbols).join(grams, "tri").groupBy("term", "n", "key").agg(F.count("*").alias("k")).filter(F.col("k") == F.col("n"))
+    both = index.symbol_trigrams(symbols).join(F.broadcast(grams), "tri").groupBy("term", "n", "key").agg(F.count("*").alias("k")).filter(F.col("k") == F.col("n"))
     named = symbols.select("key", "ord", F.lower("name").alias("low"))
     long = named.join(ordering.apart(both.select("term", "key")), "key").withColumn("match_score", text.name_score(F.col("term"), F.col("low"))).filter("match_score >= 30")
     short = wanted.filter(F.length(text.alnum_only(F.col("term"))) < 3).withColumn("tri", F.left("term", F.lit(3)))
     raw = named.select("key", "ord", "low", F.explode(F.array_distinct(text.positioned_trigrams(F.col("low")))).alias("tri"))
-    loose = raw.join(short, "tri").filter(F.contains("low", F.col("term"))).withColumn("match_score", F.lit(50))
+    loose = raw.join(F.broadcast(short), "tri").filter(F.contains("low", F.col("term"))).withColumn("match_score", F.lit(50))
     cols = ["term", "key", "ord", "match_score"]
     return long.select(cols).unionByName(loose.select(cols))
 
@@ -73,10 +76,10 @@ def directory_files(files: DataFrame, terms: DataFrame) -> DataFrame:
         cut = F.flatten(F.transform(F.sequence(F.lit(1), n), lambda i: F.transform(F.sequence(F.lit(1), n - i + 1), lambda k: F.substr(column, i, k))))
         return df.filter(n > 0).select(column, F.explode(F.array_distinct(cut)).alias("part"))
 
-    inside = parts(bases, "base").select("base", F.col("part").alias("term")).join(words, "term")
-    around = parts(words, "term").select("term", F.col("part").alias("base")).join(bases, "base")
+    inside = parts(bases, "base").select("base", F.col("part").alias("term")).join(F.broadcast(words), "term")
+    around = F.broadcast(parts(words, "term").select("term", F.col("part").alias("base"))).join(bases, "base")
     pairs = inside.select("base", "term").unionByName(around.select("base", "term")).distinct()
-    found = dirs.join(pairs, "base").join(terms.select("question", "term", "no"), "term")
+    found = dirs.join(ordering.apart(pairs), "base").join(F.broadcast(terms.select("question", "term", "no")), "term")
     return found.groupBy("question", "path", "ord").agg(F.min("no").alias("no"))
 
 
@@ -94,9 +97,9 @@ def document_hits(docs: DataFrame, posts: DataFrame, questions: DataFrame, min_s
     tokens = F.array_distinct(text.learner_tokens(F.col("query")))
     asked = questions.select("question", F.size(tokens).alias("size"), F.explode(tokens).alias("term"))
     n_docs = docs.agg(F.count("*")).scalar()
-    held = posts.join(asked.select("term").distinct(), "term", "left_semi")
+    held = posts.join(F.broadcast(asked.select("term").distinct()), "term", "left_semi")
     dfs = held.groupBy("term").agg(F.count_if(F.col("tf") > 0).alias("df"))
-    scored = held.join(dfs, "term").join(asked, "term")
+    scored = held.join(F.broadcast(dfs), "term").join(F.broadcast(asked), "term")
     totals = scored.groupBy("question", "size", "doc_id", "doc_type").agg(F.sum(rank.tfidf(F.col("freq"), n_docs, F.col("df")) * (1 + F.log1p(F.lit(1.0)) * 0.1)).alias("total"), F.count("*").alias("matched"))
     return totals.filter(F.col("total") >= min_score).select("question", "doc_id", "doc_type", (F.col("total") * (1 + F.col("matched") / F.col("size"))).alias("score"))
 
@@ -129,14 +132,14 @@ def search_questions(ix, questions: DataFrame, max_results=None, search_types=("
         files_leg(dirs, 1, F.col("no"), F.lit(85), F.lit(LEGS[3]))
         legs.append(_leg(with_symbols(dirs), 3, F.col("no"), 0, 75, LEGS[3]))
     if use("symbols"):
-        exact = sym.select("key", "ord", F.lower("name").alias("term")).join(terms, "term")
+        exact = sym.select("key", "ord", F.lower("name").alias("term")).join(F.broadcast(terms), "term")
         legs.append(_leg(exact, 1, F.col("no"), 0, F.when(F.col("extra"), 98).otherwise(100), F.when(F.col("extra"), "expanded_match").otherwise(LEGS[1])))
-        pattern = pattern_symbols(sym, terms).join(terms.select("question", "term", "no"), "term")
+        pattern = pattern_symbols(sym, terms).join(F.broadcast(terms.select("question", "term", "no")), "term")
         legs.append(_leg(pattern, 2, F.col("no"), -F.col("match_score"), F.col("match_score"), LEGS[2]))
     if use("code"):
         lines = code_lines(ix.gram_table, ix.line_table, own)
         near = joins.symbols_near(lines, sym, 50).select("term", "symbol.key", "symbol.ord").distinct()
-        legs.append(_leg(near.join(own, "term"), 4, F.col("no"), 0, 70, LEGS[4]))
+        legs.append(_leg(near.join(F.broadcast(own), "term"), 4, F.col("no"), 0, 70, LEGS[4]))
     if use("symbols") or use("summaries") or use("files"):
         posts = ix.postings if ix.postings is not None else index.postings(ix.docs)
         hits = document_hits(ix.docs, posts, questions).join(ordering.apart(ix.docs.select("doc_id", "key", "path", F.col("doc_ord"))), "doc_id")
@@ -154,7 +157,7 @@ def search_questions(ix, questions: DataFrame, max_results=None, search_types=("
         F.min_by(F.struct("leg", "place", "match_score", "match_source"), F.struct("leg", "place")).alias("w")).select("question", "key", "w.*")
     most = F.lit(None).cast("int") if max_results is None else F.lit(max_results)
     if "most" in questions.columns:
-        first, most = first.join(questions.select("question", "most"), "question"), F.coalesce("most", most)
+        first, most = first.join(F.broadcast(questions.select("question", "most")), "question"), F.coalesce("most", most)
     number = F.row_number().over(Window.partitionBy("question").orderBy(F.desc("match_score"), "leg", "place"))
     best = first.withColumn("rank", number).filter(most.isNull() | (F.col("rank") <= most)).drop("most")
     files = None
@@ -172,7 +175,7 @@ def asked(spark, queries) -> DataFrame:
 
 def first_question(found: DataFrame, symbols: DataFrame, keys=("name", "file")) -> DataFrame:
     """Symbols of the first question that found them, one row for each of ``keys``."""
-    rows = found.select("key", "question", "rank", "match_score", "match_source").join(symbols, "key")
+    rows = found.select("key", "question", "rank", "match_score", "match_source").join(ordering.apart(symbols), "key")
     return ordering.first_by(rows, list(keys), ["question", "rank"])
 
 
