@@ -197,9 +197,9 @@ def kinds(questions: DataFrame) -> DataFrame:
 def callers(edges: DataFrame, asked_kinds: DataFrame, definitions: DataFrame) -> DataFrame:
     """(question, intent, side, name, key, file, type, line): callers and callees that the questions ask for; two joins for all questions."""
     wanted = asked_kinds.filter(F.col("intent").isin("callers", "callees", "explain")).select("question", "intent", F.explode("variants").alias("variant"))
-    in_ = wanted.filter(F.col("intent") != "callees").join(edges, F.col("variant") == F.col("callee")).select("question", "intent", F.lit("caller").alias("side"), F.col("caller").alias("name"))
-    out = wanted.filter(F.col("intent") != "callers").join(edges, F.col("variant") == F.col("caller")).select("question", "intent", F.lit("callee").alias("side"), F.col("callee").alias("name"))
-    return in_.unionByName(out).distinct().join(definitions.select("name", "key", "file", "type", "line"), "name", "left")
+    in_ = F.broadcast(wanted.filter(F.col("intent") != "callees")).join(edges, F.col("variant") == F.col("callee")).select("question", "intent", F.lit("caller").alias("side"), F.col("caller").alias("name"))
+    out = F.broadcast(wanted.filter(F.col("intent") != "callers")).join(edges, F.col("variant") == F.col("caller")).select("question", "intent", F.lit("callee").alias("side"), F.col("callee").alias("name"))
+    return in_.unionByName(out).distinct().join(ordering.apart(definitions.select("name", "key", "file", "type", "line")), "name", "left")
 
 
 _PART = ("question", "part", "place", "key", "name", "file", "line", "score", "source")
@@ -219,15 +219,15 @@ def enrichments(ix, asked_kinds: DataFrame) -> DataFrame:
     edges = ix.edges
 
     def side(intents, part, end, other):
-        found = variants.filter(F.col("intent").isin(*intents)).join(edges, F.col("variant") == F.col(end)).select("question", "no", F.col(other).alias("name"), "variant")
+        found = F.broadcast(variants.filter(F.col("intent").isin(*intents))).join(edges, F.col("variant") == F.col(end)).select("question", "no", F.col(other).alias("name"), "variant")
         best = found.groupBy("question").agg(F.min("no").alias("no"))
-        found = found.join(best, ["question", "no"]).distinct().join(definitions, "name", "left")
+        found = found.join(F.broadcast(best), ["question", "no"]).distinct().join(ordering.apart(definitions), "name", "left")
         return _part(found, part, name=F.col("name"), key=F.col("key"), file=F.col("file"), line=F.col("line"), source=F.col("variant"))
 
     wanted = variants.filter(F.col("intent") == "callers")
-    sites = grep.call_sites(ix.files).join(wanted, F.col("fn") == F.col("variant"))
+    sites = grep.call_sites(ix.files).join(F.broadcast(wanted), F.col("fn") == F.col("variant"))
     first = sites.groupBy("question").agg(F.min("no").alias("no"))
-    sites = sites.join(first, ["question", "no"])
+    sites = sites.join(F.broadcast(first), ["question", "no"])
     return (side(("callers", "explain"), "caller", "callee", "caller").unionByName(side(("callees", "explain"), "callee", "caller", "callee"))
             .unionByName(_part(sites, "call_site", name=F.col("fn"), file=F.col("path"), line=F.col("line"), source=F.col("variant"))))
 
@@ -243,11 +243,11 @@ def combined(ix, questions: DataFrame, max_results=100) -> DataFrame:
     each = ordering.cut_lineage(spelled.withColumn("question", F.concat_ws(":", F.col("q").cast("string"), F.col("no").cast("string"))))
     found, files = search_questions(ix, each.select("question", "query"))
     own = each.select("question", "q", "no", "query")
-    first = ordering.first_by(found.join(own, "question").select("q", "key", "no", "match_score", "match_source"), ["q", "key"], ["no"])
+    first = ordering.first_by(found.join(F.broadcast(own), "question").select("q", "key", "no", "match_score", "match_source"), ["q", "key"], ["no"])
     number = F.row_number().over(Window.partitionBy("q").orderBy(F.desc("match_score"), "no", "key"))
     best = first.withColumn("place", number).filter(F.col("place") <= max_results).join(ordering.apart(ix.symbols.select("key", "name", "file", "line")), "key").withColumnRenamed("q", "question")
     symbols = _part(best, "symbol", place=F.col("place"), key=F.col("key"), name=F.col("name"), file=F.col("file"), line=F.col("line"), score=F.col("match_score"), source=F.col("match_source"))
-    by_file = ordering.first_by(files.join(own, "question").select("q", "path", "no", "leg", "match_score", "match_source"), ["q", "path"], ["no", "leg"]).withColumnRenamed("q", "question")
+    by_file = ordering.first_by(files.join(F.broadcast(own), "question").select("q", "path", "no", "leg", "match_score", "match_source"), ["q", "path"], ["no", "leg"]).withColumnRenamed("q", "question")
     parts = symbols.unionByName(_part(by_file, "file", file=F.col("path"), score=F.col("match_score"), source=F.col("match_source"))).unionByName(enrichments(ix, asked_kinds))
     parts = ordering.cut_lineage(parts)
     counts = parts.groupBy("question", F.col("part").alias("of")).agg(F.count("*").alias("n"))
