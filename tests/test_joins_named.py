@@ -28,7 +28,7 @@ def test_searches_name_the_side_that_is_sent(spark, whole):
     many = [f"w{i}x{i}y" for i in range(200)]  # more grams than are named in a filter
     named = {"symbols": found, "files": files, "combined": questions.combined(whole, asks), "enrichments": questions.enrichments(whole, questions.kinds(asks)),
              "callers": questions.callers(whole.edges, questions.kinds(asks), parse.first_definitions(whole.symbols)),
-             "unified": search.unified_search(whole, "heap insert")[0],
+             "unified": search.unified_search(whole, "heap insert")[0], "code": search.code_search(whole, "heap", ["heap"], per_name=None),
              "functionality": search.functionality_search(whole, "heap", ["insert"], business=True),
              "grams": questions.code_lines(whole.gram_table, whole.line_table, spark.createDataFrame([(m,) for m in many], "term string"))}
     assert {k: _unnamed(df) for k, df in named.items()} == {k: [] for k in named}

@@ -128,7 +128,7 @@ def code_search(ix: CorpusIndex, query: str, keywords, max_results=50, fuzzy=20,
     leg = F.when(F.col("question") == 0, 0).otherwise(F.col("question") + 1)
     legs = [found.select(*cols, leg.alias("leg"), F.when(F.col("question") == 0, F.col("match_score")).otherwise(0.0).alias("match_score"))]
     named = joins.paths_with_any(ix.files, [k for k in keywords if len(k) >= 4])
-    by_path = ix.symbols.join(named.select(F.col("path").alias("file")), "file", "left_semi").filter(~text.is_garbage_symbol(F.col("name")))
+    by_path = ix.symbols.join(ordering.apart(named.select(F.col("path").alias("file"))), "file", "left_semi").filter(~text.is_garbage_symbol(F.col("name")))
     legs.append(by_path.select(*cols, F.lit(1).alias("leg"), F.lit(0.0).alias("match_score")))
     close = rank.fuzzy_symbols(ix.symbols, query, max_results=fuzzy, min_score=25)
     legs.append(close.select(*cols, F.lit(len(words) + 2).alias("leg"), F.col("match_score").cast("double").alias("match_score")))
@@ -159,7 +159,7 @@ def functionality_search(ix: CorpusIndex, query: str, extra_terms=(), business=F
     if scope is None:
         return first
     kept = joins.in_scope_by_suffix(first.select(F.col("file").alias("path")).distinct(), scope)
-    return first.join(kept.select(F.col("path").alias("file")), "file", "left_semi")
+    return first.join(ordering.apart(kept.select(F.col("path").alias("file"))), "file", "left_semi")
 
 
 def topic_search(files: DataFrame, topic: str, max_results=100, per_leg=None) -> DataFrame:
