@@ -3,8 +3,9 @@
 from itertools import combinations
 
 import pytest
+from pyspark.sql import DataFrameWriter
 
-from textlode.operators import vocabulary
+from textlode.operators import ordering, vocabulary
 
 
 def _docs():
@@ -58,3 +59,31 @@ def test_synonyms_of_a_query_are_those_of_the_table(spark):
     assert {tuple(r) for r in vocabulary.synonyms(vocabulary.document_terms(vocabulary.weighted_terms(files))).collect()} == table
     asked = ["word3", "word4"]
     assert {tuple(r) for r in vocabulary.synonyms_of(files, asked).collect()} == {r for r in table if r[0] in asked or r[1] in asked} != set()
+
+
+def test_blocks_are_not_shuffled_for_each_block_they_meet(spark, monkeypatch):
+    docs = _docs()
+    sets = spark.createDataFrame([(p, sorted(ts)) for p, ts in docs.items()], "path string, terms array<string>").repartition(3)
+    classes = ordering.cut_lineage(vocabulary.term_classes(sets))
+    plans, write = [], DataFrameWriter.parquet
+
+    def seen(self, *a, **b):
+        plans.append(self._df._jdf.queryExecution().optimizedPlan().toString())
+        plans.append(self._df._jdf.queryExecution().executedPlan().toString())
+        return write(self, *a, **b)
+
+    monkeypatch.setattr(DataFrameWriter, "parquet", seen)
+    pairs = vocabulary.class_pairs(classes, block_rows=200)
+    plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 5 and not [p for p in plans if "Exchange" in p or "FlatMapGroups" in p]
+    want = {(tuple(sorted([tuple(sorted(r.a)), tuple(sorted(r.b))])), r.own, r.joint) for r in vocabulary.class_pairs(classes).collect()}
+    got = [(tuple(sorted([tuple(sorted(r.a)), tuple(sorted(r.b))])), r.own, r.joint) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_runs_of_rows_are_of_bounded_size():
+    import numpy as np
+    for sizes, most in (([1, 1, 1, 9, 1, 1], 3), ([5], 1), ([], 4), ([2] * 7, 100)):
+        cuts = vocabulary._cuts(np.array(sizes, np.int64), most)
+        assert [i for at, n in cuts for i in range(at, at + n)] == list(range(len(sizes)))
+        assert all(sum(sizes[at:at + n]) < most + max(sizes[at:at + n]) for at, n in cuts)
